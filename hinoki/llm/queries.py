@@ -1,8 +1,9 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import bpe, lm_score, url_filter
+from . import bpe, lm_score, toxicity, url_filter
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op9_lm_score": lm_score.op9_lm_score,
     "op7_url_filter": url_filter.op7_url_filter,

@@ -1,8 +1,10 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import bpe, lm_score, toxicity, url_filter
+from . import bpe, lm_score, packing, quality, toxicity, url_filter
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op10_quality": quality.op10_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op9_lm_score": lm_score.op9_lm_score,

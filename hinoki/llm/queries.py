@@ -1,6 +1,6 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import bpe, lm_score, packing, quality, toxicity, url_filter
+from . import bpe, decontaminate, lm_score, packing, quality, toxicity, url_filter
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op9_lm_score": lm_score.op9_lm_score,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op7_url_filter": url_filter.op7_url_filter,
 }
-ORACLES = {"op7_url_filter": url_filter.ORACLE}
+ORACLES = {"op8_decontaminate": decontaminate.ORACLE, "op7_url_filter": url_filter.ORACLE}

@@ -1,6 +1,6 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import ann, bpe, decontaminate, lm_score, packing, quality, toxicity, url_filter
+from . import ann, bpe, decontaminate, jaccard, lm_score, packing, quality, toxicity, url_filter
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op9_lm_score": lm_score.op9_lm_score,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op5_ann": ann.op5_ann,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_url_filter": url_filter.op7_url_filter,
 }
 ORACLES = {"op8_decontaminate": decontaminate.ORACLE, "op7_url_filter": url_filter.ORACLE}

@@ -212,10 +212,10 @@ def classes(docs: DataFrame, plan: Plan) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
-    """(node, size, often, doc_id, key, single): a row without a key for every
-    document, and a row for every index key of every set."""
+    """(node, size, often, doc_id, copy, key, single): a row without a key for every
+    document (copy: its text's hash), and a row for every index key of every set."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["node", "size", "often", "doc_id", "key", "single"]
+    names = ["node", "size", "often", "doc_id", "copy", "key", "single"]
 
     def run(batches):
         bits, seen = held.value, set()
@@ -225,7 +225,7 @@ def signatures(docs: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
                 sets = shingle_sets(b.column(1).to_pylist(), plan.n)
                 nodes = [node_of(s) for s in sets]
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int64()), b.column(0), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int64()), b.column(0), b.column(2), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names)
                 rows = []
                 for s, k in zip(sets, nodes):
                     if len(s) and k not in seen:
@@ -239,9 +239,9 @@ def signatures(docs: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
                     keys = np.concatenate([x for r in rows for x in (r[3], r[4])]).astype(np.int64)
                     single = np.concatenate([np.arange(a) < len(r[3]) for a, r in zip(m, rows)])
                     cols = [np.repeat(np.array([r[j] for r in rows], np.int64), m) for j in range(3)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(single)], names)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(single)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, size long, often long, doc_id long, key long, single boolean")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "node long, size long, often long, doc_id long, copy long, key long, single boolean")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -281,18 +281,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, node, n_shingles, component_id) for every row of docs (doc_id, text).
+def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, copy, node, n_shingles, label) for every row of docs (doc_id, text).
 
-    node names the shingle set (rows of one set are copies); component_id is the
-    smallest doc_id reachable over links, the row's own where nothing links (rows
-    without words or text among them).  A null doc_id is linked like others and
-    counts as the largest.  Copies are never expanded into pairs.
+    copy is the text's hash, node names the shingle set (rows of one set link), label
+    is the same for all rows reachable over links.  Rows without words or text have
+    n_shingles 0, node 0 and link with nothing, in spite of their common label.
+    Copies are never expanded into pairs.
     """
     plan = Plan(n, num, den)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = C.materialize(signatures(docs, plan, classes(docs, plan)), "jaccard-rows")
-    base = rows.where("key is null").select("doc_id", "node", F.col("size").alias("n_shingles"))
+    base = rows.where("key is null").select("doc_id", "copy", "node", F.col("size").alias("n_shingles"))
     keyed = rows.where("key is not null").select("key", "single", "node", "size", "often").distinct()
     # Keys that one set alone has lead nowhere; most are such.
     by = W.partitionBy("key")
@@ -326,12 +326,40 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     more = C.materialize(verify(late, sets, plan), "jaccard-links")
     if more.limit(1).count():
         labels = components(linked.union(more))
-    named = base.join(C.maybe_broadcast(labels), "node", "left").select("doc_id", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    return base.join(C.maybe_broadcast(labels), "node", "left").select("doc_id", "copy", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+
+
+def classes_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, node, n_shingles, component_id) for every row: component_id is the
+    smallest doc_id reachable over links, the row's own where nothing links.  A null
+    doc_id is linked like others and counts as the largest."""
+    named = joined(docs, n, num, den)
     groups = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("label", "least")
     out = named.join(C.maybe_broadcast(C.materialize(groups, "jaccard-groups")), "label", "left")
     return out.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each group of linked rows, that of the smallest doc_id
+    (null is the largest; then of the smallest text hash).  All columns stay, and all
+    rows that link with nothing, those without words among them."""
+    named = C.materialize(joined(docs, n, num, den).where("n_shingles > 0").select("doc_id", "copy", "label"), "jaccard-named")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    groups = named.groupBy("label").agg(F.min(who).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = C.materialize(groups, "jaccard-groups")
+    gone = named.join(C.maybe_broadcast(groups), "label").where(~(who.eqNullSafe(F.col("first")))).select(F.col("doc_id").alias("__d"), F.col("copy").alias("__c")).distinct()
+    # A kept row that is there twice, word for word, stays once.
+    twice = named.groupBy("doc_id", "copy").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("copy").alias("__c"))
+    named_docs = docs.withColumn("__x", F.col("doc_id").cast("long")).withColumn("__y", F.xxhash64("text"))
+    same = F.col("__x").eqNullSafe(F.col("__d")) & (F.col("__y") == F.col("__c"))
+    kept = named_docs.join(C.maybe_broadcast(C.materialize(gone, "jaccard-gone")), same, "left_anti")
+    twice = C.materialize(twice, "jaccard-twice")
+    if twice.limit(1).count():
+        twice = C.maybe_broadcast(twice)
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["__x", "__y"]))
+    return kept.select(*docs.columns)
+
+
 def sets_of(docs: DataFrame, owners: DataFrame, plan: Plan) -> DataFrame:
     """(node, set) for the sets named by owners (node, doc_id): little-endian sorted hashes."""
 

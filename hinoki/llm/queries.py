@@ -1,8 +1,9 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import ann, bpe, decontaminate, jaccard, lm_score, packing, quality, toxicity, url_filter
+from . import ann, bpe, decontaminate, jaccard, lm_score, packing, quality, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_packing": packing.op2_packing,
     "op10_quality": quality.op10_quality,
     "op3_toxicity": toxicity.op3_toxicity,

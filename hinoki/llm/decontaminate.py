@@ -74,7 +74,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, containment
     candidates = C.materialize(probes.join(small, "h").where("room >= need").select("doc_key", "item_key").distinct(), "bench-pairs")
     keys = C.maybe_broadcast(candidates.select("doc_key").distinct())
     texts = docs.select(F.col(text_col).alias("t")).where("t is not null").withColumn("doc_key", text_key(F.col("t"))).join(keys, "doc_key")
-    held = texts.select("doc_key", F.explode(F.array_distinct(shingles(words(F.col("t")), n, lambda s: F.array_join(s, " ")))).alias("shingle"))
+    # The words come from a project of their own: inside the shingles' lambda they would be split anew for each.
+    held = texts.select("doc_key", words(F.col("t")).alias("w")).select("doc_key", F.explode(F.array_distinct(shingles(F.col("w"), n, lambda s: F.array_join(s, " ")))).alias("shingle"))
     wanted = C.maybe_broadcast(items.select("shingle", "item_key", "n_item", "need"))
     shared = held.join(wanted, "shingle").join(candidates, ["doc_key", "item_key"], "left_semi").distinct()
     found = shared.groupBy("doc_key", "item_key").agg(F.count("*").alias("n_shared"), F.max("n_item").alias("n_item"), F.max("need").alias("need"))

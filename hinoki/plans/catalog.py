@@ -1,4 +1,611 @@
-"""Named queries and their SQL."""
+"""Named queries and, where SQL can say the same, their SQL for another engine."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import lexicon as L
+from ..functions import morph as M
+from ..functions import tables as T
+from ..operators import correct as CO
+from ..operators import detect as D
+from ..operators import evaluate as E
+from ..operators import generate as G
+from ..operators import roles as R
+from ..operators import spans as S
+from ..operators import text as X
+from ..sources import records as RC
+from .messages import MESSAGES, messages, oracle_cte
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle.replace("as string)", "as varchar)")
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def duck_matches(source: str, pattern: str, columns: str) -> str:
+    """finditer with offsets for the other engine: gaps and matches, summed."""
+    p = M.quote(pattern)
+    before = "coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)"
+    return (
+        f"select {columns}, m[i] as surface, ({before})::int as start, ({before} + length(m[i]))::int as end_, text "
+        f"from (select *, regexp_extract_all(text, {p}) as m, regexp_split_to_array(text, {p}) as gaps from {source}) as q, unnest(range(1, len(m) + 1)) as u(i)"
+    )
+
+
+def spans_of(hits: DataFrame) -> DataFrame:
+    return hits.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end_"), "surface", "error_type", F.round("confidence", 6).alias("confidence"), "citation_key")
+
+
+def hit_oracle(patterns: list[str], kind: str, conf: float, cite: str, where: str = "true", end: str = "end_", surface: str = "surface", source: str = "messages") -> str:
+    rows = " union all ".join(duck_matches(source, p, "doc_id") for p in patterns)
+    return f"with {oracle_cte()}, h as ({rows}), g as (select *, {end} as e from h where {where}) select doc_id, start, e::int as end_, {surface} as surface, '{kind}' as error_type, {conf}::double as confidence, '{cite}' as citation_key from g"
+
+
+# --- rule tables and morphology -------------------------------------------------
+
+FORM_COLUMNS = "plain, nth, origin, form"
+
+
+@query(f"{M.forms_sql(M.SONKEIGO)}")
+def verb_forms_sonkeigo(spark, sf_dir):
+    return spark.sql(M.forms_sql(M.SONKEIGO))
+
+
+@query(f"{M.forms_sql(M.KENJOUGO1)}")
+def verb_forms_kenjougo1(spark, sf_dir):
+    return spark.sql(M.forms_sql(M.KENJOUGO1))
+
+
+@query(f"{M.forms_sql(M.KENJOUGO2)}")
+def verb_forms_kenjougo2(spark, sf_dir):
+    return spark.sql(M.forms_sql(M.KENJOUGO2))
+
+
+INFLECTED = ", ".join(f"{fn('plain', 'kind')} as {fn.__name__}" for fn in (M.masu_stem, M.a_stem, M.e_stem, M.te_form, M.past_plain, M.polite, M.negative_polite, M.rareru))
+
+
+@query(f"select plain, kind, {INFLECTED} from {M.verbs_sql()}")
+def verb_inflections(spark, sf_dir):
+    rows = M.inline(spark, T.VERBS, "plain, kind, ogo, target, naru")
+    fns = (M.masu_stem, M.a_stem, M.e_stem, M.te_form, M.past_plain, M.polite, M.negative_polite, M.rareru)
+    return rows.select("plain", "kind", *(M.col(f, "plain", "kind").alias(f.__name__) for f in fns))
+
+
+HONORIFIC = M.forms_sql(M.SONKEIGO + [(10 + n, o, f, c) for n, o, f, c in M.KENJOUGO1])
+
+
+@query(f"with f as (select *, {M.kind_of('form')} as k from ({HONORIFIC}) as x) select plain, form, k as kind, {M.potential('form', 'k')} as potential from f where k <> 'copula'")
+def potential_forms(spark, sf_dir):
+    """Honorific first, potential after."""
+    f = spark.sql(HONORIFIC).withColumn("kind", F.expr(M.kind_of("form"))).where("kind <> 'copula'")
+    return f.select("plain", "form", "kind", M.col(M.potential, "form", "kind").alias("potential"))
+
+
+SPECIAL = M.values(T.SPECIAL_FORMS, "base, form, cls, kind", "s")
+
+
+@query(f"select base, form, cls, kind, {M.polite('form', 'kind')} as polite_form from {SPECIAL}")
+def special_form_lookup(spark, sf_dir):
+    s = M.inline(spark, T.SPECIAL_FORMS, "base, form, cls, kind")
+    return s.withColumn("polite_form", M.col(M.polite, "form", "kind"))
+
+
+@query(f"select form, count(*) as n, string_agg(base, ',' order by base) as bases from {SPECIAL} group by form")
+def special_surface_index(spark, sf_dir):
+    s = M.inline(spark, T.SPECIAL_FORMS, "base, form, cls, kind")
+    return s.groupBy("form").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("base")), ",").alias("bases"))
+
+
+@query(f"with {L.oracle_ctes()} select origin, cls, count(*) as n, max(length(surface)) as longest from lexicon group by origin, cls")
+def lexicon_by_origin(spark, sf_dir):
+    return L.lexicon(spark).groupBy("origin", "cls").agg(F.count("*").alias("n"), F.max(F.length("surface")).alias("longest"))
+
+
+@query(f"with {L.oracle_ctes()} select surface, form, kind, cls, origin, base, hint from lexicon")
+def predicate_lexicon(spark, sf_dir):
+    return L.lexicon(spark).select("surface", "form", "kind", "cls", "origin", "base", "hint")
+
+
+TYPES = M.values(T.ERROR_TYPES, "error_type, specificity, directed, citation_key, name", "e")
+CITES = M.values(T.CITATIONS, "citation_key, section, page", "c")
+
+
+@query(f"select e.error_type, e.specificity, e.directed, e.name, c.citation_key, c.section, c.page from {TYPES} join {CITES} on e.citation_key = c.citation_key")
+def citation_for_error(spark, sf_dir):
+    e = M.inline(spark, T.ERROR_TYPES, "error_type, specificity, directed, citation_key, name")
+    return e.join(F.broadcast(M.inline(spark, T.CITATIONS, "citation_key, section, page")), "citation_key")
+
+
+@query(
+    f"with k as (select error_type, a.audience, case when error_type = 'uchi_sonkeigo' then case when a.audience = 'external' then 'uchi_soto.q25' else 'uchi_soto.q26' end else citation_key end as citation_key "
+    f"from {TYPES} cross join (values ('external'), ('internal'), ('public')) as a(audience)) select k.error_type, k.audience, c.citation_key, c.page from k join {CITES} on k.citation_key = c.citation_key"
+)
+def citation_by_audience(spark, sf_dir):
+    e = M.inline(spark, T.ERROR_TYPES, "error_type, specificity, directed, citation_key, name").crossJoin(M.inline(spark, [("external",), ("internal",), ("public",)], "audience"))
+    key = F.when(F.col("error_type") == "uchi_sonkeigo", F.when(F.col("audience") == "external", "uchi_soto.q25").otherwise("uchi_soto.q26")).otherwise(F.col("citation_key"))
+    return e.withColumn("citation_key", key).join(F.broadcast(M.inline(spark, T.CITATIONS, "citation_key, section, page")), "citation_key").select("error_type", "audience", "citation_key", "page")
+
+
+VARIED = M.values([(s, v[0], v[2], v[3], v[4], v[5], v[6]) for v in T.VARIATIONS for s in v[1].split(" ")], "v_surface, v_key, suppressed, v_citation, acceptability, scope, only_for", "v")
+
+
+@query(f"select acceptability, scope, count(distinct v_key) as n_entries, count(*) as n_surfaces, count(v_citation) as with_citation from {VARIED} group by grouping sets ((acceptability), (scope), ())")
+def variation_by_acceptability(spark, sf_dir):
+    D.variation_table(spark).createOrReplaceTempView("hinoki_variations")
+    return spark.sql("select acceptability, scope, count(distinct v_key) as n_entries, count(*) as n_surfaces, count(v_citation) as with_citation from hinoki_variations group by grouping sets ((acceptability), (scope), ())")
+
+
+SPLIT = M.values([(s,) for s in T.SPLIT_SURFACES], "probe", "p")
+NOT = M.values([(s,) for s in T.NOT_VARIATIONS], "probe", "p")
+
+
+@query(f"select 'split' as kind, probe, exists (select 1 from {VARIED} where contains(probe, v_surface)) as matched from {SPLIT} union all select 'guard', probe, exists (select 1 from {VARIED} where contains(probe, v_surface)) from {NOT}")
+def variation_self_check(spark, sf_dir):
+    """Every divided surface of the norms is matched, no guarded one is."""
+    p = M.inline(spark, [("split", s) for s in T.SPLIT_SURFACES] + [("guard", s) for s in T.NOT_VARIATIONS], "kind, probe")
+    v = F.broadcast(D.variation_table(spark).select("v_surface"))
+    return p.join(v, F.col("probe").contains(F.col("v_surface")), "left").groupBy("kind", "probe").agg((F.count("v_surface") > 0).alias("matched"))
+
+
+# --- text scans -----------------------------------------------------------------
+
+DUCK_SENTENCES = (
+    "parts as (select *, regexp_extract_all(text, " + M.quote(X.SENTENCE) + ") as p from {source}), "
+    "cut as (select *, p[i] as sentence, coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x))), 0)::int as sent_start, i from parts, unnest(range(1, len(p) + 1)) as u(i)), "
+    "sents as (select *, (row_number() over (partition by {key} order by i) - 1)::int as sent_idx from cut where not regexp_matches(sentence, '^[\\s　]*$'))"
+)
+
+
+@query("with " + DUCK_SENTENCES.format(source="(select doc_id, text from documents)", key="doc_id") + " select doc_id, sent_idx, sent_start, sentence from sents")
+def sentence_split_documents(spark, sf_dir):
+    return X.sentences(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "sent_idx", "sent_start", "sentence")
+
+
+@query(f"with {oracle_cte()}, " + DUCK_SENTENCES.format(source="messages", key="doc_id") + ", z as (select doc_id, sent_idx, regexp_extract_all(sentence, " + M.quote(X.PHRASE) + ", 1) as b, regexp_extract_all(sentence, " + M.quote(X.PHRASE) + ", 2) as q from sents) select doc_id, sent_idx, b[i] as body, q[i] as particle, count(*) as n from z, unnest(range(1, len(b) + 1)) as u(i) where b[i] <> '' group by all")
+def phrase_chunks(spark, sf_dir):
+    s = X.sentences(messages(spark, sf_dir)).select("doc_id", "sent_idx", F.explode(X.phrases(F.col("sentence"))).alias("p"))
+    return s.groupBy("doc_id", "sent_idx", F.col("p.body").alias("body"), F.col("p.particle").alias("particle")).agg(F.count("*").alias("n"))
+
+
+WORDS = sorted((s for v in T.VARIATIONS for s in v[1].split(" ")), key=lambda s: -len(s))
+
+
+@query(f"with {oracle_cte()}, h as ({duck_matches('messages', '|'.join(WORDS), 'doc_id')}) select h.doc_id, h.start, h.end_, v.v_surface, v.v_key, v.acceptability from h join {VARIED} on h.surface = v.v_surface where v.only_for = ''")
+def variation_scan(spark, sf_dir):
+    hit = D.variation_scan(messages(spark, sf_dir))
+    return hit.select("doc_id", F.col("start2").alias("start"), F.col("end2").alias("end_"), "v_surface", "v_key", "acceptability")
+
+
+DUCK_SCAN = (
+    f"{L.oracle_ctes()}, {oracle_cte()}, texts as (select min(doc_id) as tid, text from messages group by text), "
+    + DUCK_SENTENCES.format(source="texts", key="tid")
+    + f", cand as (select tid, sent_idx, sent_start, s as p_start, n, substring(sentence, s + 1, n) as surface, sentence from sents, unnest(range(0, length(sentence) - 1)) as a(s), unnest(range(2, 23)) as b(n) where s + n <= length(sentence)), "
+    + f"hit as (select c.*, l.form, l.kind, l.cls, l.origin, l.base, l.hint from cand as c join lexicon as l on c.surface = l.surface where (s_rest(c) = '' or regexp_matches(s_rest(c), {M.quote(X.BOUNDARY)})) and not (l.cls = 'plain' and p_start > 0 and regexp_matches(substring(sentence, p_start, 1), {M.quote(X.VETO)}))), ".replace("s_rest(c)", "substring(sentence, p_start + n + 1)")
+    + "best as (select *, p_start + n as p_end from hit qualify row_number() over (partition by tid, sent_idx, p_start order by n desc) = 1), "
+    + "firsts as (select tid, sent_idx, min(p_start) as p_start from best group by all), "
+    + "walk as (select b.* from best b join firsts f on b.tid = f.tid and b.sent_idx = f.sent_idx and b.p_start = f.p_start "
+    + "union all (select b.* from walk w join best b on b.tid = w.tid and b.sent_idx = w.sent_idx and b.p_start >= w.p_end qualify row_number() over (partition by b.tid, b.sent_idx order by b.p_start) = 1))"
+)
+
+
+@query(f"with recursive {DUCK_SCAN} select m.doc_id, w.sent_idx, (w.sent_start + w.p_start)::int as start, (w.sent_start + w.p_end)::int as end_, w.surface, w.cls, w.origin, w.base from walk w join texts t on t.tid = w.tid join messages m on m.text = t.text")
+def dictionary_scan(spark, sf_dir):
+    s = X.sentences(messages(spark, sf_dir).select("doc_id", "text")).select("doc_id", "sent_idx", "sent_start", "sentence")
+    hit = X.scan(s, L.lexicon(spark), ["doc_id", "sent_idx", "sent_start"])
+    return hit.select("doc_id", "sent_idx", (F.col("sent_start") + F.col("p_start")).alias("start"), (F.col("sent_start") + F.col("p_end")).alias("end_"), "surface", "cls", "origin", "base")
+
+
+LATIN = [("the", "article"), ("and", "conjunction"), ("of", "preposition"), ("that", "determiner"), ("is", "verb")]
+
+
+@query(f"select d.doc_id, w.word, w.tag, (len(string_split(' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ', ' ' || w.word || ' ')) - 1) as n from documents d cross join {M.values(LATIN, 'word, tag', 'w')} where n > 0 and lang = 'en'")
+def latin_dictionary_counts(spark, sf_dir):
+    """A dictionary match on native text: words of a small lexicon a document."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    lex = F.broadcast(M.inline(spark, LATIN, "word, tag"))
+    return docs.join(lex, "word").groupBy("doc_id", "word", "tag").agg(F.count("*").alias("n"))
+
+
+# --- surface detectors -----------------------------------------------------------
+
+ESTABLISHED = " or ".join(f"contains(substring(text, greatest(start - 2, 0) + 1, end_ + 4 - greatest(start - 2, 0)), '{e[0]}')" for e in T.ESTABLISHED)
+
+
+@query(hit_oracle(T.DOUBLE_PATTERNS, "double_keigo", 0.9, "double_keigo", f"not ({ESTABLISHED})"))
+def double_keigo_hits(spark, sf_dir):
+    return spans_of(D.double_hits(messages(spark, sf_dir)))
+
+
+@query(hit_oracle(["|".join(D.sa_literals())], "sa_insertion", 0.9, "sa_insertion"))
+def sa_insertion_hits(spark, sf_dir):
+    return spans_of(D.sa_hits(messages(spark, sf_dir)))
+
+
+@query(hit_oracle([T.GO_SARERU], "go_sareru", 0.8, "go_sareru.q7"))
+def go_sareru_hits(spark, sf_dir):
+    return spans_of(D.go_sareru_hits(messages(spark, sf_dir)))
+
+
+@query(hit_oracle([T.OGO_DEKIRU], "ogo_dekiru", 0.7, "ogo_dekiru.q8"))
+def ogo_dekiru_hits(spark, sf_dir):
+    return spans_of(D.ogo_dekiru_hits(messages(spark, sf_dir)))
+
+
+LINK_END = "least(end_ + length(regexp_extract(substring(text, end_ + 1), '^[^。\\n、]*')), start + 12)"
+
+
+@query(hit_oracle([T.BAD_LINK], "bad_keigo_link", 0.75, "keigo_link.bad", end=LINK_END, surface="substring(text, start + 1, e - start)"))
+def bad_link_hits(spark, sf_dir):
+    return spans_of(D.bad_link_hits(messages(spark, sf_dir)))
+
+
+SASETE_END = "least(end_ + length(regexp_extract(substring(text, end_ + 1), '^[^。\\n]*')), end_ + 6)"
+
+
+@query(hit_oracle([T.SASETE], "sasete_itadaku_overuse", 0.6, "sasete_itadaku", end=SASETE_END, surface="substring(text, start + 1, e - start)", source=f"(select * from messages where len(regexp_extract_all(text, {M.quote(T.SASETE)})) >= 3)"))
+def sasete_overuse_hits(spark, sf_dir):
+    return spans_of(D.sasete_hits(messages(spark, sf_dir)))
+
+
+@query(f"with {oracle_cte()} select doc_id, len(regexp_extract_all(text, {M.quote(T.SASETE)}))::int as n, len(regexp_extract_all(text, {M.quote(T.SASETE)})) >= 3 as dense from messages")
+def sasete_density(spark, sf_dir):
+    n = F.size(F.regexp_extract_all("text", F.lit(T.SASETE), F.lit(0)))
+    return messages(spark, sf_dir).select("doc_id", n.alias("n"), (n >= 3).alias("dense"))
+
+
+RULES_ORACLE = " union all ".join(f"select '{i}' as rule_id, '{k}' as error_type, * from ({duck_matches('messages', p, 'doc_id')}) as r" for i, p, k in T.SURFACE_RULES)
+
+
+@query(f"with {oracle_cte()} select doc_id, rule_id, error_type, start, end_, surface from ({RULES_ORACLE}) as q")
+def surface_rule_hits(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    rows = F.concat(*(F.transform(X.matches(F.col("text"), p), rule_of(i, k)) for i, p, k in T.SURFACE_RULES))
+    return m.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.rule_id", "r.error_type", "r.start", "r.end_", "r.surface")
+
+
+def rule_of(rule: str, kind: str):
+    return lambda m: F.struct(F.lit(rule).alias("rule_id"), F.lit(kind).alias("error_type"), m["start"].alias("start"), m["end"].alias("end_"), m["text"].alias("surface"))
+
+
+@query()
+def surface_baseline(spark, sf_dir):
+    """The rules alone: matches of a message kept greedily by start, the longest first."""
+    m = messages(spark, sf_dir)
+    hits = surface_rule_hits(spark, sf_dir).withColumnRenamed("end_", "end")
+    dense = X.finditer(m.where(F.size(F.regexp_extract_all("text", F.lit("させていただ"), F.lit(0))) >= 2), "させていただ").select("doc_id", F.lit("sasete.density").alias("rule_id"), F.lit("sasete_itadaku_overuse").alias("error_type"), "start", "end", "surface")
+    kept = S.nms(hits.unionByName(dense), ["doc_id"], [F.col("start"), F.col("start") - F.col("end"), F.col("rule_id")], ["rule_id", "error_type", "start", "end", "surface"])
+    return kept.withColumnRenamed("end", "end_")
+
+
+DUCK_STYLES = (
+    DUCK_SENTENCES.format(source="messages", key="doc_id")
+    + ", bodies as (select *, regexp_replace(sentence, '[。！？\\n 　]+$', '') as body from sents), "
+    + f"styled as (select *, case when regexp_matches(body, {M.quote(T.POLITE_END)}) then 'polite' when regexp_matches(body, {M.quote(T.PLAIN_END)}) then 'plain' end as style from bodies), "
+    + "counted as (select doc_id, count(*) as n_sentences, count(*) filter (style = 'polite') as n_polite, count(*) filter (style = 'plain') as n_plain, arg_min(style, sent_idx) filter (style is not null) as first from styled group by doc_id), "
+    + "major as (select doc_id, n_sentences, n_polite, n_plain, case when n_polite > n_plain then 'polite' when n_polite < n_plain then 'plain' else first end as majority from counted where n_sentences >= 3 and n_polite + n_plain >= 3)"
+)
+
+
+@query(f"with {oracle_cte()}, {DUCK_STYLES} select * from major")
+def style_majority(spark, sf_dir):
+    return D.style_majority(messages(spark, sf_dir))
+
+
+@query(f"with {oracle_cte()}, {DUCK_STYLES} select s.doc_id, (s.sent_start + length(body) - least(length(body), 8))::int as start, (s.sent_start + length(body))::int as end_, right(body, 8) as surface, 'style_mixing' as error_type, 0.6::double as confidence, 'style_mixing' as citation_key from styled s join major m on s.doc_id = m.doc_id where n_polite > 0 and n_plain > 0 and style <> majority and body <> ''")
+def style_mixing_hits(spark, sf_dir):
+    return spans_of(D.style_hits(messages(spark, sf_dir)))
+
+
+GO_FINDINGS = (
+    f"with {oracle_cte()}, h as ({duck_matches('messages', T.GO_SARERU, 'doc_id, audience')}), v as ({duck_matches('messages', '|'.join(WORDS), 'doc_id')}), "
+    f"w as (select v.doc_id, v.start, v.end_, t.suppressed from v join {VARIED.replace('as v(', 'as t(')} on v.surface = t.v_surface where t.only_for = ''), "
+    "n as (select * from h where not exists (select 1 from w where w.doc_id = h.doc_id and w.start < h.end_ and h.start < w.end_ and (w.suppressed = '' or list_contains(string_split(w.suppressed, ' '), 'go_sareru')))) "
+    f"select n.doc_id, n.audience, n.start, n.end_, n.surface, 'go_sareru' as error_type, c.section, c.page from n join {CITES} on c.citation_key = 'go_sareru.q7'"
+)
+
+
+@query(GO_FINDINGS)
+def go_sareru_findings(spark, sf_dir):
+    """The flagship slice: matches with offsets, minus divided usage, with their source."""
+    m = messages(spark, sf_dir)
+    hit = X.finditer(m, T.GO_SARERU).select("doc_id", "audience", "start", "end", "surface")
+    v = D.variation_scan(m).where("suppressed = '' or array_contains(split(suppressed, ' '), 'go_sareru')")
+    kept = S.overlap_join(hit, v, "doc_id", "left_anti").withColumn("citation_key", F.lit("go_sareru.q7"))
+    cited = kept.join(F.broadcast(M.inline(spark, T.CITATIONS, "citation_key, section, page")), "citation_key")
+    return cited.select("doc_id", "audience", "start", F.col("end").alias("end_"), "surface", F.lit("go_sareru").alias("error_type"), "section", "page")
+
+
+# --- roles and findings ----------------------------------------------------------
+
+NOUNS = ["弊社の田中", "田中社長", "貴社", "鈴木様", "担当者", "お客様", "私ども", "佐藤様", "山田", "木村様", "先方の木村様", "資料", "高橋先生", "貴社の田中", "わたし"]
+
+
+def duck_party(p: str) -> str:
+    ctx = f"case when contains({p}, '田中') then 'self_group' when contains({p}, '鈴木') then 'addressee_group' when contains({p}, '山田') then 'self' when contains({p}, '佐藤') then 'addressee' else 'unknown' end"
+    mark = "case " + " ".join(f"when contains({p}, '{w}') then '{s}'" for w, s in sorted(T.MARKERS, key=lambda m: -len(m[0]))) + " else 'unknown' end"
+    own, other = ("('self', 'self_group')", "('addressee', 'addressee_group', 'third_party')")
+    same = f"(({ctx}) in {own} and ({mark}) in {own}) or (({ctx}) in {other} and ({mark}) in {other})"
+    tail = " or ".join(f"{p} like '%{s}'" for s in T.HONORIFIC_SUFFIXES)
+    party = f"case when ({ctx}) <> 'unknown' and ({mark}) <> 'unknown' then case when {same} then {ctx} else {mark} end when ({ctx}) <> 'unknown' then {ctx} when ({mark}) <> 'unknown' then {mark} when {tail} then 'addressee_group' else 'unknown' end"
+    conf = f"case when ({ctx}) <> 'unknown' and ({mark}) <> 'unknown' then case when {same} then 0.95 else 0.6 end when ({ctx}) <> 'unknown' then 0.9 when ({mark}) <> 'unknown' then 0.85 when {tail} then 0.6 else 0.0 end"
+    return f"{party} as party, ({conf})::double as conf"
+
+
+NOUN_VALUES = M.values([(n,) for n in NOUNS], "phrase", "n")
+
+
+@query(f"select phrase, {duck_party('phrase')} from {NOUN_VALUES}")
+def party_resolution(spark, sf_dir):
+    from .messages import PERSONS, RECIPIENT, WRITER
+
+    persons = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("side")) for n, s in PERSONS))
+    p = M.inline(spark, [(n,) for n in NOUNS], "phrase").select("phrase", F.lit(WRITER).alias("writer"), F.lit(RECIPIENT).alias("recipient"), persons.alias("persons"))
+    return p.withColumn("r", R.resolve(F.col("phrase"))).select("phrase", "r.party", "r.conf")
+
+
+CUES = " or ".join(f"contains(sentence, '{c}')" for c in T.REQUEST_CUES), " or ".join(f"contains(sentence, '{c}')" for c in T.QUESTION_CUES)
+
+
+@query(f"with {oracle_cte()}, " + DUCK_SENTENCES.format(source="messages", key="doc_id") + f" select case when {CUES[0]} then 'request' when {CUES[1]} then 'question' else 'report' end as function, audience, count(*) as n from sents group by all")
+def sentence_functions(spark, sf_dir):
+    s = X.sentences(messages(spark, sf_dir)).select("audience", R.sentence_function(F.col("sentence")).alias("function"))
+    return s.groupBy("function", "audience").agg(F.count("*").alias("n"))
+
+
+@query()
+def role_actors(spark, sf_dir):
+    r = R.tag(messages(spark, sf_dir))
+    return r.select("doc_id", "sent_idx", "start", F.col("end").alias("end_"), "surface", "cls", "actor", F.round("actor_conf", 2).alias("actor_conf"), "target", "function", "link")
+
+
+@query("select conv_id, turn, role, last_value(case when role = 'user' then length(text) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as carried from conversations")
+def carry_forward_conversations(spark, sf_dir):
+    """What a turn takes over from the last user turn before it."""
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.length("text")), ignorenulls=True).over(before).alias("carried"))
+
+
+@query()
+def direction_hits(spark, sf_dir):
+    return spans_of(D.direction_hits(R.tag(messages(spark, sf_dir))))
+
+
+@query()
+def deference_inversion(spark, sf_dir):
+    return spans_of(D.inversion_hits(R.tag(messages(spark, sf_dir))))
+
+
+@query()
+def check_findings(spark, sf_dir):
+    f = D.detect(messages(spark, sf_dir))
+    return f.select("doc_id", "start", F.col("end").alias("end_"), "surface", "error_type", "verdict", F.round("confidence", 6).alias("confidence"), "citation_key", "acceptability")
+
+
+@query()
+def reportable_by_audience(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    f = D.detect(m).join(m.select("doc_id", "audience"), "doc_id")
+    return f.groupBy("audience", "error_type").agg(F.count_if(F.col("verdict") == "norm_divergence").alias("n_reportable"), F.count_if(F.col("verdict") == "variation").alias("n_variations"))
+
+
+# --- spans -----------------------------------------------------------------------
+
+DUCK_SPANS = "a as (select user_id as k, event_id as id, ((event_id * 37) % 1000)::int as start, ((event_id * 37) % 1000 + 1 + event_id % 20)::int as end_, event_type as type from events where event_id % 3 = 0), b as (select user_id as k, event_id as id2, ((event_id * 37) % 1000)::int as start2, ((event_id * 37) % 1000 + 1 + event_id % 20)::int as end2, event_type as type2, value as conf from events where event_id % 3 = 1)"
+
+
+def span_pair(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    start = ((F.col("event_id") * 37) % 1000).cast("int")
+    end = (start + 1 + F.col("event_id") % 20).cast("int")
+    a = e.where("event_id % 3 = 0").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), start.alias("start"), end.alias("end"), F.col("event_type").alias("type"))
+    b = e.where("event_id % 3 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("id2"), start.alias("start2"), end.alias("end2"), F.col("event_type").alias("type2"), F.col("value").alias("conf"))
+    return a, b
+
+
+@query(f"with {DUCK_SPANS} select a.id, b.id2 from a join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_")
+def span_overlap_join(spark, sf_dir):
+    a, b = span_pair(spark, sf_dir)
+    return S.overlap_join(a, b, "k").select("id", "id2")
+
+
+IOU = "(least(end_, end2) - greatest(start, start2))::double / ((end_ - start) + (end2 - start2) - (least(end_, end2) - greatest(start, start2)))"
+
+
+@query(f"with {DUCK_SPANS}, m as (select a.id, b.id2, {IOU} as iou from a join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_) select id, id2, round(iou, 9) as iou from m qualify row_number() over (partition by id order by iou desc, id2) = 1")
+def best_iou_match(spark, sf_dir):
+    a, b = span_pair(spark, sf_dir)
+    return S.best_match(a, b, "k", ["id"], ["id2"]).select("id", "id2", F.round("iou", 9).alias("iou"))
+
+
+@query(f"with {DUCK_SPANS} select id from a where exists (select 1 from b where a.k = b.k and a.start < b.end2 and b.start2 < a.end_)")
+def span_semi(spark, sf_dir):
+    a, b = span_pair(spark, sf_dir)
+    return S.overlap_join(a, b, "k", "left_semi").select("id")
+
+
+@query(f"with {DUCK_SPANS} select id from a where not exists (select 1 from b where a.k = b.k and a.start < b.end2 and b.start2 < a.end_)")
+def span_anti(spark, sf_dir):
+    a, b = span_pair(spark, sf_dir)
+    return S.overlap_join(a, b, "k", "left_anti").select("id")
+
+
+@query(
+    "with recursive e as (select user_id as k, event_id as id, ((event_id * 37) % 1000)::int as s, ((event_id * 37) % 1000 + 1 + event_id % 20)::int as t, row_number() over (partition by user_id order by value desc, event_id) as r from events), "
+    "g as (select k, r, case when true then [{'id': id, 's': s, 't': t}] end as kept from e where r = 1 union all select e.k, e.r, case when len(list_filter(g.kept, lambda o: o.s < e.t and e.s < o.t)) > 0 then g.kept else list_append(g.kept, {'id': e.id, 's': e.s, 't': e.t}) end from g join e on e.k = g.k and e.r = g.r + 1), "
+    "z as (select k, arg_max(kept, r) as kept from g group by k) select k, x.id as id from z, unnest(kept) as u(x)"
+)
+def greedy_nms(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    start = ((F.col("event_id") * 37) % 1000).cast("int")
+    spans = e.select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), start.alias("start"), (start + 1 + F.col("event_id") % 20).cast("int").alias("end"), "value")
+    return S.nms(spans, ["k"], [-F.col("value"), F.col("id")], ["id", "start", "end"]).select("k", "id")
+
+
+# --- forms, corpus, correction -----------------------------------------------------
+
+CAND = f"cand as ({G.candidates_sql()})"
+
+
+@query(f"with {CAND} {G.forms_sql(politeness=(0, 1, 2), candidates='cand')}")
+def forms_for_standpoint(spark, sf_dir):
+    return G.forms(spark, politeness=(0, 1, 2))
+
+
+@query(f"with {CAND} select origin, side, cls, count(*) as n from cand group by all")
+def candidate_forms_by_origin(spark, sf_dir):
+    return spark.table(G.candidates_view(spark)).groupBy("origin", "side", "cls").agg(F.count("*").alias("n"))
+
+
+def corpus(spark) -> DataFrame:
+    return spark.sql(G.corpus_sql(G.candidates_view(spark)))
+
+
+@query(f"with {CAND} {G.corpus_sql('cand')}")
+def corpus_cross_product(spark, sf_dir):
+    return corpus(spark)
+
+
+INJ = f"{CAND}, corp as ({G.corpus_sql('cand')}), inj as ({G.injected_sql('corp', 'cand')})"
+
+
+def injected(spark) -> DataFrame:
+    corpus(spark).createOrReplaceTempView("hinoki_corpus")
+    return spark.sql(G.injected_sql("hinoki_corpus", G.candidates_view(spark)))
+
+
+@query(f"with {INJ} select id, error_type, actor, audience, text, source_text, start, end_, surface, gold, substring(text, start + 1, end_ - start) = surface as verified from inj")
+def inject_errors(spark, sf_dir):
+    return injected(spark).withColumn("verified", F.substr("text", F.col("start") + 1, F.col("end_") - F.col("start")) == F.col("surface"))
+
+
+@query(f"with {INJ} select split, error_type, count(*) as n from ({G.split_sql('inj')}) as s group by all")
+def dataset_splits(spark, sf_dir):
+    injected(spark).createOrReplaceTempView("hinoki_injected")
+    return spark.sql(G.split_sql("hinoki_injected")).groupBy("split", "error_type").agg(F.count("*").alias("n"))
+
+
+@query(f"with {INJ} select id, error_type, string_agg(case when i < start or i >= end_ then 'O' when i = start then 'B-' || error_type else 'I-' || error_type end, ' ' order by i) as labels from inj, unnest(range(0, length(text))) as u(i) group by id, error_type")
+def bio_labels(spark, sf_dir):
+    errors = F.array(F.struct(F.col("start").alias("start"), F.col("end_").alias("end"), F.col("error_type").alias("type")))
+    return injected(spark).select("id", "error_type", F.array_join(E.bio_labels("text", errors), " ").alias("labels"))
+
+
+@query(f"with {INJ} select id, error_type, substring(text, 1, start) || gold || substring(text, end_ + 1) as fixed, substring(text, 1, start) || gold || substring(text, end_ + 1) = source_text as restored from inj")
+def apply_suggestion(spark, sf_dir):
+    fixed = S.overlay("text", "start", "end_", "gold")
+    return injected(spark).select("id", "error_type", fixed.alias("fixed"), (fixed == F.col("source_text")).alias("restored"))
+
+
+@query()
+def suggestions(spark, sf_dir):
+    """Up to four rule-generated replacements for every reportable finding."""
+    return CO.suggest(spark, D.detect(messages(spark, sf_dir)), R.tag(messages(spark, sf_dir)))
+
+
+@query(f"with {INJ} select id, error_type, json_extract_string(j, '$.type') as type, cast(json_extract_string(j, '$.start') as int) as start, json_extract_string(j, '$.text') as text from (select id, error_type, to_json({{'start': start, 'end': end_, 'text': surface, 'type': error_type}}) as j from inj) as q")
+def dataset_record_roundtrip(spark, sf_dir):
+    rec = RC.encode(injected(spark))
+    return RC.decode_errors(rec).select("id", "error_type", "e.type", "e.start", "e.text")
+
+
+# --- evaluation ---------------------------------------------------------------------
+
+DUCK_MATCH = f"{DUCK_SPANS}, m as (select a.id, a.type, b.type2, b.start2, {IOU} as iou from a left join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_), r as (select id, type, max(type2 is not null) as located, coalesce(max(type2 = type), false) as typed, coalesce(arg_max(type2, (iou, -start2)), '__missed__') as predicted from (select *, row_number() over (partition by id order by iou desc, start2, type2 desc) as n from m) as z group by id, type)"
+
+
+def span_matches(spark, sf_dir) -> DataFrame:
+    a, b = span_pair(spark, sf_dir)
+    found = b.select(F.col("k"), F.col("start2").alias("start"), F.col("end2").alias("end"), F.col("type2").alias("error_type"), F.lit("norm_divergence").alias("verdict"), F.lit(1.0).alias("confidence"))
+    return E.matched(a.select("k", "start", "end", "type", "id"), found, "k")
+
+
+@query(f"with {DUCK_SPANS}, m as (select a.k, a.start, a.end_, a.type, max(b.type2 is not null) as located, coalesce(max(b.type2 = a.type), false) as typed from a left join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_ group by all) select coalesce(type, '__all__') as type, count(*) as n, avg(located::int) as location_recall, avg(typed::int) as type_recall from m group by grouping sets ((type), ())")
+def recall_by_type(spark, sf_dir):
+    return E.recall(span_matches(spark, sf_dir))
+
+
+@query(f"with {DUCK_SPANS}, m as (select a.k, a.start, a.end_, a.type, b.type2, b.start2, {IOU} as iou from a left join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_), p as (select k, start, end_, type, type2 from m qualify row_number() over (partition by k, start, end_, type order by iou desc nulls last, start2, type2 desc) = 1) select type, coalesce(type2, '__missed__') as predicted, count(*) as n from p group by all")
+def confusion_matrix(spark, sf_dir):
+    return E.confusion(span_matches(spark, sf_dir))
+
+
+TH = M.values([(t,) for t in E.THRESHOLDS], "threshold", "t")
+
+
+@query(f"with {DUCK_SPANS}, top as (select a.k, a.start, a.end_, a.type, max(b.conf / 1000) as top from a left join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_ group by all) select threshold::double as threshold, count(*) as n, count(*) filter (top >= threshold) as detected from top cross join {TH} group by threshold")
+def threshold_sweep(spark, sf_dir):
+    a, b = span_pair(spark, sf_dir)
+    found = b.select("k", F.col("start2").alias("start"), F.col("end2").alias("end"), F.col("type2").alias("error_type"), F.lit("norm_divergence").alias("verdict"), (F.col("conf") / 1000).alias("confidence"))
+    return E.sweep(a, found, "k")
+
+
+@query("with r as (select event_type, value, count(*) over (partition by event_type) as n, row_number() over (partition by event_type order by value) - 1 as r from events) select event_type, max(n) as n, median(value) as median, round(avg(value), 6) as mean, max(value) filter (r = floor(n * 0.95)) as p95 from r group by event_type")
+def latency_percentiles(spark, sf_dir):
+    p = E.percentiles(table(spark, sf_dir, "events"), "value", "event_type")
+    return p.withColumn("mean", F.round("mean", 6))
+
+
+DUCK_TOKENS = "x as (select case when event_id % 5 = 0 then 'O' when event_id % 2 = 0 then 'B-' || event_type else 'I-' || event_type end as gold, case when event_id % 7 = 0 then 'O' when event_id % 11 = 0 then 'B-other' else 'I-' || event_type end as predicted from events)"
+
+
+@query(f"with {DUCK_TOKENS}, y as (select regexp_replace(gold, '^[BI]-', '') as g, regexp_replace(predicted, '^[BI]-', '') as p from x), t as (select g as type from y union select p from y), z as (select type, count(*) filter (g = type and p = type) as tp, count(*) filter (p = type and g <> type) as fp, count(*) filter (g = type and p <> type) as fn from t, y where type <> 'O' group by type), u as (select * from z union all select '__micro__', sum(tp), sum(fp), sum(fn) from z) select type, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end::double, 9) as f1 from u")
+def token_f1(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    gold = F.when(F.col("event_id") % 5 == 0, "O").when(F.col("event_id") % 2 == 0, F.concat(F.lit("B-"), F.col("event_type"))).otherwise(F.concat(F.lit("I-"), F.col("event_type")))
+    pred = F.when(F.col("event_id") % 7 == 0, "O").when(F.col("event_id") % 11 == 0, "B-other").otherwise(F.concat(F.lit("I-"), F.col("event_type")))
+    return E.token_scores(e.select(gold.alias("gold"), pred.alias("predicted"))).withColumn("f1", F.round("f1", 9))
+
+
+DUCK_BIO = "x as (select user_id as id, row_number() over (partition by user_id order by event_id) as pos, case when event_id % 5 = 0 then 'O' when event_id % 3 = 0 then 'B-' || event_type else 'I-' || event_type end as label, value as confidence from events)"
+
+
+@query(f"with {DUCK_BIO}, y as (select *, case when label <> 'O' then regexp_replace(label, '^[BI]-', '') end as type from x), z as (select *, case when label like 'I-%' and lag(type) over w = type then 0 else 1 end as new from y window w as (partition by id order by pos)), r as (select *, sum(new) over (partition by id order by pos) as run from z) select id, type, min(pos)::int as start, (max(pos) + 1)::int as end_, round(avg(confidence), 6) as confidence from r where type is not null group by id, run, type")
+def bio_decode(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    label = F.when(F.col("event_id") % 5 == 0, "O").when(F.col("event_id") % 3 == 0, F.concat(F.lit("B-"), F.col("event_type"))).otherwise(F.concat(F.lit("I-"), F.col("event_type")))
+    t = e.select(F.col("user_id").alias("id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("pos"), label.alias("label"), F.col("value").alias("confidence"))
+    return E.bio_decode(t).select("id", "type", "start", F.col("end").alias("end_"), F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def corpus_recall(spark, sf_dir):
+    """Recall by type of the whole detector on injected errors."""
+    gold, found = corpus_findings(spark)
+    return E.recall(E.matched(gold, found, "doc_id"))
+
+
+def corpus_findings(spark) -> tuple[DataFrame, DataFrame]:
+    rows = injected(spark).withColumn("doc_id", F.concat_ws("|", "id", "error_type"))
+    found = D.detect(with_context(rows))
+    return rows.select("doc_id", "start", F.col("end_").alias("end"), F.col("error_type").alias("type")), found
+
+
+def with_context(rows: DataFrame) -> DataFrame:
+    from .messages import PERSONS, RECIPIENT, WRITER
+
+    persons = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("side")) for n, s in [*PERSONS, ("木村", "third_party")]))
+    return rows.select("doc_id", "text", "audience", F.lit(WRITER).alias("writer"), F.lit(RECIPIENT).alias("recipient"), persons.alias("persons"))
+
+
+@query()
+def corpus_false_positives(spark, sf_dir):
+    docs = with_context(corpus(spark).withColumnRenamed("id", "doc_id"))
+    return E.false_positives(docs, D.detect(docs), "doc_id")

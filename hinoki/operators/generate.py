@@ -14,7 +14,7 @@ from ..functions import tables as T
 # Standpoints of an act, (label, actor, target)
 STANDPOINTS = [("self_to_reader", "self", "addressee"), ("group_to_reader", "self_group", "addressee"), ("reader", "addressee", "self"), ("third_party", "third_party", "addressee")]
 EXTRA_VERBS = [("詫びる", "ichidan", "お", True, True)]
-#: Sentence frames: (function, side, before the predicate, after it)
+#: Sentence frames: (function, side, before the predicate, after it); a request names no subject
 FRAMES = [
     ("report", "self", "本日、", "。"), ("report", "other", "その後、", "。"), ("inquiry", "other", "恐れ入りますが、こちらを", "か。"),
     ("scheduling", "self", "来週の会議の件で", "。"), ("scheduling", "other", "来週の会議の件で", "。"), ("notice", "self", "このたび、", "。"),
@@ -134,7 +134,7 @@ def corpus_sql(candidates: str, md5: str = "md5") -> str:
     f = forms_sql(points, (1, 2), candidates)
     key = "concat(fr.fn, '|', f.actor, '|', cast(f.politeness as varchar(2)), '|', f.base)"
     rows = (
-        f"select {md5}({key}) as id, fr.fn as function, f.actor, f.politeness, f.base, su.subject, concat(su.subject, fr.pre) as head, f.text as predicate, fr.post, f.cls, f.origin "
+        f"select {md5}({key}) as id, fr.fn as function, f.actor, f.politeness, f.base, su.subject, case when fr.fn = 'request' then fr.pre else concat(su.subject, fr.pre) end as head, f.text as predicate, fr.post, f.cls, f.origin "
         f"from ({f}) as f join {M.values(FRAMES, 'fn, side, pre, post', 'fr')} on fr.side = {side_sql('f.actor')} join {M.values(SUBJECTS, 'actor, subject', 'su')} on su.actor = f.actor where f.nth = 1"
     )
     pick = " ".join(f"when substring(id, 1, 1) in ({', '.join(repr(c) for c in cs)}) then '{a}'" for a, cs in (("external", "012345"), ("internal", "6789a"), ("public", "bcdef")))

@@ -28,8 +28,9 @@ from . import common as C
 CELLS, SLICES = 1 << 22, 32
 FREQUENT = 32  # a cell with more sets, and twice the mean, is of the frequent class
 SMALL = 40  # smaller sets are indexed by single tokens of both classes
-CHUNK, FLUSH = 256, 4_000_000
+CHUNK, FLUSH = 256, 1_000_000
 U = np.uint64
+LOW = U(1 << 62)
 
 
 def byte_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -172,30 +173,96 @@ def overlap_needed(num: int, den: int, a, b):
     return -((-num * (a + b)) // (num + den))
 
 
-def classes(docs: DataFrame, plan: Plan) -> np.ndarray:
-    """One bit for each cell of token hashes (by their first 22 bits): frequent or not."""
+def named_sets(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(node, size, low, doc_id, copy) of every row: its set's name and size, how many
+    of its tokens are in the low quarter of all hashes, and the text's hash."""
 
     def run(batches):
-        sums, n, seen = np.zeros(CELLS, np.int64), 0, set()
         for whole in batches:
             for i in range(0, whole.num_rows, CHUNK):
-                sets = shingle_sets(whole.column(0).slice(i, CHUNK).to_pylist(), plan.n)
-                new = []
-                for s in sets:  # copies count once in a worker's stretch
-                    if (k := node_of(s)) not in seen:
+                b = whole.slice(i, CHUNK)
+                sets = shingle_sets(b.column(1).to_pylist(), plan.n)
+                low = [int(np.searchsorted(s, LOW)) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.int64()), b.column(0), b.column(2)], ["node", "size", "low", "doc_id", "copy"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "node long, size long, low long, doc_id long, copy long")
+
+
+def shared_tokens(rows: DataFrame, slices: int, tokens_of) -> DataFrame:
+    """(node, shared): how many of a set's tokens other sets have, too.  tokens_of makes
+    (node, tokens) of a batch's rows.  Tokens go to slices by their last bits, a slice
+    holds four bytes of each: as good as never are two taken for one, and then a set
+    only seems to share more."""
+
+    def run(batches):
+        keep, names, n, seen = [], [], 0, set()
+        for whole in batches:
+            for i in range(0, whole.num_rows, CHUNK):
+                for k, s in tokens_of(whole.slice(i, CHUNK)):
+                    if len(s) and k not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
                         seen.add(k)
-                        new.append(s)
-                if new:
-                    flat = np.concatenate(new)
-                    sums += np.bincount((flat >> U(42)).astype(np.int64), minlength=CELLS)
-                    n += len(flat)
+                        keep.append(s)
+                        names.append(k)
+                        n += len(s)
+                        if n >= FLUSH or len(names) > 60_000:
+                            yield emit(keep, names)
+                            keep, names, n = [], [], 0
+        if keep:
+            yield emit(keep, names)
+
+    def emit(keep, names):
+        flat = np.concatenate(keep)
+        who = np.repeat(np.arange(len(keep), dtype=np.uint16), [len(s) for s in keep])
+        part = (flat % U(slices)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        flat, who = (flat[order] >> U(28)).astype(np.uint32), who[order]
+        at = np.searchsorted(part[order], np.arange(slices + 1))
+        full = [i for i in range(slices) if at[i] < at[i + 1]]
+        rows = [[], [], []]
+        for i in full:
+            used, back = np.unique(who[at[i] : at[i + 1]], return_inverse=True)
+            for r, x in zip(rows, (np.array(names, np.int64)[used], back.astype(np.uint16), flat[at[i] : at[i + 1]])):
+                r.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["s", "names", "who", "token"])
+
+    def count(t):
+        node, token = [], []
+        for names, who, tok in zip(*(t.column(c).to_pylist() for c in ("names", "who", "token"))):
+            node.append(np.frombuffer(names, np.int64)[np.frombuffer(who, np.uint16)])
+            token.append(np.frombuffer(tok, np.uint32))
+        node, token = np.concatenate(node), np.concatenate(token)
+        order = np.lexsort((node, token))
+        node, token = node[order], token[order]
+        own = np.concatenate(([True], (node[1:] != node[:-1]) | (token[1:] != token[:-1])))
+        node, token = node[own], token[own]
+        same, edge = token[1:] == token[:-1], np.zeros(1, bool)
+        many = np.concatenate((edge, same)) | np.concatenate((same, edge))
+        node, n = np.unique(node[many], return_counts=True)
+        return pa.Table.from_arrays([pa.array(node), pa.array(n.astype(np.int64))], ["node", "n"])
+
+    rows = rows.mapInArrow(run, "s int, names binary, who binary, token binary")
+    return rows.groupBy("s").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("shared"))
+
+
+def classes(sets: DataFrame) -> np.ndarray:
+    """One bit for each cell of token hashes (by their first 22 bits): frequent or not."""
+
+    def run(batches):
+        keep, n = [], 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                keep.append(np.frombuffer(x, np.uint64) >> U(42))
+                n += len(keep[-1])
                 if n >= FLUSH:
-                    yield pack(sums)
-                    sums, n, seen = np.zeros(CELLS, np.int64), 0, set()
-        if n:
-            yield pack(sums)
+                    yield pack(keep)
+                    keep, n = [], 0
+        if keep:
+            yield pack(keep)
 
-    def pack(sums):
+    def pack(keep):
+        sums = np.bincount(np.concatenate(keep).astype(np.int64), minlength=CELLS)
         parts = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in sums.reshape(SLICES, -1)]
         return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["s", "c"])
 
@@ -206,42 +273,30 @@ def classes(docs: DataFrame, plan: Plan) -> np.ndarray:
         return pa.Table.from_arrays([t.column("s").slice(0, 1), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["s", "c"])
 
     counts = np.zeros((SLICES, CELLS // SLICES), np.int64)
-    for r in docs.select("text").mapInArrow(run, "s int, c binary").groupBy("s").applyInArrow(add, "s int, c binary").toLocalIterator():
+    for r in sets.select("set").mapInArrow(run, "s int, c binary").groupBy("s").applyInArrow(add, "s int, c binary").toLocalIterator():
         counts[r[0]] = np.frombuffer(zlib.decompress(r[1]), np.int64)
     return np.packbits(counts.ravel() > max(FREQUENT, 2 * counts.mean()), bitorder="little")
 
 
-def signatures(docs: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
-    """(node, size, often, doc_id, copy, key, single): a row without a key for every
-    document (copy: its text's hash), and a row for every index key of every set."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["node", "size", "often", "doc_id", "copy", "key", "single"]
+def signatures(sets: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
+    """(node, size, often, own, key, single): a row for every index key of every set."""
+    held = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        bits, seen = held.value, set()
-        for whole in batches:
-            for i in range(0, whole.num_rows, CHUNK):
-                b = whole.slice(i, CHUNK)
-                sets = shingle_sets(b.column(1).to_pylist(), plan.n)
-                nodes = [node_of(s) for s in sets]
-                n = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int64()), b.column(0), b.column(2), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names)
+        for b in batches:
+            for i in range(0, b.num_rows, CHUNK):
                 rows = []
-                for s, k in zip(sets, nodes):
-                    if len(s) and k not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(k)
-                        one, two, often = plan.keys(s, bits)
-                        rows.append((k, len(s), often, one, two))
-                if rows:
-                    m = [len(r[3]) + len(r[4]) for r in rows]
-                    keys = np.concatenate([x for r in rows for x in (r[3], r[4])]).astype(np.int64)
-                    single = np.concatenate([np.arange(a) < len(r[3]) for a, r in zip(m, rows)])
-                    cols = [np.repeat(np.array([r[j] for r in rows], np.int64), m) for j in range(3)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(single)], names)
+                for k, x, own in zip(*(c.slice(i, CHUNK).to_pylist() for c in b.columns)):
+                    s = np.frombuffer(x, np.uint64)
+                    one, two, often = plan.keys(s, held.value)
+                    rows.append((k, len(s), often, own, one, two))
+                m = [len(r[4]) + len(r[5]) for r in rows]
+                keys = np.concatenate([x for r in rows for x in (r[4], r[5])]).astype(np.int64)
+                single = np.concatenate([np.arange(a) < len(r[4]) for a, r in zip(m, rows)])
+                cols = [np.repeat(np.array([r[j] for r in rows], np.int64), m) for j in range(4)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(keys), pa.array(single)], ["node", "size", "often", "own", "key", "single"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "node long, size long, often long, doc_id long, copy long, key long, single boolean")
+    return sets.select("node", "set", "own").mapInArrow(run, "node long, size long, often long, own long, key long, single boolean")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -281,6 +336,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def star_links(shared: DataFrame, size_of: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """The links of each node of shared (node, size, centre) with the centre that it has
+    most keys in common with."""
+    star = shared.groupBy(F.col("centre").alias("a"), F.col("node").alias("b"), "size", "own").count()
+    star = star.withColumn("nth", F.row_number().over(W.partitionBy("b").orderBy(F.desc("count"), "a"))).where("nth = 1")
+    star = star.join(size_of.select(F.col("node").alias("a"), F.col("size").alias("size_"), F.col("own").alias("own_")), "a")
+    return C.materialize(verify(star.where(may_link(plan)).select("a", "b"), sets, plan), "jaccard-links")
+
+
+def may_link(plan: Plan):
+    """By sizes and own tokens: the overlap can be as large as a link needs."""
+    most = F.least(F.col("size") - F.col("own"), F.col("size_") - F.col("own_"))
+    return most * (plan.num + plan.den) >= (F.col("size") + F.col("size_")) * plan.num
+
+
 def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, copy, node, n_shingles, label) for every row of docs (doc_id, text).
 
@@ -291,34 +361,49 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """
     plan = Plan(n, num, den)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = C.materialize(signatures(docs, plan, classes(docs, plan)), "jaccard-rows")
-    base = rows.where("key is null").select("doc_id", "copy", "node", F.col("size").alias("n_shingles"))
-    keyed = rows.where("key is not null").select("key", "single", "node", "size", "often").distinct()
-    # Keys that one set alone has lead nowhere; most are such.
+    base = C.materialize(named_sets(docs, plan), "jaccard-named")
+    # A set shares all but least - size of its tokens with any it links to, so of its low
+    # tokens all but as many; sets that don't share so many with all others together go.
+    slices = 1 << max(4, (base.count() // 4000).bit_length())
+    kinds = base.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.max("low").alias("low"), F.min("doc_id").alias("doc_id"))
+    lack = F.col("size") - F.expr(f"cast(ceil(cast({num} * size as decimal(20,0)) / {den}) as long)")
+    low = shared_tokens(docs.select("text"), slices, lambda b: [(node_of(s), s[: np.searchsorted(s, LOW)]) for s in shingle_sets(b.column(0).to_pylist(), n)])
+    alive = kinds.join(low, "node", "left").where((F.col("low") <= lack) | (F.coalesce("shared", F.lit(0)) >= F.col("low") - lack))
+    owners = C.materialize(alive.select("node", "doc_id"), "jaccard-owners")
+    sets = C.materialize(sets_of(docs, owners, plan), "jaccard-sets")
+    # The same again with all tokens: own counts those that no other of these sets has.
+    # None of them can be common to a pair, which also bounds the overlap of each pair.
+    common = shared_tokens(sets, slices, lambda b: [(k, np.frombuffer(x, np.uint64)) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+    size = (F.octet_length("set") / 8).cast("long")
+    lack = size - F.expr(f"cast(ceil(cast({num} * octet_length(set) / 8 as decimal(20,0)) / {den}) as long)")
+    sets = sets.join(C.maybe_broadcast(C.materialize(common, "jaccard-common")), "node").withColumn("own", size - F.col("shared")).where(F.col("own") <= lack)
+    sets = C.materialize(sets.select("node", "set", "own"), "jaccard-sets")
+    keyed = signatures(sets, plan, classes(sets)).distinct()
+    # Keys that one set alone has lead nowhere.  A key's centre is its set with the
+    # fewest tokens of its own, the likeliest to be what the others are copies of.
     by = W.partitionBy("key")
     shared = C.materialize(
-        keyed.withColumn("n", F.count("*").over(by)).where("n > 1").withColumn("centre", F.min(F.struct("size", "node")).over(by)["node"]), "jaccard-keys"
+        keyed.withColumn("n", F.count("*").over(by)).where("n > 1").withColumn("centre", F.min(F.struct("own", "size", "node")).over(by)["node"]), "jaccard-keys"
     )
-    fits = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
-    # First every set meets its two most frequent centres: most sets of a large group
-    # are then in one component, and nothing in it needs to meet again.
-    size_of = shared.groupBy("node").agg(F.max("size").alias("size"))
-    star = shared.where("node <> centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b"), "size").count()
-    star = star.withColumn("nth", F.row_number().over(W.partitionBy("b").orderBy(F.desc("count"), "a"))).where("nth <= 2")
-    star = star.join(size_of.select(F.col("node").alias("a"), F.col("size").alias("other")), "a").where(fits(F.col("size"), F.col("other"))).select("a", "b")
-    nodes = shared.select("node").distinct()
-    owners = base.join(C.maybe_broadcast(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = C.materialize(sets_of(docs, C.materialize(owners, "jaccard-owners"), plan), "jaccard-sets")
-    linked = C.materialize(verify(star, sets, plan), "jaccard-links")
+    # First every set meets the centre it shares most keys with, twice: most sets of a
+    # large group are then in one component, and nothing in it needs to meet again.
+    size_of = shared.groupBy("node").agg(F.max("size").alias("size"), F.max("own").alias("own"))
+    linked = star_links(shared.where("node <> centre"), size_of, sets, plan)
+    labels = components(linked)
+    apart = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = W.partitionBy("key")
+    apart = apart.withColumn("lo", F.min("label").over(own)).withColumn("hi", F.max("label").over(own)).where("lo <> hi")
+    apart = apart.withColumn("centre", F.min(F.struct("label", "own", "size", "node")).over(own)["node"]).where("label <> lo").drop("label", "lo", "hi")
+    linked = C.materialize(linked.union(star_links(apart, size_of, sets, plan)), "jaccard-links")
     labels = components(linked)
     # Then all pairs of different components that share a key: the join is complete.
     # Of linked sets the prefixes share at least this many tokens, the frequent ones
     # aside, which are indexed by pairs.
-    named = shared.join(labels, "node", "left").select("key", "single", "node", "size", "often", F.coalesce("label", "node").alias("label"))
+    named = shared.join(labels, "node", "left").select("key", "single", "node", "size", "often", "own", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     named = C.materialize(named.join(mixed, "key", "left_semi"), "jaccard-mixed")
-    x, y = named.alias("x"), named.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "size", "often", "label")))
-    met = x.join(y, "key").where((F.col("label") != F.col("label_")) & (F.col("node") < F.col("node_")) & fits(F.col("size"), F.col("size_")))
+    x, y = named.alias("x"), named.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "size", "often", "own", "label")))
+    met = x.join(y, "key").where((F.col("label") != F.col("label_")) & (F.col("node") < F.col("node_")) & may_link(plan))
     met = met.groupBy(F.col("node").alias("a"), F.col("node_").alias("b")).agg(F.count_if("single").alias("n1"), F.count_if(~F.col("single")).alias("n2"), F.max("size").alias("s"), F.max("size_").alias("t"), F.max("often").alias("o"), F.max("often_").alias("p"))
     ceil_ = lambda v, d: F.expr(f"cast(ceil(({v}) / {d}) as long)")
     bound = ceil_(f"cast({num} * (s + t) as decimal(20,0))", num + den) - F.greatest(ceil_(f"cast({num} * s as decimal(20,0))", den), ceil_(f"cast({num} * t as decimal(20,0))", den)) + 1 - F.least("o", "p")
@@ -326,7 +411,7 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     more = C.materialize(verify(late, sets, plan), "jaccard-links")
     if more.limit(1).count():
         labels = components(linked.union(more))
-    return base.join(C.maybe_broadcast(labels), "node", "left").select("doc_id", "copy", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    return base.join(C.maybe_broadcast(labels), "node", "left").select("doc_id", "copy", "node", F.col("size").alias("n_shingles"), F.coalesce("label", "node").alias("label"))
 
 
 def classes_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:

@@ -76,19 +76,16 @@ def lexicon_sql(stems: str) -> str:
     return f"select surface, {pick} from ({rows}) as r where surface is not null and length(surface) >= 2 group by surface"
 
 
-_HELD: dict[int, DataFrame] = {}
-
-
 def lexicon(spark: SparkSession) -> DataFrame:
     """surface, form, kind, cls, origin, base, hint: about 65,000 rows, fixed by the
     rule tables whatever the input, so it is held as a local relation.  The stages are
     cut there, too, which keeps the generated expressions small."""
-    if id(spark) not in _HELD:
+    if not spark.catalog.tableExists("hinoki_lexicon"):
         spark.createDataFrame(spark.sql(f"select *, {M.te_form('form', 'kind')} as te from ({heads_sql()}) as h").collect()).createOrReplaceTempView("hinoki_heads")
         spark.createDataFrame(spark.sql(links_sql("hinoki_heads")).collect()).createOrReplaceTempView("hinoki_links")
         spark.createDataFrame(spark.sql(stems_sql("hinoki_links")).collect()).createOrReplaceTempView("hinoki_stems")
-        _HELD[id(spark)] = spark.createDataFrame(spark.sql(lexicon_sql("hinoki_stems")).toPandas())
-    return _HELD[id(spark)]
+        spark.createDataFrame(spark.sql(lexicon_sql("hinoki_stems")).toPandas()).createOrReplaceTempView("hinoki_lexicon")
+    return spark.table("hinoki_lexicon")
 
 
 def oracle_ctes() -> str:

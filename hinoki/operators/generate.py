@@ -106,15 +106,11 @@ def forms_sql(standpoints: list[tuple] = STANDPOINTS, politeness: tuple[int, ...
     )
 
 
-_HELD: dict[int, str] = {}
-
-
 def candidates_view(spark: SparkSession) -> str:
     """The candidates as a local relation under a view name (fixed by the rule tables)."""
-    if id(spark) not in _HELD:
+    if not spark.catalog.tableExists("hinoki_candidates"):
         spark.createDataFrame(spark.sql(candidates_sql()).collect()).createOrReplaceTempView("hinoki_candidates")
-        _HELD[id(spark)] = "hinoki_candidates"
-    return _HELD[id(spark)]
+    return "hinoki_candidates"
 
 
 def forms(spark: SparkSession, base: str | None = None, politeness: tuple[int, ...] = (1,)) -> DataFrame:

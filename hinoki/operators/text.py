@@ -28,20 +28,21 @@ VETO = "[一-鿿々゠-ヿA-Za-z0-9０-９]"
 BLANK = "^[\\s　]*$"
 
 
-def total_length(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
+def fold(items: Column, kind: str, length, make) -> Column:
+    """array<kind> of make(offset, item) for each item, where offset counts the lengths of
+    those before it: one pass in the row."""
+    zero = F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("a"))
+    step = lambda acc, x: F.struct((acc["n"] + length(x)).alias("n"), F.concat(acc["a"], F.array(make(acc["n"], x))).alias("a"))
+    return F.aggregate(items, zero, step, lambda acc: acc["a"])
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of a regex's matches, left to right."""
-    m, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    at = F.sequence(F.lit(1), F.greatest(F.size(m), F.lit(1)))
-    one = lambda i: F.struct(
-        (total_length(F.slice(gaps, 1, i)) + total_length(F.slice(m, 1, i - 1))).alias("start"),
-        (total_length(F.slice(gaps, 1, i)) + total_length(F.slice(m, 1, i))).alias("end"),
-        F.try_element_at(m, i).alias("text"),
-    )
-    return F.slice(F.transform(at, one), 1, F.size(m))
+    """array<struct<start, end, text>> of a regex's matches, left to right: the gaps
+    between them and the matches alternate, so their lengths add up to the offsets."""
+    pair = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+    one = lambda n, p: F.struct((n + p["g"]).alias("start"), (n + p["g"] + F.length(p["m"])).alias("end"), p["m"].alias("text"))
+    found = F.filter(pair, lambda p: p["m"].isNotNull())
+    return fold(found, "struct<start:int,end:int,text:string>", lambda p: p["g"] + F.length(p["m"]), one)
 
 
 def finditer(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -54,10 +55,9 @@ def sentences(df: DataFrame, text: str = "text") -> DataFrame:
     """A row a sentence with sent_idx (from 0 among those kept), sent_start, sentence.
     A run of end characters stays with its sentence; blank ones go; null texts have none."""
     parts = F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))
-    cut = df.withColumn("_p", parts)
-    spans = F.transform(F.col("_p"), lambda s, i: F.struct(total_length(F.slice(F.col("_p"), 1, i)).alias("start"), s.alias("s")))
+    spans = fold(parts, "struct<start:int,s:string>", F.length, lambda n, s: F.struct(n.alias("start"), s.alias("s")))
     kept = F.filter(spans, lambda x: ~x["s"].rlike(BLANK))
-    out = cut.withColumn("_k", kept).drop("_p").select("*", F.posexplode("_k").alias("sent_idx", "_s")).drop("_k")
+    out = df.withColumn("_k", kept).select("*", F.posexplode("_k").alias("sent_idx", "_s")).drop("_k")
     return out.withColumns({"sent_start": F.col("_s.start"), "sentence": F.col("_s.s")}).drop("_s")
 
 

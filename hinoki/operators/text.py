@@ -98,3 +98,30 @@ def phrases(text: Column) -> Column:
     """array<struct<body, particle>> of the noun phrases that a particle closes."""
     body, particle = (F.regexp_extract_all(text, F.lit(PHRASE), F.lit(i)) for i in (1, 2))
     return F.filter(F.arrays_zip(body.alias("body"), particle.alias("particle")), lambda p: p["body"] != "")
+
+
+def segments(messages: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, end_, segment, label): a message cut into found and other stretches,
+    in order; label is the error type or null.  A finding that overlaps an earlier one
+    is left out; a message without findings is one stretch, an empty one has none."""
+    item = F.struct("start", "end", "error_type")
+    found = findings.groupBy(key).agg(greedy(F.array_sort(F.collect_list(item)), "start", "end").alias("_f"))
+    rows = messages.select(key, "text").join(found, key, "left").withColumn("_f", F.coalesce("_f", F.array().cast("array<struct<start:int,end:int,error_type:string>>")))
+    ends = F.concat(F.array(F.lit(0)), F.transform("_f", lambda f: f["end"]))
+    starts = F.concat(F.transform("_f", lambda f: f["start"]), F.array(F.length("text")))
+    gaps = F.zip_with(ends, starts, lambda a, z: F.struct(a.alias("start"), z.alias("end"), F.lit(None).cast("string").alias("error_type")))
+    parts = F.array_sort(F.filter(F.concat(gaps, "_f"), lambda p: p["start"] < p["end"]))
+    out = rows.select(key, "text", F.explode(parts).alias("_p"))
+    return out.select(key, "_p.start", F.col("_p.end").alias("end_"), F.substr("text", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start")).alias("segment"), F.col("_p.error_type").alias("label"))
+
+
+def line_starts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line, start, length): lines from 1 with their offsets; with a column from 1
+    the absolute offset is start + column - 1."""
+    lines = fold(F.split(F.col(text), "\n", -1), "struct<start:int,length:int>", lambda s: F.length(s) + 1, lambda n, s: F.struct(n.alias("start"), F.length(s).alias("length")))
+    return df.select(key, F.posexplode(lines).alias("_i", "_l")).select(key, (F.col("_i") + 1).alias("line"), "_l.start", "_l.length")
+
+
+def forbidden(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose column holds a phrase that messages must not hold."""
+    return df.where(F.col(column).rlike("|".join(re.escape(p) for _, p in T.FORBIDDEN)))

@@ -609,3 +609,40 @@ def with_context(rows: DataFrame) -> DataFrame:
 def corpus_false_positives(spark, sf_dir):
     docs = with_context(corpus(spark).withColumnRenamed("id", "doc_id"))
     return E.false_positives(docs, D.detect(docs), "doc_id")
+
+
+@query("select doc_id, i::int as line, coalesce(list_sum(list_transform(l[1:i-1], lambda x: length(x) + 1)), 0)::int as start, length(l[i])::int as length from (select doc_id, string_split(text, chr(10)) as l from documents) as d, unnest(range(1, len(l) + 1)) as u(i)")
+def line_offsets(spark, sf_dir):
+    return X.line_starts(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query()
+def highlight_segments(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    return X.segments(m, D.detect(m))
+
+
+@query()
+def explained_findings(spark, sf_dir):
+    """Findings with source and message; none holds a forbidden phrase."""
+    f = CO.explain(D.detect(messages(spark, sf_dir)))
+    bad = X.forbidden(f, "message").select("doc_id", "start", "end")
+    return f.join(bad, ["doc_id", "start", "end"], "left_anti").select("doc_id", "start", F.col("end").alias("end_"), "error_type", "verdict", "section", "page", "message")
+
+
+@query(f"with {oracle_cte()}, q as ({' union all '.join('select ' + repr(l) + ' as lang, ' + M.quote(p) + ' as phrase' for l, p in T.FORBIDDEN)}) select lang, phrase, count(m.doc_id) as n from q left join messages m on contains(m.text, q.phrase) group by lang, phrase")
+def forbidden_phrases(spark, sf_dir):
+    p = M.inline(spark, T.FORBIDDEN, "lang, phrase")
+    m = messages(spark, sf_dir).select("doc_id", "text")
+    return m.join(F.broadcast(p), F.col("text").contains(F.col("phrase")), "right").groupBy("lang", "phrase").agg(F.count("doc_id").alias("n"))
+
+
+@query()
+def tool_overlap(spark, sf_dir):
+    """The detector against the surface rules alone: found by one, the other, both."""
+    ours = D.detect(messages(spark, sf_dir)).where("verdict = 'norm_divergence'").select("doc_id", "start", "end")
+    rules = surface_baseline(spark, sf_dir).select("doc_id", F.col("start").alias("start2"), F.col("end_").alias("end2"))
+    mine = rules.select("doc_id", F.col("start2").alias("start"), F.col("end2").alias("end"))
+    theirs = ours.select("doc_id", F.col("start").alias("start2"), F.col("end").alias("end2"))
+    rows = [(S.overlap_join(ours, rules, "doc_id", "left_semi"), "both"), (S.overlap_join(ours, rules, "doc_id", "left_anti"), "ours"), (S.overlap_join(mine, theirs, "doc_id", "left_anti"), "rules")]
+    return reduce(DataFrame.unionByName, [d.select("doc_id", "start", F.col("end").alias("end_"), F.lit(n).alias("found_by")) for d, n in rows])

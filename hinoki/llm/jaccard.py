@@ -1,7 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's set holds the hashes of its distinct n-word shingles (its tokens).
-Tokens have one global order: the rare class before the frequent one, then by hash.
+Tokens have one global order: by frequency level, rare ones first, then by hash.
 Two sets with |x & y| >= r |x | y| share tokens in their prefixes; a rare token is
 indexed by itself.  For frequent tokens the prefixes are extended by g tokens and cut
 into g hash segments: more than g shared ones put two into one segment, so pairs of
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CELLS, SLICES = 1 << 22, 32
-FREQUENT = 32  # a cell with more sets, and twice the mean, is of the frequent class
+CELL_BITS = 24  # the table of frequencies has no more cells (bytes) than this many bits name
+FREQUENT = 32  # a cell with as many sets, and twice the mean, is of the frequent class
 SMALL = 40  # smaller sets are indexed by single tokens of both classes
 CHUNK, FLUSH = 256, 1_000_000
 U = np.uint64
@@ -141,15 +141,18 @@ class Plan:
         out.add(self.segments(top))
         return out
 
-    def keys(self, s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(single keys, combination keys, frequent tokens in the prefix) of set s."""
+    def keys(self, s: np.ndarray, levels: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(single keys, combination keys, all tokens of the prefix) of set s.
+        levels: a small number for each cell of hashes; tokens are ordered by it."""
         size = len(s)
         lack = size - self.least(size)
-        f = (frequent[(s >> U(42)).astype(np.int64) >> 3] >> ((s >> U(42)) & U(7)).astype(np.uint8) & 1).astype(bool)
-        rare, often = s[~f], s[f]
+        level = levels[(s >> U(64 - len(levels).bit_length() + 1)).astype(np.int64)]
+        order = np.argsort(level, kind="stable")
+        s, level = s[order], level[order]
+        rare, often = s[level < frequent], s[level >= frequent]
         single = rare[: lack + 1]
         if len(single) > lack:
-            return single, np.zeros(0, np.uint64), 0
+            return single, np.zeros(0, np.uint64), single
         pairs, used = [], 0
         for g in self.reach(size):
             part = often[: lack + 1 - len(rare) + g]
@@ -165,12 +168,7 @@ class Plan:
                 if not same.any():
                     break
                 pairs.append(mix(p[:-d][same] * U(BASE) + mix(p[d:][same] + U(g))))
-        return single, np.concatenate(pairs), used
-
-
-def overlap_needed(num: int, den: int, a, b):
-    """ceil(num (a + b) / (num + den)): the least overlap of linked sets of sizes a, b."""
-    return -((-num * (a + b)) // (num + den))
+        return single, np.concatenate(pairs), np.concatenate([rare, often[:used]])
 
 
 def named_sets(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -185,7 +183,7 @@ def named_sets(docs: DataFrame, plan: Plan) -> DataFrame:
                 low = [int(np.searchsorted(s, LOW)) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.int64()), b.column(0), b.column(2)], ["node", "size", "low", "doc_id", "copy"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "node long, size long, low long, doc_id long, copy long")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(C.frugal(run), "node long, size long, low long, doc_id long, copy long")
 
 
 def shared_tokens(rows: DataFrame, slices: int, tokens_of) -> DataFrame:
@@ -242,45 +240,52 @@ def shared_tokens(rows: DataFrame, slices: int, tokens_of) -> DataFrame:
         node, n = np.unique(node[many], return_counts=True)
         return pa.Table.from_arrays([pa.array(node), pa.array(n.astype(np.int64))], ["node", "n"])
 
-    rows = rows.mapInArrow(run, "s int, names binary, who binary, token binary")
-    return rows.groupBy("s").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("shared"))
+    rows = rows.mapInArrow(C.frugal(run), "s int, names binary, who binary, token binary")
+    return rows.groupBy("s").applyInArrow(C.frugal_group(count), "node long, n long").groupBy("node").agg(F.sum("n").alias("shared"))
 
 
-def classes(sets: DataFrame) -> np.ndarray:
-    """One bit for each cell of token hashes (by their first 22 bits): frequent or not."""
+def classes(sets: DataFrame, cells: int) -> tuple[np.ndarray, int]:
+    """The frequency level (log2) of each cell of token hashes, by their first bits, and
+    the level from which on tokens are of the frequent class."""
+    shift, slices = U(64 - cells.bit_length() + 1), 32
 
     def run(batches):
         keep, n = [], 0
         for b in batches:
             for x in b.column(0).to_pylist():
-                keep.append(np.frombuffer(x, np.uint64) >> U(42))
+                keep.append(np.frombuffer(x, np.uint64) >> shift)
                 n += len(keep[-1])
-                if n >= FLUSH:
+                if n >= 2 * FLUSH:
                     yield pack(keep)
                     keep, n = [], 0
         if keep:
             yield pack(keep)
 
     def pack(keep):
-        sums = np.bincount(np.concatenate(keep).astype(np.int64), minlength=CELLS)
-        parts = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in sums.reshape(SLICES, -1)]
-        return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["s", "c"])
+        at, n = np.unique(np.concatenate(keep), return_counts=True)
+        cut = np.searchsorted(at, np.arange(slices + 1, dtype=np.uint64) * U(cells // slices))
+        full = [i for i in range(slices) if cut[i] < cut[i + 1]]
+        parts = [[zlib.compress(x[cut[i] : cut[i + 1]].astype(np.uint32).tobytes(), 1) for i in full] for x in (at, n)]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["s", "at", "n"])
 
     def add(t):
-        total = np.zeros(CELLS // SLICES, np.int64)
-        for x in t.column("c").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.int32)
-        return pa.Table.from_arrays([t.column("s").slice(0, 1), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["s", "c"])
+        s, total = t.column("s")[0].as_py(), np.zeros(cells // slices, np.int64)
+        for at, n in zip(t.column("at").to_pylist(), t.column("n").to_pylist()):
+            total[np.frombuffer(zlib.decompress(at), np.uint32) - s * (cells // slices)] += np.frombuffer(zlib.decompress(n), np.uint32)
+        level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.Table.from_arrays([t.column("s").slice(0, 1), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), pa.array([int(total.sum())])], ["s", "level", "n"])
 
-    counts = np.zeros((SLICES, CELLS // SLICES), np.int64)
-    for r in sets.select("set").mapInArrow(run, "s int, c binary").groupBy("s").applyInArrow(add, "s int, c binary").toLocalIterator():
-        counts[r[0]] = np.frombuffer(zlib.decompress(r[1]), np.int64)
-    return np.packbits(counts.ravel() > max(FREQUENT, 2 * counts.mean()), bitorder="little")
+    levels, tokens = np.zeros((slices, cells // slices), np.uint8), 0
+    rows = sets.select("set").mapInArrow(C.frugal(run), "s int, at binary, n binary").groupBy("s").applyInArrow(C.frugal_group(add), "s int, level binary, n long")
+    for r in rows.toLocalIterator():
+        levels[r[0]] = np.frombuffer(zlib.decompress(r[1]), np.uint8)
+        tokens += r[2]
+    return levels.ravel(), int(math.log2(max(FREQUENT, 2 * tokens / cells)))
 
 
-def signatures(sets: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
-    """(node, size, often, own, key, single): a row for every index key of every set."""
-    held = sets.sparkSession.sparkContext.broadcast(frequent)
+def signatures(sets: DataFrame, plan: Plan, levels: np.ndarray, frequent: int) -> DataFrame:
+    """(node, size, own, key): a row for every index key of every set."""
+    held = sets.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for b in batches:
@@ -288,15 +293,26 @@ def signatures(sets: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
                 rows = []
                 for k, x, own in zip(*(c.slice(i, CHUNK).to_pylist() for c in b.columns)):
                     s = np.frombuffer(x, np.uint64)
-                    one, two, often = plan.keys(s, held.value)
-                    rows.append((k, len(s), often, own, one, two))
-                m = [len(r[4]) + len(r[5]) for r in rows]
-                keys = np.concatenate([x for r in rows for x in (r[4], r[5])]).astype(np.int64)
-                single = np.concatenate([np.arange(a) < len(r[4]) for a, r in zip(m, rows)])
-                cols = [np.repeat(np.array([r[j] for r in rows], np.int64), m) for j in range(4)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(keys), pa.array(single)], ["node", "size", "often", "own", "key", "single"])
+                    one, two, _ = plan.keys(s, held.value, frequent)
+                    rows.append((k, len(s), own, np.concatenate((one, two))))
+                m = [len(r[3]) for r in rows]
+                keys = np.concatenate([r[3] for r in rows]).astype(np.int64)
+                cols = [np.repeat(np.array([r[j] for r in rows], np.int64), m) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(keys)], ["node", "size", "own", "key"])
+
+    return sets.select("node", "set", "own").mapInArrow(C.frugal(run), "node long, size long, own long, key long")
+
+
+def prefixes(sets: DataFrame, plan: Plan, levels: np.ndarray, frequent: int) -> DataFrame:
+    """(node, prefix): the tokens of each set's prefix."""
+    held = sets.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches):
+        for b in batches:
+            rows = [plan.keys(np.frombuffer(x, np.uint64), held.value, frequent)[2].astype(np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "prefix"])
 
-    return sets.select("node", "set", "own").mapInArrow(run, "node long, size long, often long, own long, key long, single boolean")
+    return sets.select("node", "set").mapInArrow(C.frugal(run), "node long, prefix array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -316,7 +332,7 @@ def verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
 
     wide = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return wide.select("a", "b", "x", "y").mapInArrow(C.frugal(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -364,7 +380,7 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     base = C.materialize(named_sets(docs, plan), "jaccard-named")
     # A set shares all but least - size of its tokens with any it links to, so of its low
     # tokens all but as many; sets that don't share so many with all others together go.
-    slices = 1 << max(4, (base.count() // 4000).bit_length())
+    slices = 1 << max(7, (base.count() // 4000).bit_length())
     kinds = base.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.max("low").alias("low"), F.min("doc_id").alias("doc_id"))
     lack = F.col("size") - F.expr(f"cast(ceil(cast({num} * size as decimal(20,0)) / {den}) as long)")
     low = shared_tokens(docs.select("text"), slices, lambda b: [(node_of(s), s[: np.searchsorted(s, LOW)]) for s in shingle_sets(b.column(0).to_pylist(), n)])
@@ -378,7 +394,10 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     lack = size - F.expr(f"cast(ceil(cast({num} * octet_length(set) / 8 as decimal(20,0)) / {den}) as long)")
     sets = sets.join(C.maybe_broadcast(C.materialize(common, "jaccard-common")), "node").withColumn("own", size - F.col("shared")).where(F.col("own") <= lack)
     sets = C.materialize(sets.select("node", "set", "own"), "jaccard-sets")
-    keyed = signatures(sets, plan, classes(sets)).distinct()
+    tokens = sets.agg(F.coalesce(F.sum(F.octet_length("set")) / 8, F.lit(1))).first()[0]
+    cells = 1 << min(CELL_BITS, max(16, int(tokens).bit_length()))
+    order = classes(sets, cells)
+    keyed = signatures(sets, plan, *order).distinct()
     # Keys that one set alone has lead nowhere.  A key's centre is its set with the
     # fewest tokens of its own, the likeliest to be what the others are copies of.
     by = W.partitionBy("key")
@@ -397,17 +416,18 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     linked = C.materialize(linked.union(star_links(apart, size_of, sets, plan)), "jaccard-links")
     labels = components(linked)
     # Then all pairs of different components that share a key: the join is complete.
-    # Of linked sets the prefixes share at least this many tokens, the frequent ones
-    # aside, which are indexed by pairs.
-    named = shared.join(labels, "node", "left").select("key", "single", "node", "size", "often", "own", F.coalesce("label", "node").alias("label"))
+    # The prefixes of linked sets have at least as many tokens in common as the one that
+    # ends first has beyond those that its set may lack.
+    named = shared.join(labels, "node", "left").select("key", "node", "size", "own", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     named = C.materialize(named.join(mixed, "key", "left_semi"), "jaccard-mixed")
-    x, y = named.alias("x"), named.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "size", "often", "own", "label")))
-    met = x.join(y, "key").where((F.col("label") != F.col("label_")) & (F.col("node") < F.col("node_")) & may_link(plan))
-    met = met.groupBy(F.col("node").alias("a"), F.col("node_").alias("b")).agg(F.count_if("single").alias("n1"), F.count_if(~F.col("single")).alias("n2"), F.max("size").alias("s"), F.max("size_").alias("t"), F.max("often").alias("o"), F.max("often_").alias("p"))
-    ceil_ = lambda v, d: F.expr(f"cast(ceil(({v}) / {d}) as long)")
-    bound = ceil_(f"cast({num} * (s + t) as decimal(20,0))", num + den) - F.greatest(ceil_(f"cast({num} * s as decimal(20,0))", den), ceil_(f"cast({num} * t as decimal(20,0))", den)) + 1 - F.least("o", "p")
-    late = C.materialize(met.where((F.col("n2") > 0) | (F.col("n1") >= bound)).select("a", "b"), "jaccard-late")
+    some = sets.join(C.maybe_broadcast(named.select("node").distinct()), "node", "left_semi")
+    named = named.join(C.materialize(prefixes(some, plan, *order), "jaccard-prefixes"), "node")
+    x, y = named.alias("x"), named.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "size", "own", "label", "prefix")))
+    least = F.expr(f"cast(ceil(cast({num} * (size + size_) as decimal(20,0)) / {num + den}) as long)")
+    short = F.least(F.size("prefix") - F.col("size"), F.size("prefix_") - F.col("size_")) + least
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("label") != F.col("label_")) & (F.col("node") < F.col("node_")) & may_link(plan) & (F.size(F.array_intersect("prefix", "prefix_")) >= short))
+    late = C.materialize(met.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct(), "jaccard-late")
     more = C.materialize(verify(late, sets, plan), "jaccard-links")
     if more.limit(1).count():
         labels = components(linked.union(more))
@@ -457,7 +477,7 @@ def sets_of(docs: DataFrame, owners: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[j].as_py() for j in keep], pa.int64()), pa.array([sets[j].tobytes() for j in keep], pa.binary())], ["node", "set"])
 
     own = C.maybe_broadcast(owners.withColumnRenamed("doc_id", "own"))
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text").mapInArrow(C.frugal(run), "node long, set binary").dropDuplicates(["node"])
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from . import common as C
 CAPACITY = 4096
 #: Tokens and texts packed together; a bound on a worker's memory, not on the input.
 WINDOW_TOKENS, WINDOW_ROWS = 4_000_000, 20_000
-CACHE = 300_000
+CACHE = 200_000
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -93,7 +93,17 @@ class Encoder:
         self.inner = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         # A space before a word belongs to it, other white space stands alone.
         self.pieces = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        self.adjacent = regex.compile(f"[{SPACE}]{{2}}")
         self.cache: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def after_space(self, s: str) -> bytes:
+        got = np.array(self.inner.encode_ordinary(" " + s), "<u4").tobytes()
+        if len(s) <= 128:
+            if len(self.spaced) >= CACHE:
+                self.spaced.clear()
+            self.spaced[s] = got
+        return got
 
     def piece(self, s: str) -> bytes:
         got = np.array(self.inner.encode_ordinary(s), "<u4").tobytes()
@@ -105,6 +115,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
+        if not self.adjacent.search(text):  # then every space begins a piece
+            head, *rest = text.split(" ")
+            get = self.spaced.get
+            return b"".join([self.cache.get(head) or self.piece(head), *[get(w) or self.after_space(w) for w in rest]])
         get = self.cache.get
         return b"".join([get(p) or self.piece(p) for p in self.pieces.findall(text)])
 
@@ -158,7 +172,7 @@ def packed(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY,
             kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["pack_id", "n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "offsets"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, OUT)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(C.frugal(run), OUT)
 
 
 def write_binary(rows: DataFrame, path: str) -> None:

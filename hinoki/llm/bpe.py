@@ -26,8 +26,9 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Characters on whose classes and cases all Unicode versions agree; texts with others
 #: are normalized and pre-split by the tokenizers library, whose tables may be newer.
 RARE = regex.compile("[^\\x00-\\u024f\\u2000-\\u206e\\u20a0-\\u20bd\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5]")
+SEPARATORS = regex.compile("[\x1c-\x1f]")
 NEVER = 1 << 60
-CACHE = 400_000  # entries; a full cache is emptied, which changes no result
+CACHE = 120_000  # entries; a full cache is emptied, which changes no result
 
 
 def byte_symbols() -> list[str]:
@@ -58,7 +59,6 @@ class Codec:
         self.symbols = byte_symbols()
         self.inside = self._inside()
         self.words: dict[str, tuple[bytes, str]] = {}
-        self.fragments: dict[tuple[str, ...], list[str]] = {}
 
     def _atoms(self, token: str) -> list[str]:
         """A token's symbols: its characters, the last one with the word end."""
@@ -76,13 +76,9 @@ class Codec:
 
     def fragments_of(self, atoms: list[str]) -> list[list[str]]:
         """Cut at every pair of neighbours that no token holds."""
-        out, start = [], 0
-        for i in range(1, len(atoms)):
-            if (atoms[i - 1], atoms[i]) not in self.inside:
-                out.append(atoms[start:i])
-                start = i
-        out.append(atoms[start:])
-        return out
+        inside = self.inside
+        cuts = [i for i, p in enumerate(zip(atoms, atoms[1:]), 1) if p not in inside]
+        return [atoms[a:z] for a, z in zip([0, *cuts], [*cuts, len(atoms)])] if cuts else [atoms]
 
     def merge(self, fragment: list[str]) -> list[str]:
         """Merge one fragment, lowest rank first, leftmost first among equals."""
@@ -93,12 +89,12 @@ class Codec:
             if low == NEVER:
                 break
             i = r.index(low)
-            s[i : i + 2] = [s[i] + s[i + 1]]
             del r[i]
+            s[i] = t = s[i] + s.pop(i + 1)
             if i < len(r):
-                r[i] = get((s[i], s[i + 1]), NEVER)
+                r[i] = get((t, s[i + 1]), NEVER)
             if i:
-                r[i - 1] = get((s[i - 1], s[i]), NEVER)
+                r[i - 1] = get((s[i - 1], t), NEVER)
         return s
 
     def piece(self, piece: str) -> list[str]:
@@ -107,17 +103,7 @@ class Codec:
         atoms[-1] += self.end
         if len(atoms) > 2048:  # one endless word: merge with a heap-free scan of each fragment only
             return [t for f in self.fragments_of(atoms) for t in self.merge_long(f)]
-        out: list[str] = []
-        cache = self.fragments
-        for f in self.fragments_of(atoms):
-            key = tuple(f)
-            got = cache.get(key)
-            if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                got = cache[key] = self.merge(f)
-            out += got
-        return out
+        return [t for f in self.fragments_of(atoms) for t in (self.merge(f) if len(f) > 1 else f)]
 
     def merge_long(self, fragment: list[str]) -> list[str]:
         """merge() in n log n steps, with a heap over a linked list."""
@@ -142,26 +128,30 @@ class Codec:
 
     def word(self, chunk: str) -> tuple[bytes, str]:
         """Ids (little-endian 32 bit) and decoded text of a run without white space."""
-        if RARE.search(chunk):
+        if not chunk.isascii() and RARE.search(chunk):
             pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         else:
             table = self.symbols
             pieces = ["".join([table[b] for b in p.encode("utf-8")]) for p in self.pieces.findall(chunk)]
-        tokens = [t for p in pieces for t in self.piece(p)]
-        ids = [self.vocab[t] for t in tokens if t in self.vocab]
-        got = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.names.__getitem__, ids))
+        known = self.vocab
+        tokens = [t for p in pieces for t in self.piece(p) if t in known]
+        ids = [known[t] for t in tokens]
+        got = struct.pack(f"<{len(ids)}I", *ids), " ".join(tokens)
         if len(self.words) >= CACHE:
             self.words.clear()
         if len(chunk) <= 256:
             self.words[chunk] = got
         return got
 
-    def normal(self, text: str) -> str:
+    def normal(self, text: str) -> list[str]:
+        """The words of a normalized text: its runs without white space."""
         if not text.isascii():
             if RARE.search(text):
-                return self.library.normalizer.normalize_str(text)
+                return self.library.normalizer.normalize_str(text).split(" ")
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.space.sub(" ", text).lower()
+        if SEPARATORS.search(text):  # white to Python alone
+            return self.space.sub(" ", text).lower().split(" ")
+        return text.lower().split()
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids as bytes, decoded text) of a whole text."""
@@ -173,13 +163,10 @@ class Codec:
                 ids.append(struct.pack("<I", self.special[part]))
                 shown.append(part)
             elif part:
-                words, get = self.normal(part).split(" "), self.words.get
-                for w in words:
-                    if w:
-                        a, b = get(w) or self.word(w)
-                        ids.append(a)
-                        if a:
-                            shown.append(b)
+                get = self.words.get
+                got = [get(w) or self.word(w) for w in self.normal(part) if w]
+                ids += [a for a, _ in got]
+                shown += [b for a, b in got if a]
         return b"".join(ids), " ".join(shown)
 
     def decode(self, ids: bytes) -> str:
@@ -213,7 +200,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, kind), pa.array(y, pa.string())], ["a", "b", "c", "d"])
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else OUT
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, out)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(C.frugal(run), out)
 
 
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:

@@ -173,7 +173,7 @@ def index(vectors: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id
         return pa.Table.from_arrays([t.column("shard").slice(0, 1), *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "v", "ids", "ends", "graph", "starts"])
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    made = dealt.groupBy("shard").applyInArrow(run, "shard int, v binary, ids binary, ends binary, graph binary, starts binary")
+    made = dealt.groupBy("shard").applyInArrow(C.frugal_group(run), "shard int, v binary, ids binary, ends binary, graph binary, starts binary")
     return C.materialize(made, "ann-index"), shards
 
 
@@ -218,7 +218,7 @@ def nearest(queries: DataFrame, held: DataFrame, shards: int, k: int, vec: str =
                 parts.append((np.full(len(best), qid[i + j]), ids[best], d[best]))
         return pa.table([np.concatenate(c) for c in zip(*parts)], schema=out)
 
-    hits = many.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    hits = many.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(C.frugal_pair(run), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,63 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     Give it a materialized or small df of narrow rows."""
     few = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if few else df
+
+
+SLICE = 256  # rows that a worker turns into Python objects at once
+BATCH_ROWS = 512
+
+
+def small_batches() -> None:
+    """Arrow batches of a few whole texts: at Spark's default of 10,000 rows one batch of
+    long texts can fill a worker.  A session that has its own setting keeps it."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give a worker's free memory back to the system: workers outlive their tasks, and
+    the next stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not a glibc system
+        pass
+
+
+def frugal(f):
+    """A function of Arrow batches that gets small slices of them and leaves no memory behind."""
+    small_batches()
+
+    def run(batches):
+        try:
+            yield from f(b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+        finally:
+            release()
+
+    return run
+
+
+def frugal_group(f):
+    """The same for a function of a group's table."""
+
+    def run(table):
+        try:
+            return f(table)
+        finally:
+            release()
+
+    return run
+
+
+def frugal_pair(f):
+    """The same for a function of two tables of a group."""
+
+    def run(left, right):
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return run

@@ -46,7 +46,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, containment
     Null, empty and white texts have no shingles and are in no pair; copies of a text
     are judged once; other columns are not used.  The result is materialized.
     """
-    spread = docs.sparkSession
+    spark = docs.sparkSession
     items = (
         benchmark.select(F.col("text").alias("t")).where("t is not null").distinct()
         .select(text_key(F.col("t")).alias("item_key"), words(F.col("t")).alias("w"))
@@ -64,7 +64,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, containment
     sketch = items.where("nth <= n_item - need + 1")
     cuts = {r[0]: (r[1], r[2]) for r in sketch.groupBy("part").agg(F.max("h"), F.min("need")).collect()}
     if not cuts:
-        return spread.createDataFrame([], "doc_key string, item_key string, n_shared long, n_item long")
+        return spark.createDataFrame([], "doc_key string, item_key string, n_shared long, n_item long")
     high = max(h for h, _ in cuts.values())
     hashed = docs.select(F.col(text_col).alias("t")).where("t is not null").select(text_key(F.col("t")).alias("doc_key"), words(F.col("t")).alias("w"))
     hashed = hashed.select("doc_key", F.size("w").alias("n_words"), shingles(F.col("w"), n, lambda s: F.xxhash64(F.array_join(s, " "))).alias("hs"))

@@ -164,7 +164,7 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", per_class:
 
     sample = labelled_sample(docs, ratings, rating, per_class, sorted(grades)).select("text", F.col("y").cast("long"))
     ys, words, signs = [], [], []
-    for r in sample.mapInArrow(run, "y long, w binary, s binary").toLocalIterator():
+    for r in sample.mapInArrow(C.frugal(run), "y long, w binary, s binary").toLocalIterator():
         ys.append(r[0])
         words.append(np.frombuffer(r[1], np.uint32))
         signs.append(np.frombuffer(r[2], np.float32))
@@ -191,7 +191,7 @@ def with_quality(docs: DataFrame, model: CumulativeLink, wanted: float, text_col
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.expected(tails)), pa.array(m.at_least(tails, wanted))], [*b.schema.names, "expected_grade", "tail"])
 
     schema = T.StructType([*docs.schema.fields]).add("expected_grade", "double").add("tail", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.frugal(run), schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,8 +315,8 @@ def anchor_places(texts: DataFrame, slices: int, length: int, gram: int) -> Data
             rec[name] = a
         return pa.Table.from_arrays([pa.array(key[first], pa.int64()), pa.array([rec[a:z].tobytes() for a, z in zip(first, ends)], pa.binary())], ["key", "places"])
 
-    sliced = texts.select("__key", F.coalesce("text", F.lit(""))).mapInArrow(run, "s int, block binary")
-    return sliced.groupBy("s").applyInArrow(again, "key long, places binary")
+    sliced = texts.select("__key", F.coalesce("text", F.lit(""))).mapInArrow(C.frugal(run), "s int, block binary")
+    return sliced.groupBy("s").applyInArrow(C.frugal_group(again), "key long, places binary")
 
 
 PLACE = [("place", "<i4"), ("h", "<u8"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")]
@@ -391,7 +391,7 @@ def suffix_runs(texts: DataFrame, parts: int, length: int) -> DataFrame:
         blocks = [pack(*(x[order[at[i] : at[i + 1]]] for x in (key, start, a, b))) for i in full]
         return pa.RecordBatch.from_arrays([pa.array([-1 - i for i in full], pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
-    return texts.select("__key", F.coalesce("text", F.lit("")), "places").mapInArrow(run, "part int, block binary")
+    return texts.select("__key", F.coalesce("text", F.lit("")), "places").mapInArrow(C.frugal(run), "part int, block binary")
 
 
 def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
@@ -443,7 +443,7 @@ def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
             spans.extend(map(tuple, b[9].reshape(-1, 3).tolist()))
         return spans
 
-    return runs.groupBy("part").applyInArrow(run, "key long, a long, z long")
+    return runs.groupBy("part").applyInArrow(C.frugal_group(run), "key long, a long, z long")
 
 
 def coverage(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -499,7 +499,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     whole = clean.select("doc_id", F.col("__size").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-    return whole.unionByName(hit.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return whole.unionByName(hit.select("doc_id", "text", "spans").mapInArrow(C.frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -529,7 +529,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, columns)
 
     schema = T.StructType([docs.schema[c] for c in columns])
-    return clean.select(*columns).unionByName(hit.select(*columns, "spans").mapInArrow(run, schema))
+    return clean.select(*columns).unionByName(hit.select(*columns, "spans").mapInArrow(C.frugal(run), schema))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

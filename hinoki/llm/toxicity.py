@@ -189,7 +189,7 @@ def gather(sample: DataFrame) -> dict[tuple[int, int], Counts]:
             key, n = key[may], n[may]
         return pa.Table.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(key.tobytes(), 1)]), pa.array([zlib.compress(n.tobytes(), 1)])], ["s", "k", "n"])
 
-    sums = sample.mapInArrow(run, "s int, k binary, n binary").groupBy("s").applyInArrow(add, "s int, k binary, n binary")
+    sums = sample.mapInArrow(C.frugal(run), "s int, k binary, n binary").groupBy("s").applyInArrow(C.frugal_group(add), "s int, k binary, n binary")
     words, after, keys, ns = np.zeros(4 * WORDS), np.zeros(4 * WORDS), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r in sums.toLocalIterator():
         key, n = (np.frombuffer(zlib.decompress(x), np.int64) for x in (r[1], r[2]))
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                 d = np.where(np.array(b.column(2)) == 0, halves.value[0].difference(flat, sizes), halves.value[1].difference(flat, sizes))
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(d), pa.array(sizes)], ["y", "d", "n"])
 
-    seen = sample.mapInArrow(cross, "y long, d double, n long").toPandas()
+    seen = sample.mapInArrow(C.frugal(cross), "y long, d double, n long").toPandas()
     y = seen["y"].to_numpy(float)
     if len(set(y)) == 2:
         n = [(y == 0).sum(), (y == 1).sum()]
@@ -252,7 +252,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str =
             s = held.value.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(out, "double"))
+    return docs.mapInArrow(C.frugal(run), T.StructType([*docs.schema.fields]).add(out, "double"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators import roles as R
 from ..operators import spans as S
 from ..operators import text as X
 from ..sources import records as RC
-from .messages import MESSAGES, messages, oracle_cte
+from .messages import messages, oracle_cte
 
 QUERIES: dict = {}
 ORACLES: dict = {}

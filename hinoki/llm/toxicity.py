@@ -5,10 +5,10 @@ One interpolated bigram model for toxic and one for ordinary labelled documents:
     P_c(w | h) = kept_c(h w) / n_c(h) + rest_c(h) * P_c(w)
     P_c(w)     = kept_c(w) / N_c + rest_c * P_shared(w)
 
-Words count once a document, as continuation counts do.  A count is kept, less an
-absolute discount, only where it is clearly more than the counts shared by both
-classes explain (GATE times the expectation and SIGMA of its deviations); all other
-counts go to the shared backoff.  So a rare expression, a copied document or a
+Words and bigrams count once a document, as continuation counts do.  A count is kept, less an
+absolute discount, only where it is clearly more than the other class's rate explains
+(GATE times the expectation and SIGMA of its deviations, whatever the classes' sizes);
+all other counts go to the shared backoff.  So a rare expression, a copied document or a
 class's mix of languages is no evidence.  Where a word's count is kept, its shared
 probability is what both classes have of it.
 
@@ -61,8 +61,9 @@ def histories(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """One class: documents with each word, how often each history comes, and the
-    bigrams (h * WORDS + w) that may outdo their discount."""
+    """One class: documents with each word, the sum of each history's bigram counts, and
+    the bigrams (h * WORDS + w) that may outdo their discount in either class, with the
+    number of documents."""
 
     def __init__(self, words: np.ndarray, after: np.ndarray, keys: np.ndarray, n: np.ndarray):
         self.words, self.after, self.keys, self.n = words, after, keys, n
@@ -73,10 +74,15 @@ class Counts:
         return Counts(self.words + other.words, self.after + other.after, keys, n)
 
 
-def kept(n: np.ndarray, expected: np.ndarray, discount: float, strict: float = 1.0) -> np.ndarray:
-    """Counts less the discount, 0 where the shared counts explain them; strict: times
-    as much evidence, asked of bigrams."""
-    return np.where(n > strict * (GATE * expected + SIGMA * np.sqrt(expected)) + discount, n - discount, 0.0)
+def kept(n: np.ndarray, total, other: np.ndarray, other_total, discount: float, strict: float = 1.0, least=0.0) -> np.ndarray:
+    """Counts n of total less the discount, 0 where the other class's rate (other of
+    other_total) explains them.  The deviation is that of two samples of one rate, so the
+    gate does not depend on the classes' shares; strict: times as much evidence, asked of
+    bigrams; least: a smallest expectation."""
+    ratio = total / np.maximum(other_total, 1)
+    expected = np.maximum(other * ratio, least)
+    deviation = np.sqrt(np.maximum((n + other) * ratio, expected))
+    return np.where(n > strict * (GATE * expected + SIGMA * deviation) + discount, n - discount, 0.0)
 
 
 class KneserNey:
@@ -84,20 +90,20 @@ class KneserNey:
         both = (toxic, plain)
         total = [max(1.0, float(c.words.sum())) for c in both]
         pool = toxic.words + plain.words
-        over = [kept(c.words, pool * n / sum(total), DISCOUNT) for c, n in zip(both, total)]
+        over = [kept(c.words, total[i], both[1 - i].words, total[1 - i], DISCOUNT) for i, c in enumerate(both)]
         shared = np.where((over[0] > 0) | (over[1] > 0), np.minimum(toxic.words / total[0], plain.words / total[1]), pool / sum(total)) + 0.5 / sum(total)
         shared /= shared.sum()
         one = [o / n + (1 - o.sum() / n) * shared for o, n in zip(over, total)]
         self.step = np.log(one[0]) - np.log(one[1])
         pairs = toxic.plus(plain)
-        every = np.maximum(toxic.after + plain.after, 1)
         self.keys, sides = pairs.keys, []
         h, w = self.keys // WORDS, self.keys % WORDS
-        for c, p in zip(both, one):
-            n = np.zeros(len(self.keys))
-            n[np.searchsorted(self.keys, c.keys)] = c.n
-            expected = np.maximum(pairs.n * c.after[h] / every[h], c.after[h] * p[w])
-            share = kept(n, expected, PAIR_DISCOUNT, 3.0) / np.maximum(c.after[h], 1)
+        counts = np.zeros((2, len(self.keys)))
+        for i, c in enumerate(both):
+            counts[i, np.searchsorted(self.keys, c.keys)] = c.n
+        for i, (c, p) in enumerate(zip(both, one)):
+            over_h = kept(counts[i], c.after[h], counts[1 - i], both[1 - i].after[h], PAIR_DISCOUNT, 3.0, c.after[h] * p[w])
+            share = over_h / np.maximum(c.after[h], 1)
             sides.append((share, 1 - np.bincount(h, share, WORDS)))
         # Histories with a kept bigram in either class; all others score by words alone.
         self.open = (sides[0][1] < 1) | (sides[1][1] < 1)
@@ -170,9 +176,10 @@ def gather(sample: DataFrame) -> dict[tuple[int, int], Counts]:
                 doc = np.repeat(np.arange(b.num_rows), sizes)
                 once = np.unique(doc * WORDS + flat, return_index=True)[1]
                 yield rows(-1, *np.unique(cls[once] * WORDS + flat[once], return_counts=True))
-                h = histories(flat, sizes)
-                yield rows(-2, *np.unique(cls * WORDS + h, return_counts=True))
-                key, n = np.unique(cls * span + h * WORDS + flat, return_counts=True)
+                pair = histories(flat, sizes) * WORDS + flat
+                once = np.unique(doc * span + pair, return_index=True)[1]
+                yield rows(-2, *np.unique(cls[once] * WORDS + pair[once] // WORDS, return_counts=True))
+                key, n = np.unique(cls[once] * span + pair[once], return_counts=True)
                 s = key % span % 1_000_003 % SLICES
                 for j in np.unique(s).tolist():
                     yield rows(j, key[s == j], n[s == j])
@@ -183,9 +190,10 @@ def gather(sample: DataFrame) -> dict[tuple[int, int], Counts]:
         n = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in t.column("n").to_pylist()])
         key, at = np.unique(key, return_inverse=True)
         n = np.bincount(at, n, len(key)).astype(np.int64)
-        if s >= 0:  # a bigram whose class has it no oftener than the discount is never kept
+        if s >= 0:  # a bigram that neither class has oftener than the discount is never kept
             y, at = np.unique(key // (2 * span) * span + key % span, return_inverse=True)
-            may = np.bincount(at, n, len(y))[at] > PAIR_DISCOUNT
+            may = np.bincount(at, n, len(y)) > PAIR_DISCOUNT
+            may = np.isin(key % span, y[may] % span)  # where one class may keep it, both counts are compared
             key, n = key[may], n[may]
         return pa.Table.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(key.tobytes(), 1)]), pa.array([zlib.compress(n.tobytes(), 1)])], ["s", "k", "n"])
 

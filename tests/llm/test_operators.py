@@ -205,6 +205,32 @@ def test_toxicity(spark):
     assert len(toxicity.fit(df, lab.limit(0)).score(["x"])) == 1
 
 
+def test_toxicity_with_equal_classes(spark):
+    r = random.Random(8)
+    plain = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(r.choice(plain) if i % 2 == 0 or r.random() < 0.7 else r.choice(["nasty", "vile"]) for _ in range(30))) for i in range(800)]
+    df = docs(spark, rows)
+    lab = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], LABELS)
+    m = toxicity.fit(df, lab.where("doc_id < 600"))
+    got = m.score([t for _, t in rows[600:]]) >= 0.5
+    assert (got == np.arange(600, 800) % 2).mean() > 0.95
+
+
+def test_toxicity_gate_does_not_depend_on_shares():
+    zero, key = np.zeros(toxicity.WORDS), np.array([7 * toxicity.WORDS + 9])
+    for toxic, plain in ((5000, 5000), (500, 9500), (9500, 5000)):
+        both = []
+        for n, often in ((toxic, 0.2), (plain, 0.002)):
+            words, after = zero.copy(), zero.copy()
+            words[:100] = n / 10
+            after[7] = n
+            both.append(toxicity.Counts(words, after, key, np.array([n * often])))
+        (share, _, _), (other, _, _) = toxicity.KneserNey(*both).sides
+        assert share[0] > 0 and other[0] == 0
+        (share, _, _), (other, _, _) = toxicity.KneserNey(*both[::-1]).sides
+        assert share[0] == 0 and other[0] > 0
+
+
 def test_quality_orders_grades(spark):
     rows, labels = labelled(6)
     df = docs(spark, rows + [(1000 + i, t) for i, t in enumerate(ODD)])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
-from .labelled import labelled_sample
+from .labelled import labelled, labelled_sample
 
 WORDS = 1 << 18
 PER_CLASS = 5_000
@@ -105,17 +105,17 @@ class CumulativeLink:
             return np.ones(len(tails))
         return tails[:, k - 1] if k <= tails.shape[1] else np.zeros(len(tails))
 
-    def fit(self, flat: np.ndarray, sizes: np.ndarray, signs: np.ndarray, y: np.ndarray) -> None:
-        """Full-batch Adam on the ordinal likelihood; y holds indexes of grades."""
+    def fit(self, flat: np.ndarray, sizes: np.ndarray, signs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Full-batch Adam on the weighted ordinal likelihood; y holds indexes of grades."""
         if len(self.grades) < 2 or not len(y):
             return
-        n, row = len(y), np.repeat(np.arange(len(y)), sizes)
+        weight, row = weight / weight.sum(), np.repeat(np.arange(len(y)), sizes)
         value = 1 / np.maximum(sizes, 1)[row]
         params = [self.words, self.signs, np.zeros(1), self.gaps]
         first = [np.zeros_like(p) for p in params]
         second = [np.zeros_like(p) for p in params]
         k = len(self.grades) - 1
-        share = np.clip([(y > i).mean() for i in range(k)], 1e-3, 1 - 1e-3)
+        share = np.clip([weight[y > i].sum() for i in range(k)], 1e-3, 1 - 1e-3)
         start = np.log((1 - share) / share)
         params[2][0] = start[0]
         self.gaps[:] = np.log(np.maximum(np.diff(start), 1e-2))
@@ -125,11 +125,11 @@ class CumulativeLink:
             z = self.latent(flat, sizes, signs)
             up, down = sigmoid(z - t[y]), sigmoid(z - t[y + 1])
             p = np.maximum(up - down, 1e-9)
-            gu, gd = up * (1 - up) / p, down * (1 - down) / p
-            dz = -(gu - gd) / n
+            gu, gd = weight * up * (1 - up) / p, weight * down * (1 - down) / p
+            dz = -(gu - gd)
             dt = np.zeros(k)
-            np.add.at(dt, y[y > 0] - 1, gu[y > 0] / n)
-            np.add.at(dt, y[y < k], -gd[y < k] / n)
+            np.add.at(dt, y[y > 0] - 1, gu[y > 0])
+            np.add.at(dt, y[y < k], -gd[y < k])
             grads = [
                 np.bincount(flat, dz[row] * value, WORDS) + RIDGE * self.words,
                 signs.T @ dz + RIDGE * self.signs,
@@ -145,7 +145,8 @@ class CumulativeLink:
 
 def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", per_class: int = PER_CLASS, max_grades: int = 32) -> CumulativeLink:
     """Fit on at most per_class documents of each grade (of the smallest id hash); the
-    likelihood then sees each grade as often as the sample holds it.  ratings:
+    likelihood weighs them by the inverse of their grade's sampled share, so each grade
+    counts as often as the labels hold it, at every size.  ratings:
     doc_id and an integer rating; rows with a null are left out."""
     grades = [r[0] for r in ratings.where(F.col(rating).isNotNull()).select(F.col(rating).cast("int")).distinct().limit(max_grades + 1).collect()]
     if len(grades) > max_grades:
@@ -162,6 +163,7 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", per_class:
                 parts = np.split(flat.astype(np.uint32), np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in signs], pa.binary())], ["y", "w", "s"])
 
+    share = {r[0]: max(1.0, r[1] / per_class) for r in labelled(ratings, rating).groupBy("y").count().collect()}
     sample = labelled_sample(docs, ratings, rating, per_class, sorted(grades)).select("text", F.col("y").cast("long"))
     ys, words, signs = [], [], []
     for r in sample.mapInArrow(C.frugal(run), "y long, w binary, s binary").toLocalIterator():
@@ -170,7 +172,8 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", per_class:
         signs.append(np.frombuffer(r[2], np.float32))
     if ys:
         sizes = np.array([len(w) for w in words])
-        model.fit(np.concatenate(words).astype(np.int32), sizes, np.stack(signs), np.searchsorted(model.grades, np.array(ys, float)))
+        weight = np.array([share[y] for y in ys])
+        model.fit(np.concatenate(words).astype(np.int32), sizes, np.stack(signs), np.searchsorted(model.grades, np.array(ys, float)), weight)
     return model
 
 

@@ -247,6 +247,16 @@ def test_quality_orders_grades(spark):
     assert quality.with_quality(df, quality.fit(df, lab.limit(0)), 1).count() == len(by)
 
 
+def test_quality_prior_does_not_depend_on_the_cap(spark):
+    # A text that says nothing of its grade must get the labels' share whatever per_class.
+    rows = [(i, f"same words {i // 6 % 3}") for i in range(1200)]
+    lab = spark.createDataFrame([(i, int(i % 6 > 0), 0) for i, _ in rows], LABELS)
+    df = docs(spark, rows)
+    for cap in (5000, 100):
+        tails = [r.tail for r in quality.with_quality(df.limit(9), quality.fit(df, lab, per_class=cap), 1).collect()]
+        assert tails == pytest.approx([5 / 6] * 9, abs=0.08)
+
+
 # --- 5
 
 

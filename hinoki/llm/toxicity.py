@@ -2,20 +2,27 @@
 
 One interpolated bigram model for toxic and one for ordinary labelled documents:
 
-    P_c(w | h) = kept_c(h w) / n_c(h) + rest_c(h) * P_c(w)
-    P_c(w)     = kept_c(w) / N_c + rest_c * P_shared(w)
-
-Words and bigrams count once a document, as continuation counts do.  A count is kept, less an
-absolute discount, only where it is clearly more than the other class's rate explains
-(GATE times the expectation and SIGMA of its deviations, whatever the classes' sizes);
-all other counts go to the shared backoff.  So a rare expression, a copied document or a
-class's mix of languages is no evidence.  Where a word's count is kept, its shared
-probability is what both classes have of it.
-
-A document's score is a logistic function of the length-normalised difference of its
-two log-likelihoods, fitted by two-fold cross-scoring (each half is scored by the
-other half's counts).  Counts come from at most PER_CLASS documents of each class and
-live in tables of fixed size, so the broadcast is bounded.
+    P_c(w | h) = (n_c(h w) - D(n)) / n_c(h) + rest_c(h) * P_c(w)
+    P_c(w)     = (N1+_c(. w) - D(N1+)) / N1+_c(. .) + rest_c * P(w)
+    P(w)       = (N1+(. w) + 1/2) / sum over all words
+
+N1+(. w) is the number of distinct words that w follows: a copied document or a repeated
+phrase adds nothing to it.  P(w) pools the continuation counts of both classes, so what
+is rare in a class is smoothed by shared backoff counts.  Discounts are the modified ones
+(of 1, 2, and 3 or more), estimated from each class's own counts of counts; bigrams seen
+once give their whole mass to the backoff.  Nothing depends on how large the classes are
+beside each other: each is normalised by itself.
+
+A document is scored by the length-normalised difference of its two log-likelihoods, by
+words and by bigrams.  The classes' mix of languages and topics moves all words of a text
+alike; the median difference of a text's words measures that, and the mean differences
+over the median, in all and beyond EXCESS, are given to a logistic function beside the plain
+mean.  It is fitted by two-fold cross-scoring: each half is scored by the other half's
+counts.  Counts come from at most PER_CLASS documents of each class and live in tables of
+fixed size, so the broadcast is bounded.
+
+Null and empty texts have no words: all their differences are 0.  Very long texts are
+scored whole; repeated rows each get their score.
 """
 
 from __future__ import annotations
@@ -34,9 +41,9 @@ from pyspark.sql import types as T
 from . import common as C
 from .labelled import labelled_sample
 
-WORDS, SLICES = 1 << 19, 16
-GATE, SIGMA = 2.0, 3.0
-DISCOUNT, PAIR_DISCOUNT = 1.0, 20.0
+WORDS, SLICES = 1 << 19, 32
+SPAN = WORDS * WORDS
+EXCESS = (1.0, 2.0, 3.0)
 PER_CLASS = 10_000
 CHUNK = 512  # texts in one array pass
 #: ASCII signs that part words; letters beyond ASCII stay.
@@ -61,73 +68,73 @@ def histories(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """One class: documents with each word, the sum of each history's bigram counts, and
-    the bigrams (h * WORDS + w) that may outdo their discount in either class, with the
-    number of documents."""
+    """One class: each word's distinct predecessors, each history's occurrences, the bigrams
+    (h * WORDS + w) seen twice or more with their counts, and how many bigrams were
+    seen once, twice, three and four times."""
 
-    def __init__(self, words: np.ndarray, after: np.ndarray, keys: np.ndarray, n: np.ndarray):
-        self.words, self.after, self.keys, self.n = words, after, keys, n
+    def __init__(self, words: np.ndarray, after: np.ndarray, keys: np.ndarray, n: np.ndarray, often: np.ndarray):
+        self.words, self.after, self.keys, self.n, self.often = words, after, keys, n, often
 
-    def plus(self, other: Counts) -> Counts:
-        keys, at = np.unique(np.concatenate([self.keys, other.keys]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([self.n, other.n]), len(keys))
-        return Counts(self.words + other.words, self.after + other.after, keys, n)
 
+def counts_of_counts(n: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].astype(float)
 
-def kept(n: np.ndarray, total, other: np.ndarray, other_total, discount: float, strict: float = 1.0, least=0.0) -> np.ndarray:
-    """Counts n of total less the discount, 0 where the other class's rate (other of
-    other_total) explains them.  The deviation is that of two samples of one rate, so the
-    gate does not depend on the classes' shares; strict: times as much evidence, asked of
-    bigrams; least: a smallest expectation."""
-    ratio = total / np.maximum(other_total, 1)
-    expected = np.maximum(other * ratio, least)
-    deviation = np.sqrt(np.maximum((n + other) * ratio, expected))
-    return np.where(n > strict * (GATE * expected + SIGMA * deviation) + discount, n - discount, 0.0)
+
+def discounts(often: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2, and 3 or more (modified Kneser-Ney); at least
+    a tenth, so that the backoff has mass in the smallest corpus."""
+    n = np.maximum(often, 1)
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.array([0.0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), float(k)) for k in (1, 2, 3))])
 
 
 class KneserNey:
     def __init__(self, toxic: Counts, plain: Counts):
-        both = (toxic, plain)
-        total = [max(1.0, float(c.words.sum())) for c in both]
-        pool = toxic.words + plain.words
-        over = [kept(c.words, total[i], both[1 - i].words, total[1 - i], DISCOUNT) for i, c in enumerate(both)]
-        shared = np.where((over[0] > 0) | (over[1] > 0), np.minimum(toxic.words / total[0], plain.words / total[1]), pool / sum(total)) + 0.5 / sum(total)
-        shared /= shared.sum()
-        one = [o / n + (1 - o.sum() / n) * shared for o, n in zip(over, total)]
-        self.step = np.log(one[0]) - np.log(one[1])
-        pairs = toxic.plus(plain)
-        self.keys, sides = pairs.keys, []
-        h, w = self.keys // WORDS, self.keys % WORDS
-        counts = np.zeros((2, len(self.keys)))
-        for i, c in enumerate(both):
-            counts[i, np.searchsorted(self.keys, c.keys)] = c.n
-        for i, (c, p) in enumerate(zip(both, one)):
-            over_h = kept(counts[i], c.after[h], counts[1 - i], both[1 - i].after[h], PAIR_DISCOUNT, 3.0, c.after[h] * p[w])
-            share = over_h / np.maximum(c.after[h], 1)
-            sides.append((share, 1 - np.bincount(h, share, WORDS)))
-        # Histories with a kept bigram in either class; all others score by words alone.
-        self.open = (sides[0][1] < 1) | (sides[1][1] < 1)
-        self.sides = [(share, rest.astype(np.float32), p.astype(np.float32)) for (share, rest), p in zip(sides, one)]
-
-    def difference(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log P(text | toxic) - log P(text | ordinary) of each text; 0 without words."""
-        step, h = self.step[flat], histories(flat, sizes)
-        at = np.flatnonzero(self.open[h])
+        pool = toxic.words + plain.words + 0.5
+        shared = pool / pool.sum()
+        self.keys = np.unique(np.concatenate([toxic.keys, plain.keys]))
+        self.sides = []
+        for c in (toxic, plain):
+            less = discounts(counts_of_counts(c.words))[np.minimum(c.words, 3).astype(np.int64)]
+            total = max(1.0, c.words.sum())
+            one = (c.words - less) / total + (1 - (c.words - less).sum() / total) * shared
+            less = discounts(c.often)
+            part = (c.n - less[np.minimum(c.n, 3)]) / np.maximum(c.after[c.keys // WORDS], 1)
+            rest = 1 - np.bincount(c.keys // WORDS, part, WORDS)
+            share = np.zeros(len(self.keys), np.float32)
+            share[np.searchsorted(self.keys, c.keys)] = part
+            self.sides.append((share, rest.astype(np.float32), one.astype(np.float32)))
+        self.step = np.log(self.sides[0][2]) - np.log(self.sides[1][2])
+        # Histories with a kept bigram in either class; after all others words decide alone.
+        self.open = (self.sides[0][1] < 1) | (self.sides[1][1] < 1)
+
+    def differences(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(w | toxic) - log P(w | ordinary) of each word, by words and by bigrams."""
+        by_word, h = self.step[flat], histories(flat, sizes)
+        by_pair, at = by_word.copy(), np.flatnonzero(self.open[h])
         if len(at):
             key, logs = h[at] * WORDS + flat[at], []
             i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[i] == key
+            hit = self.keys[i] == key if len(self.keys) else np.zeros(len(at), bool)
             for share, rest, one in self.sides:
-                logs.append(np.log(hit * share[i] + rest[h[at]].astype(float) * one[flat[at]]))
-            step[at] = logs[0] - logs[1]
-        sums, ends = np.concatenate(([0.0], np.cumsum(step))), np.cumsum(sizes)
-        return sums[ends] - sums[ends - sizes]
-
-
-def inputs(diff: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What the logistic function sees: the difference by words and by their root."""
-    n = np.maximum(sizes, 1).astype(float)
-    return np.stack([np.ones(len(n)), 10 * diff / n, diff / np.sqrt(n), np.sqrt(n) / 10], 1)
+                p = np.where(hit, share[i], 0.0) if len(share) else 0.0
+                logs.append(np.log(p + rest[h[at]] * one[flat[at]]))
+            by_pair[at] = logs[0] - logs[1]
+        return by_word, by_pair
+
+    def inputs(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What the logistic function sees of each text; a 1 and zeros without words."""
+        n, ends = np.maximum(sizes, 1), np.cumsum(sizes)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        cols = [np.ones(len(sizes))]
+        for d in self.differences(flat, sizes):
+            d = d.astype(float)
+            ordered = np.append(d[np.lexsort((d, text))], 0.0)
+            middle = np.where(sizes > 0, ordered[ends - sizes + (sizes - 1) // 2 * (sizes > 0)], 0.0)
+            over = d - middle[text]
+            for x in (d, over, *(np.maximum(over - t, 0.0) for t in EXCESS)):
+                cols.append(10 * np.bincount(text, x, len(sizes)) / n)
+        return np.stack(cols, 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -151,8 +158,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = []
         for i in range(0, len(texts), CHUNK):
-            flat, sizes = tokens(texts[i : i + CHUNK])
-            out.append(1 / (1 + np.exp(-np.clip(inputs(self.lm.difference(flat, sizes), sizes) @ self.weights, -30, 30))))
+            out.append(1 / (1 + np.exp(-np.clip(self.lm.inputs(*tokens(texts[i : i + CHUNK])) @ self.weights, -30, 30))))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -160,12 +166,19 @@ def half() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("long")
 
 
+def squeezed(a: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(a, np.int64).tobytes(), 1)
+
+
+def opened(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), np.int64)
+
+
 def gather(sample: DataFrame) -> dict[tuple[int, int], Counts]:
-    """Counts by (label, half) of the sample (text, y, half)."""
-    span = WORDS * WORDS
+    """Counts by (label, half) of the sample (text, y, half); half 2 stands for both."""
 
     def rows(s, keys, n):
-        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(keys.tobytes(), 1)]), pa.array([zlib.compress(n.astype(np.int64).tobytes(), 1)])], ["s", "k", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([squeezed(keys)]), pa.array([squeezed(n)])], ["s", "k", "n"])
 
     def run(batches):
         for whole in batches:
@@ -173,46 +186,48 @@ def gather(sample: DataFrame) -> dict[tuple[int, int], Counts]:
                 b = whole.slice(i, CHUNK)
                 flat, sizes = tokens(b.column(0).to_pylist())
                 cls = np.repeat(np.array(b.column(1)) * 2 + np.array(b.column(2)), sizes)
-                doc = np.repeat(np.arange(b.num_rows), sizes)
-                once = np.unique(doc * WORDS + flat, return_index=True)[1]
-                yield rows(-1, *np.unique(cls[once] * WORDS + flat[once], return_counts=True))
-                pair = histories(flat, sizes) * WORDS + flat
-                once = np.unique(doc * span + pair, return_index=True)[1]
-                yield rows(-2, *np.unique(cls[once] * WORDS + pair[once] // WORDS, return_counts=True))
-                key, n = np.unique(cls[once] * span + pair[once], return_counts=True)
-                s = key % span % 1_000_003 % SLICES
+                h = histories(flat, sizes)
+                yield rows(-1, *np.unique(cls * WORDS + h, return_counts=True))
+                key, n = np.unique(cls * SPAN + h * WORDS + flat, return_counts=True)
+                s = key % SLICES  # all predecessors of a word meet in one slice
                 for j in np.unique(s).tolist():
                     yield rows(j, key[s == j], n[s == j])
 
     def add(t):
         s = t.column("s")[0].as_py()
-        key = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in t.column("k").to_pylist()])
-        n = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in t.column("n").to_pylist()])
-        key, at = np.unique(key, return_inverse=True)
-        n = np.bincount(at, n, len(key)).astype(np.int64)
-        if s >= 0:  # a bigram that neither class has oftener than the discount is never kept
-            y, at = np.unique(key // (2 * span) * span + key % span, return_inverse=True)
-            may = np.bincount(at, n, len(y)) > PAIR_DISCOUNT
-            may = np.isin(key % span, y[may] % span)  # where one class may keep it, both counts are compared
-            key, n = key[may], n[may]
-        return pa.Table.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(key.tobytes(), 1)]), pa.array([zlib.compress(n.tobytes(), 1)])], ["s", "k", "n"])
-
-    sums = sample.mapInArrow(C.frugal(run), "s int, k binary, n binary").groupBy("s").applyInArrow(C.frugal_group(add), "s int, k binary, n binary")
-    words, after, keys, ns = np.zeros(4 * WORDS), np.zeros(4 * WORDS), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        key, at = np.unique(np.concatenate([opened(x) for x in t.column("k").to_pylist()]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([opened(x) for x in t.column("n").to_pylist()]), len(key)).astype(np.int64)
+        out = []
+        if s < 0:
+            out.append((-1, 0, key, n, key[:0], n[:0], n[:0]))
+        else:
+            for y in (0, 1):
+                mine = [(key[m] % SPAN, n[m]) for m in (key // SPAN == 2 * y, key // SPAN == 2 * y + 1)]
+                pair, at = np.unique(np.concatenate([k for k, _ in mine]), return_inverse=True)
+                mine.append((pair, np.bincount(at, np.concatenate([m for _, m in mine]), len(pair)).astype(np.int64)))
+                for part, (k, m) in enumerate(mine):
+                    words, before = np.unique(k % WORDS, return_counts=True)
+                    out.append((y, part, words, before, k[m > 1], m[m > 1], counts_of_counts(m)))
+        y, part, *cols = zip(*out)
+        return pa.Table.from_arrays([pa.array(y, pa.int32()), pa.array(part, pa.int32()), *(pa.array(list(map(squeezed, c)), pa.binary()) for c in cols)], ["y", "half", "w", "wn", "k", "n", "often"])
+
+    sums = sample.mapInArrow(C.frugal(run), "s int, k binary, n binary").groupBy("s").applyInArrow(C.frugal_group(add), "y int, half int, w binary, wn binary, k binary, n binary, often binary")
+    ids = [(y, part) for y in (0, 1) for part in (0, 1, 2)]
+    words, pairs, often, after = {i: np.zeros(WORDS) for i in ids}, {i: [] for i in ids}, {i: np.zeros(4) for i in ids}, np.zeros(4 * WORDS)
     for r in sums.toLocalIterator():
-        key, n = (np.frombuffer(zlib.decompress(x), np.int64) for x in (r[1], r[2]))
+        w, wn, k, n, o = map(opened, r[2:])
         if r[0] < 0:
-            (words if r[0] == -1 else after)[key] += n
+            after[w] += wn
         else:
-            keys.append(key)
-            ns.append(n)
-    key, n = np.concatenate(keys), np.concatenate(ns)
-    order = np.argsort(key)
-    key, n = key[order], n[order]
+            words[r[0], r[1]][w] += wn
+            pairs[r[0], r[1]].append((k, n))
+            often[r[0], r[1]] += o
     out = {}
-    for c in range(4):
-        a, b = np.searchsorted(key, [c * span, (c + 1) * span])
-        out[divmod(c, 2)] = Counts(words[c * WORDS : (c + 1) * WORDS], after[c * WORDS : (c + 1) * WORDS], key[a:b] - c * span, n[a:b])
+    for y, part in ids:
+        k, n = (np.concatenate([x[j] for x in pairs[y, part]] or [np.zeros(0, np.int64)]) for j in (0, 1))
+        order = np.argsort(k)
+        seen = sum(after[(2 * y + f) * WORDS : (2 * y + f + 1) * WORDS] for f in ((0, 1) if part == 2 else (part,)))
+        out[y, part] = Counts(words[y, part], seen, k[order], n[order], often[y, part])
     return out
 
 
@@ -232,19 +247,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             for i in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(i, CHUNK)
                 flat, sizes = tokens(b.column(0).to_pylist())
-                d = np.where(np.array(b.column(2)) == 0, halves.value[0].difference(flat, sizes), halves.value[1].difference(flat, sizes))
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(d), pa.array(sizes)], ["y", "d", "n"])
+                x, y = (m.inputs(flat, sizes) for m in halves.value)
+                x = np.where(np.array(b.column(2))[:, None] == 0, x, y)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    seen = sample.mapInArrow(C.frugal(cross), "y long, d double, n long").toPandas()
+    seen = sample.mapInArrow(C.frugal(cross), "y long, x array<double>").toPandas()
     y = seen["y"].to_numpy(float)
     if len(set(y)) == 2:
         n = [(y == 0).sum(), (y == 1).sum()]
         weight = np.where(y == 1, share[1] / n[1], share[0] / n[0])
-        weights = logistic(inputs(seen["d"].to_numpy(), seen["n"].to_numpy()), y, weight * len(y) / weight.sum())
+        weights = logistic(np.stack(seen["x"].to_numpy()), y, weight * len(y) / weight.sum())
     else:
         p = min(max(share.get(1, 0) / max(1, sum(share.values())), 1e-3), 1 - 1e-3) if share else 0.5
-        weights = np.array([math.log(p / (1 - p)), 0.0, 0.0, 0.0])
-    return Model(KneserNey(held[1, 0].plus(held[1, 1]), held[0, 0].plus(held[0, 1])), weights)
+        weights = np.array([math.log(p / (1 - p)), *[0.0] * (2 * (2 + len(EXCESS)))])
+    return Model(KneserNey(held[1, 2], held[0, 2]), weights)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

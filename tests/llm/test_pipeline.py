@@ -43,5 +43,5 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert ids["repeated_strings"] - ids["benchmark"] == {1004} and {1005, 1006, None} <= ids["benchmark"]
     codec = bpe.Codec(bpe.tokenizer_json())
     last = {x.doc_id: x for x in out["tokens"].collect()}
-    assert bytes(last[1].ids) == codec.encode(dict(rows)[1])[0] and last[1005].n_tokens == 0
+    assert bytes(last[1].ids) == codec.encode([dict(rows)[1]])[0] and last[1005].n_tokens == 0
     assert corpus_pipeline.run(spark, d).count() == out["tokens"].count()

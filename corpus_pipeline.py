@@ -42,9 +42,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit) and the decoded text's SHA-256."""
-    out = bpe.encode(docs, bpe.tokenizer_json())
-    return out.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids (little-endian 32-bit) and the SHA-256 of the text decoded
+    from them; null texts are empty, every row stays."""
+    return bpe.round_trip(docs, bpe.tokenizer_json(), with_ids=True)
 
 
 STAGES = [

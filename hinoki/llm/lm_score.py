@@ -1,45 +1,48 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Unigram counts are exact.  Bigram counts are gathered over the whole training
-part, quantised to 1 + floor(log2 count) levels, and every level up to an entry's
-own is inserted in a Bloom filter of fixed size; a probe climbs the levels until
-the first miss.  The smoothed probability is an absolute-discount interpolation
-
-    p(w | h) = [found] (2^(level-1) - D) / c(h) + (1 - S(h) / c(h)) * p1(w)
-    p1(w)    = (c(w) + 1) / (N + V + 1)
-
-where S(h) sums the first numerators over what the filter holds for h, so the
-distribution is normalised but for false positives.
-
-Bounds: the dictionary of frequent words (DICT_WORDS) and the filter (BITS) are
-fixed, so the broadcast never grows.  Words outside the dictionary get their exact
-counts by a shuffle join and p1 as their probability.  Where a slice of the filter
-can't hold all its bigrams at 8 bits for each insertion, its rarest counts stay out
-and their mass goes to p1, the same rule at every size.
+Counts of words are exact.  Counts of bigrams are gathered over the whole training part,
+quantised to 1 + floor(log2 count) levels, and every level up to an entry's own is
+inserted in a Bloom filter; a probe climbs the levels until the first miss.  With the
+quantised count q (never more than either word's own count),
+
+    p(w | h) = (q(h w) + WEIGHT * p1(w)) / (c(h) + WEIGHT),    p1(w) = (c(w) + 1) / (N + V + 1)
+
+and p1(w) after a word that is not known.  Levels round counts down, so a history's
+probabilities sum to at most 1 (but for false positives).  The end token stands before
+each text's first word.
+
+Nothing that is gathered is cut: every word and every bigram of the training part is in,
+and the filter has BITS_EACH bits or more for each insertion at every size.  Such a filter
+grows with the corpus, so it isn't broadcast whole: it is kept in slices, as many as the
+corpus needs, and each slice goes to the task that gets its probes.  A block of texts asks
+each of its different words and bigrams once, the slices answer, and the block is scored
+where its answers meet it.  No group grows with the corpus: a slice holds SLICE tokens'
+share of keys, a frequent word is asked for once a block, and a block is a few MB of texts
+or one longer text.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 END = b"\n"  # the end token; no word holds white space
-DICT_WORDS = 300_000
-BITS = 1 << 28
-HASHES = 4
-DISCOUNT = 0.75
-LEVELS = 40
-CHUNK = 256  # texts scored in one array pass
+HASHES, BITS_EACH = 4, 8
+LEVELS = 48
+WEIGHT = 4.0
+SLICE = 2_000_000  # training tokens for each slice
 FLUSH = 2_000_000  # tokens counted before a worker hands on its sums
+BLOCK = 500_000  # tokens of a block of texts that asks together
+WORD = np.dtype([("a", "<u8"), ("b", "<u8")])  # the 128-bit name of a word
+U = np.uint64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,47 +52,41 @@ def words_of(text: str | None) -> list[bytes]:
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit finalizer."""
-    x = x ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ U(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
 def probes(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
-    """Bit positions (HASHES x keys) of (key, level) in a slice of that many bits, a
+    """Bit positions (HASHES x keys) of (key, level) in a filter of that many bits, a
     power of two."""
     a = mix(keys, level)
-    b = (a >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(HASHES)])
+    b = (a >> U(32)) | U(1)
+    return np.stack([(a + U(i) * b) & U(bits - 1) for i in range(HASHES)]).astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(counts)).astype(np.int64) + 1
+    return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
-def fill(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A slice of the filter as bytes, and which keys went in: all, or those above
-    the smallest level that leaves 8 bits for each insertion."""
+def fill(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A filter of all keys with their levels, as bytes."""
     q = levels(counts)
-    keep = np.ones(len(q), bool)
-    low = 0
-    while keep.any() and int(q[keep].sum()) * 8 > bits:
-        low += 1
-        keep = q > low
+    bits = 1 << max(6, math.ceil(math.log2(max(1, int(q.sum()) * BITS_EACH))))
     out = np.zeros(bits, bool)
-    k, q = keys[keep], q[keep]
     for j in range(1, int(q.max(initial=0)) + 1):
-        out[probes(k[q >= j], j, bits).ravel().astype(np.int64)] = True
-    return np.packbits(out, bitorder="little"), keep
+        out[probes(keys[q >= j], j, bits).ravel()] = True
+    return np.packbits(out, bitorder="little")
 
 
-def levels_held(filter_: np.ndarray, slices: int, keys: np.ndarray) -> np.ndarray:
+def levels_held(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The level of each key by repeated membership probes, 0 if it isn't held."""
-    bits = len(filter_) * 8 // slices
-    base = slice_of(keys, slices).astype(np.int64) * bits
-    got, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    got, live = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+    if not len(filter_):
+        return got
     for j in range(1, LEVELS):
-        at = probes(keys[live], j, bits).astype(np.int64) + base[live]
+        at = probes(keys[live], j, len(filter_) * 8)
         live = live[((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)]
         if not len(live):
             break
@@ -98,192 +95,195 @@ def levels_held(filter_: np.ndarray, slices: int, keys: np.ndarray) -> np.ndarra
 
 
 def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
-    return mix(keys, 99) >> np.uint64(64 - slices.bit_length() + 1)
+    """slices: a power of two."""
+    return (mix(keys, 99) % U(slices)).astype(np.int64)
 
 
-def log_uniform(c, total: int, kinds: int):
-    return np.log10((np.asarray(c, float) + 1) / (total + kinds + 1))
+class Bundle:
+    """The tokens of some texts: their different words and bigrams, in a fixed order."""
 
+    def __init__(self, texts: list[str | None]):
+        split = [words_of(t) for t in texts]
+        for w in split:
+            w.append(END)
+        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
+        flat = list(chain.from_iterable(split))
+        index = {w: i for i, w in enumerate(dict.fromkeys(flat, 0))}
+        self.ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        self.words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, index)), WORD)
+        h = np.empty_like(self.ids)
+        h[1:] = self.ids[:-1]
+        h[np.cumsum(self.sizes) - self.sizes] = index.get(END, 0)
+        self.first = h * len(index) + self.ids
+
+    def pairs(self, **more) -> tuple:
+        """Keys of the different bigrams, their two words, and what np.unique is asked for more."""
+        pair, *rest = np.unique(self.first, **more) if more else (np.unique(self.first),)
+        h, w = np.divmod(pair, max(1, len(self.words)))
+        return mix(self.words["a"][h] * U(0x9E3779B97F4A7C15) + self.words["a"][w], 7), h, w, *rest
+
+
+def planes(a: np.ndarray) -> bytes:
+    """Bytes of numbers, the first bytes first: numbers of one size compress better so."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""
+
+
+def unplanes(x: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1).T.tobytes(), kind)
+
+
+def small(counts: np.ndarray) -> np.ndarray:
+    """Counts as unsigned integers as small as they allow."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
-class Model:
-    """What scoring needs; the tables are Spark tables, the broadcast parts arrays."""
 
-    def __init__(self, counts: DataFrame, total: int, kinds: int, vocab: tuple, filter_: bytes, slices: int, held: np.ndarray):
-        self.counts, self.total, self.kinds, self.vocab, self.filter, self.slices, self.held = counts, total, kinds, vocab, filter_, slices, held
+def sized(x: bytes, n: int) -> np.ndarray:
+    """n counts from what small() and planes() made of them."""
+    return unplanes(x, f"<u{len(x) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """Exact (word, c) over every whole text, the end token of each text included."""
+def dealt(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by slice, and where each slice begins in it."""
+    s = slice_of(keys, slices)
+    order = np.argsort(s, kind="stable")
+    return order, np.searchsorted(s[order], np.arange(slices + 1))
 
-    def run(batches):
-        sums: Counter = Counter()
-        n = 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                w = words_of(text)
-                sums.update(w)
-                sums[END] += 1
-                n += len(w) + 1
-                if n >= FLUSH:
-                    yield from pack(sums)
-                    sums, n = Counter(), 0
-        yield from pack(sums)
 
-    def pack(sums):
-        items = list(sums.items())
-        for i in range(0, len(items), 50_000):
-            part = items[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v for _, v in part], pa.int64())], ["word", "n"])
+class Model:
+    """table (s, words, counts, bits): the slices; total and kinds: N and V."""
+
+    def __init__(self, table: DataFrame, slices: int, total: int, kinds: int):
+        self.table, self.slices, self.total, self.kinds = table, slices, total, kinds
 
-    return train.select("text").mapInArrow(C.frugal(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
+def in_bundles(batches, text_at: int, tokens: int):
+    """(batches, texts) of about that many tokens; a token is a few bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(text_at).nbytes
+        if size >= tokens * 6:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-def fit(train: DataFrame, dict_words: int = DICT_WORDS, bits: int = BITS) -> Model:
+
+def fit(train: DataFrame, slice_tokens: int = SLICE) -> Model:
     """Learn from column text of every row of train."""
-    spark = train.sparkSession
-    counts = C.materialize(count_words(train), "lm-words")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # The dictionary: all words of the largest counts, by a histogram of at most 64 * 64 cells.
-    cell = F.floor(F.log2("c") * 64)
-    seen, low = 0, 1 << 20
-    for r in sorted(counts.groupBy(cell.alias("b")).count().collect(), reverse=True):
-        if seen + r[1] > dict_words:
-            break
-        seen, low = seen + r[1], r[0]
-    top = sorted((bytes(r[0]), r[1]) for r in counts.where(cell >= low).collect())
-    index = {w: i for i, (w, _) in enumerate(top)}
-    known = np.array([c for _, c in top], np.int64)
-    k = len(top) + 1
-    held = spark.sparkContext.broadcast(index)
-    # As many slices as keep a slice's keys in one worker's memory, whatever the input's size.
-    slices = 1 << max(4, math.ceil(math.log2(max(1, total) / 1_000_000)))
-    width = max(64, bits // slices)
-
-    def pairs(batches):
-        index, parts, n = held.value, [], 0
-        get = index.get
-        first = index.get(END, -1)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                w = words_of(text)
-                ids = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-                ids = np.concatenate(([first], ids, [first]))
-                a, z = ids[:-1], ids[1:]
-                ok = (a >= 0) & (z >= 0)
-                parts.append((a[ok] * k + z[ok]).astype(np.uint64))
-                n += len(ids)
-                if n >= FLUSH:
-                    yield cut(parts)
-                    parts, n = [], 0
-        if parts:
-            yield cut(parts)
-
-    def cut(parts):
-        keys, c = np.unique(np.concatenate(parts), return_counts=True)
-        s = slice_of(keys, slices)
-        order = np.argsort(s, kind="stable")
-        keys, c, s = keys[order], c[order], s[order]
-        at = np.searchsorted(s, np.arange(slices + 1))
-        full = [i for i in range(slices) if at[i] < at[i + 1]]
-        blobs = [zlib.compress(np.diff(keys[at[i] : at[i + 1]], prepend=np.uint64(0)).tobytes(), 1) for i in full]
-        sums = [zlib.compress(c[at[i] : at[i + 1]].astype(np.int64).tobytes(), 1) for i in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.array(sums, pa.binary())], ["s", "k", "c"])
+    chars = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = 1 << max(4, math.ceil(math.log2(max(1, chars / 6 / slice_tokens))))
+
+    def sums(batches):
+        for held in in_bundles(batches, 0, FLUSH):
+            x = Bundle([t for b in held for t in b.column(0).to_pylist()])
+            n = np.bincount(x.ids, minlength=len(x.words))
+            key, _, _, m = x.pairs(return_counts=True)
+            (i, a), (j, b) = dealt(x.words["a"], slices), dealt(key, slices)
+            rows = []
+            for s in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
+                u, v = i[a[s] : a[s + 1]], j[b[s] : b[s + 1]]
+                v = v[np.argsort(key[v])]
+                rows.append((s, x.words[u].tobytes(), planes(small(n[u])), planes(np.diff(key[v], prepend=U(0))), planes(small(m[v]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["s", "w", "wn", "k", "kn"])
 
     def build(t):
-        keys = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x), np.uint64), dtype=np.uint64) for x in t.column("k").to_pylist()])
-        c = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in t.column("c").to_pylist()])
-        keys, at = np.unique(keys, return_inverse=True)
-        c = np.bincount(at, c).astype(np.int64)
-        bits_, keep = fill(keys, c, width)
-        h = (keys[keep] // np.uint64(k)).astype(np.int64)
-        mass = np.bincount(h, 2.0 ** (levels(c[keep]) - 1) - DISCOUNT) if len(h) else np.zeros(0)
-        who = np.flatnonzero(mass)
-        return pa.Table.from_arrays([t.column("s").slice(0, 1), pa.array([bits_.tobytes()], pa.binary()), pa.array([who.tolist()], pa.list_(pa.int64())), pa.array([mass[who].tolist()], pa.list_(pa.float64()))], ["s", "bits", "h", "mass"])
-
-    gathered = train.select("text").mapInArrow(C.frugal(pairs), "s int, k binary, c binary").repartition(min(slices, 4096), "s")
-    built = C.materialize(gathered.groupBy("s").applyInArrow(C.frugal_group(build), "s int, bits binary, h array<long>, mass array<double>"), "lm-filter")
-    filter_ = np.zeros(slices * width // 8, np.uint8)
-    for r in built.select("s", "bits").toLocalIterator():
-        filter_[r[0] * width // 8 : (r[0] + 1) * width // 8] = np.frombuffer(r[1], np.uint8)
-    mass = np.zeros(k)
-    for r in built.select(F.explode(F.arrays_zip("h", "mass")).alias("x")).groupBy("x.h").agg(F.sum("x.mass")).collect():
-        mass[r[0]] = r[1]
-    return Model(counts, total, kinds, (index, known), filter_.tobytes(), slices, mass)
+        w, wn, k, kn = (t.column(c).to_pylist() for c in ("w", "wn", "k", "kn"))
+        words = np.frombuffer(b"".join(w), WORD)
+        n = np.concatenate([sized(x, len(y) // 16) for x, y in zip(wn, w)])
+        order = np.lexsort((words["b"], words["a"]))
+        words, n = words[order], n[order]
+        new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
+        words, n = words[new], np.add.reduceat(n, new) if len(new) else n
+        key, at = np.unique(np.concatenate([np.cumsum(unplanes(x, U), dtype=U) if x else np.zeros(0, U) for x in k]), return_inverse=True)
+        m = np.bincount(at, np.concatenate([sized(x, len(y) // 8) for x, y in zip(kn, k)]), len(key))
+        row = (t.column("s")[0].as_py(), words.tobytes(), n.astype(np.int64).tobytes(), fill(key, m).tobytes(), int(n.sum()), len(words))
+        return pa.Table.from_arrays([pa.array([x], y) for x, y in zip(row, (pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.int64()))], ["s", "words", "counts", "bits", "total", "kinds"])
+
+    gathered = train.select(F.col("text").cast("string")).mapInArrow(C.frugal(sums), "s int, w binary, wn binary, k binary, kn binary")
+    table = C.materialize(gathered.groupBy("s").applyInArrow(C.frugal_group(build), "s int, words binary, counts binary, bits binary, total long, kinds long"), "lm-slices")
+    total, kinds = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    return Model(table, slices, total, kinds)
+
+
+ASK = "block long, s int, words binary, pairs binary, texts binary"
 
 
 def score(docs: DataFrame, m: Model, id_col: str = "doc_id", fold: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
-    index, known = m.vocab
-    total, kinds, slices, k = m.total, m.kinds, m.slices, len(known) + 1
-    ship = spark.sparkContext.broadcast((index, known, np.frombuffer(m.filter, np.uint8), m.held))
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of
+    docs; null texts are empty, repeated rows and null ids are scored each on their own,
+    texts are scored whole however long."""
+    slices, total, kinds, log_all = m.slices, m.total, m.kinds, math.log10(m.total + m.kinds + 1)
 
-    def run(batches):
+    def ask(batches):
         from pyspark import TaskContext
 
-        index, known, filter_, mass = ship.value
-        get = index.get
-        # One more cell at the end, for the id -1.
-        uni = np.append(log_uniform(known, total, kinds), 0.0)
-        p1 = 10.0**uni
-        rest = np.append(np.maximum(1 - mass[: len(known)] / np.maximum(known, 1), 1e-9), 1.0)
-        log_rest = np.log10(rest)
-        row = TaskContext.get().partitionId() << 36
-        first = get(END, -1)
-        kinds_ = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64())
-        names = ["r", "word", "times", "doc_id", "held_out", "n_tokens", "base", "s"]
-        for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                b = whole.slice(at, CHUNK)
-                split = [words_of(t) for t in b.column(2).to_pylist()]
-                for w in split:
-                    w.append(END)
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                ends = np.cumsum(sizes)
-                flat = list(chain.from_iterable(split))
-                ids = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-                h = np.empty_like(ids)
-                h[1:] = ids[:-1]
-                h[ends - sizes] = first
-                is_known, has = ids >= 0, h >= 0
-                base = np.where(is_known, uni[ids], 0.0)
-                s = np.where(is_known, uni[ids], np.where(has, log_rest[h], 0.0))
-                both = np.flatnonzero(is_known & has)
-                i, j = h[both], ids[both]
-                # Equal bigrams of a chunk are probed once.
-                pair, back = np.unique(i * k + j, return_inverse=True)
-                level = levels_held(filter_, slices, pair.astype(np.uint64))[back]
-                found = np.where(level > 0, 2.0 ** (level - 1) - DISCOUNT, 0.0)
-                s[both] = np.log10(found / known[i] + rest[i] * p1[j])
-                sums = [np.add.reduceat(x, ends - sizes) for x in (is_known.astype(np.int64), base, s)]
-                r = np.arange(row, row + len(split))
-                row += len(split)
-                # A document's own row has a key that no word can be.
-                own = [b" %d" % x for x in r.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((r, own, sums[0], b.column(0), b.column(1), sizes, sums[1], sums[2]), kinds_)], names)
-                rare = np.flatnonzero(~is_known)
-                where = np.repeat(r, sizes)[rare].tolist()
-                times = Counter(zip(where, map(flat.__getitem__, rare.tolist())))
-                n = len(times)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in times], pa.int64()), pa.array([x for _, x in times], pa.binary()), pa.array(list(times.values()), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n)), pa.array(np.zeros(n))],
-                    names,
-                )
-
-    out = "r long, word binary, times long, doc_id long, held_out boolean, n_tokens long, base double, s double"
+        block = TaskContext.get().partitionId() << 32
+        for got in in_bundles(batches, 2, BLOCK):
+            t = pa.Table.from_batches(got)
+            x = Bundle(t.column(2).to_pylist())
+            key = x.pairs()[0]
+            (i, a), (j, b) = dealt(x.words["a"], slices), dealt(key, slices)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(t)
+            rows = [(block, -1, None, None, sink.getvalue().to_pybytes())]
+            for s in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
+                rows.append((block, s, x.words[i[a[s] : a[s + 1]]].tobytes(), key[j[b[s] : b[s + 1]]].tobytes(), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.binary()] * 3))], ["block", "s", "words", "pairs", "texts"])
+            block += 1
+
+    def answer(asked, table):
+        if table.num_rows:
+            words, counts, bits = (np.frombuffer(table.column(c)[0].as_buffer(), k) for c, k in (("words", WORD), ("counts", np.int64), ("bits", np.uint8)))
+        else:
+            words, counts, bits = np.zeros(0, WORD), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        w, p = asked.column("words").to_pylist(), asked.column("pairs").to_pylist()
+        ask_w, ask_p = np.frombuffer(b"".join(w), WORD), np.frombuffer(b"".join(p), U)
+        c = np.zeros(len(ask_w), np.int64)
+        if len(words):
+            # Names are in order; the second halves settle equal first halves.
+            at = np.searchsorted(words["a"], ask_w["a"])
+            for _ in range(len(words)):
+                inside = np.minimum(at, len(words) - 1)
+                wrong = (words["a"][inside] == ask_w["a"]) & (words["b"][inside] != ask_w["b"]) & (at < len(words))
+                if not wrong.any():
+                    break
+                at = at + wrong
+            inside = np.minimum(at, len(words) - 1)
+            c = np.where(words[inside] == ask_w, counts[inside], 0)
+        q = levels_held(bits, ask_p)
+        nw, np_ = np.cumsum([0, *(len(x) // 16 for x in w)]).tolist(), np.cumsum([0, *(len(x) // 8 for x in p)]).tolist()
+        cols = [asked.column("block"), asked.column("s"), pa.array([planes(small(c[a:z])) for a, z in zip(nw, nw[1:])], pa.binary()), pa.array([q[a:z].tobytes() for a, z in zip(np_, np_[1:])], pa.binary()), pa.nulls(len(w), pa.binary())]
+        return pa.Table.from_arrays(cols, ["block", "s", "words", "pairs", "texts"])
+
+    def finish(t):
+        s = np.array(t.column("s"))
+        own = int(np.flatnonzero(s < 0)[0])
+        rows = pa.ipc.open_stream(t.column("texts")[own].as_buffer()).read_all()
+        x = Bundle(rows.column(2).to_pylist())
+        key, h, w, back = x.pairs(return_inverse=True)
+        (i, a), (j, b) = dealt(x.words["a"], slices), dealt(key, slices)
+        c, q = np.zeros(len(x.words), np.int64), np.zeros(len(key), np.int64)
+        for k, got, level in zip(s.tolist(), t.column("words").to_pylist(), t.column("pairs").to_pylist()):
+            if k >= 0:
+                u, v = i[a[k] : a[k + 1]], j[b[k] : b[k + 1]]
+                c[u], q[v] = sized(got, len(u)), np.frombuffer(level, np.uint8)
+        base = np.log10(c + 1.0) - log_all
+        count = np.minimum(np.where(q > 0, 2.0 ** (q - 1.0), 0.0), np.minimum(c[h], c[w]))
+        step = np.where(c[h] > 0, np.log10((count + WEIGHT * 10.0 ** base[w]) / (c[h] + WEIGHT)), base[w])
+        first = np.cumsum(x.sizes) - x.sizes
+        sums = [np.add.reduceat(y, first) for y in ((c > 0).astype(np.int64)[x.ids], base[x.ids], step[back])]
+        n = len(x.sizes)
+        cols = [rows.column(0), rows.column(1), pa.array(x.sizes), pa.array(sums[0]), pa.array(np.full(n, total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.Table.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), (C.fold(F.col(id_col), fold) == held).alias("held_out"), F.col("text").cast("string"))
-    rows = src.mapInArrow(C.frugal(run), out)
-    own = F.col("n_tokens") > 0
-    times = F.when(own, 0).otherwise(F.col("times"))
-    c = F.coalesce("c", F.lit(0))
-    late = F.when(own, 0.0).otherwise(times * F.log10((c + 1) / F.lit(float(total + kinds + 1))))
-    return (
-        rows.join(m.counts, "word", "left")
-        .select("r", "doc_id", "held_out", "n_tokens", F.when(own, F.col("times")).when(c > 0, times).otherwise(0).alias("known"), (F.col("base") + late).alias("base"), (F.col("s") + late).alias("s"))
-        .groupBy("r")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("s").alias("score"))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    asked = C.materialize(src.mapInArrow(C.frugal(ask), ASK), "lm-asked")
+    answers = asked.where("s >= 0").select("block", "s", "words", "pairs").groupBy("s").cogroup(m.table.select("s", "words", "counts", "bits").groupBy("s")).applyInArrow(C.frugal_pair(answer), ASK)
+    every = asked.where("s < 0").unionByName(answers)
+    return every.groupBy("block").applyInArrow(C.frugal_group(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,18 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a
-    temporary one only where the session is local and names none."""
+    temporary one, made once, only where the session is local and names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the executors share")
-    made = tempfile.mkdtemp(prefix="hinoki-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="hinoki-"))
+        atexit.register(shutil.rmtree, _local[0], True)
+    return _local[0]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -44,6 +47,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as make it no column of df (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -3,7 +3,8 @@
 A 200-byte string holds 153 48-byte grams; the one of the smallest hash is its anchor
 (the leftmost of equal ones), wherever the string stands.  So it is enough to sort the
 suffixes that start at anchors, about one of 77 bytes, and of these the ones whose gram
-occurs more than once.
+occurs more than once.  Grams are counted from sums that each task has made of its own;
+their places are then looked up block by block, never gathered by gram.
 
 Every task sorts the suffixes it meets and front-codes them (length of the prefix
 shared with the one before, then the rest); the runs are exchanged by gram, so all
@@ -12,12 +13,19 @@ behind the prefix that both are known to share with the last one out, and yields
 shared prefix lengths of the whole order.  A string at offset -o of its anchor is
 repeated iff another suffix shares at least 200 - o bytes to the right and the text
 before both anchors at least o bytes; the latter comes from the same lengths of the
-reversed left texts.  All is decided on bytes; hashes only propose.
-
-Equal contexts of a task collapse into one before the exchange, and grams with more
-than HOT places (a passage in countless documents) are decided by digests of their
-single strings instead, which are counted in pre-aggregated slices: neither way gathers
-an unbounded group in one task.
+reversed left texts.
+
+Equal contexts of a task collapse into one before the exchange.  The suffixes of a gram
+with more than HOT places (a passage in countless documents) would not fit one task;
+its single strings are compared by 128-bit digests instead.  A task settles those it
+meets twice itself and hands on each digest once, so that a digest's group holds at most
+one entry of a task, however many documents share the string.  Both ways find the same
+strings; texts are named by their 128-bit digests as well.  Verdicts travel in blocks and
+become one row a text.
+
+Null texts are empty; empty texts and those shorter than the strings have nothing
+repeated; very long texts are searched whole; copies of a text are searched once and cut
+alike; an empty table gives an empty one.  Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -39,7 +47,11 @@ POSITION = 28  # bits of a place in one array pass
 CHUNK, FLUSH = 1 << 20, 1 << 24  # bytes of text in one array pass, and before a task hands on
 RUN = 60_000  # suffixes of one sorted run
 HOT = 20_000
+SALTS = 4  # parts of a slice's blocks
+STRINGS = 1_000_000  # single strings of hot grams that a task holds
 U = np.uint64
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])  # the name of a text
+COPIES = 10_000  # rows of one text that may meet in a task
 VALUES = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * U(2) + U(1)
 OTHER = np.random.default_rng(2).integers(0, 1 << 63, 256, np.uint64) * U(2) + U(1)
 
@@ -244,26 +256,42 @@ def unpack(block: bytes, *kinds) -> list:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with __key and __size: a text's hash and its length in bytes (null: empty)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("__key", F.xxhash64(text)).withColumn("__size", F.octet_length(text).cast("long"))
+def blocks_by(of: np.ndarray, n: int, cols: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """Columns dealt by the number of (0..n-1), as packed blocks."""
+    order = np.argsort(of, kind="stable")
+    at = np.searchsorted(of[order], np.arange(n + 1))
+    return [(i, pack(*(c[order[at[i] : at[i + 1]]] for c in cols))) for i in range(n) if at[i] < at[i + 1]]
+
+
+def block_rows(rows: list[tuple[int, bytes]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names)
+
+
+def first_of(seen: set, key: bytes) -> bool:
+    """Whether a task meets a text for the first time; a full memory forgets, and the text
+    is taken again, which changes no result."""
+    if key in seen:
+        return False
+    if len(seen) > 300_000:
+        seen.clear()
+    seen.add(key)
+    return True
+
+
+ANCHORS = (KEY, np.int32, np.uint64, np.uint8, np.uint8)
+PLACE = np.dtype([("place", "<i4"), ("h", "<u8"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")])
 
 
-def anchor_places(texts: DataFrame, slices: int, length: int, gram: int) -> DataFrame:
-    """(key, places): for each text hash, blocks of its anchors whose gram stands at
-    more than one place (place, hash, lo, hi, hot)."""
+def anchors(texts: DataFrame, slices: int, length: int) -> DataFrame:
+    """(s, block): the anchors of all texts (key, text), dealt by gram."""
 
     def run(batches):
-        find, rows, size, seen = Anchors(length, gram), [], 0, set()
+        find, rows, size, seen = Anchors(length, GRAM), [], 0, set()
         pend, raw, n = [], [], 0
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if key in seen:
+                if not first_of(seen, key):
                     continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(key)
                 pend.append(key)
                 raw.append(text.encode("utf-8"))
                 n += len(raw[-1])
@@ -281,51 +309,79 @@ def anchor_places(texts: DataFrame, slices: int, length: int, gram: int) -> Data
 
     def one(find, keys, raw):
         text, place, h, lo, hi = find.find(raw)
-        return np.array(keys, np.int64)[text], place.astype(np.int32), h, lo.astype(np.uint8), hi.astype(np.uint8)
+        return np.frombuffer(b"".join(keys), KEY)[text], place.astype(np.int32), h, lo.astype(np.uint8), hi.astype(np.uint8)
 
     def emit(rows):
-        key, place, h, lo, hi = (np.concatenate(c) for c in zip(*rows))
-        s = (h >> U(40)) % U(slices)
-        order = np.argsort(s, kind="stable")
-        at = np.searchsorted(s[order], np.arange(slices + 1, dtype=np.uint64))
-        full = [i for i in range(slices) if at[i] < at[i + 1]]
-        blocks = [pack(*(a[order[at[i] : at[i + 1]]] for a in (key, place, h, lo, hi))) for i in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary())], ["s", "block"])
-
-    def again(t):
-        cols = zip(*(unpack(x, np.int64, np.int32, np.uint64, np.uint8, np.uint8) for x in t.column("block").to_pylist()))
-        key, place, h, lo, hi = (np.concatenate(c) for c in cols)
-        order = np.lexsort((place, key, h))
-        key, place, h, lo, hi = (a[order] for a in (key, place, h, lo, hi))
-        own = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])))
-        key, place, h, lo, hi = (a[own] for a in (key, place, h, lo, hi))
+        cols = [np.concatenate(c) for c in zip(*rows)]
+        return block_rows(blocks_by(((cols[2] >> U(40)) % U(slices)).astype(np.int64), slices, cols), ["s", "block"])
+
+    return texts.mapInArrow(C.frugal(run), "s int, block binary")
+
+
+def repeated_grams(blocks: DataFrame) -> DataFrame:
+    """(s, grams): the grams of a slice that stand at more than one place, and which are hot."""
+
+    def sums(batches):
+        for b in batches:
+            out = []
+            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                key, place, h, _, _ = unpack(x, *ANCHORS)
+                # Two tasks may have read one text; its places are told apart by their names.
+                mark = mix(key["a"] + place.astype(np.uint64) * BASE)
+                h, first, n = np.unique(h, return_index=True, return_counts=True)
+                out.append((s, pack(h, n.astype(np.int64), mark[first])))
+            yield block_rows(out, ["s", "block"])
+
+    def add(t):
+        h, n, mark = (np.concatenate(c) for c in zip(*(unpack(x, np.uint64, np.int64, np.uint64) for x in t.column("block").to_pylist())))
+        order = np.lexsort((mark, h))
+        h, n, mark = h[order], n[order], mark[order]
         new = np.concatenate(([True], h[1:] != h[:-1]))
         group = np.cumsum(new) - 1
-        count = np.bincount(group)[group] if len(h) else np.zeros(0, np.int64)
-        many = count > 1
-        hot = (count > HOT)[many].astype(np.uint8)
-        key, place, h, lo, hi = (a[many] for a in (key, place, h, lo, hi))
-        order = np.argsort(key, kind="stable")
-        key, place, h, lo, hi, hot = (a[order] for a in (key, place, h, lo, hi, hot))
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        ends = np.concatenate((first[1:], [len(key)])).astype(np.int64)
-        kind = np.dtype([("place", "<i4"), ("h", "<u8"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")])
-        rec = np.zeros(len(key), kind)
-        for name, a in zip(kind.names, (place, h, lo, hi, hot)):
-            rec[name] = a
-        return pa.Table.from_arrays([pa.array(key[first], pa.int64()), pa.array([rec[a:z].tobytes() for a, z in zip(first, ends)], pa.binary())], ["key", "places"])
+        total = np.bincount(group, n).astype(np.int64)
+        # One place that was read by several tasks is no repeat.
+        unlike = np.bincount(group, (n > 1) | np.concatenate(([False], (mark[1:] != mark[:-1]) & ~new[1:])))
+        many = (total > 1) & (unlike > 0)
+        return pa.Table.from_arrays([t.column("s").slice(0, 1), pa.array([pack(h[new][many], (total[many] > HOT).astype(np.uint8))], pa.binary())], ["s", "grams"])
 
-    sliced = texts.select("__key", F.coalesce("text", F.lit(""))).mapInArrow(C.frugal(run), "s int, block binary")
-    return sliced.groupBy("s").applyInArrow(C.frugal_group(again), "key long, places binary")
+    return blocks.mapInArrow(C.frugal(sums), "s int, block binary").groupBy("s").applyInArrow(C.frugal_group(add), "s int, grams binary")
 
 
-PLACE = [("place", "<i4"), ("h", "<u8"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")]
+def places_of(blocks: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, places): each text's anchors of repeated grams.  A slice's grams go to each of
+    its SALTS parts, so the blocks of a hot gram are read by several tasks."""
 
-
-def suffix_runs(texts: DataFrame, parts: int, length: int) -> DataFrame:
-    """(part, block): sorted front-coded runs of the suffixes at anchors, cut by gram;
-    part -1 - i: slices of string digests of hot grams.  texts: __key, text, places."""
-    kind = np.dtype(PLACE)
+    def run(batches):
+        for b in batches:
+            key, place = [], []
+            for block, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                (k, *cols), (h, hot) = unpack(block, *ANCHORS), unpack(grams, np.uint64, np.uint8)
+                if not len(h):
+                    continue
+                at = np.minimum(np.searchsorted(h, cols[1]), len(h) - 1)
+                mine = np.flatnonzero(h[at] == cols[1])
+                mine = mine[np.lexsort((k["b"][mine], k["a"][mine]))]
+                rec = np.zeros(len(mine), PLACE)
+                for name, c in zip(PLACE.names, (*cols, hot[at])):
+                    rec[name] = c[mine]
+                k = k[mine]
+                if len(k):
+                    cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+                    raw, names = rec.tobytes(), k.tobytes()
+                    key += [names[16 * a : 16 * a + 16] for a in cut[:-1]]
+                    place += [raw[PLACE.itemsize * a : PLACE.itemsize * z] for a, z in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(place, pa.binary())], ["key", "places"])
+
+    salt = F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")
+    grams = grams.select("s", "grams", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = blocks.withColumn("salt", salt).join(grams, ["s", "salt"])
+    return met.select("block", "grams").mapInArrow(C.frugal(run), "key binary, places binary")
+
+
+def suffix_runs(texts: DataFrame, parts: int, buckets: int, length: int) -> DataFrame:
+    """(part, block) of texts (key, text, places): sorted front-coded runs of the suffixes
+    at anchors, cut by gram; part -1 - i: slices of string digests of hot grams;
+    part -1 - parts - i: verdicts that a task found itself."""
 
     def run(batches):
         seen, held, hot = set(), {}, []
@@ -333,20 +389,17 @@ def suffix_runs(texts: DataFrame, parts: int, length: int) -> DataFrame:
         n = m = 0
         for b in batches:
             for key, text, places in zip(*(c.to_pylist() for c in b.columns)):
-                if key in seen:
+                if not first_of(seen, key):
                     continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(key)
                 raw = text.encode("utf-8")
-                rec = np.frombuffer(b"".join(places), kind)
+                rec = np.frombuffer(b"".join(places), PLACE)
                 if rec["hot"].any():
                     own = rec[rec["hot"] == 1]
                     bytes_ = np.frombuffer(raw, np.uint8)
                     find.grow(len(raw))
-                    starts = np.concatenate([np.arange(p - h, p - l + 1) for p, l, h in zip(own["place"].tolist(), own["lo"].tolist(), own["hi"].tolist())])
+                    starts = np.unique(np.concatenate([np.arange(p - h, p - l + 1) for p, l, h in zip(own["place"].tolist(), own["lo"].tolist(), own["hi"].tolist())]))
                     two = [window_hashes(bytes_, length, v, find.up, find.down)[starts] for v in (VALUES, OTHER)]
-                    hot.append((np.full(len(starts), key, np.int64), starts.astype(np.int32), *two))
+                    hot.append((np.repeat(np.frombuffer(key, KEY), len(starts)), starts.astype(np.int64), *two))
                     m += len(starts)
                     rec = rec[rec["hot"] == 0]
                 for p, h, lo, hi in zip(rec["place"].tolist(), rec["h"].tolist(), rec["lo"].tolist(), rec["hi"].tolist()):
@@ -357,7 +410,7 @@ def suffix_runs(texts: DataFrame, parts: int, length: int) -> DataFrame:
                 if n >= RUN:
                     yield emit(held)
                     held, n = {}, 0
-                if m >= 1_000_000:
+                if m >= STRINGS:
                     yield digests(hot)
                     hot, m = [], 0
         if held:
@@ -379,48 +432,69 @@ def suffix_runs(texts: DataFrame, parts: int, length: int) -> DataFrame:
             lcp, rest = front_code([s[0] for s in suffixes])
             cols = list(zip(*suffixes))
             sizes, lefts = ([len(x) for x in c] for c in cols[:2])
-            out.append((part, pack(lcp.astype(np.uint8), np.array(sizes, np.uint8), rest, np.array(lefts, np.uint8), b"".join(cols[1]), np.array(cols[2], np.int64), np.array(cols[3], np.int32), np.array(cols[4], np.uint8), np.array(cols[5], np.uint8), np.array(done, np.int64).ravel())))
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "block"])
+            who, a, z = zip(*done) if done else ((), (), ())
+            out.append((part, pack(lcp.astype(np.uint8), np.array(sizes, np.uint8), rest, np.array(lefts, np.uint8), b"".join(cols[1]), b"".join(cols[2]), np.array(cols[3], np.int32), np.array(cols[4], np.uint8), np.array(cols[5], np.uint8), b"".join(who), np.array(a, np.int64), np.array(z, np.int64))))
+        return block_rows(out, ["part", "block"])
 
     def digests(hot):
         key, start, a, b = (np.concatenate(c) for c in zip(*hot))
-        s = (a % U(parts)).astype(np.int64)
-        order = np.argsort(s, kind="stable")
-        at = np.searchsorted(s[order], np.arange(parts + 1))
-        full = [i for i in range(parts) if at[i] < at[i + 1]]
-        blocks = [pack(*(x[order[at[i] : at[i + 1]]] for x in (key, start, a, b))) for i in full]
-        return pa.RecordBatch.from_arrays([pa.array([-1 - i for i in full], pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+        order = np.lexsort((b, a))
+        key, start, a, b = (x[order] for x in (key, start, a, b))
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        count = np.diff(np.flatnonzero(new), append=len(a))
+        twice = np.repeat(count > 1, count)
+        rows = [(-1 - parts - i, x) for i, x in verdicts(*runs_of(key[twice], start[twice], length), buckets)]
+        # Of a string that is settled here the others need to know only that it is there.
+        start = np.where(twice, -1, start)
+        cols = [x[new] for x in (key, start, a, b)]
+        rows += [(-1 - i, x) for i, x in blocks_by((cols[2] % U(parts)).astype(np.int64), parts, cols)]
+        return block_rows(rows, ["part", "block"])
+
+    return texts.mapInArrow(C.frugal(run), "part int, block binary")
 
-    return texts.select("__key", F.coalesce("text", F.lit("")), "places").mapInArrow(C.frugal(run), "part int, block binary")
 
+def runs_of(key: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, z) of starts of repeated strings, neighbouring ones joined."""
+    order = np.lexsort((start, key["b"], key["a"]))
+    key, start = key[order], start[order]
+    if not len(key):
+        return key, start, start
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1))))
+    end = np.concatenate((new[1:], [len(key)])) - 1
+    return key[new], start[new], start[end] + length
 
-def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
-    """(key, a, z): bytes a..z of the text are covered by repeated strings."""
+
+def verdicts(key: np.ndarray, a: np.ndarray, z: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Spans as blocks, dealt by text."""
+    return blocks_by((key["a"] % U(buckets)).astype(np.int64), buckets, [key, a.astype(np.int64), z.astype(np.int64)])
+
+
+def repeated_spans(runs: DataFrame, parts: int, buckets: int, length: int) -> DataFrame:
+    """(key, spans): for each text the disjoint spans of bytes that repeated strings cover."""
 
     def run(t):
         part = t.column("part")[0].as_py()
-        spans = by_digest(t) if part < 0 else by_merge(t)
-        key, a, z = zip(*spans) if spans else ((), (), ())
-        return pa.Table.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["key", "a", "z"])
+        if part < -parts:  # found by a task already
+            return block_table([(-1 - parts - part, x) for x in t.column("block").to_pylist()])
+        return block_table(verdicts(*(by_digest(t) if part < 0 else by_merge(t)), buckets))
+
+    def block_table(rows):
+        return pa.Table.from_batches([block_rows(rows, ["bucket", "block"])])
 
     def by_digest(t):
-        key, start, a, b = (np.concatenate(c) for c in zip(*(unpack(x, np.int64, np.int32, np.uint64, np.uint64) for x in t.column("block").to_pylist())))
-        order = np.lexsort((start, key, b, a))
+        key, start, a, b = (np.concatenate(c) for c in zip(*(unpack(x, KEY, np.int64, np.uint64, np.uint64) for x in t.column("block").to_pylist())))
+        # A text that two tasks read meets itself; one of the two is left out.
+        order = np.lexsort((start, key["b"], key["a"], b, a))
         key, start, a, b = (x[order] for x in (key, start, a, b))
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        edge = np.zeros(1, bool)
-        twice = np.concatenate((edge, same)) | np.concatenate((same, edge))
-        key, start = key[twice], start[twice]
-        order = np.lexsort((start, key))
-        key, start = key[order], start[order]
-        if not len(key):
-            return []
-        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1))))
-        end = np.concatenate((new[1:], [len(key)])) - 1
-        return list(zip(key[new].tolist(), start[new].tolist(), (start[end] + length).tolist()))
+        own = np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] != start[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) | (start < 0)
+        key, start, a, b = (x[own] for x in (key, start, a, b))
+        group = np.cumsum(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) - 1
+        count = np.bincount(group, np.where(start < 0, 2, 1))[group]
+        hit = (count > 1) & (start >= 0)
+        return runs_of(key[hit], start[hit], length)
 
     def by_merge(t):
-        blocks = [unpack(x, np.uint8, np.uint8, bytes, np.uint8, bytes, np.int64, np.int32, np.uint8, np.uint8, np.int64) for x in t.column("block").to_pylist()]
+        blocks = [unpack(x, np.uint8, np.uint8, bytes, np.uint8, bytes, KEY, np.int32, np.uint8, np.uint8, KEY, np.int64, np.int64) for x in t.column("block").to_pylist()]
         tree = LoserTree([(b[0].tolist(), b[1].tolist(), b[2]) for b in blocks])
         which, lcp = [], []
         for w, n in tree:
@@ -436,86 +510,131 @@ def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
         for b in blocks:
             ends = np.cumsum(b[3].astype(np.int64)).tolist()
             lefts.extend(b[4][z - n : z] for z, n in zip(ends, b[3].tolist()))
-        key, place, lo, hi = (np.concatenate([b[j] for b in blocks]).astype(np.int64)[offset] for j in (5, 6, 7, 8))
+        key = np.concatenate([b[5] for b in blocks])[offset]
+        place, lo, hi = (np.concatenate([b[j] for b in blocks]).astype(np.int64)[offset] for j in (6, 7, 8))
+        # The same anchor handed on by two tasks counts once.
+        order = np.lexsort((place, key["b"], key["a"]))
+        again = (key[order][1:] == key[order][:-1]) & (place[order][1:] == place[order][:-1])
+        if again.any():
+            keep = np.ones(len(key), bool)
+            keep[order[1:][again]] = False
+            lcp = thinned(np.array(lcp), keep)
+            key, place, lo, hi, offset = (x[keep] for x in (key, place, lo, hi, offset))
         found = repeated_offsets(np.array(lcp), [lefts[i] for i in offset.tolist()], lo, hi, length)
-        spans = [(int(key[i]), int(place[i]) - o2, int(place[i]) - o1 + length) for i, o1, o2 in found]
-        for b in blocks:
-            spans.extend(map(tuple, b[9].reshape(-1, 3).tolist()))
-        return spans
-
-    return runs.groupBy("part").applyInArrow(C.frugal_group(run), "key long, a long, z long")
-
-
-def coverage(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(docs with __key and __size, (key, spans)): for each text that has any, the
-    bytes covered by strings of length bytes that also start elsewhere in docs, copies
-    of the text included.  Texts shorter than length have none."""
+        who, o1, o2 = (np.array(c, np.int64) for c in (zip(*found) if found else ((), (), ())))
+        more = [b[9:] for b in blocks]
+        return (np.concatenate([key[who], *(m[0] for m in more)]), *(np.concatenate([x, *(m[j] for m in more)]) for j, x in ((1, place[who] - o2), (2, place[who] - o1 + length))))
+
+    def join(t):
+        key, a, z = (np.concatenate(c) for c in zip(*(unpack(x, KEY, np.int64, np.int64) for x in t.column("block").to_pylist())))
+        order = np.lexsort((z, a, key["b"], key["a"]))
+        key, a, z = key[order], a[order], z[order]
+        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        a, z, names = a.tolist(), z.tolist(), key.tobytes()
+        spans = [[{"a": x, "z": y} for x, y in merged(list(zip(a[i:j], z[i:j])))] for i, j in zip(cut, cut[1:])]
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
+        return pa.Table.from_arrays([pa.array([names[16 * i : 16 * i + 16] for i in cut[:-1]], pa.binary()), pa.array(spans, kind)], ["key", "spans"])
+
+    by_part = runs.groupBy("part").applyInArrow(C.frugal_group(run), "bucket int, block binary")
+    return by_part.groupBy("bucket").applyInArrow(C.frugal_group(join), "key binary, spans array<struct<a:bigint,z:bigint>>")
+
+
+def thinned(lcp: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Shared prefixes with the string before, where only the kept ones are left."""
+    at = np.flatnonzero(keep)
+    return np.minimum.reduceat(lcp, np.concatenate(([0], at[:-1] + 1))) if len(at) else lcp[:0]
+
+
+def coverage(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frame, spans, often): frame has row (a struct of docs' columns), text (not null), key
+    and size; spans (key, spans): for each text that has any, the bytes covered by strings
+    of length bytes that also start elsewhere in docs, copies of the text included; often
+    (key, n): the texts of many copies.  Texts shorter than length have none."""
     if length <= GRAM or length > 250:
         raise ValueError(f"strings of {GRAM + 1} to 250 bytes")
-    docs = keyed(docs)
-    long_ = docs.where(F.col("__size") >= length)
-    kinds = C.materialize(long_.groupBy("__key").agg(F.count("*").alias("n"), F.max("__size").alias("size")), "suffix-keys")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    frame = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"), F.octet_length(text).cast("long").alias("size"))
+    long_ = frame.where(F.col("size") >= length)
+    kinds = C.materialize(long_.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("size")), "suffix-keys")
+    often = kinds.where(F.col("n") > COPIES).select("key", "n")
     total = kinds.agg(F.sum("size")).first()[0] or 0
     slices = 1 << max(4, (total // 16_000_000).bit_length())
-    places = C.materialize(anchor_places(long_, slices, length, GRAM), "suffix-places").groupBy("key").agg(F.collect_list("places").alias("places"))
-    places = C.materialize(places, "suffix-anchors")
-    texts = long_.join(C.maybe_broadcast(places.select(F.col("key").alias("__key"))), "__key", "left_semi").select("__key", "text")
-    parts = max(12, int(places.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0) // (15 * 60_000))
-    runs = suffix_runs(texts.join(places.select(F.col("key").alias("__key"), "places"), "__key"), parts, length)
-    spans = repeated_spans(runs, length)
-    whole = kinds.where("n > 1").select(F.col("__key").alias("key"), F.lit(0).cast("long").alias("a"), F.col("size").alias("z"))
-    every = spans.union(whole).groupBy("key").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    return docs, C.materialize(every, "suffix-spans")
-
-
-def split_covered(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs without covered bytes, and those with, with their spans."""
-    keys = C.maybe_broadcast(spans.select(F.col("key").alias("__key")))
-    clean = docs.join(keys, "__key", "left_anti")
-    return clean, docs.join(keys, "__key", "left_semi").join(spans.withColumnRenamed("key", "__key"), "__key")
+    blocks = C.materialize(anchors(long_.select("key", "text"), slices, length), "suffix-blocks")
+    grams = repeated_grams(blocks)
+    places = C.materialize(places_of(blocks, grams).groupBy("key").agg(F.collect_set("places").alias("places")), "suffix-anchors")
+    many = int(places.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0)
+    parts = max(12, many // (PLACE.itemsize * 60_000))
+    buckets = max(12, total // 64_000_000)
+    kept = long_.select("key", "text").join(C.maybe_broadcast(places.select("key")), "key", "left_semi")
+    texts = with_spans(kept, places, often)
+    spans = repeated_spans(suffix_runs(texts, parts, buckets, length), parts, buckets, length)
+    whole = kinds.where("n > 1").select("key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("z"))).alias("spans"))
+    spans = C.materialize(spans.join(whole.select("key"), "key", "left_anti").unionByName(whole), "suffix-spans")
+    return frame, spans, often
+
+
+def with_spans(frame: DataFrame, held: DataFrame, often: DataFrame, how: str = "inner") -> DataFrame:
+    """frame joined to held by key.  The keys of many rows (often: key, n) are dealt to as
+    many parts as leave about COPIES rows in each."""
+    often = C.maybe_broadcast(often.select("key", F.ceil(F.col("n") / COPIES).cast("int").alias("parts")))
+    part = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)).cast("int")
+    frame = frame.join(often, "key", "left").withColumn("part", part).drop("parts")
+    last = F.coalesce(F.col("parts"), F.lit(1)) - 1
+    held = held.join(often, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), last))).drop("parts")
+    return frame.join(held, ["key", "part"], how).drop("part")
+
+
+def split_covered(frame: DataFrame, spans: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of frame without covered bytes, and those with, with their spans."""
+    keys = spans.select("key")
+    small = C.maybe_broadcast(keys)
+    if small is not keys:  # few enough: only the texts that are cut travel
+        return frame.join(small, "key", "left_anti"), with_spans(frame.join(small, "key", "left_semi"), spans, often)
+    every = with_spans(frame, spans, often, "left")
+    return every.where("spans is null"), every.where("spans is not null")
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id,
     text); null texts are empty, repeated rows repeat each other."""
-    docs, spans = coverage(docs.select(F.col("doc_id").cast("long"), "text"), length)
-    clean, hit = split_covered(docs, spans)
+    frame, spans, often = coverage(docs.select(F.col("doc_id").cast("long"), "text"), length)
+    clean, hit = split_covered(frame, spans, often)
 
     def run(batches):
         for t in batches:
             n, gone, count, sha = [], [], [], []
-            for text, spans in zip(t.column(1).to_pylist(), t.column(2).to_pylist()):
-                raw = (text or "").encode("utf-8")
-                cut = merged([(s["a"], s["z"]) for s in spans])
+            for text, cut in zip(t.column(1).to_pylist(), t.column(2).to_pylist()):
+                raw = text.encode("utf-8")
                 h, at = hashlib.sha256(), 0
-                for a, z in cut:
-                    h.update(raw[at:a])
-                    at = z
+                for s in cut:
+                    h.update(raw[at : s["a"]])
+                    at = s["z"]
                 h.update(raw[at:])
                 n.append(len(raw))
-                gone.append(sum(z - a for a, z in cut))
+                gone.append(sum(s["z"] - s["a"] for s in cut))
                 count.append(len(cut))
                 sha.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([t.column(0), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    whole = clean.select("doc_id", F.col("__size").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-    return whole.unionByName(hit.select("doc_id", "text", "spans").mapInArrow(C.frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    none = F.lit(0).cast("long")
+    whole = clean.select("row.doc_id", F.col("size").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return whole.unionByName(hit.select("row.doc_id", "text", "spans").mapInArrow(C.frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated strings taken out of text, all rows and columns kept.  A
-    character stays whole: it goes only with all its bytes."""
+    """docs with repeated strings taken out of text, all rows and columns kept, null texts
+    too.  A character stays whole: it goes only with all its bytes."""
     columns = docs.columns
-    docs_, spans = coverage(docs, length)
-    clean, hit = split_covered(docs_, spans)
-    at = columns.index("text")
+    frame, spans, often = coverage(docs, length)
+    clean, hit = split_covered(frame, spans, often)
 
     def run(batches):
         for t in batches:
             out = []
-            for text, spans in zip(t.column(at).to_pylist(), t.column(len(columns)).to_pylist()):
-                raw, kept, last = (text or "").encode("utf-8"), [], 0
-                for a, z in merged([(s["a"], s["z"]) for s in spans]):
+            for text, cut in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                raw, kept, last = text.encode("utf-8"), [], 0
+                for s in cut:
+                    a, z = s["a"], s["z"]
                     while a < z and raw[a] & 0xC0 == 0x80:
                         a += 1
                     while z < len(raw) and z > a and raw[z] & 0xC0 == 0x80:
@@ -524,13 +643,16 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     last = z
                 kept.append(raw[last:])
                 out.append(b"".join(kept).decode("utf-8"))
-            cols = list(t.columns[: len(columns)])
-            cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, columns)
+            cols = dict(zip(columns, t.columns[2:]))
+            cols["text"] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), columns)
 
     schema = T.StructType([docs.schema[c] for c in columns])
-    return clean.select(*columns).unionByName(hit.select(*columns, "spans").mapInArrow(C.frugal(run), schema))
+    cut = hit.select("text", "spans", *(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(C.frugal(run), schema)
+    return clean.select(*(F.col("row").getField(c).alias(c) for c in columns)).unionByName(cut)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every row of documents by its whole text; nulls, empty, long and repeated texts as
+    the module says, null document ids stay null."""
+    return digest(C.table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ import pytest
 
 from hinoki.llm import suffix_dedup as S
 
-SCHEMA = "doc_id long, text string, n_bytes string"
+SCHEMA = "doc_id long, text string, spans string"
 
 
 def brute(rows, length):
@@ -47,17 +47,33 @@ def corpus(seed):
 def test_against_brute_force(spark, monkeypatch, seed, length, hot, run):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "RUN", run)
+    monkeypatch.setattr(S, "STRINGS", 900)
+    monkeypatch.setattr(S, "COPIES", 2)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA).repartition(5)
     got = sorted((tuple(r) for r in S.digest(df, length).collect()), key=repr)
     assert got == brute(rows, length)
 
 
+def test_hot_grams_make_one_row_a_text(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(80))
+    rows = [(i, " ".join(word() for _ in range(30)) + passage + " ".join(word() for _ in range(30)), "x") for i in range(120)]
+    df, found = spark.createDataFrame(rows, SCHEMA).repartition(6), []
+    for hot in (20_000, 10):
+        monkeypatch.setattr(S, "HOT", hot)
+        frame, spans, _ = S.coverage(df)
+        assert spans.count() == 120
+        found.append(sorted((bytes(x.key), x.spans) for x in spans.collect()))
+    assert found[0] == found[1] and all(len(x) == 1 for _, x in found[0])
+
+
 def test_texts_stay_whole_characters(spark):
     p = "é" * 150
     rows = [(1, "a" + p + "ü", "x"), (2, "bb" + p + "é ö", "y"), (3, None, None), (4, "short", "z")]
     got = {r.doc_id: r for r in S.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert len(got) == 4 and got[3].text is None and got[4].text == "short" and got[1].n_bytes == "x"
+    assert len(got) == 4 and got[3].text is None and got[4].text == "short" and got[1].spans == "x"
     assert got[1].text == "aü" and got[2].text.replace("é", "") == "bb ö"
 
 

@@ -15,9 +15,11 @@ from hinoki.llm import common as C
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is at least a half go; the models learn from labels."""
+    """Documents whose toxicity is at least a half go; the models learn from labels.  Null
+    and empty texts are judged by the labels' prior; repeated rows fare alike."""
     model = toxicity.fit(docs, C.table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, out="__toxicity").where(F.col("__toxicity") < 0.5).select(*docs.columns)
+    score = C.free_name(docs, "toxicity")
+    return toxicity.with_score(docs, model, out=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,8 @@ def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain 0.8 or more of a test item's five-word shingles go."""
+    """Documents that contain 0.8 or more of a test item's five-word shingles go; null and
+    empty texts contain nothing and stay."""
     return decontaminate.decontaminated(docs, C.table(spark, sf_dir, "benchmark"))
 
 

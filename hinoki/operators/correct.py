@@ -30,7 +30,7 @@ def suggest(spark: SparkSession, findings: DataFrame, roles: DataFrame, key: str
     """
     f = findings.where("verdict = 'norm_divergence'").select(key, "start", "end", "surface", "error_type")
     verb = roles.select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), "base", "actor")
-    best = S.best_match(f.where(F.col("error_type").isin("direction_swap", "uchi_sonkeigo", "self_sonkeigo", "deference_inversion", "bad_keigo_link", "double_keigo")), verb, key, [key, "start", "end"], ["start2"])
+    best = S.best_match(f.where(F.col("error_type").isin("direction_swap", "uchi_sonkeigo", "self_sonkeigo", "rank_inversion", "bad_keigo_link", "double_keigo")), verb, key, [key, "start", "end"], ["start2"])
     side = F.when(R.is_in(F.col("actor"), 1), "self").otherwise("other")
     forms = F.broadcast(admissible(spark).where("cls <> 'teineigo'").withColumnRenamed("side", "f_side").withColumnRenamed("base", "f_base"))
     by_role = best.withColumn("side", side).join(forms, (F.col("base") == F.col("f_base")) & (F.col("side") == F.col("f_side")))

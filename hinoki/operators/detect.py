@@ -147,7 +147,7 @@ def inversion_hits(roles: DataFrame, key: str = "doc_id") -> DataFrame:
     r, inside, outside = inversion(roles, key)
     conf = F.when(inside, 0.8).otherwise(0.7) * F.col("actor_conf")
     hit = r.withColumn("inside", inside).where(inside | outside)
-    return shape(hit, key, "deference_inversion", conf, "deference_inversion", F.when(F.col("inside"), 8).otherwise(9) + F.col("start") * 1e-6)
+    return shape(hit, key, "rank_inversion", conf, "rank_inversion", F.when(F.col("inside"), 8).otherwise(9) + F.col("start") * 1e-6)
 
 
 def variation_table(spark: SparkSession) -> DataFrame:
@@ -186,7 +186,7 @@ def role_hits(roles: DataFrame, key: str) -> DataFrame:
     at = (F.col("start"), F.col("end"), F.col("surface"))
     one = F.when(kind.isNotNull(), hit_struct(*at, kind, conf, cite, forced, F.col("start") * 1e-6, False))
     level = F.when(inside, 0.8).otherwise(0.7) * F.col("actor_conf")
-    two = F.when(inside | outside, hit_struct(*at, "deference_inversion", level, "deference_inversion", False, F.when(inside, 8).otherwise(9) + F.col("start") * 1e-6, inside))
+    two = F.when(inside | outside, hit_struct(*at, "rank_inversion", level, "rank_inversion", False, F.when(inside, 8).otherwise(9) + F.col("start") * 1e-6, inside))
     return r.select(key, F.explode(F.array_compact(F.array(one, two))).alias("hit"))
 
 
@@ -240,7 +240,7 @@ def detect(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     item = F.struct((-rank).alias("_r"), (-F.col("hit.confidence")).alias("_c"), F.col("hit.seq").alias("_s"), *(F.col(f"hit.{f}").alias(f) for f in [*FIELDS, "inside"]))
     grouped = hits.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_a"))
     taken = lambda x: F.exists("_a", lambda o: o["inside"] & (o["start"] == x["start"]) & (o["end"] == x["end"]))
-    grouped = grouped.withColumn("_a", F.filter("_a", lambda x: (x["error_type"] == "deference_inversion") | ~taken(x)))
+    grouped = grouped.withColumn("_a", F.filter("_a", lambda x: (x["error_type"] == "rank_inversion") | ~taken(x)))
     kept = grouped.select(key, F.explode(S.suppress(F.col("_a"))).alias("_x")).select(key, *(f"_x.{f}" for f in FIELDS))
     seen = S.overlap_join(kept, variation_scan(messages, key), key, "left")
     applies = (F.col("suppressed") == "") | F.array_contains(F.split("suppressed", " "), F.col("error_type"))

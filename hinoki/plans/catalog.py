@@ -389,7 +389,7 @@ def direction_hits(spark, sf_dir):
 
 
 @query()
-def deference_inversion(spark, sf_dir):
+def rank_inversion(spark, sf_dir):
     return spans_of(D.inversion_hits(R.tag(messages(spark, sf_dir))))
 
 

@@ -197,30 +197,23 @@ def pattern_hits(messages: DataFrame, key: str) -> DataFrame:
     families += [("|".join(sa_literals()), "sa_insertion", 0.9, "sa_insertion", 2), (T.GO_SARERU, "go_sareru", 0.8, "go_sareru.q7", 3), (T.OGO_DEKIRU, "ogo_dekiru", 0.7, "ogo_dekiru.q8", 4)]
     families += [(T.BAD_LINK, "bad_keigo_link", 0.75, "keigo_link.bad", 5), (T.SASETE, "sasete_itadaku_overuse", 0.6, "sasete_itadaku", 6)]
 
-    def hit_of(kind, conf, cite, seq):
-        def hit(m):
-            end = m["end"]
-            if kind in ("bad_keigo_link", "sasete_itadaku_overuse"):
-                stop, most = ("。\\n、", m["start"] + 12) if kind == "bad_keigo_link" else ("。\\n", end + 6)
-                end = F.least(end + F.length(F.regexp_extract(F.substr(text, end + 1), f"^[^{stop}]*", 0)), most)
-            return hit_struct(m["start"], end, F.substr(text, m["start"] + 1, end - m["start"]), kind, conf, cite, False, seq + m["start"] * 1e-6, False)
-
-        return hit
-
-    arrays = []
-    for p, kind, conf, cite, seq in families:
-        found = X.matches(text, p)
-
-        rows = F.transform(found, hit_of(kind, conf, cite, seq))
-        if kind == "double_keigo":
-            first = lambda m: F.greatest(m["start"] - 2, F.lit(0))
-            near = lambda m: F.substr(text, first(m) + 1, m["end"] + 4 - first(m))
-            rows = F.filter(rows, lambda m: ~reduce(lambda a, b: a | b, [near(m).contains(e[0]) for e in T.ESTABLISHED]))
-        if kind == "sasete_itadaku_overuse":
-            rows = F.when(F.size(found) >= 3, rows).otherwise(F.slice(rows, 1, 0))
-        arrays.append(rows)
     any_ = "|".join(f[0] for f in families)
-    return messages.where(text.rlike(any_)).select(key, F.explode(F.concat(*arrays)).alias("hit"))
+    found = F.array(*(F.when(text.rlike(p), F.struct(*(F.lit(v).alias(n) for v, n in zip((kind, conf, cite, float(seq)), ("kind", "conf", "cite", "seq"))), X.gaps(text, p).alias("found"))) for p, kind, conf, cite, seq in families))
+    rows = messages.where(text.rlike(any_)).select(key, "text", F.explode(F.array_compact(found)).alias("f"))
+    rows = rows.where((F.col("f.kind") != "sasete_itadaku_overuse") | (F.size("f.found") >= 3))
+    rows = rows.select(key, "text", "f.*", F.explode(X.placed(F.col("f.found"))).alias("m")).withColumn("start", F.col("m.start")).withColumn("end", F.col("m.end"))
+    first = F.greatest(F.col("start") - 2, F.lit(0))
+    near = F.substr(text, first + 1, F.col("end") + 4 - first)
+    fine = reduce(lambda a, b: a | b, [near.contains(e[0]) for e in T.ESTABLISHED])
+    rows = rows.where(~((F.col("kind") == "double_keigo") & fine))
+    more = lambda stop: F.length(F.regexp_extract(F.substr(text, F.col("end") + 1), f"^[^{stop}]*", 0))
+    end = (
+        F.when(F.col("kind") == "bad_keigo_link", F.least(F.col("end") + more("。\\n、"), F.col("start") + 12))
+        .when(F.col("kind") == "sasete_itadaku_overuse", F.least(F.col("end") + more("。\\n"), F.col("end") + 6))
+        .otherwise(F.col("end"))
+    )
+    rows = rows.withColumn("end", end).withColumn("surface", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    return rows.select(key, hit_struct(*(F.col(c) for c in ("start", "end", "surface", "kind", "conf", "cite")), False, F.col("seq") + F.col("start") * 1e-6, False).alias("hit"))
 
 
 def detect(messages: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -251,9 +244,14 @@ def detect(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     return judged.select(key, "start", "end", "surface", "error_type", verdict.alias("verdict"), "confidence", "citation_key", F.col("best.acceptability").alias("acceptability"))
 
 
-def merge(findings: DataFrame, key: str = "doc_id") -> DataFrame:
+def merge(findings: DataFrame, key: str = "doc_id", texts: DataFrame | None = None) -> DataFrame:
     """Findings of several detectors into one: the more confident first (then by start),
-    overlapping ones go; one that a variation overlaps becomes a variation."""
+    overlapping ones go; one that a variation overlaps becomes a variation.  With texts
+    (key, text), pattern findings that a window around their span no longer bears out go
+    first (see refuted)."""
+    if texts is not None:
+        seen = findings.join(texts.select(key, "text"), key)
+        findings = seen.where(~refuted()).select(*findings.columns)
     twin = findings.where("verdict = 'variation'").select(key, F.col("start").alias("start2"), F.col("end").alias("end2"))
     touched = S.overlap_join(findings, twin, key, "left_semi").select(key, "start", "end", "error_type").distinct().withColumn("touched", F.lit(True))
     fields = [c for c in findings.columns if c != key]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from . import spans as S
 
+# Confidence thresholds of the sweep
 THRESHOLDS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
 
 
@@ -55,11 +56,29 @@ def sweep(gold: DataFrame, findings: DataFrame, key: str) -> DataFrame:
     return top.select(at, "top").groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(F.col("top") >= F.col("threshold")).alias("detected"))
 
 
-def percentiles(df: DataFrame, value: str, group: str) -> DataFrame:
-    """group: n, median, mean and p95, the latter the value of rank floor(0.95 n), from 0."""
-    by = W.partitionBy(group)
-    ranked = df.select(group, F.col(value).alias("v")).withColumn("n", F.count("*").over(by)).withColumn("r", F.row_number().over(by.orderBy("v")) - 1)
-    return ranked.groupBy(group).agg(F.max("n").alias("n"), F.median("v").alias("median"), F.avg("v").alias("mean"), F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.95), F.col("v"))).alias("p95"))
+def percentiles(df: DataFrame, value: str, group: str, cells: int = 4096) -> DataFrame:
+    """group: n, median, mean and p95, the latter the value of rank floor(0.95 n), from 0.
+
+    Values are counted in cells of equal width first; only the few cells that hold a
+    wanted rank are then ranked, so a group isn't gathered in one task unless nearly all
+    its values are in one cell (equal values there are counted, not ranked).
+    Null values are left out."""
+    v = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    span = v.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (cells - 1))).otherwise(0)
+    placed = v.join(F.broadcast(span.select("g", "lo", "hi")), "g").select("g", "v", cell.alias("c"))
+    sizes = placed.groupBy("g", "c").agg(F.count("*").alias("k"))
+    below = sizes.withColumn("upto", F.sum("k").over(W.partitionBy("g").orderBy("c")))
+    ranks = F.array((F.col("n") - 1).cast("long") / 2, F.col("n") / 2, F.floor(F.col("n") * 0.95))
+    wanted = span.select("g", F.posexplode(F.transform(ranks, lambda x: F.floor(x))).alias("which", "rank"))
+    found = wanted.join(below, "g").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k")))
+    found = F.broadcast(found.select("g", "c", "which", (F.col("rank") - F.col("upto") + F.col("k")).alias("inner")))
+    values = placed.join(F.broadcast(found.select("g", "c").distinct()), ["g", "c"]).groupBy("g", "c", "v").agg(F.count("*").alias("k"))
+    values = values.withColumn("upto", F.sum("k").over(W.partitionBy("g", "c").orderBy("v")))
+    hit = values.join(found, ["g", "c"]).where((F.col("inner") < F.col("upto")) & (F.col("inner") >= F.col("upto") - F.col("k")))
+    pick = lambda i: F.max(F.when(F.col("which") == i, F.col("v")))
+    at = hit.groupBy("g").agg(((pick(0) + pick(1)) / 2).alias("median"), pick(2).alias("p95"))
+    return span.join(at, "g").select(F.col("g").alias(group), "n", "median", "mean", "p95")
 
 
 def token_scores(labels: DataFrame) -> DataFrame:

@@ -18,17 +18,25 @@ def iou(s1: str, e1: str, s2: str, e2: str) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """a (key, start, end) with b (key, start2, end2) where spans of a key overlap:
-    an equi-join on the key with the range as residual condition."""
+def overlap_join(a: DataFrame, b: DataFrame, key: str, how: str = "inner", longest: int | None = None) -> DataFrame:
+    """a (key, start, end) with b (key, start2, end2) where spans of a key overlap: an
+    equi-join on the key with the range as residual condition.  Where no span of a is
+    longer than longest, the join is on key and bin: each span of b stands in all bins
+    where one of a that meets it can start, so a key of many spans is spread and its
+    pairs aren't all looked at."""
     b = b.withColumnRenamed(key, "_k")
-    return a.join(b, (F.col(key) == F.col("_k")) & overlaps("start", "end", "start2", "end2"), how).drop("_k")
+    if longest is None:
+        return a.join(b, (F.col(key) == F.col("_k")) & overlaps("start", "end", "start2", "end2"), how).drop("_k")
+    bin_of = lambda c: F.floor(c / (4 * longest)).cast("int")
+    b = b.withColumn("_b", F.explode(F.sequence(bin_of(F.col("start2") - longest), bin_of(F.col("end2") - 1))))
+    a = a.withColumn("_a", bin_of(F.col("start")))
+    return a.join(b, (F.col(key) == F.col("_k")) & (F.col("_a") == F.col("_b")) & overlaps("start", "end", "start2", "end2"), how).drop("_k", "_a", "_b")
 
 
-def best_match(a: DataFrame, b: DataFrame, key: str, by: list[str], order: list[str]) -> DataFrame:
+def best_match(a: DataFrame, b: DataFrame, key: str, by: list[str], order: list[str], longest: int | None = None) -> DataFrame:
     """For each row of a (named by the columns by) the row of b of the largest
     overlap-over-union; ties go to the first by order.  Rows without one go."""
-    met = overlap_join(a, b, key).withColumn("iou", iou("start", "end", "start2", "end2"))
+    met = overlap_join(a, b, key, longest=longest).withColumn("iou", iou("start", "end", "start2", "end2"))
     first = W.partitionBy(*by).orderBy(F.desc("iou"), *order)
     return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
@@ -41,10 +49,15 @@ def suppress(items: Column, start: str = "start", end: str = "end") -> Column:
 
 
 def nms(df: DataFrame, keys: list[str], order: list[Column], fields: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Greedy suppression within keys; order: sort columns, ascending.  One shuffle on
-    the keys; a group's spans are one row, as large as a text has hits."""
+    """Greedy suppression within keys; order: sort columns, ascending.  Spans that no
+    chain of overlaps connects can't suppress each other, so each key is cut into islands
+    where no span reaches over, and an island's spans are one row."""
+    by = W.partitionBy(*keys).orderBy(start, end)
+    before = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
+    new = F.coalesce((F.col(start) >= before).cast("int"), F.lit(0))
+    df = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     item = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(order)), *fields)
-    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_a"))
+    grouped = df.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(item)).alias("_a"))
     return grouped.select(*keys, F.explode(suppress(F.col("_a"), start, end)).alias("_x")).select(*keys, *(f"_x.{f}" for f in fields))
 
 

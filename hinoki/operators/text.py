@@ -1,7 +1,7 @@
 """Sentence splitting, dictionary scan, phrases and regex matches with offsets.
 
 Offsets are half-open code points from 0.  All in-row: no operator here shuffles,
-apart from the scan's regrouping by row.
+apart from the scan's regrouping by row.  Null and empty texts have no rows.
 """
 
 from __future__ import annotations
@@ -28,21 +28,49 @@ VETO = "[一-鿿々゠-ヿA-Za-z0-9０-９]"
 BLANK = "^[\\s　]*$"
 
 
-def fold(items: Column, kind: str, length, make) -> Column:
-    """array<kind> of make(offset, item) for each item, where offset counts the lengths of
-    those before it: one pass in the row."""
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("a"))
-    step = lambda acc, x: F.struct((acc["n"] + length(x)).alias("n"), F.concat(acc["a"], F.array(make(acc["n"], x))).alias("a"))
-    return F.aggregate(items, zero, step, lambda acc: acc["a"])
+def let(value: Column, make) -> Column:
+    """make(value), with value computed once in the row."""
+    return F.element_at(F.transform(F.array(value), make), 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of a regex's matches, left to right: the gaps
-    between them and the matches alternate, so their lengths add up to the offsets."""
+def running(sizes: Column, start: Column) -> Column:
+    """array<int> of start plus the sum of all sizes before each."""
+    zero = F.struct(start.cast("int").alias("n"), F.array().cast("array<int>").alias("a"))
+    step = lambda acc, x: F.struct((acc["n"] + x).alias("n"), F.concat(acc["a"], F.array(acc["n"])).alias("a"))
+    return F.aggregate(sizes, zero, step, lambda acc: acc["a"])
+
+
+def offsets(sizes: Column) -> Column:
+    """array<int> of the sum of all sizes before each.  A fold copies its array at each
+    step, so blocks of about the root of the count are summed, then folded: a text of
+    ten thousand sentences costs a hundred small folds."""
+
+    def of(sizes):
+        block = F.ceil(F.sqrt(F.size(sizes))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(sizes) / block).cast("int") - 1), lambda i: F.slice(sizes, i * block + 1, block))
+        total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+        return let(cut, lambda cut: F.flatten(F.zip_with(cut, running(F.transform(cut, total), F.lit(0)), running)))
+
+    return let(sizes, lambda sizes: F.when(F.size(sizes) > 16, of(sizes)).otherwise(running(sizes, F.lit(0))))
+
+
+def gaps(text: Column, pattern: str) -> Column:
+    """array<struct<g, m>>: each match of a regex with the length of what lies between it
+    and the one before."""
     pair = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    one = lambda n, p: F.struct((n + p["g"]).alias("start"), (n + p["g"] + F.length(p["m"])).alias("end"), p["m"].alias("text"))
-    found = F.filter(pair, lambda p: p["m"].isNotNull())
-    return fold(found, "struct<start:int,end:int,text:string>", lambda p: p["g"] + F.length(p["m"]), one)
+    return F.filter(pair, lambda p: p["m"].isNotNull())
+
+
+def placed(found: Column) -> Column:
+    """gaps() as array<struct<start, end, text>>: gaps and matches alternate, so their
+    lengths add up to the offsets."""
+    one = lambda p, n: F.struct((n + p["g"]).alias("start"), (n + p["g"] + F.length(p["m"])).alias("end"), p["m"].alias("text"))
+    return let(found, lambda found: F.zip_with(found, offsets(F.transform(found, lambda p: p["g"] + F.length(p["m"]))), one))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, text>> of a regex's matches, left to right."""
+    return placed(gaps(text, pattern))
 
 
 def finditer(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -55,7 +83,8 @@ def sentences(df: DataFrame, text: str = "text") -> DataFrame:
     """A row a sentence with sent_idx (from 0 among those kept), sent_start, sentence.
     A run of end characters stays with its sentence; blank ones go; null texts have none."""
     parts = F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))
-    spans = fold(parts, "struct<start:int,s:string>", F.length, lambda n, s: F.struct(n.alias("start"), s.alias("s")))
+    pair = lambda s, n: F.struct(n.alias("start"), s.alias("s"))
+    spans = let(parts, lambda parts: F.zip_with(parts, offsets(F.transform(parts, F.length)), pair))
     kept = F.filter(spans, lambda x: ~x["s"].rlike(BLANK))
     out = df.withColumn("_k", kept).select("*", F.posexplode("_k").alias("sent_idx", "_s")).drop("_k")
     return out.withColumns({"sent_start": F.col("_s.start"), "sentence": F.col("_s.s")}).drop("_s")
@@ -75,11 +104,17 @@ def scan(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "senten
     kanji, katakana or alphanumeric character.  Boundary and veto come before the
     longest match is picked.  Returns keys, p_start, p_end, surface and the lexicon's
     columns.  Substrings meet the lexicon by an equi-join (its size is fixed by the
-    rule tables, hence the broadcast); one regrouping by keys picks the matches.
+    rule tables, hence the broadcast), after their first two characters have met an index of
+    its beginnings; one regrouping by keys picks the matches.
     """
     c = F.col(text)
+    # Only places whose first two characters begin an entry are looked at further, and only
+    # at the lengths that entries of this beginning have.
+    heads = lexicon.groupBy(F.substring("surface", 1, 2).alias("_head")).agg(F.collect_set(F.length("surface")).alias("_sizes"))
     starts = df.where(F.length(c) >= 2).select(*keys, c.alias("_t"), F.explode(F.sequence(F.lit(0), F.length(c) - 2)).alias("p_start"))
-    cand = starts.withColumn("_n", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.length("_t") - F.col("p_start")))))
+    met = starts.withColumn("_head", F.substr("_t", F.col("p_start") + 1, F.lit(2))).join(F.broadcast(heads), "_head").drop("_head")
+    fits = F.filter("_sizes", lambda n: (n <= longest) & (n <= F.length("_t") - F.col("p_start")))
+    cand = met.withColumn("_n", F.explode(fits)).drop("_sizes")
     cand = cand.withColumn("surface", F.substr("_t", F.col("p_start") + 1, F.col("_n")))
     hit = cand.join(F.broadcast(lexicon), "surface")
     if boundary:
@@ -118,10 +153,30 @@ def segments(messages: DataFrame, findings: DataFrame, key: str = "doc_id") -> D
 def line_starts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line, start, length): lines from 1 with their offsets; with a column from 1
     the absolute offset is start + column - 1."""
-    lines = fold(F.split(F.col(text), "\n", -1), "struct<start:int,length:int>", lambda s: F.length(s) + 1, lambda n, s: F.struct(n.alias("start"), F.length(s).alias("length")))
+    one = lambda s, n: F.struct(n.alias("start"), F.length(s).alias("length"))
+    lines = let(F.split(F.col(text), "\n", -1), lambda parts: F.zip_with(parts, offsets(F.transform(parts, lambda s: F.length(s) + 1)), one))
     return df.select(key, F.posexplode(lines).alias("_i", "_l")).select(key, (F.col("_i") + 1).alias("line"), "_l.start", "_l.length")
 
 
+def position(line: Column, column: Column, starts: Column, lengths: Column) -> Column:
+    """The offset of a line and column from 1, in a text whose lines have these starts and
+    lengths; a column beyond its line's end stands for the end, null for an unknown line."""
+    at = F.try_element_at(starts, line)
+    return F.when((line >= 1) & (column >= 1), at + F.least(column - 1, F.try_element_at(lengths, line)))
+
+
+def ranges(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, start, end, surface) of rows with from_line, from_column, to_line, to_column
+    (from 1, the last one excluded).  Without an end a range is one character, an empty
+    range too; ranges with an unknown line or an end before their start go."""
+    parts = F.split(F.col(text), "\n", -1)
+    rows = df.withColumn("_n", F.transform(parts, F.length)).withColumn("_o", offsets(F.transform("_n", lambda n: n + 1)))
+    start = position(F.col("from_line"), F.col("from_column"), F.col("_o"), F.col("_n"))
+    end = F.coalesce(position(F.col("to_line"), F.col("to_column"), F.col("_o"), F.col("_n")), start + 1)
+    rows = rows.withColumn("start", start).withColumn("end", F.when(end == start, F.least(start + 1, F.length(text))).otherwise(end)).where("start is not null and end >= start")
+    return rows.select(key, "start", "end", F.substr(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"))
+
+
 def forbidden(df: DataFrame, column: str) -> DataFrame:
     """Rows whose column holds a phrase that messages must not hold."""
     return df.where(F.col(column).rlike("|".join(re.escape(p) for _, p in T.FORBIDDEN)))

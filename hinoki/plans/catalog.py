@@ -215,10 +215,10 @@ def dictionary_scan(spark, sf_dir):
 LATIN = [("the", "article"), ("and", "conjunction"), ("of", "preposition"), ("that", "determiner"), ("is", "verb")]
 
 
-@query(f"select d.doc_id, w.word, w.tag, (len(string_split(' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ', ' ' || w.word || ' ')) - 1) as n from documents d cross join {M.values(LATIN, 'word, tag', 'w')} where n > 0 and lang = 'en'")
+@query(f"select d.doc_id, w.word, w.tag, (len(string_split(' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ', ' ' || w.word || ' ')) - 1) as n from documents d cross join {M.values(LATIN, 'word, tag', 'w')} where n > 0")
 def latin_dictionary_counts(spark, sf_dir):
     """A dictionary match on native text: words of a small lexicon a document."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
     lex = F.broadcast(M.inline(spark, LATIN, "word, tag"))
     return docs.join(lex, "word").groupBy("doc_id", "word", "tag").agg(F.count("*").alias("n"))
 
@@ -275,13 +275,13 @@ RULES_ORACLE = " union all ".join(f"select '{i}' as rule_id, '{k}' as error_type
 
 @query(f"with {oracle_cte()} select doc_id, rule_id, error_type, start, end_, surface from ({RULES_ORACLE}) as q")
 def surface_rule_hits(spark, sf_dir):
-    m = messages(spark, sf_dir)
-    rows = F.concat(*(F.transform(X.matches(F.col("text"), p), rule_of(i, k)) for i, p, k in T.SURFACE_RULES))
-    return m.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.rule_id", "r.error_type", "r.start", "r.end_", "r.surface")
-
-
-def rule_of(rule: str, kind: str):
-    return lambda m: F.struct(F.lit(rule).alias("rule_id"), F.lit(kind).alias("error_type"), m["start"].alias("start"), m["end"].alias("end_"), m["text"].alias("surface"))
+    # One alternation drops most messages; then one row a rule that matches, so the
+    # offsets are one expression whatever the number of rules.
+    m = messages(spark, sf_dir).where(F.col("text").rlike("|".join(p for _, p, _ in T.SURFACE_RULES)))
+    text = F.col("text")
+    rules = F.array(*(F.when(text.rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(k).alias("error_type"), X.gaps(text, p).alias("found"))) for i, p, k in T.SURFACE_RULES))
+    hit = m.select("doc_id", F.explode(F.array_compact(rules)).alias("r"))
+    return hit.select("doc_id", "r.rule_id", "r.error_type", F.explode(X.placed(F.col("r.found"))).alias("m")).select("doc_id", "rule_id", "error_type", F.col("m.start").alias("start"), F.col("m.end").alias("end_"), F.col("m.text").alias("surface"))
 
 
 @query()
@@ -408,22 +408,26 @@ def reportable_by_audience(spark, sf_dir):
 
 # --- spans -----------------------------------------------------------------------
 
-DUCK_SPANS = "a as (select user_id as k, event_id as id, ((event_id * 37) % 1000)::int as start, ((event_id * 37) % 1000 + 1 + event_id % 20)::int as end_, event_type as type from events where event_id % 3 = 0), b as (select user_id as k, event_id as id2, ((event_id * 37) % 1000)::int as start2, ((event_id * 37) % 1000 + 1 + event_id % 20)::int as end2, event_type as type2, value as conf from events where event_id % 3 = 1)"
+DUCK_SPANS = "a as (select user_id as k, event_id as id, ((event_id * 37) % 1000)::int as start, ((event_id * 37) % 1000 + 1 + event_id % 20)::int as end_, event_type as type from events where event_id % 2 = 0), b as (select user_id as k, event_id as id2, ((event_id * 37) % 1000)::int as start2, ((event_id * 37) % 1000 + 1 + event_id % 20)::int as end2, event_type as type2, value as conf from events where event_id % 2 = 1)"
+
+
+LONGEST = 20  # of the spans made of events
 
 
 def span_pair(spark, sf_dir):
+    """All events on two sides: those of even ids against those of odd ones."""
     e = table(spark, sf_dir, "events")
     start = ((F.col("event_id") * 37) % 1000).cast("int")
     end = (start + 1 + F.col("event_id") % 20).cast("int")
-    a = e.where("event_id % 3 = 0").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), start.alias("start"), end.alias("end"), F.col("event_type").alias("type"))
-    b = e.where("event_id % 3 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("id2"), start.alias("start2"), end.alias("end2"), F.col("event_type").alias("type2"), F.col("value").alias("conf"))
+    a = e.where("event_id % 2 = 0").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), start.alias("start"), end.alias("end"), F.col("event_type").alias("type"))
+    b = e.where("event_id % 2 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("id2"), start.alias("start2"), end.alias("end2"), F.col("event_type").alias("type2"), F.col("value").alias("conf"))
     return a, b
 
 
 @query(f"with {DUCK_SPANS} select a.id, b.id2 from a join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_")
 def span_overlap_join(spark, sf_dir):
     a, b = span_pair(spark, sf_dir)
-    return S.overlap_join(a, b, "k").select("id", "id2")
+    return S.overlap_join(a, b, "k", longest=LONGEST).select("id", "id2")
 
 
 IOU = "(least(end_, end2) - greatest(start, start2))::double / ((end_ - start) + (end2 - start2) - (least(end_, end2) - greatest(start, start2)))"
@@ -432,19 +436,19 @@ IOU = "(least(end_, end2) - greatest(start, start2))::double / ((end_ - start) +
 @query(f"with {DUCK_SPANS}, m as (select a.id, b.id2, {IOU} as iou from a join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_) select id, id2, round(iou, 9) as iou from m qualify row_number() over (partition by id order by iou desc, id2) = 1")
 def best_iou_match(spark, sf_dir):
     a, b = span_pair(spark, sf_dir)
-    return S.best_match(a, b, "k", ["id"], ["id2"]).select("id", "id2", F.round("iou", 9).alias("iou"))
+    return S.best_match(a, b, "k", ["id"], ["id2"], LONGEST).select("id", "id2", F.round("iou", 9).alias("iou"))
 
 
 @query(f"with {DUCK_SPANS} select id from a where exists (select 1 from b where a.k = b.k and a.start < b.end2 and b.start2 < a.end_)")
 def span_semi(spark, sf_dir):
     a, b = span_pair(spark, sf_dir)
-    return S.overlap_join(a, b, "k", "left_semi").select("id")
+    return S.overlap_join(a, b, "k", "left_semi", LONGEST).select("id")
 
 
 @query(f"with {DUCK_SPANS} select id from a where not exists (select 1 from b where a.k = b.k and a.start < b.end2 and b.start2 < a.end_)")
 def span_anti(spark, sf_dir):
     a, b = span_pair(spark, sf_dir)
-    return S.overlap_join(a, b, "k", "left_anti").select("id")
+    return S.overlap_join(a, b, "k", "left_anti", LONGEST).select("id")
 
 
 @query(
@@ -632,9 +636,9 @@ def explained_findings(spark, sf_dir):
 
 @query(f"with {oracle_cte()}, q as ({' union all '.join('select ' + repr(l) + ' as lang, ' + M.quote(p) + ' as phrase' for l, p in T.FORBIDDEN)}) select lang, phrase, count(m.doc_id) as n from q left join messages m on contains(m.text, q.phrase) group by lang, phrase")
 def forbidden_phrases(spark, sf_dir):
-    p = M.inline(spark, T.FORBIDDEN, "lang, phrase")
-    m = messages(spark, sf_dir).select("doc_id", "text")
-    return m.join(F.broadcast(p), F.col("text").contains(F.col("phrase")), "right").groupBy("lang", "phrase").agg(F.count("doc_id").alias("n"))
+    held = F.filter(F.array(*(F.struct(F.lit(l).alias("lang"), F.lit(p).alias("phrase")) for l, p in T.FORBIDDEN)), lambda p: F.col("text").contains(p["phrase"]))
+    n = messages(spark, sf_dir).select(F.explode(held).alias("p")).groupBy("p.lang", "p.phrase").agg(F.count("*").alias("n"))
+    return M.inline(spark, T.FORBIDDEN, "lang, phrase").join(F.broadcast(n), ["lang", "phrase"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query()

@@ -19,6 +19,7 @@ from ..operators import roles as R
 from ..operators import spans as S
 from ..operators import text as X
 from ..sources import records as RC
+from . import sql_findings as Q
 from .messages import messages, oracle_cte
 
 QUERIES: dict = {}
@@ -284,7 +285,16 @@ def surface_rule_hits(spark, sf_dir):
     return hit.select("doc_id", "r.rule_id", "r.error_type", F.explode(X.placed(F.col("r.found"))).alias("m")).select("doc_id", "rule_id", "error_type", F.col("m.start").alias("start"), F.col("m.end").alias("end_"), F.col("m.text").alias("surface"))
 
 
-@query()
+DUCK_BASE = (
+    "raw as (select doc_id, rule_id, error_type, start, end_, surface from (" + RULES_ORACLE.replace("from messages)", "from src)") + ") as q union all "
+    + "select doc_id, 'sasete.density', 'sasete_itadaku_overuse', start, end_, surface from (" + Q.regex_rows("させていただ", "(select * from src where len(regexp_extract_all(text, 'させていただ')) >= 2)") + ") as q), "
+    + "b_ranked as (select *, row_number() over (partition by doc_id order by start, start - end_, rule_id, error_type) as r from raw), "
+    + "b_kept as (select doc_id, r, [{'r': r, 's': start, 't': end_}] as kept from b_ranked where r = 1 union all select e.doc_id, e.r, case when len(list_filter(g.kept, lambda o: o.s < e.end_ and e.start < o.t)) > 0 then g.kept else list_append(g.kept, {'r': e.r, 's': e.start, 't': e.end_}) end from b_kept g join b_ranked e on e.doc_id = g.doc_id and e.r = g.r + 1), "
+    + "base_hits as (select k.* from b_ranked k join (select doc_id, x.r as r from (select doc_id, arg_max(kept, r) as kept from b_kept group by doc_id), unnest(kept) as u(x)) as y on y.doc_id = k.doc_id and y.r = k.r)"
+)
+
+
+@query(f"with recursive {Q.messages_src(oracle_cte())}, {DUCK_BASE} select a.doc_id, f.rule_id, f.error_type, f.start, f.end_, f.surface from base_hits f join all_ a on a.sid = f.doc_id")
 def surface_baseline(spark, sf_dir):
     """The rules alone: matches of a message kept greedily by start, the longest first."""
     m = messages(spark, sf_dir)
@@ -369,7 +379,16 @@ def sentence_functions(spark, sf_dir):
     return s.groupBy("function", "audience").agg(F.count("*").alias("n"))
 
 
-@query()
+SRC = Q.messages_src(oracle_cte())
+HITS = "a.doc_id, f.start, f.end_, f.surface, f.error_type, round(f.confidence, 6) as confidence, f.citation_key"
+FOUND = f"with recursive {SRC}, {Q.findings()}"
+
+
+def on_all(table: str, columns: str) -> str:
+    return f"select {columns} from {table} f join all_ a on a.sid = f.doc_id"
+
+
+@query(f"with recursive {SRC}, {Q.roles()} " + on_all("tagged", "a.doc_id, f.sent_idx, f.start, f.end_, f.surface, f.cls, f.actor, f.actor_conf, f.target, f.function, f.link"))
 def role_actors(spark, sf_dir):
     r = R.tag(messages(spark, sf_dir))
     return r.select("doc_id", "sent_idx", "start", F.col("end").alias("end_"), "surface", "cls", "actor", F.round("actor_conf", 2).alias("actor_conf"), "target", "function", "link")
@@ -383,23 +402,23 @@ def carry_forward_conversations(spark, sf_dir):
     return c.select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.length("text")), ignorenulls=True).over(before).alias("carried"))
 
 
-@query()
+@query(f"with recursive {SRC}, {Q.roles()}, {Q.direction()} " + on_all("directed", HITS))
 def direction_hits(spark, sf_dir):
     return spans_of(D.direction_hits(R.tag(messages(spark, sf_dir))))
 
 
-@query()
+@query(f"with recursive {SRC}, {Q.roles()}, {Q.inversion()} " + on_all("inverted", HITS))
 def rank_inversion(spark, sf_dir):
     return spans_of(D.inversion_hits(R.tag(messages(spark, sf_dir))))
 
 
-@query()
+@query(FOUND + " " + on_all("found", HITS + ", f.verdict, f.acceptability"))
 def check_findings(spark, sf_dir):
     f = D.detect(messages(spark, sf_dir))
     return f.select("doc_id", "start", F.col("end").alias("end_"), "surface", "error_type", "verdict", F.round("confidence", 6).alias("confidence"), "citation_key", "acceptability")
 
 
-@query()
+@query(FOUND + " select a.audience, f.error_type, count(*) filter (f.verdict = 'norm_divergence') as n_reportable, count(*) filter (f.verdict = 'variation') as n_variations from found f join all_ a on a.sid = f.doc_id group by all")
 def reportable_by_audience(spark, sf_dir):
     m = messages(spark, sf_dir)
     f = D.detect(m).join(m.select("doc_id", "audience"), "doc_id")
@@ -620,13 +639,24 @@ def line_offsets(spark, sf_dir):
     return X.line_starts(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query()
+PIECES = (
+    ", spans_ as (select doc_id, start, end_, error_type from found), n_spans as (select *, row_number() over (partition by doc_id order by start, end_, error_type) as i from spans_), "
+    "gaps_ as (select s.doc_id, coalesce(p.end_, 0) as start, coalesce(n.start, length(s.text)) as end_ from (select doc_id, text, unnest(range(0, coalesce((select count(*) from n_spans x where x.doc_id = src.doc_id), 0) + 1)) as i from src) as s left join n_spans p on p.doc_id = s.doc_id and p.i = s.i left join n_spans n on n.doc_id = s.doc_id and n.i = s.i + 1), "
+    "pieces as (select doc_id, start, end_, error_type as label from n_spans union all select doc_id, start, end_, null from gaps_ where start < end_)"
+)
+
+
+@query(FOUND + PIECES + " select a.doc_id, f.start::int as start, f.end_::int as end_, substring(a.text, f.start + 1, f.end_ - f.start) as segment, f.label from pieces f join all_ a on a.sid = f.doc_id")
 def highlight_segments(spark, sf_dir):
     m = messages(spark, sf_dir)
     return X.segments(m, D.detect(m))
 
 
-@query()
+NAMED = M.values([(t[0], t[4]) for t in T.ERROR_TYPES], "error_type, name", "n")
+MESSAGE = "case when f.verdict = 'variation' then 'Usage is divided on this form: ' || f.surface else n.name || ': ' || f.surface end || case when c.section is not null then ' (' || c.section || ', ' || c.page || ')' else '' end"
+
+
+@query(FOUND + f" select a.doc_id, f.start, f.end_, f.error_type, f.verdict, c.section, c.page, {MESSAGE} as message from found f join all_ a on a.sid = f.doc_id left join {CITES} on c.citation_key = f.citation_key left join {NAMED} on n.error_type = f.error_type")
 def explained_findings(spark, sf_dir):
     """Findings with source and message; none holds a forbidden phrase."""
     f = CO.explain(D.detect(messages(spark, sf_dir)))
@@ -641,7 +671,11 @@ def forbidden_phrases(spark, sf_dir):
     return M.inline(spark, T.FORBIDDEN, "lang, phrase").join(F.broadcast(n), ["lang", "phrase"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query()
+@query(
+    FOUND + ", " + DUCK_BASE + ", ours as (select doc_id, start, end_ from found where verdict = 'norm_divergence'), theirs as (select doc_id, start, end_ from base_hits), "
+    "told as (select *, 'both' as found_by from ours o where exists (select 1 from theirs t where t.doc_id = o.doc_id and t.start < o.end_ and o.start < t.end_) union all select *, 'ours' from ours o where not exists (select 1 from theirs t where t.doc_id = o.doc_id and t.start < o.end_ and o.start < t.end_) "
+    "union all select *, 'rules' from theirs t where not exists (select 1 from ours o where t.doc_id = o.doc_id and t.start < o.end_ and o.start < t.end_)) select a.doc_id, f.start, f.end_, f.found_by from told f join all_ a on a.sid = f.doc_id"
+)
 def tool_overlap(spark, sf_dir):
     """The detector against the surface rules alone: found by one, the other, both."""
     ours = D.detect(messages(spark, sf_dir)).where("verdict = 'norm_divergence'").select("doc_id", "start", "end")

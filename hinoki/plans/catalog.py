@@ -608,7 +608,16 @@ def bio_decode(spark, sf_dir):
     return E.bio_decode(t).select("id", "type", "start", F.col("end").alias("end_"), F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+CORPUS_PERSONS = [*Q.PERSONS, ("木村", "third_party")]
+DIRECTED = ", ".join(f"'{t[0]}'" for t in T.ERROR_TYPES if t[2])
+
+
+@query(
+    f"with recursive {INJ}, src as (select id || '|' || error_type as doc_id, text, audience from inj), {Q.findings(CORPUS_PERSONS)}, "
+    "gold_met as (select i.id, i.error_type as type, max(f.doc_id is not null) as located, coalesce(max(f.error_type = i.error_type), false) as typed from inj i left join (select * from found where verdict = 'norm_divergence') f on f.doc_id = i.id || '|' || i.error_type and f.start < i.end_ and i.start < f.end_ group by i.id, i.error_type, i.start, i.end_), "
+    f"grouped_ as (select type, located, typed from gold_met union all select '__all__', located, typed from gold_met union all select '__direction__', located, typed from gold_met where type in ({DIRECTED})) "
+    "select type, count(*) as n, avg(located::int) as location_recall, avg(typed::int) as type_recall from grouped_ group by type"
+)
 def corpus_recall(spark, sf_dir):
     """Recall by type of the whole detector on injected errors."""
     gold, found = corpus_findings(spark)
@@ -622,13 +631,16 @@ def corpus_findings(spark) -> tuple[DataFrame, DataFrame]:
 
 
 def with_context(rows: DataFrame) -> DataFrame:
-    from .messages import PERSONS, RECIPIENT, WRITER
+    from .messages import RECIPIENT, WRITER
 
-    persons = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("side")) for n, s in [*PERSONS, ("木村", "third_party")]))
+    persons = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("side")) for n, s in CORPUS_PERSONS))
     return rows.select("doc_id", "text", "audience", F.lit(WRITER).alias("writer"), F.lit(RECIPIENT).alias("recipient"), persons.alias("persons"))
 
 
-@query()
+@query(
+    f"with recursive {CAND}, corp as ({G.corpus_sql('cand')}), src as (select id as doc_id, text, audience from corp), {Q.findings(CORPUS_PERSONS)}, "
+    "per_doc as (select doc_id, count(*) as c from found where verdict = 'norm_divergence' group by doc_id) select count(*) as n_docs, count(c) as docs_with_fp, coalesce(sum(c), 0)::bigint as fp_count from src s left join per_doc p on p.doc_id = s.doc_id"
+)
 def corpus_false_positives(spark, sf_dir):
     docs = with_context(corpus(spark).withColumnRenamed("id", "doc_id"))
     return E.false_positives(docs, D.detect(docs), "doc_id")

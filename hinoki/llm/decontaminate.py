@@ -4,8 +4,9 @@ A test item is short and a document long, so what counts is how much of the item
 five-word shingles the document contains.  Items are partitioned by size; each gets
 a bottom-k MinHash sketch, k being one more than the shingles a document may lack at
 the wanted containment, so that every containing document meets the sketch at least
-once.  The largest sketch value of the size partitions cuts off most of a document's
-shingles before the equi-join; a document too small for an item is no candidate.
+once.  Each size partition has its own cut, the largest value of its sketches: only a
+document's hashes up to it are its probes there, and only documents with as many shingles
+as the partition's smallest need probe it at all.  The equi-join is on partition and hash.
 Candidates are then verified by the exact containment of shingle texts.
 """
 
@@ -62,16 +63,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, containment
     )
     items = C.materialize(items, "bench")
     sketch = items.where("nth <= n_item - need + 1")
-    cuts = {r[0]: (r[1], r[2]) for r in sketch.groupBy("part").agg(F.max("h"), F.min("need")).collect()}
+    cuts = sorted(((r[1], r[0], r[2]) for r in sketch.groupBy("part").agg(F.max("h"), F.min("need")).collect()), reverse=True)
     if not cuts:
         return spark.createDataFrame([], "doc_key string, item_key string, n_shared long, n_item long")
-    high = max(h for h, _ in cuts.values())
     hashed = docs.select(F.col(text_col).alias("t")).where("t is not null").select(text_key(F.col("t")).alias("doc_key"), words(F.col("t")).alias("w"))
+    room = F.greatest(F.col("n_words") - (n - 1), F.lit(1))
     hashed = hashed.select("doc_key", F.size("w").alias("n_words"), shingles(F.col("w"), n, lambda s: F.xxhash64(F.array_join(s, " "))).alias("hs"))
-    low = F.filter("hs", lambda h: h <= F.lit(high).cast("bigint"))
-    probes = hashed.select("doc_key", F.greatest(F.col("n_words") - (n - 1), F.lit(1)).alias("room"), F.explode(low).alias("h"))
-    small = C.maybe_broadcast(sketch.select("h", "item_key", "need"))
-    candidates = C.materialize(probes.join(small, "h").where("room >= need").select("doc_key", "item_key").distinct(), "bench-pairs")
+    # Each size partition is probed by the hashes up to its own cut, and only by documents
+    # that have room for its smallest need.  Cuts fall, so each is taken from what the last one left.
+    left, found = "hs", []
+    for i, (high, part, need) in enumerate(cuts):
+        hashed = hashed.withColumn(f"low{i}", F.filter(left, lambda h: h <= F.lit(high).cast("bigint")))
+        left = f"low{i}"
+        own = F.transform(left, lambda h: F.struct(F.lit(part).alias("part"), h.alias("h")))
+        found.append(F.when(room >= need, own).otherwise(F.slice(own, 1, 0)))
+    probes = hashed.select("doc_key", room.alias("room"), F.explode(F.concat(*found)).alias("p")).select("doc_key", "room", "p.part", "p.h")
+    small = C.maybe_broadcast(sketch.select("part", "h", "item_key", "need"))
+    candidates = C.materialize(probes.join(small, ["part", "h"]).where("room >= need").select("doc_key", "item_key").distinct(), "bench-pairs")
     keys = C.maybe_broadcast(candidates.select("doc_key").distinct())
     texts = docs.select(F.col(text_col).alias("t")).where("t is not null").withColumn("doc_key", text_key(F.col("t"))).join(keys, "doc_key")
     # The words come from a project of their own: inside the shingles' lambda they would be split anew for each.
@@ -85,12 +93,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, containment
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """docs without the rows whose text contains a test item; all columns and all
     other rows stay, those with a null text too."""
-    bad = C.maybe_broadcast(contamination(docs, benchmark, **settings).select(F.col("doc_key").alias("__key")).distinct())
-    return docs.join(bad, text_key(F.col("text")) == F.col("__key"), "left_anti")
+    key = C.free_name(docs, "key of bad text")
+    bad = C.maybe_broadcast(contamination(docs, benchmark, **settings).select(F.col("doc_key").alias(key)).distinct())
+    return docs.join(bad, text_key(F.col("text")) == F.col(key), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document row and test item it contains."""
+    """One row for each document row and test item it contains.  Null, empty and white texts
+    contain nothing, repeated rows and items give a row each, very long texts are searched
+    whole, null ids stay null; without documents or items there are no rows."""
     docs, bench = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")
     found = contamination(docs, bench)
     items = bench.where("text is not null").select("item_id", text_key(F.col("text")).alias("item_key"))

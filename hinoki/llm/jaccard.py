@@ -27,7 +27,8 @@ from . import common as C
 
 CELL_BITS = 24  # the table of frequencies has no more cells (bytes) than this many bits name
 FREQUENT = 32  # a cell with as many sets, and twice the mean, is of the frequent class
-SMALL = 40  # smaller sets are indexed by single tokens of both classes
+STEPS = 160  # sizes up to it are planned one by one
+SALTS = 8  # parts of a node of many links
 CHUNK, FLUSH = 256, 1_000_000
 U = np.uint64
 LOW = U(1 << 62)
@@ -127,17 +128,20 @@ class Plan:
         return -(-self.num * size // self.den)
 
     def segments(self, size: int) -> int:
-        """Segments where size is the larger set's; 0: single tokens."""
-        return 0 if size < SMALL else 1 << max(0, int(math.log2(max(1, (size - self.least(size)) / 2))))
+        """Segments where size is the larger set's: fewer than the tokens that a link
+        needs.  0 (single tokens of both classes) only where one common token can be a link."""
+        least = self.least(size)
+        return 0 if least < 2 else 1 << int(math.log2(max(1, min((size - least) / 2, least - 1))))
 
     def reach(self, size: int) -> set[int]:
         """Segments that a pair with a set of that size may use (its own size, or
         that of a larger partner)."""
         top = size * self.den // self.num
+        # A pair's overlap is the larger set's least at the least, the smaller set's size at most.
         out, s = set(), size
         while s <= top:
             out.add(self.segments(s))
-            s = s + 1 if s < 4 * SMALL else max(s + 1, min(top, s + s // 64) if s < top else top + 1)
+            s = s + 1 if s < STEPS else max(s + 1, min(top, s + s // 64) if s < top else top + 1)
         out.add(self.segments(top))
         return out
 
@@ -187,7 +191,8 @@ def named_sets(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def shared_tokens(rows: DataFrame, slices: int, tokens_of) -> DataFrame:
-    """(node, shared): how many of a set's tokens other sets have, too.  tokens_of makes
+    """(node, shared): how many of a set's tokens other sets have, too (more where a set is
+    read by several tasks).  tokens_of makes
     (node, tokens) of a batch's rows.  Tokens go to slices by their last bits, a slice
     holds four bytes of each: as good as never are two taken for one, and then a set
     only seems to share more."""
@@ -213,19 +218,37 @@ def shared_tokens(rows: DataFrame, slices: int, tokens_of) -> DataFrame:
     def emit(keep, names):
         flat = np.concatenate(keep)
         who = np.repeat(np.arange(len(keep), dtype=np.uint16), [len(s) for s in keep])
+        order = np.lexsort((who, flat))
+        flat, who = flat[order], who[order]
+        same, edge = flat[1:] == flat[:-1], np.zeros(1, bool)
+        after = np.concatenate((edge, same))
+        many = after | np.concatenate((same, edge))
+        # Tokens that several of these sets have are counted here; of each, one entry of no
+        # set goes on.  So a token's group has at most one entry of every flush.
+        mine = np.bincount(who[many], minlength=len(keep))
+        who = np.where(many, len(keep), who).astype(np.uint16)[~after]
+        flat = flat[~after]
         part = (flat % U(slices)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         flat, who = (flat[order] >> U(28)).astype(np.uint32), who[order]
         at = np.searchsorted(part[order], np.arange(slices + 1))
         full = [i for i in range(slices) if at[i] < at[i + 1]]
-        rows = [[], [], []]
+        rows, names = [[], [], []], np.array([*names, 0], np.int64)
         for i in full:
             used, back = np.unique(who[at[i] : at[i + 1]], return_inverse=True)
-            for r, x in zip(rows, (np.array(names, np.int64)[used], back.astype(np.uint16), flat[at[i] : at[i + 1]])):
+            for r, x in zip(rows, (names[used], back.astype(np.uint16), flat[at[i] : at[i + 1]])):
                 r.append(x.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["s", "names", "who", "token"])
+        own = np.flatnonzero(mine)
+        for r, x in zip(rows, (names[own], mine[own].astype(np.int64), own[:0])):
+            r.append(x.tobytes())
+        where = -1 - int(names[:-1].sum() % slices)
+        return pa.RecordBatch.from_arrays([pa.array([*full, where], pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["s", "names", "who", "token"])
 
     def count(t):
+        if t.column("s")[0].as_py() < 0:
+            node, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("names", "who"))
+            node, back = np.unique(node, return_inverse=True)
+            return pa.Table.from_arrays([pa.array(node), pa.array(np.bincount(back, n, len(node)).astype(np.int64))], ["node", "n"])
         node, token = [], []
         for names, who, tok in zip(*(t.column(c).to_pylist() for c in ("names", "who", "token"))):
             node.append(np.frombuffer(names, np.int64)[np.frombuffer(who, np.uint16)])
@@ -235,9 +258,9 @@ def shared_tokens(rows: DataFrame, slices: int, tokens_of) -> DataFrame:
         node, token = node[order], token[order]
         own = np.concatenate(([True], (node[1:] != node[:-1]) | (token[1:] != token[:-1])))
         node, token = node[own], token[own]
-        same, edge = token[1:] == token[:-1], np.zeros(1, bool)
-        many = np.concatenate((edge, same)) | np.concatenate((same, edge))
-        node, n = np.unique(node[many], return_counts=True)
+        group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
+        many = np.bincount(group, np.where(node == 0, 2, 1))[group] > 1
+        node, n = np.unique(node[many & (node != 0)], return_counts=True)
         return pa.Table.from_arrays([pa.array(node), pa.array(n.astype(np.int64))], ["node", "n"])
 
     rows = rows.mapInArrow(C.frugal(run), "s int, names binary, who binary, token binary")
@@ -339,19 +362,31 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of links (a, b).
     Smallest labels spread and labels are looked up again each round (so a chain of d
     links takes about log d rounds); every round is a written table."""
-    both = C.materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "cc-links")
+    both = C.materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "cc-links").withColumn("salt", salt("a"))
     labels = C.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "cc")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = C.materialize(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "cc")
+        near = both.join(salted(labels), (F.col("b") == F.col("node")) & (F.col("salt") == F.col("part"))).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = C.materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "cc-step")
+        # Only labels are looked up again, and a label of many nodes by several tasks.
+        roots = step.select("label").distinct().join(step.select(F.col("node").alias("label"), F.col("label").alias("far")), "label")
+        jump = salted(roots)
+        new = step.withColumn("salt", salt("node")).join(jump.withColumnRenamed("part", "salt"), ["label", "salt"], "left")
+        new = C.materialize(new.select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "cc")
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
             return labels
 
 
+def salt(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """rows once for each part."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def star_links(shared: DataFrame, size_of: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """The links of each node of shared (node, size, centre) with the centre that it has
     most keys in common with."""
@@ -392,7 +427,7 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     common = shared_tokens(sets, slices, lambda b: [(k, np.frombuffer(x, np.uint64)) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
     size = (F.octet_length("set") / 8).cast("long")
     lack = size - F.expr(f"cast(ceil(cast({num} * octet_length(set) / 8 as decimal(20,0)) / {den}) as long)")
-    sets = sets.join(C.maybe_broadcast(C.materialize(common, "jaccard-common")), "node").withColumn("own", size - F.col("shared")).where(F.col("own") <= lack)
+    sets = sets.join(C.maybe_broadcast(C.materialize(common, "jaccard-common")), "node").withColumn("own", F.greatest(size - F.col("shared"), F.lit(0))).where(F.col("own") <= lack)
     sets = C.materialize(sets.select("node", "set", "own"), "jaccard-sets")
     tokens = sets.agg(F.coalesce(F.sum(F.octet_length("set")) / 8, F.lit(1))).first()[0]
     cells = 1 << min(CELL_BITS, max(16, int(tokens).bit_length()))
@@ -452,16 +487,18 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
     groups = named.groupBy("label").agg(F.min(who).alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = C.materialize(groups, "jaccard-groups")
-    gone = named.join(C.maybe_broadcast(groups), "label").where(~(who.eqNullSafe(F.col("first")))).select(F.col("doc_id").alias("__d"), F.col("copy").alias("__c")).distinct()
+    # Names that are no columns of docs.
+    d, c, x, y = (C.free_name(docs, n) for n in ("d of row", "c of row", "x of row", "y of row"))
+    gone = named.join(C.maybe_broadcast(groups), "label").where(~(who.eqNullSafe(F.col("first")))).select(F.col("doc_id").alias(d), F.col("copy").alias(c)).distinct()
     # A kept row that is there twice, word for word, stays once.
-    twice = named.groupBy("doc_id", "copy").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("copy").alias("__c"))
-    named_docs = docs.withColumn("__x", F.col("doc_id").cast("long")).withColumn("__y", F.xxhash64("text"))
-    same = F.col("__x").eqNullSafe(F.col("__d")) & (F.col("__y") == F.col("__c"))
+    twice = named.groupBy("doc_id", "copy").count().where("count > 1").select(F.col("doc_id").alias(d), F.col("copy").alias(c))
+    named_docs = docs.withColumn(x, F.col("doc_id").cast("long")).withColumn(y, F.xxhash64("text"))
+    same = F.col(x).eqNullSafe(F.col(d)) & (F.col(y) == F.col(c))
     kept = named_docs.join(C.maybe_broadcast(C.materialize(gone, "jaccard-gone")), same, "left_anti")
     twice = C.materialize(twice, "jaccard-twice")
     if twice.limit(1).count():
         twice = C.maybe_broadcast(twice)
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["__x", "__y"]))
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([x, y]))
     return kept.select(*docs.columns)
 
 

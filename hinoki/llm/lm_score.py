@@ -13,12 +13,13 @@ each text's first word.
 
 Nothing that is gathered is cut: every word and every bigram of the training part is in,
 and the filter has BITS_EACH bits or more for each insertion at every size.  Such a filter
-grows with the corpus, so it isn't broadcast whole: it is kept in slices, as many as the
-corpus needs, and each slice goes to the task that gets its probes.  A block of texts asks
-each of its different words and bigrams once, the slices answer, and the block is scored
-where its answers meet it.  No group grows with the corpus: a slice holds SLICE tokens'
-share of keys, a frequent word is asked for once a block, and a block is a few MB of texts
-or one longer text.
+grows with the corpus, so it isn't broadcast whole: it lives in slices, as many as the
+corpus needs, each in the task that gets both its counts and its probes.  A block of texts
+sends each of its different words and bigrams once, with how often its training texts hold
+it; a slice sums the counts, fills its part of the filter and answers every block; a block
+is scored where its answers meet its texts.  No group grows with the corpus: a slice holds
+SLICE tokens' share of keys, a frequent word comes once a block, and a block is a few MB of
+texts or one longer text.
 """
 
 from __future__ import annotations
@@ -38,10 +39,10 @@ END = b"\n"  # the end token; no word holds white space
 HASHES, BITS_EACH = 4, 8
 LEVELS = 48
 WEIGHT = 4.0
-SLICE = 2_000_000  # training tokens for each slice
-FLUSH = 2_000_000  # tokens counted before a worker hands on its sums
-BLOCK = 500_000  # tokens of a block of texts that asks together
-WORD = np.dtype([("a", "<u8"), ("b", "<u8")])  # the 128-bit name of a word
+SLICE = 3_000_000  # tokens for each slice
+BLOCK = 1_000_000  # tokens of a block of texts
+WORD = np.dtype([("a", "<u8"), ("b", "<u4")])  # the 96-bit name of a word
+PAIR_BITS = 48  # of a bigram's name
 U = np.uint64
 
 
@@ -110,17 +111,24 @@ class Bundle:
         flat = list(chain.from_iterable(split))
         index = {w: i for i, w in enumerate(dict.fromkeys(flat, 0))}
         self.ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        self.words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, index)), WORD)
+        name = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, index)), "<u8").reshape(-1, 2)
+        self.words = np.zeros(len(name), WORD)
+        self.words["a"], self.words["b"] = name[:, 0], name[:, 1] >> U(32)
         h = np.empty_like(self.ids)
         h[1:] = self.ids[:-1]
         h[np.cumsum(self.sizes) - self.sizes] = index.get(END, 0)
         self.first = h * len(index) + self.ids
 
-    def pairs(self, **more) -> tuple:
-        """Keys of the different bigrams, their two words, and what np.unique is asked for more."""
-        pair, *rest = np.unique(self.first, **more) if more else (np.unique(self.first),)
-        h, w = np.divmod(pair, max(1, len(self.words)))
-        return mix(self.words["a"][h] * U(0x9E3779B97F4A7C15) + self.words["a"][w], 7), h, w, *rest
+        self.pair, self.back = np.unique(self.first, return_inverse=True)
+        self.h, self.w = np.divmod(self.pair, max(1, len(index)))
+        self.keys = mix(self.words["a"][self.h] * U(0x9E3779B97F4A7C15) + self.words["a"][self.w], 7) >> U(64 - PAIR_BITS)
+
+    def dealt(self, slices: int):
+        """(slice, words, bigrams) with the numbers of those that go to the slice, in the
+        order of their names: the same whenever the same texts are bundled."""
+        (i, a), (j, b) = (dealt(x, slices) for x in (self.words["a"], self.keys))
+        for s in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
+            yield s, i[a[s] : a[s + 1]], j[b[s] : b[s + 1]]
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -144,146 +152,118 @@ def sized(x: bytes, n: int) -> np.ndarray:
 
 
 def dealt(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by slice, and where each slice begins in it."""
+    """An order by slice and key, and where each slice begins in it."""
     s = slice_of(keys, slices)
-    order = np.argsort(s, kind="stable")
+    order = np.lexsort((keys, s))
     return order, np.searchsorted(s[order], np.arange(slices + 1))
 
 
-class Model:
-    """table (s, words, counts, bits): the slices; total and kinds: N and V."""
+def gaps(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=U(0)))
 
-    def __init__(self, table: DataFrame, slices: int, total: int, kinds: int):
-        self.table, self.slices, self.total, self.kinds = table, slices, total, kinds
 
+def ungap(x: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) if x else np.zeros(0, np.uint64)
 
-def in_bundles(batches, text_at: int, tokens: int):
-    """(batches, texts) of about that many tokens; a token is a few bytes."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.column(text_at).nbytes
-        if size >= tokens * 6:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
 
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """(block, texts): documents (doc_id, train, text) in compressed blocks of BLOCK tokens."""
 
-def fit(train: DataFrame, slice_tokens: int = SLICE) -> Model:
-    """Learn from column text of every row of train."""
-    chars = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = 1 << max(4, math.ceil(math.log2(max(1, chars / 6 / slice_tokens))))
+    def run(batches):
+        from pyspark import TaskContext
 
-    def sums(batches):
-        for held in in_bundles(batches, 0, FLUSH):
-            x = Bundle([t for b in held for t in b.column(0).to_pylist()])
-            n = np.bincount(x.ids, minlength=len(x.words))
-            key, _, _, m = x.pairs(return_counts=True)
-            (i, a), (j, b) = dealt(x.words["a"], slices), dealt(key, slices)
-            rows = []
-            for s in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
-                u, v = i[a[s] : a[s + 1]], j[b[s] : b[s + 1]]
-                v = v[np.argsort(key[v])]
-                rows.append((s, x.words[u].tobytes(), planes(small(n[u])), planes(np.diff(key[v], prepend=U(0))), planes(small(m[v]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["s", "w", "wn", "k", "kn"])
-
-    def build(t):
-        w, wn, k, kn = (t.column(c).to_pylist() for c in ("w", "wn", "k", "kn"))
-        words = np.frombuffer(b"".join(w), WORD)
-        n = np.concatenate([sized(x, len(y) // 16) for x, y in zip(wn, w)])
-        order = np.lexsort((words["b"], words["a"]))
-        words, n = words[order], n[order]
-        new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
-        words, n = words[new], np.add.reduceat(n, new) if len(new) else n
-        key, at = np.unique(np.concatenate([np.cumsum(unplanes(x, U), dtype=U) if x else np.zeros(0, U) for x in k]), return_inverse=True)
-        m = np.bincount(at, np.concatenate([sized(x, len(y) // 8) for x, y in zip(kn, k)]), len(key))
-        row = (t.column("s")[0].as_py(), words.tobytes(), n.astype(np.int64).tobytes(), fill(key, m).tobytes(), int(n.sum()), len(words))
-        return pa.Table.from_arrays([pa.array([x], y) for x, y in zip(row, (pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.int64()))], ["s", "words", "counts", "bits", "total", "kinds"])
-
-    gathered = train.select(F.col("text").cast("string")).mapInArrow(C.frugal(sums), "s int, w binary, wn binary, k binary, kn binary")
-    table = C.materialize(gathered.groupBy("s").applyInArrow(C.frugal_group(build), "s int, words binary, counts binary, bits binary, total long, kinds long"), "lm-slices")
-    total, kinds = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    return Model(table, slices, total, kinds)
-
-
-ASK = "block long, s int, words binary, pairs binary, texts binary"
-
-
-def score(docs: DataFrame, m: Model, id_col: str = "doc_id", fold: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of
-    docs; null texts are empty, repeated rows and null ids are scored each on their own,
-    texts are scored whole however long."""
-    slices, total, kinds, log_all = m.slices, m.total, m.kinds, math.log10(m.total + m.kinds + 1)
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in chain(batches, [None]):
+            if b is not None and b.num_rows:
+                held.append(b)
+                size += b.column(2).nbytes
+            if held and (b is None or size >= BLOCK * 6):  # a token is some six bytes
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(pa.Table.from_batches(held))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
+                block, held, size = block + 1, [], 0
 
-    def ask(batches):
-        from pyspark import TaskContext
+    return docs.mapInArrow(C.frugal(run), "block long, texts binary")
+
+
+def opened(texts) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(texts)).read_all()
 
-        block = TaskContext.get().partitionId() << 32
-        for got in in_bundles(batches, 2, BLOCK):
-            t = pa.Table.from_batches(got)
-            x = Bundle(t.column(2).to_pylist())
-            key = x.pairs()[0]
-            (i, a), (j, b) = dealt(x.words["a"], slices), dealt(key, slices)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(t)
-            rows = [(block, -1, None, None, sink.getvalue().to_pybytes())]
-            for s in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
-                rows.append((block, s, x.words[i[a[s] : a[s + 1]]].tobytes(), key[j[b[s] : b[s + 1]]].tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.binary()] * 3))], ["block", "s", "words", "pairs", "texts"])
-            block += 1
-
-    def answer(asked, table):
-        if table.num_rows:
-            words, counts, bits = (np.frombuffer(table.column(c)[0].as_buffer(), k) for c, k in (("words", WORD), ("counts", np.int64), ("bits", np.uint8)))
-        else:
-            words, counts, bits = np.zeros(0, WORD), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        w, p = asked.column("words").to_pylist(), asked.column("pairs").to_pylist()
-        ask_w, ask_p = np.frombuffer(b"".join(w), WORD), np.frombuffer(b"".join(p), U)
-        c = np.zeros(len(ask_w), np.int64)
-        if len(words):
-            # Names are in order; the second halves settle equal first halves.
-            at = np.searchsorted(words["a"], ask_w["a"])
-            for _ in range(len(words)):
-                inside = np.minimum(at, len(words) - 1)
-                wrong = (words["a"][inside] == ask_w["a"]) & (words["b"][inside] != ask_w["b"]) & (at < len(words))
-                if not wrong.any():
-                    break
-                at = at + wrong
-            inside = np.minimum(at, len(words) - 1)
-            c = np.where(words[inside] == ask_w, counts[inside], 0)
-        q = levels_held(bits, ask_p)
-        nw, np_ = np.cumsum([0, *(len(x) // 16 for x in w)]).tolist(), np.cumsum([0, *(len(x) // 8 for x in p)]).tolist()
-        cols = [asked.column("block"), asked.column("s"), pa.array([planes(small(c[a:z])) for a, z in zip(nw, nw[1:])], pa.binary()), pa.array([q[a:z].tobytes() for a, z in zip(np_, np_[1:])], pa.binary()), pa.nulls(len(w), pa.binary())]
-        return pa.Table.from_arrays(cols, ["block", "s", "words", "pairs", "texts"])
+
+def lm_scores(docs: DataFrame, slice_tokens: int = SLICE) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for every row of
+    docs (doc_id long, train boolean, text): the model learns from the rows with train.
+
+    Null texts are empty, repeated rows and null ids are scored each on their own, texts
+    are scored whole however long; an empty table gives an empty one; without training
+    rows N = V = 0.  base_score is the sum of log10 p1 over all tokens, score the model's
+    log10 probability of the text.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "train", F.col("text").cast("string"))
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = 1 << max(4, math.ceil(math.log2(max(1, chars / 6 / slice_tokens))))
+    blocks = C.materialize(in_blocks(docs), "lm-blocks")
+
+    def ask(batches):
+        for batch in batches:
+            for block, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                t = opened(texts)
+                x = Bundle(t.column(2).to_pylist())
+                train = np.repeat(np.array(t.column(1)), x.sizes)
+                n, m = np.bincount(x.ids[train], minlength=len(x.words)), np.bincount(x.back[train], minlength=len(x.pair))
+                rows = [(block, s, gaps(x.words["a"][u]), planes(x.words["b"][u]), planes(small(n[u])), gaps(x.keys[v]), planes(small(m[v]))) for s, u, v in x.dealt(slices)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.binary()] * 5))], ["block", "s", "a", "b", "n", "k", "m"])
+
+    def answer(t):
+        a, b, n, k, m = (t.column(c).to_pylist() for c in "abnkm")
+        nw, np_ = [len(x) // 8 for x in a], [len(x) // 8 for x in k]
+        a, b = np.concatenate(list(map(ungap, a))), np.concatenate([unplanes(x, "<u4") if x else np.zeros(0, "<u4") for x in b])
+        n, m = (np.concatenate([sized(x, z) for x, z in zip(y, sizes)]) for y, sizes in ((n, nw), (m, np_)))
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        group = np.empty(len(a), np.int64)
+        group[order] = np.cumsum(new) - 1
+        total = np.bincount(group, n).astype(np.int64) if len(a) else np.zeros(0, np.int64)
+        c = total[group]
+        keys = np.concatenate(list(map(ungap, k)))
+        own = m > 0
+        known, back = np.unique(keys[own], return_inverse=True)
+        q = levels_held(fill(known, np.bincount(back, m[own], len(known))), keys)
+        wa, pa_ = np.cumsum([0, *nw]).tolist(), np.cumsum([0, *np_]).tolist()
+        first = np.arange(len(nw)) == 0
+        cols = [
+            t.column("block"), t.column("s"), pa.array([planes(small(c[i:j])) for i, j in zip(wa, wa[1:])], pa.binary()), pa.array([q[i:j].tobytes() for i, j in zip(pa_, pa_[1:])], pa.binary()),
+            pa.array(first * int(total.sum())), pa.array(first * int((total > 0).sum())),
+        ]
+        return pa.Table.from_arrays(cols, ["block", "s", "c", "q", "total", "kinds"])
+
+    asked = blocks.mapInArrow(C.frugal(ask), "block long, s int, a binary, b binary, n binary, k binary, m binary")
+    answers = C.materialize(asked.groupBy("s").applyInArrow(C.frugal_group(answer), "block long, s int, c binary, q binary, total long, kinds long"), "lm-answers")
+    total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    log_all = math.log10(total + kinds + 1)
 
     def finish(t):
-        s = np.array(t.column("s"))
-        own = int(np.flatnonzero(s < 0)[0])
-        rows = pa.ipc.open_stream(t.column("texts")[own].as_buffer()).read_all()
+        s, got, level = (t.column(c).to_pylist() for c in ("s", "c", "q"))
+        rows = opened(t.column("texts")[s.index(None)].as_py())
         x = Bundle(rows.column(2).to_pylist())
-        key, h, w, back = x.pairs(return_inverse=True)
-        (i, a), (j, b) = dealt(x.words["a"], slices), dealt(key, slices)
-        c, q = np.zeros(len(x.words), np.int64), np.zeros(len(key), np.int64)
-        for k, got, level in zip(s.tolist(), t.column("words").to_pylist(), t.column("pairs").to_pylist()):
-            if k >= 0:
-                u, v = i[a[k] : a[k + 1]], j[b[k] : b[k + 1]]
-                c[u], q[v] = sized(got, len(u)), np.frombuffer(level, np.uint8)
+        c, q = np.zeros(len(x.words), np.int64), np.zeros(len(x.pair), np.int64)
+        at = {i: n for n, i in enumerate(s)}
+        for i, u, v in x.dealt(slices):
+            c[u], q[v] = sized(got[at[i]], len(u)), np.frombuffer(level[at[i]], np.uint8)
         base = np.log10(c + 1.0) - log_all
-        count = np.minimum(np.where(q > 0, 2.0 ** (q - 1.0), 0.0), np.minimum(c[h], c[w]))
-        step = np.where(c[h] > 0, np.log10((count + WEIGHT * 10.0 ** base[w]) / (c[h] + WEIGHT)), base[w])
+        count = np.minimum(np.where(q > 0, 2.0 ** (q - 1.0), 0.0), np.minimum(c[x.h], c[x.w]))
+        step = np.where(c[x.h] > 0, np.log10((count + WEIGHT * 10.0 ** base[x.w]) / (c[x.h] + WEIGHT)), base[x.w])
         first = np.cumsum(x.sizes) - x.sizes
-        sums = [np.add.reduceat(y, first) for y in ((c > 0).astype(np.int64)[x.ids], base[x.ids], step[back])]
-        n = len(x.sizes)
-        cols = [rows.column(0), rows.column(1), pa.array(x.sizes), pa.array(sums[0]), pa.array(np.full(n, total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-        return pa.Table.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        sums = [np.add.reduceat(y, first) for y in ((c > 0).astype(np.int64)[x.ids], base[x.ids], step[x.back])]
+        cols = [rows.column(0), rows.column(1), pa.array(x.sizes), pa.array(sums[0]), pa.array(np.full(len(x.sizes), total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.Table.from_arrays(cols, ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), (C.fold(F.col(id_col), fold) == held).alias("held_out"), F.col("text").cast("string"))
-    asked = C.materialize(src.mapInArrow(C.frugal(ask), ASK), "lm-asked")
-    answers = asked.where("s >= 0").select("block", "s", "words", "pairs").groupBy("s").cogroup(m.table.select("s", "words", "counts", "bits").groupBy("s")).applyInArrow(C.frugal_pair(answer), ASK)
-    every = asked.where("s < 0").unionByName(answers)
-    return every.groupBy("block").applyInArrow(C.frugal_group(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    none = F.lit(None)
+    every = blocks.select("block", none.cast("int").alias("s"), none.cast("binary").alias("c"), none.cast("binary").alias("q"), "texts")
+    every = every.unionByName(answers.select("block", "s", "c", "q", none.cast("binary").alias("texts")))
+    return every.groupBy("block").applyInArrow(C.frugal_group(finish), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,5 +272,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts are empty: one end token.  A null doc_id counts as the text ''.
     Repeated rows are scored each on their own.  Without training rows N = V = 0.
     """
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs.where(C.fold(F.col("doc_id"), 7) != 2)))
+    docs = C.table(spark, sf_dir, "documents")
+    fold = C.fold(F.col("doc_id"), 7)
+    scored = lm_scores(docs.select("doc_id", (fold != 2).alias("train"), "text"))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -138,12 +138,12 @@ def test_pack_is_best_fit_decreasing():
 # --- 9
 
 
-def test_lm_score(spark):
+def test_lm_score(spark, monkeypatch):
     r = random.Random(2)
     vocab = [f"w{i}" for i in range(40)]
     rows = list(enumerate([*ODD, *(" ".join(r.choice(vocab[: r.randrange(2, 40)]).upper() for _ in range(r.randrange(1, 60))) for _ in range(120))]))
     df = docs(spark, rows)
-    train = df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    df = df.withColumn("train", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).repartition(3)
     words = lambda t: (t or "").encode().lower().split() + [b"\n"]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     uni, big = Counter(), Counter()
@@ -155,16 +155,16 @@ def test_lm_score(spark):
     n, v = sum(uni.values()), len(uni)
     p1 = lambda w: (uni[w] + 1) / (n + v + 1)
     weight = lm_score.WEIGHT
-    for tokens in (lm_score.SLICE, 2000):
-        m = lm_score.fit(train, slice_tokens=tokens)
-        out = lm_score.score(df, m).collect()
+    for tokens, block in ((lm_score.SLICE, lm_score.BLOCK), (2000, 300)):
+        monkeypatch.setattr(lm_score, "BLOCK", block)
+        out = lm_score.lm_scores(df, tokens).collect()
         got = {x.doc_id: x for x in out}
         near = []
         assert len(out) == len(got) == len(rows)
         for i, t in rows:
             w = words(t)
             x = got[i]
-            assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held(i), len(w), sum(uni[y] > 0 for y in w), n)
+            assert (not x.train, x.n_tokens, x.n_known, x.train_tokens) == (held(i), len(w), sum(uni[y] > 0 for y in w), n)
             assert x.base_score == pytest.approx(sum(math.log10(p1(y)) for y in w))
             s = 0.0
             for h, y in zip([b"\n", *w], w):
@@ -174,9 +174,9 @@ def test_lm_score(spark):
             assert x.score >= s - 1e-6 * abs(s)
             near.append(x.score <= s + 1e-6 * abs(s) if not held(i) else x.score <= s + 0.15 * abs(s))
         assert np.mean(near) > 0.7
-    assert lm_score.score(df.limit(0), m).count() == 0
-    empty = lm_score.fit(train.limit(0))
-    assert lm_score.score(df, empty).where("train_tokens = 0 and n_known = 0").count() == len(rows)
+    assert lm_score.lm_scores(df.limit(0)).count() == 0
+    empty = lm_score.lm_scores(df.withColumn("train", F.lit(False))).collect()
+    assert len(empty) == len(rows) and all(x.train_tokens == x.n_known == 0 and x.score == x.base_score for x in empty)
 
 
 def test_filter_holds_every_key():

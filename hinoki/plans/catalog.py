@@ -540,7 +540,18 @@ def apply_suggestion(spark, sf_dir):
 @query()
 def suggestions(spark, sf_dir):
     """Up to four rule-generated replacements for every reportable finding."""
-    return CO.suggest(spark, D.detect(messages(spark, sf_dir)), R.tag(messages(spark, sf_dir)))
+    m = messages(spark, sf_dir)
+    return CO.suggest(spark, D.detect(m), R.tag(m), m).drop("reason")
+
+
+@query()
+def suggestion_validity(spark, sf_dir):
+    """How many injected errors that are found get a suggestion that mends them."""
+    rows = injected(spark).withColumn("doc_id", F.concat_ws("|", "id", "error_type"))
+    m = with_context(rows)
+    found = D.detect(m)
+    gold = rows.select("doc_id", "start", F.col("end_").alias("end"), F.col("error_type").alias("type"), "text", "source_text", "gold")
+    return CO.validity(gold, CO.suggested(spark, found, R.tag(m), m))
 
 
 @query(f"with {INJ} select id, error_type, json_extract_string(j, '$.type') as type, cast(json_extract_string(j, '$.start') as int) as start, json_extract_string(j, '$.text') as text from (select id, error_type, to_json({{'start': start, 'end': end_, 'text': surface, 'type': error_type}}) as j from inj) as q")

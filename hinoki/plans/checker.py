@@ -41,7 +41,7 @@ class Checker:
 
     def suggest(self, messages: DataFrame) -> DataFrame:
         m = self.prepare(messages)
-        return correct.suggest(self.spark, detect.detect(m), roles.tag(m))
+        return correct.suggest(self.spark, detect.detect(m), roles.tag(m), m)
 
     def check_texts(self, texts: list[str], audience: str | None = None) -> DataFrame:
         rows = [(i, t, self.audience(audience) if audience else self.defaults["audience"]) for i, t in enumerate(texts)]

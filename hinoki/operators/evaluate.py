@@ -83,14 +83,26 @@ def percentiles(df: DataFrame, value: str, group: str, cells: int = 4096) -> Dat
 
 def token_scores(labels: DataFrame) -> DataFrame:
     """labels (gold, predicted: BIO label or 'O'; B and I of a type count as one):
-    type, tp, fp, fn, f1, with '__micro__' over all."""
+    type, tp, fp, fn, precision, recall, f1, with '__micro__' over all and '__direction__'
+    over the direction errors."""
     bare = lambda c: F.regexp_replace(c, "^[BI]-", "")
     x = labels.select(bare("gold").alias("g"), bare("predicted").alias("p"))
-    seen = x.select(F.explode(F.array_distinct(F.array("g", "p"))).alias("type"), "g", "p").where("type <> 'O'")
-    both = seen.select(F.explode(F.array("type", F.lit("__micro__"))).alias("type"), F.col("type").alias("t"), "g", "p")
+    seen = x.select(F.explode(F.array_distinct(F.array("g", "p"))).alias("t"), "g", "p").where("t <> 'O'")
+    directed = F.col("t").isin([t[0] for t in T.ERROR_TYPES if t[2]])
+    both = seen.select(F.explode(F.array_compact(F.array(F.col("t"), F.lit("__micro__"), F.when(directed, "__direction__")))).alias("type"), "t", "g", "p")
     tp, fp, fn = (F.count_if(c) for c in ((F.col("g") == F.col("t")) & (F.col("p") == F.col("t")), (F.col("p") == F.col("t")) & (F.col("g") != F.col("t")), (F.col("g") == F.col("t")) & (F.col("p") != F.col("t"))))
     out = both.groupBy("type").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    return out.withColumn("f1", F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0))
+    share = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return out.withColumns({"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})
+
+
+def evaluation_rows(test: DataFrame, more: DataFrame, limit: int, key: list[str]) -> DataFrame:
+    """Up to limit rows of test in key order, then up to limit rows of more that aren't
+    among them; source says which."""
+    first = test.orderBy(*key).limit(limit)
+    rest = more.join(first.select(*key), key, "left_anti").orderBy(*key).limit(limit)
+    return first.withColumn("source", F.lit("test")).unionByName(rest.withColumn("source", F.lit("direction")))
 
 
 def bio_labels(text: str, errors: str):

@@ -13,6 +13,10 @@ from ..functions import tables as T
 
 # Standpoints of an act, (label, actor, target)
 STANDPOINTS = [("self_to_reader", "self", "addressee"), ("group_to_reader", "self_group", "addressee"), ("reader", "addressee", "self"), ("third_party", "third_party", "addressee")]
+#: Openings and closings of mails by audience, in our own words; and default contexts
+OPENINGS = [("external", "いつもお世話になっております。山田です。"), ("internal", "お疲れ様です。山田です。"), ("public", "日頃よりありがとうございます。")]
+CLOSING = "どうぞよろしくお願いいたします。"
+CONTEXTS = [("external", "", "", "", "", ""), ("internal", "山田", "営業部", "佐藤", "さん", "開発部"), ("public", "山田", "弊社", "お客様", "", "")]  # fixed values
 EXTRA_VERBS = [("詫びる", "ichidan", "お", True, True)]
 #: Sentence frames: (function, side, before the predicate, after it); a request names no subject
 FRAMES = [
@@ -176,3 +180,15 @@ def split_sql(rows: str, share: tuple[int, int] = (80, 10)) -> str:
         f"select *, case when pr * 100 < {share[0]} then 'train' when pr * 100 < {sum(share)} then 'validation' else 'test' end as split "
         f"from (select *, (row_number() over (order by id, error_type) - 1) * 1.0 / count(*) over () as pr from {rows}) as p"
     )
+
+
+def mail_pieces_sql(corpus: str, most: int = 3) -> str:
+    """(mail_id, audience, nth, piece): mails of an opening, up to most sentences of one
+    audience and subject's base verb, and a closing, each piece on a line of its own."""
+    numbered = f"select concat(audience, '|', base) as mail_id, audience, text, row_number() over (partition by audience, base order by id) as n from {corpus}"
+    opening = " ".join(f"when '{a}' then '{t}'" for a, t in OPENINGS)
+    return (
+        f"select mail_id, audience, cast(n as int) as nth, text as piece from ({numbered}) as x where n <= {most} "
+        f"union all select distinct mail_id, audience, 0 as nth, case audience {opening} end as piece from ({numbered}) as y "
+        f"union all select distinct mail_id, audience, {most + 1} as nth, '{CLOSING}' as piece from ({numbered}) as z"
+    )

@@ -97,3 +97,12 @@ def tag(messages: DataFrame, key: str = "doc_id") -> DataFrame:
         key, "audience", "sent_idx", (F.col("sent_start") + F.col("p_start")).alias("start"), (F.col("sent_start") + F.col("p_end")).alias("end"),
         "surface", "form", "cls", "origin", "base", "actor", "actor_conf", target.alias("target"), "function", link.alias("link"),
     )
+
+
+def audience_meta(roles: DataFrame) -> DataFrame:
+    """roles with self_side_raisable (may one's own senior be raised before this reader),
+    uchi_soto and citations; nothing is judged here."""
+    own, inside = is_in(F.col("actor"), 1), F.col("audience") == "internal"
+    keys = F.when(~own, F.array(F.lit("principle.self_not_raised"))).when(inside, F.array(F.lit("uchi_soto.q26"), F.lit("uchi_soto.q25"))).otherwise(F.array(F.lit("uchi_soto.q25"), F.lit("principle.self_not_raised")))
+    state = F.when(own, F.when(inside, "internal_own_senior_may_be_raised").otherwise("external_self_side_not_raised"))
+    return roles.withColumns({"self_side_raisable": own & inside, "uchi_soto": state, "citations": F.array_join(keys, ",")})

@@ -65,3 +65,19 @@ def overlay(text: str, start: str, end: str, new: str) -> Column:
     """text with start..end replaced; null where the span is outside."""
     ok = (F.col(start) >= 0) & (F.col(end) >= F.col(start)) & (F.col(end) <= F.length(text))
     return F.when(ok, F.concat(F.substr(text, F.lit(1), F.col(start)), F.col(new), F.substr(F.col(text), F.col(end) + 1)))
+
+
+def apply_edits(text: str, edits: str) -> Column:
+    """text with all edits (array<struct<start, end, new>>, none overlapping) made, the
+    rightmost first, so that each offset still holds when its turn comes."""
+    order = F.reverse(F.array_sort(F.col(edits)))
+    put = lambda acc, e: F.concat(F.substr(acc, F.lit(1), e["start"]), e["new"], F.substr(acc, e["end"] + 1))
+    return F.aggregate(order, F.col(text), put)
+
+
+def placed(pieces: DataFrame, key: str, order: str, text: str, between: int = 0) -> DataFrame:
+    """pieces of a whole with start and end in it: running sums of the lengths before, with
+    between characters after each piece."""
+    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length(text) + between).over(before), F.lit(0)).cast("int")
+    return pieces.withColumn("start", start).withColumn("end", F.col("start") + F.length(text))

@@ -600,12 +600,12 @@ def latency_percentiles(spark, sf_dir):
 DUCK_TOKENS = "x as (select case when event_id % 5 = 0 then 'O' when event_id % 2 = 0 then 'B-' || event_type else 'I-' || event_type end as gold, case when event_id % 7 = 0 then 'O' when event_id % 11 = 0 then 'B-other' else 'I-' || event_type end as predicted from events)"
 
 
-@query(f"with {DUCK_TOKENS}, y as (select regexp_replace(gold, '^[BI]-', '') as g, regexp_replace(predicted, '^[BI]-', '') as p from x), t as (select g as type from y union select p from y), z as (select type, count(*) filter (g = type and p = type) as tp, count(*) filter (p = type and g <> type) as fp, count(*) filter (g = type and p <> type) as fn from t, y where type <> 'O' group by type), u as (select * from z union all select '__micro__', sum(tp), sum(fp), sum(fn) from z) select type, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end::double, 9) as f1 from u")
+@query(f"with {DUCK_TOKENS}, y as (select regexp_replace(gold, '^[BI]-', '') as g, regexp_replace(predicted, '^[BI]-', '') as p from x), t as (select g as type from y union select p from y), z as (select type, count(*) filter (g = type and p = type) as tp, count(*) filter (p = type and g <> type) as fp, count(*) filter (g = type and p <> type) as fn from t, y where type <> 'O' group by type), u as (select * from z union all select '__micro__', sum(tp), sum(fp), sum(fn) from z) select type, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(case when tp + fp > 0 then tp / (tp + fp) else 0.0 end::double, 9) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0.0 end::double, 9) as recall, round(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end::double, 9) as f1 from u")
 def token_f1(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     gold = F.when(F.col("event_id") % 5 == 0, "O").when(F.col("event_id") % 2 == 0, F.concat(F.lit("B-"), F.col("event_type"))).otherwise(F.concat(F.lit("I-"), F.col("event_type")))
     pred = F.when(F.col("event_id") % 7 == 0, "O").when(F.col("event_id") % 11 == 0, "B-other").otherwise(F.concat(F.lit("I-"), F.col("event_type")))
-    return E.token_scores(e.select(gold.alias("gold"), pred.alias("predicted"))).withColumn("f1", F.round("f1", 9))
+    return E.token_scores(e.select(gold.alias("gold"), pred.alias("predicted"))).select("type", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 DUCK_BIO = "x as (select user_id as id, row_number() over (partition by user_id order by event_id) as pos, case when event_id % 5 = 0 then 'O' when event_id % 3 = 0 then 'B-' || event_type else 'I-' || event_type end as label, value as confidence from events)"
@@ -707,3 +707,117 @@ def tool_overlap(spark, sf_dir):
     theirs = ours.select("doc_id", F.col("start").alias("start2"), F.col("end").alias("end2"))
     rows = [(S.overlap_join(ours, rules, "doc_id", "left_semi"), "both"), (S.overlap_join(ours, rules, "doc_id", "left_anti"), "ours"), (S.overlap_join(mine, theirs, "doc_id", "left_anti"), "rules")]
     return reduce(DataFrame.unionByName, [d.select("doc_id", "start", F.col("end").alias("end_"), F.lit(n).alias("found_by")) for d, n in rows])
+
+
+ROLE_ORACLE = f"with recursive {SRC}, {Q.roles()} "
+
+
+@query(ROLE_ORACLE + "select a.doc_id, f.start, f.end_, f.actor, f.actor in ('self', 'self_group') and f.audience = 'internal' as self_side_raisable, case when f.actor in ('self', 'self_group') then case when f.audience = 'internal' then 'internal_own_senior_may_be_raised' else 'external_self_side_not_raised' end end as uchi_soto, case when f.actor not in ('self', 'self_group') then 'principle.self_not_raised' when f.audience = 'internal' then 'uchi_soto.q26,uchi_soto.q25' else 'uchi_soto.q25,principle.self_not_raised' end as citations from tagged f join all_ a on a.sid = f.doc_id")
+def audience_meta(spark, sf_dir):
+    r = R.audience_meta(R.tag(messages(spark, sf_dir)))
+    return r.select("doc_id", "start", F.col("end").alias("end_"), "actor", "self_side_raisable", "uchi_soto", "citations")
+
+
+FIRST = FOUND + ", firsts_ as (select f.doc_id, f.start, f.end_, f.error_type, f.verdict, f.audience_, arg_min(r.actor, r.start) as actor, arg_min(r.target, r.start) as target, arg_min(r.cls, r.start) as cls from (select f.*, s.audience as audience_ from found f join src s on s.doc_id = f.doc_id) f left join tagged r on r.doc_id = f.doc_id and r.start < f.end_ and f.start < r.end_ group by all)"
+
+
+@query(FIRST + " " + on_all("firsts_", "a.doc_id, f.start, f.end_, f.error_type, f.actor, f.target"))
+def finding_roles(spark, sf_dir):
+    """The first predicate that each finding overlaps: who acts, and towards whom."""
+    m = messages(spark, sf_dir)
+    f = CO.first_role(D.detect(m).select("doc_id", "start", "end", "error_type"), R.tag(m), "doc_id")
+    return f.select("doc_id", "start", F.col("end").alias("end_"), "error_type", "actor", "target")
+
+
+OWN_CITE = "case f.error_type " + " ".join(f"when '{t[0]}' then '{t[3]}'" for t in T.ERROR_TYPES) + " end"
+
+
+@query(FIRST + ", cited_ as (select *, " + f"case when f.error_type = 'uchi_sonkeigo' then case when audience_ = 'external' then 'uchi_soto.q25' else 'uchi_soto.q26' end when f.error_type = 'direction_swap' and actor is not null then case when actor in ('self', 'self_group') then 'principle.self_not_raised' when cls = 'kenjougo_2' then 'direction.q13' else 'direction.q11' end else {OWN_CITE} end as cited from firsts_ f) " + on_all("cited_", "a.doc_id, f.start, f.end_, f.error_type, f.cited"))
+def finding_citations(spark, sf_dir):
+    """The citation that a finding's type, audience, actor and class call for."""
+    m = messages(spark, sf_dir)
+    f = D.detect(m).select("doc_id", "start", "end", "error_type").join(m.select("doc_id", "audience"), "doc_id")
+    return CO.cite(f, "doc_id", R.tag(m)).select("doc_id", "start", F.col("end").alias("end_"), "error_type", "cited")
+
+
+@query(FOUND + ", alone as (select * from spots v where v.suppressed <> '' and not exists (select 1 from found f where f.doc_id = v.doc_id and f.start < v.end_ and v.start < f.end_)) " + on_all("alone", "a.doc_id, f.start, f.end_, f.v_key"))
+def unflagged_variations(spark, sf_dir):
+    """Divided usage that a rule could have met, where nothing was found."""
+    m = messages(spark, sf_dir)
+    v = D.variation_scan(m).where("suppressed <> ''").select("doc_id", F.col("start2").alias("start"), F.col("end2").alias("end"), "v_key")
+    f = D.detect(m).select("doc_id", F.col("start").alias("start2"), F.col("end").alias("end2"))
+    return S.overlap_join(v, f, "doc_id", "left_anti").select("doc_id", "start", F.col("end").alias("end_"), "v_key")
+
+
+@query(
+    f"with {oracle_cte()}, h as ({duck_matches('messages', T.GO_SARERU, 'doc_id')}), v as ({duck_matches('messages', '|'.join(WORDS), 'doc_id')}), "
+    f"w as (select v.doc_id, v.start, v.end_, t.v_key from v join {VARIED.replace('as v(', 'as t(')} on v.surface = t.v_surface where t.only_for = ''), "
+    "m as (select h.doc_id, h.start, h.end_, arg_max(w.v_key, ((least(h.end_, w.end_) - greatest(h.start, w.start))::double / ((h.end_ - h.start) + (w.end_ - w.start) - (least(h.end_, w.end_) - greatest(h.start, w.start))), -w.start)) as v_key from h left join w on w.doc_id = h.doc_id and w.start < h.end_ and h.start < w.end_ group by all) select doc_id, start, end_, v_key from m"
+)
+def variation_of_spans(spark, sf_dir):
+    """For a span, the divided usage that it overlaps most, whatever the type of error."""
+    m = messages(spark, sf_dir)
+    hit = X.finditer(m, T.GO_SARERU).select("doc_id", "start", "end")
+    v = D.variation_scan(m).select("doc_id", "start2", "end2", "v_key")
+    met = S.overlap_join(hit, v, "doc_id", "left").withColumn("iou", S.iou("start", "end", "start2", "end2"))
+    best = F.max(F.when(F.col("v_key").isNotNull(), F.struct("iou", (-F.col("start2")).alias("n"), "v_key")))["v_key"]
+    return met.groupBy("doc_id", "start", F.col("end").alias("end_")).agg(best.alias("v_key"))
+
+
+ENDS = "regexp_replace(trim(x), '[！？!?、，,]+$', '')"
+
+
+@query(f"with {oracle_cte()}, e as (select doc_id, {ENDS} as s from (select doc_id, unnest(string_split(replace(text, chr(10), '。'), '。')) as x from messages) as q), c as (select doc_id, count(*) filter (regexp_matches(s, '(?:{'|'.join(T.MAJORITY_POLITE)})$')) as n1, count(*) filter (regexp_matches(s, '(?:{'|'.join(T.MAJORITY_PLAIN)})$') and not regexp_matches(s, '(?:{'|'.join(T.MAJORITY_POLITE)})$')) as n2 from e group by doc_id) select doc_id, n1 >= n2 as polite from c")
+def corrector_majority(spark, sf_dir):
+    return messages(spark, sf_dir).select("doc_id", CO.majority_is_polite(F.col("text")).alias("polite"))
+
+
+@query("select doc_id, s.start::int as start, (s.start + s.n)::int as end_, substring(text, s.start + 1, s.n) as surface from (select doc_id, text, length(l[1]) + 1 as start, case when length(l[2]) = 0 then least(1, length(text) - length(l[1]) - 1) else least(length(l[2]), 4) end as n from (select doc_id, text, string_split(text, chr(10)) as l from documents) as q where len(l) >= 2) as s")
+def position_ranges(spark, sf_dir):
+    """The first four characters of each document's second line, by line and column."""
+    at = {"from_line": 2, "from_column": 1, "to_line": 2, "to_column": 5}
+    d = table(spark, sf_dir, "documents").withColumns({k: F.lit(v) for k, v in at.items()})
+    return X.ranges(d, "doc_id").withColumnRenamed("end", "end_")
+
+
+@query(f"with {INJ}, s as ({G.split_sql('inj')}), t as (select id, error_type from s where split = 'test' order by id, error_type limit 100), m as (select id, error_type from inj i where error_type in ({DIRECTED}) and not exists (select 1 from t where t.id = i.id and t.error_type = i.error_type) order by id, error_type limit 100) select *, 'test' as source from t union all select *, 'direction' from m")
+def evaluation_set(spark, sf_dir):
+    """Rows to evaluate on: of the test split, then direction errors not among them."""
+    injected(spark).createOrReplaceTempView("hinoki_injected")
+    rows = spark.sql(G.split_sql("hinoki_injected"))
+    test = rows.where("split = 'test'").select("id", "error_type")
+    more = rows.where(f"error_type in ({DIRECTED})").select("id", "error_type")
+    return E.evaluation_rows(test, more, 100, ["id", "error_type"])
+
+
+@query(f"with {INJ}, g as (select distinct error_type from inj) select error_type, (row_number() over (order by error_type not in ({DIRECTED}), error_type))::int as nth from g")
+def gold_types(spark, sf_dir):
+    """Types of the gold errors, direction errors first."""
+    types = injected(spark).select("error_type").distinct()
+    order = W.partitionBy(F.lit(0)).orderBy(F.expr(f"error_type not in ({DIRECTED})"), "error_type")  # at most one row a type
+    return types.withColumn("nth", F.row_number().over(order).cast("int"))
+
+
+MAILS = f"{CAND}, corp as ({G.corpus_sql('cand')}), pieces as ({G.mail_pieces_sql('corp')})"
+
+
+@query(f"with {MAILS} select mail_id, audience, nth, piece, coalesce(sum(length(piece) + 1) over w, 0)::int as start, (coalesce(sum(length(piece) + 1) over w, 0) + length(piece))::int as end_ from pieces window w as (partition by mail_id order by nth rows between unbounded preceding and 1 preceding)")
+def mail_offsets(spark, sf_dir):
+    """Mails in pieces, each with its place in the whole."""
+    corpus(spark).createOrReplaceTempView("hinoki_corpus")
+    return S.placed(spark.sql(G.mail_pieces_sql("hinoki_corpus")), "mail_id", "nth", "piece", 1).withColumnRenamed("end", "end_")
+
+
+@query(f"with {MAILS} select mail_id, string_agg(case when nth between 1 and 3 then '[' || nth || ']' else piece end, chr(10) order by nth) as text from pieces group by mail_id")
+def mail_edits(spark, sf_dir):
+    """Several edits of one mail at once: each sentence gives way to a mark."""
+    p = mail_offsets(spark, sf_dir)
+    edit = F.when(F.col("nth").between(1, 3), F.struct("start", F.col("end_").alias("end"), F.concat(F.lit("["), F.col("nth").cast("string"), F.lit("]")).alias("new")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda x: x["piece"]), "\n")
+    mails = p.groupBy("mail_id").agg(whole.alias("text"), F.collect_list(edit).alias("edits"))
+    return mails.select("mail_id", S.apply_edits("text", "edits").alias("text"))
+
+
+@query("select * from (values " + ", ".join("(" + ", ".join(f"'{v}'" for v in c) + ")" for c in G.CONTEXTS) + ") as t(audience, writer, writer_org, recipient, recipient_title, recipient_org)")
+def default_contexts(spark, sf_dir):
+    return spark.createDataFrame(G.CONTEXTS, "audience string, writer string, writer_org string, recipient string, recipient_title string, recipient_org string")

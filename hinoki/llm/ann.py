@@ -224,7 +224,9 @@ def nearest(queries: DataFrame, held: DataFrame, shards: int, k: int, vec: str =
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 nearest of every row of embeddings whose vec_id is divisible by 100."""
+    """The 10 nearest of every row of embeddings whose vec_id is divisible by 100.  Vectors
+    null, zero or with null or non-finite components take no part, nor do null ids; equal
+    vectors are told apart by their ids, ties go to the smaller one."""
     vectors = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     held, shards = index(vectors, 10)
     return nearest(vectors.where(F.col("vec_id") % 100 == 0), held, shards, 10)

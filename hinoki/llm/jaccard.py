@@ -518,5 +518,6 @@ def sets_of(docs: DataFrame, owners: DataFrame, plan: Plan) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """4-word shingles, Jaccard similarity of at least 85/100, every whole text."""
+    """4-word shingles, Jaccard similarity of at least 85/100, every whole text.  Null and
+    empty texts have no shingles and link with nothing, repeated rows link, null ids stay."""
     return classes_of(C.table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id")

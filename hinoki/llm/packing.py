@@ -175,9 +175,38 @@ def packed(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY,
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(C.frugal(run), OUT)
 
 
-def write_binary(rows: DataFrame, path: str) -> None:
-    """The packed rows as Parquet files under path (one id matrix line a row)."""
-    rows.write.parquet(path)
+MATRIX = "n_rows int, ids binary, cu_seqlens binary, segments binary, resets binary"
+
+
+def matrices(rows: DataFrame, lines: int = 256) -> DataFrame:
+    """Packed rows as matrices of at most lines rows: ids (n_rows x capacity), cu_seqlens
+    (those of all rows, one after another), segments (where each row's part of it begins,
+    and its end), resets (as cu_seqlens, one less a row); all little-endian 32-bit
+    integers.  An empty table has no matrix.  No shuffle."""
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, lines):
+                b = whole.slice(i, lines)
+                ids, cu, resets = (b.column(k).to_pylist() for k in (0, 1, 2))
+                ends = np.cumsum([0, *map(len, cu)])
+                blobs = [b"".join(ids), *(np.concatenate([np.array(x, "<i4") for x in c]).tobytes() for c in (cu,)), ends.astype("<i4").tobytes(), np.concatenate([np.array(x, "<i4") for x in resets]).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["n_rows", "ids", "cu_seqlens", "segments", "resets"])
+
+    return rows.select("ids", "cu_seqlens", "resets").mapInArrow(C.frugal(run), MATRIX)
+
+
+def write_binary(rows: DataFrame, path: str, lines: int = 256) -> None:
+    """matrices(rows) as Parquet files under path, a record a matrix."""
+    matrices(rows, lines).write.parquet(path)
+
+
+def read_matrix(record) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(id matrix, cu_seqlens of each row, resets of each row) of a record of write_binary."""
+    ids = np.frombuffer(record["ids"], "<u4").reshape(record["n_rows"], -1)
+    cu, at, resets = (np.frombuffer(record[c], "<i4") for c in ("cu_seqlens", "segments", "resets"))
+    rows = range(record["n_rows"])
+    return ids, [cu[at[i] : at[i + 1]] for i in rows], [resets[at[i] - i : at[i + 1] - i - 1] for i in rows]
 
 
 def positions(cu_seqlens: list[int], capacity: int) -> np.ndarray:
@@ -196,4 +225,6 @@ def rank_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents in packed rows; null and empty texts have no segment, very
+    long texts are cut at the capacity and lose nothing, repeated rows are packed each."""
     return packed(C.table(spark, sf_dir, "documents"), *rank_file())

@@ -199,7 +199,8 @@ def with_quality(docs: DataFrame, model: CumulativeLink, wanted: float, text_col
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labels.quality of rows whose crc32(doc_id) mod 5 isn't 0; every row
-    of documents gets its expected grade, the probability of grade 1 and keep."""
+    of documents gets its expected grade, the probability of grade 1 and keep; null texts
+    count as empty, repeated rows fare alike, very long texts count whole."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, C.table(spark, sf_dir, "labels").where(C.fold(F.col("doc_id"), 5) != 0))
     return with_quality(docs, model, 1).select(

@@ -100,7 +100,7 @@ def test_fragments_are_independent():
 # --- 2
 
 
-def test_packing_round_trip(spark):
+def test_packing_round_trip(spark, tmp_path):
     rows = list(enumerate([*ODD, *("tok " * n for n in range(1, 60))])) + [(3, "a"), (None, "null id")]
     out = packing.packed(docs(spark, rows).coalesce(1), *packing.rank_file(), capacity=64).collect()
     enc = packing.Encoder(*packing.rank_file())
@@ -111,6 +111,11 @@ def test_packing_round_trip(spark):
         assert all(packing.positions(r.cu_seqlens, 64)[a] == 0 for a in r.resets)
         for a, z, d, o in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids, r.offsets):
             parts.setdefault(d, []).append((o, line[a:z].tolist()))
+    packing.write_binary(packing.packed(docs(spark, rows).coalesce(1), *packing.rank_file(), capacity=64), str(tmp_path / "m"), 7)
+    back = []
+    for rec in spark.read.parquet(str(tmp_path / "m")).collect():
+        back += [(line.tobytes(), cu.tolist(), resets.tolist()) for line, cu, resets in zip(*packing.read_matrix(rec))]
+    assert sorted(back) == sorted((bytes(r.ids), list(r.cu_seqlens), list(r.resets)) for r in out)
     want = Counter()
     for d, t in rows:
         want[d] += len(enc.inner.encode_ordinary(t or ""))

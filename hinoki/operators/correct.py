@@ -318,13 +318,31 @@ def cite(findings: DataFrame, key: str = "doc_id", roles: DataFrame | None = Non
     return f.withColumn("cited", F.coalesce(out, F.lit("principle.self_expression")))
 
 
-def explain(findings: DataFrame) -> DataFrame:
-    """findings with section, page and a neutral message in English."""
+def explain(findings: DataFrame, language: str = "en") -> DataFrame:
+    """findings with name, section, page and a neutral message in English or Japanese (ja)."""
     spark = findings.sparkSession
     cited = findings.join(F.broadcast(M.inline(spark, T.CITATIONS, "citation_key, section, page")), "citation_key", "left")
-    named = cited.join(F.broadcast(M.inline(spark, [(t[0], t[4]) for t in T.ERROR_TYPES], "error_type, name")), "error_type", "left")
-    text = F.when(F.col("verdict") == "variation", F.concat(F.lit("Usage is divided on this form: "), "surface")).otherwise(F.concat("name", F.lit(": "), "surface"))
-    return named.withColumn("message", F.concat(text, F.when(F.col("section").isNotNull(), F.concat(F.lit(" ("), "section", F.lit(", "), "page", F.lit(")"))).otherwise("")))
+    names = T.NAMES_JA if language == "ja" else [(t[0], t[4]) for t in T.ERROR_TYPES]
+    named = cited.join(F.broadcast(M.inline(spark, names, "error_type, name")), "error_type", "left")
+    lit = F.lit
+    if language == "ja":
+        text = F.when(F.col("verdict") == "variation", F.concat(lit("「"), "surface", lit("」は人によって受け止め方が分かれています"))).otherwise(F.concat(lit("「"), "surface", lit("」："), "name"))
+        source = F.concat(lit("（"), "section", lit("、"), "page", lit("）"))
+    else:
+        text = F.when(F.col("verdict") == "variation", F.concat(lit("Usage is divided on this form: "), "surface")).otherwise(F.concat("name", lit(": "), "surface"))
+        source = F.concat(lit(" ("), "section", lit(", "), "page", lit(")"))
+    return named.withColumn("message", F.concat(text, F.when(F.col("section").isNotNull(), source).otherwise("")))
+
+
+def teach(spark: SparkSession, language: str = "en") -> DataFrame:
+    """(error_type, name, cls, definition): the classes that an error type involves."""
+    involved = [
+        ("direction_swap", "sonkeigo kenjougo_1"), ("uchi_sonkeigo", "sonkeigo kenjougo_2"), ("self_sonkeigo", "sonkeigo kenjougo_1"), ("rank_inversion", "sonkeigo kenjougo_2"), ("double_keigo", "sonkeigo"),
+        ("go_sareru", "sonkeigo"), ("ogo_dekiru", "kenjougo_1 sonkeigo"), ("bad_keigo_link", "kenjougo_1 sonkeigo"), ("sasete_itadaku_overuse", "kenjougo_1 kenjougo_2"), ("style_mixing", "teineigo plain"), ("sa_insertion", "plain"),
+    ]
+    names = dict(T.NAMES_JA if language == "ja" else [(t[0], t[4]) for t in T.ERROR_TYPES])
+    what = {c: ja if language == "ja" else en for c, en, ja in T.DEFINITIONS}
+    return M.inline(spark, [(t, names[t], c, what[c]) for t, cs in involved for c in cs.split(" ")], "error_type, name, cls, definition")
 
 
 def admissible(spark: SparkSession) -> DataFrame:

@@ -35,9 +35,20 @@ class Checker:
     def roles(self, messages: DataFrame) -> DataFrame:
         return roles.tag(self.prepare(messages))
 
-    def check(self, messages: DataFrame) -> DataFrame:
+    def check(self, messages: DataFrame, language: str = "en") -> DataFrame:
         """Findings with source and message (see operators.detect and correct.explain)."""
-        return correct.explain(detect.detect(self.prepare(messages)))
+        return correct.explain(detect.detect(self.prepare(messages)), language)
+
+    def report(self, messages: DataFrame, language: str = "en") -> DataFrame:
+        """check() with the first predicate's actor and target and the suggestions of each
+        reportable finding (array<struct<text, cls>>, null for divided usage)."""
+        m = self.prepare(messages)
+        found, tagged = detect.detect(m), roles.tag(m)
+        mended = correct.suggested(self.spark, found, tagged, m).select("doc_id", "start", "end", "error_type", "actor", "target", "suggestions")
+        return correct.explain(found, language).join(mended, ["doc_id", "start", "end", "error_type"], "left")
+
+    def teach(self, language: str = "en") -> DataFrame:
+        return correct.teach(self.spark, language)
 
     def suggest(self, messages: DataFrame) -> DataFrame:
         m = self.prepare(messages)

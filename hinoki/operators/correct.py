@@ -60,31 +60,53 @@ def class_forms_sql(lemmas: str) -> str:
     )
 
 
-def index_sql(lemmas: str, inflected: str) -> str:
-    """(family, surface, seq, base, lemma, kind, cls, infl): what can be found in a text."""
+def doubled_sql(lemmas: str) -> str:
+    """Honorific forms with one more (ra)reru; inner_lemma is the form without it."""
     fixed = ", ".join(M.quote(x) for x in [*(e[0] for e in T.ESTABLISHED), *T.SPLIT_SURFACES])
-    doubled = f"(select seq, base, lemma as inner_lemma, kind as inner_kind, cls, {M.rareru('lemma', 'kind')} as lemma, 'ichidan' as kind from {lemmas} where cls <> 'plain' and kind <> 'copula') as d"
+    rows = f"select seq, base, lemma as inner_lemma, kind as inner_kind, cls, {M.rareru('lemma', 'kind')} as lemma, 'ichidan' as kind from {lemmas} where cls <> 'plain' and kind <> 'copula'"
+    return f"select * from ({rows}) as d where lemma not in ({fixed})"
+
+
+def prefixed_sql() -> str:
+    """(family, seq, base, lemma, kind, cls): o/go + stem + sareru or dekiru of each verb."""
     verbs = M.values([(i, *v) for i, v in enumerate(T.VERBS)], "i, plain, ikind, ogo, target, naru", "v")
-    tail = lambda end: f"(select i as seq, plain as base, concat(ogo, {M.ogo_stem('plain', 'ikind')}, '{end}') as lemma, 'ichidan' as kind, 'kenjougo_1' as cls from {verbs} where ogo <> '') as t"
+    part = lambda family, end: f"select '{family}' as family, i as seq, plain as base, concat(ogo, {M.ogo_stem('plain', 'ikind')}, '{end}') as lemma, 'ichidan' as kind, 'kenjougo_1' as cls from {verbs} where ogo <> ''"
+    return part("go_sareru", "される") + " union all " + part("ogo_dekiru", "できる")
+
+
+def index_sql(inflected: str, doubled: str, prefixed: str) -> str:
+    """(family, surface, seq, base, lemma, kind, cls, infl): what can be found in a text."""
+    fixed = ", ".join(M.quote(x) for x in [*(e[0] for e in T.ESTABLISHED), *T.SPLIT_SURFACES])
     return (
         f"select 'surface' as family, surface, seq, base, lemma, kind, cls, infl from {inflected} "
-        f"union all select 'double', surface, seq, base, inner_lemma, inner_kind, cls, infl from ({inflected_sql(doubled)}) as x where lemma not in ({fixed}) and surface not in ({fixed}) and surface not in (select surface from {inflected}) "
-        f"union all select 'go_sareru', surface, seq, base, lemma, kind, cls, infl from ({inflected_sql(tail('される'))}) as y "
-        f"union all select 'ogo_dekiru', surface, seq, base, lemma, kind, cls, infl from ({inflected_sql(tail('できる'))}) as z"
+        f"union all select 'double', surface, seq, base, inner_lemma, inner_kind, cls, infl from ({inflected_sql(doubled)}) as x where surface not in ({fixed}) and surface not in (select surface from {inflected}) "
+        f"union all select family, surface, seq, base, lemma, kind, cls, infl from ({inflected_sql(prefixed)}) as y"
     )
 
 
-def links_sql(inflected: str) -> str:
-    """(surface, rank, text): humble te forms with an auxiliary, and what the other side's act is called."""
+def linked_sql(inflected: str) -> str:
+    """(te, aux, i, nth, lemma, kind, want): humble te forms with an auxiliary, and what the
+    other side's act is called."""
     aux = [(i, s, a, infl) for i, (s, a, infl) in enumerate(T.LINK_AUXILIARIES)]
-    kinds = dict(T.BASE_KINDS)
-    stems = {v[0]: (v[0], v[1], v[2]) for v in T.VERBS if v[2] and v[4]} | {b: (b, k, "お") for b, k in kinds.items() if b not in {v[0] for v in T.VERBS}}
+    known = {v[0] for v in T.VERBS}
+    stems = {v[0]: (v[0], v[1], v[2]) for v in T.VERBS if v[2] and v[4]} | {b: (b, k, "お") for b, k in T.BASE_KINDS if b not in known}
     order = M.values([(i, *stems[b]) for i, b in enumerate(sorted(stems))], "nth, stem_base, stem_kind, prefix", "b")
-    new = f"(select te.surface as te, a.aux, a.i, b.nth, concat(b.prefix, {M.ogo_stem('b.stem_base', 'b.stem_kind')}, a.lemma) as lemma, 'godan' as kind, a.want from (select distinct base, surface from {inflected} where infl = 'te' and cls = 'kenjougo_1' and origin = 'special') as te join {order} on b.stem_base = te.base cross join {M.values(aux, 'i, aux, lemma, want', 'a')}) as n"
-    return f"select concat(te, aux) as surface, i * 100 + nth as rank, surface as text from ({inflected_sql(new)}) as q where infl = want"
+    return (
+        f"select te.surface as te, a.aux, a.i, b.nth, concat(b.prefix, {M.ogo_stem('b.stem_base', 'b.stem_kind')}, a.lemma) as lemma, 'godan' as kind, a.want "
+        f"from (select distinct base, surface from {inflected} where infl = 'te' and cls = 'kenjougo_1' and origin = 'special') as te join {order} on b.stem_base = te.base cross join {M.values(aux, 'i, aux, lemma, want', 'a')}"
+    )
+
 
+def able_sql() -> str:
+    """(base, nth, lemma, kind, fcls): what the other side's ability is called."""
+    verbs = M.values(T.VERBS, "plain, vkind, ogo, target, naru", "v")
+    stem = f"concat(ogo, {M.ogo_stem('plain', 'vkind')})"
+    rows = [(0, "になれる", "sonkeigo", "naru"), (1, "いただける", "kenjougo_1", "true"), (2, "はできる", "plain", "vkind = 'sahen'")]
+    parts = [f"select plain as base, {n} as nth, concat({stem}, '{end}') as lemma, 'ichidan' as kind, '{c}' as fcls from {verbs} where ogo <> '' and {w}" for n, end, c, w in rows]
+    return " union all ".join(parts)
 
-def fixes_sql(index: str, forms: str, inflected: str, links: str) -> str:
+
+def fixes_sql(index: str, forms: str, inflected: str, linked: str, able: str) -> str:
     """(family, surface, variant, rank, text, cls).  forms: inflected class forms."""
     rule = lambda family, variant, rank, cond, text="f.surface", cls="f.cls": (
         f"select x.family, x.surface, '{variant}' as variant, x.seq * 100000 + {rank} + f.seq as rank, {text} as text, {cls} as cls from {index} as x join {forms} as f on f.base = x.base and f.infl = x.infl where x.family = '{family}' and {cond}"
@@ -110,14 +132,7 @@ def fixes_sql(index: str, forms: str, inflected: str, links: str) -> str:
     parts.append(rule("surface", "self_sonkeigo", listed(mine), f"x.cls = 'sonkeigo' and {within(mine)}"))
     shape = "(case when f.lemma like '%れる' then 0 when f.lemma like '%なさる' and f.lemma not like 'お%' and f.lemma not like 'ご%' then 10000 when f.lemma like '%になる' then 20000 else 30000 end)"
     parts.append(rule("go_sareru", "go_sareru", shape, "f.cls = 'sonkeigo' and f.origin = 'general' and f.lemma not like '%だ' and f.lemma not like '%くださる'"))
-    verbs = M.values(T.VERBS, "plain, vkind, ogo, target, naru", "v")
-    stem = f"concat(ogo, {M.ogo_stem('plain', 'vkind')})"
-    able = [
-        (0, M.potential(f"concat({stem}, 'になる')", "'godan'"), "sonkeigo", "naru"), (1, M.potential(f"concat({stem}, 'いただく')", "'godan'"), "kenjougo_1", "true"),
-        (2, f"concat({stem}, 'はできる')", "plain", "vkind = 'sahen'"),
-    ]
-    can = " union all ".join(f"select plain as base, {n} as nth, {x} as lemma, 'ichidan' as kind, '{c}' as fcls from {verbs} where ogo <> '' and {w}" for n, x, c, w in able)
-    parts.append(f"select x.family, x.surface, 'ogo_dekiru' as variant, x.seq * 100000 + f.nth as rank, f.surface as text, f.fcls as cls from {index} as x join ({inflected_sql('(' + can + ') as c')}) as f on f.base = x.base and f.infl = x.infl where x.family = 'ogo_dekiru'")
+    parts.append(f"select x.family, x.surface, 'ogo_dekiru' as variant, x.seq * 100000 + f.nth as rank, f.surface as text, f.fcls as cls from {index} as x join ({inflected_sql(able)}) as f on f.base = x.base and f.infl = x.infl where x.family = 'ogo_dekiru'")
     for variant, pairs in (("polite_style", (("plain", "polite"), ("plain_past", "polite_past"))), ("plain_style", (("polite", "plain"), ("polite_past", "plain_past")))):
         for a, b in pairs:
             parts.append(f"select x.family, x.surface, '{variant}' as variant, x.seq * 100000 as rank, i.surface as text, x.cls from {index} as x join {inflected} as i on i.seq = x.seq and i.lemma = x.lemma where x.family = 'surface' and x.infl = '{a}' and i.infl = '{b}'")
@@ -128,19 +143,10 @@ def fixes_sql(index: str, forms: str, inflected: str, links: str) -> str:
         f"select 'sasete' as family, concat(h.stem, 'せていただ', w.tail) as surface, 'sasete_itadaku_overuse' as variant, h.n * 1000000 + {sasete} * 10000 + i.seq as rank, i.surface as text, case i.cls when 'plain' then 'teineigo' else i.cls end as cls "
         f"from {heads} cross join {tails} join {inflected} as i on i.base = h.hbase and i.infl = w.want where i.origin <> 'special' and i.cls in ('kenjougo_1', 'kenjougo_2', 'kenjougo_1_and_2', 'plain')"
     )
-    parts.append(f"select 'link' as family, surface, 'bad_keigo_link' as variant, rank, text, case when text like '%くだ%' then 'sonkeigo' else 'kenjougo_1' end as cls from {links}")
+    parts.append(f"select 'link' as family, concat(te, aux) as surface, 'bad_keigo_link' as variant, i * 100 + nth as rank, surface as text, case when surface like '%くだ%' then 'sonkeigo' else 'kenjougo_1' end as cls from ({inflected_sql(linked)}) as q where infl = want")
     return " union all ".join(f"select family, surface, variant, cast(rank as double) as rank, text, cls from ({p}) as p{i}" for i, p in enumerate(parts))
 
 
-def oracle_ctes() -> str:
-    """The tables for another SQL engine: CTEs ending in fixes."""
-    return (
-        f"c_lemmas as ({lemmas_sql()}), c_infl as ({inflected_sql('c_lemmas')}), c_forms as ({class_forms_sql('c_lemmas')}), "
-        f"c_formed as (select f.*, coalesce(l.origin, 'general') as origin from ({inflected_sql('c_forms')}) as f left join c_lemmas as l on l.seq = f.seq and l.lemma = f.lemma), "
-        f"c_index as ({index_sql('c_lemmas', 'c_infl')}), c_links as ({links_sql('c_infl')}), fixes as ({fixes_sql('c_index', 'c_formed', 'c_infl', 'c_links')})"
-    )
-
-
 def fixes(spark: SparkSession) -> DataFrame:
     """The table of replacements; its size is fixed by the rule tables, so it is held as a
     local relation, cut at its stages to keep the generated expressions small."""
@@ -150,10 +156,14 @@ def fixes(spark: SparkSession) -> DataFrame:
     if not spark.catalog.tableExists("hinoki_fixes"):
         hold("hinoki_c_lemmas", lemmas_sql())
         hold("hinoki_c_infl", inflected_sql("hinoki_c_lemmas"))
-        hold("hinoki_c_forms", f"select f.*, coalesce(l.origin, 'general') as origin from ({inflected_sql('(' + class_forms_sql('hinoki_c_lemmas') + ') as cf')}) as f left join hinoki_c_lemmas as l on l.seq = f.seq and l.lemma = f.lemma")
-        hold("hinoki_c_index", index_sql("hinoki_c_lemmas", "hinoki_c_infl"))
-        hold("hinoki_c_links", links_sql("hinoki_c_infl"))
-        hold("hinoki_fixes", fixes_sql("hinoki_c_index", "hinoki_c_forms", "hinoki_c_infl", "hinoki_c_links"))
+        hold("hinoki_c_class", class_forms_sql("hinoki_c_lemmas"))
+        hold("hinoki_c_forms", f"select f.*, coalesce(l.origin, 'general') as origin from ({inflected_sql('hinoki_c_class')}) as f left join hinoki_c_lemmas as l on l.seq = f.seq and l.lemma = f.lemma")
+        hold("hinoki_c_doubled", doubled_sql("hinoki_c_lemmas"))
+        hold("hinoki_c_prefixed", prefixed_sql())
+        hold("hinoki_c_index", index_sql("hinoki_c_infl", "hinoki_c_doubled", "hinoki_c_prefixed"))
+        hold("hinoki_c_linked", linked_sql("hinoki_c_infl"))
+        hold("hinoki_c_able", able_sql())
+        hold("hinoki_fixes", fixes_sql("hinoki_c_index", "hinoki_c_forms", "hinoki_c_infl", "hinoki_c_linked", "hinoki_c_able"))
     return spark.table("hinoki_fixes")
 
 

@@ -39,8 +39,8 @@ END = b"\n"  # the end token; no word holds white space
 HASHES, BITS_EACH = 4, 8
 LEVELS = 48
 WEIGHT = 4.0
-SLICE = 3_000_000  # tokens for each slice
-BLOCK = 1_000_000  # tokens of a block of texts
+SLICE = 2_000_000  # tokens for each slice
+BLOCK = 600_000  # tokens of a block of texts
 WORD = np.dtype([("a", "<u8"), ("b", "<u4")])  # the 96-bit name of a word
 PAIR_BITS = 48  # of a bigram's name
 U = np.uint64
@@ -111,16 +111,18 @@ class Bundle:
         flat = list(chain.from_iterable(split))
         index = {w: i for i, w in enumerate(dict.fromkeys(flat, 0))}
         self.ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        del split, flat  # a block's words as objects need more room than all its arrays
         name = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, index)), "<u8").reshape(-1, 2)
         self.words = np.zeros(len(name), WORD)
         self.words["a"], self.words["b"] = name[:, 0], name[:, 1] >> U(32)
         h = np.empty_like(self.ids)
         h[1:] = self.ids[:-1]
         h[np.cumsum(self.sizes) - self.sizes] = index.get(END, 0)
-        self.first = h * len(index) + self.ids
+        kinds = max(1, len(index))
+        del index
 
-        self.pair, self.back = np.unique(self.first, return_inverse=True)
-        self.h, self.w = np.divmod(self.pair, max(1, len(index)))
+        self.pair, self.back = np.unique(h * kinds + self.ids, return_inverse=True)
+        self.h, self.w = np.divmod(self.pair, kinds)
         self.keys = mix(self.words["a"][self.h] * U(0x9E3779B97F4A7C15) + self.words["a"][self.w], 7) >> U(64 - PAIR_BITS)
 
     def dealt(self, slices: int):

@@ -1,6 +1,6 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import ann, bpe, decontaminate, jaccard, lm_score, packing, quality, suffix_dedup, toxicity, url_filter
+from . import ann, bpe, conversation, decontaminate, fim, jaccard, lm_score, packing, pii, quality, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,5 +13,8 @@ QUERIES = {
     "op5_ann": ann.op5_ann,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op11_conversation_repair": conversation.op11_conversation_repair,
+    "op12_pii": pii.op12_pii,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
-ORACLES = {"op8_decontaminate": decontaminate.ORACLE, "op7_url_filter": url_filter.ORACLE}
+ORACLES = {"op8_decontaminate": decontaminate.ORACLE, "op7_url_filter": url_filter.ORACLE, "op13_fill_in_middle": fim.ORACLE}

@@ -16,6 +16,9 @@ COLUMNS = {
     "op6_jaccard": "doc_id:bigint n_shingles:bigint component_id:bigint",
     "op7_url_filter": "page_id:bigint host:string path:string rule:string verdict:string",
     "op9_lm_score": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
+    "op11_conversation_repair": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string repaired_sha256:string",
+    "op12_pii": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
+    "op13_fill_in_middle": "doc_id:bigint n:bigint form:string prefix_chars:bigint middle_chars:bigint output_sha256:string restored_sha256:string",
 }
 FOLDS = {"op3_toxicity": (5, 0), "op9_lm_score": (7, 2)}
 
@@ -39,7 +42,7 @@ def test_contract(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_strings", "benchmark", "tokens"]
 

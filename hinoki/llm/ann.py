@@ -208,7 +208,9 @@ def nearest(queries: DataFrame, held: DataFrame, shards: int, k: int, vec: str =
             for j, row in enumerate(found):
                 row = row[row >= 0]
                 d = np.sqrt(((v[row] - part[j]) ** 2).sum(1))
-                row, d = row[(near := np.argsort(d, kind="stable")[: k + 1])], d[near]
+                if len(d) > k + 1:  # all nodes as near as the (k + 1)-th: ids decide among ties
+                    near = d <= np.partition(d, k)[k]
+                    row, d = row[near], d[near]
                 count = ends[row] - np.where(row > 0, ends[row - 1], 0)
                 ids = np.concatenate([flat[ends[r] - c : ends[r]] for r, c in zip(row, count)])
                 d = np.repeat(d, count)

@@ -34,7 +34,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 RARE = regex.compile("[^\\x00-\\u024f\\u2000-\\u206e\\u20a0-\\u20bd\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5]")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 NEVER = np.int32(1 << 30)
-CACHE = 200_000  # words; a full cache is emptied, which changes no result
+CACHE, CACHED_CHARS = 200_000, 128  # words, and the longest one kept; a full cache is emptied, which changes no result
 WIDE = 64  # symbols of a fragment that is merged in a matrix; longer ones are merged one by one
 BLOCK = 256  # texts encoded together
 
@@ -163,8 +163,10 @@ class Codec:
         begin = np.flatnonzero(cut)
         return s, begin, np.searchsorted(ends, begin, "right")
 
-    def learn(self, words: list[str]) -> None:
-        """Puts the ids (little-endian 32 bit) of words without white space in the cache."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids (little-endian 32 bit) of words without white space.  Those of short words go
+        in the cache, the others (a text without spaces is one) are returned alone."""
+        longer: dict[str, bytes] = {}
         pieces: list[str] = []
         sizes: list[int] = []
         joined, plain, odd = "\n".join(words), words, []
@@ -200,8 +202,9 @@ class Codec:
             ends = np.cumsum(np.bincount(word, minlength=len(words)))
         blob, a = ids[ids >= 0].astype("<u4").tobytes(), 0
         for w, z in zip(chain(plain, odd), (4 * ends).tolist()):
-            self.words[w] = blob[a:z]
+            (self.words if len(w) <= CACHED_CHARS else longer)[w] = blob[a:z]
             a = z
+        return longer
 
     def normal(self, text: str) -> list[str]:
         """The words of a normalized text: its runs without white space."""
@@ -234,10 +237,12 @@ class Codec:
             words.clear()
             new = set().union(*split)
         special = {w for w in new if w[0] == "\n"}
-        self.learn([*(new - special)])
+        longer = self.learn([*(new - special)])
         for w in special:
             words[w] = struct.pack("<I", self.special[w[1:]])
-        return [b"".join(map(words.__getitem__, w)) for w in split]
+        if not longer:
+            return [b"".join(map(words.__getitem__, w)) for w in split]
+        return [b"".join([longer[w] if w in longer else words[w] for w in ws]) for ws in split]
 
     def decode(self, ids: bytes | None) -> str:
         """The text that ids stand for; unknown ids are left out."""

@@ -45,9 +45,30 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages, rules.limit(0)).where("verdict = 'allow'").count() == len(urls)
 
 
+def test_url_filter_on_a_long_host(spark):
+    host = "a." * 500_000 + "example.com"
+    pages = spark.createDataFrame([(0, f"http://{host}/en/7"), (1, "http://com" + "/en/" * 250_000)], "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "rule_host string, rule_path string, rule_verdict string")
+    got = {r.page_id: (len(r.host), r.rule, r.verdict) for r in url_filter.url_filter(pages, rules).collect()}
+    assert got == {0: (len(host), "example.com/en/7", "allow"), 1: (3, "com/en/", "block")}
+
+
 # --- 4
 
 
+def test_bpe_keeps_no_long_words():
+    from tokenizers import Tokenizer
+
+    spec = bpe.tokenizer_json()
+    codec, lib = bpe.Codec(spec), Tokenizer.from_str(spec)
+    lib.no_truncation()
+    texts = ["x" * 300_000, "short " + "yz" * 200 + " word", "short", "yz" * 200]
+    for _ in range(2):
+        got = [np.frombuffer(b, "<u4").tolist() for b in codec.encode(texts)]
+        assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(codec.words) == {"short", "word"}
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -361,6 +382,17 @@ def test_ann_recall_ties_and_odd_vectors(spark, shard):
     assert ann.nearest(df.where("vec_id < 3"), held, shards, 10).count() == 6
 
 
+def test_ann_ties_go_to_smaller_ids(spark):
+    """32 nodes at exactly the same distance: more than k + 1, in the beam together."""
+    unit = [[float(s * (i == j)) for j in range(16)] for i in range(16) for s in (1, -1)]
+    origin = [1e-300] + [0.0] * 15  # not zero, and at distance 1 from all of them in double precision
+    rows = [(100, origin)] + [(232 - i, v) for i, v in enumerate(unit)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held, shards = ann.index(df, 10)
+    got = sorted(ann.nearest(df.where("vec_id = 100"), held, shards, 10).collect(), key=lambda r: r["rank"])
+    assert [r.vec_id for r in got] == list(range(201, 211)) and {r.score for r in got} == {1.0}
+
+
 # --- 8
 
 

@@ -821,3 +821,9 @@ def mail_edits(spark, sf_dir):
 @query("select * from (values " + ", ".join("(" + ", ".join(f"'{v}'" for v in c) + ")" for c in G.CONTEXTS) + ") as t(audience, writer, writer_org, recipient, recipient_title, recipient_org)")
 def default_contexts(spark, sf_dir):
     return spark.createDataFrame(G.CONTEXTS, "audience string, writer string, writer_org string, recipient string, recipient_title string, recipient_org string")
+
+
+from . import mail_catalog  # noqa: E402
+
+QUERIES |= mail_catalog.QUERIES
+ORACLES |= mail_catalog.ORACLES

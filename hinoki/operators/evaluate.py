@@ -17,11 +17,12 @@ def reportable(findings: DataFrame, least: float = 0.0) -> DataFrame:
     return findings.where((F.col("verdict") == "norm_divergence") & (F.col("confidence") >= least))
 
 
-def matched(gold: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+def matched(gold: DataFrame, findings: DataFrame, key: str, longest: int | None = None) -> DataFrame:
     """gold (key, start, end, type) with located, typed and the type of the finding of
-    the best overlap (the first of equals), '__missed__' without one."""
+    the best overlap (the first of equals), '__missed__' without one; longest as for
+    overlap_join()."""
     f = reportable(findings).select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("error_type").alias("found"))
-    met = S.overlap_join(gold, f, key, "left").withColumn("iou", S.iou("start", "end", "start2", "end2"))
+    met = S.overlap_join(gold, f, key, "left", longest).withColumn("iou", S.iou("start", "end", "start2", "end2"))
     best = F.max(F.when(F.col("found").isNotNull(), F.struct("iou", (-F.col("start2")).alias("n"), "found")))["found"]
     return met.groupBy(key, "start", "end", "type").agg(
         F.max(F.col("found").isNotNull()).alias("located"), F.coalesce(F.max(F.col("found") == F.col("type")), F.lit(False)).alias("typed"), F.coalesce(best, F.lit("__missed__")).alias("predicted")
@@ -47,11 +48,11 @@ def false_positives(docs: DataFrame, findings: DataFrame, key: str) -> DataFrame
     return docs.select(key).join(per, key, "left").agg(F.count("*").alias("n_docs"), F.count("c").alias("docs_with_fp"), F.coalesce(F.sum("c"), F.lit(0)).alias("fp_count"))
 
 
-def sweep(gold: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+def sweep(gold: DataFrame, findings: DataFrame, key: str, longest: int | None = None) -> DataFrame:
     """threshold, n, detected: gold spans met at each confidence threshold.  A span's
     best confidence is found once; the thresholds then only compare."""
     f = findings.where("verdict = 'norm_divergence'").select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), "confidence")
-    top = S.overlap_join(gold, f, key, "left").groupBy(key, "start", "end", "type").agg(F.max("confidence").alias("top"))
+    top = S.overlap_join(gold, f, key, "left", longest).groupBy(key, "start", "end", "type").agg(F.max("confidence").alias("top"))
     at = F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold")
     return top.select(at, "top").groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(F.col("top") >= F.col("threshold")).alias("detected"))
 

@@ -175,11 +175,11 @@ def injected_sql(corpus: str, candidates: str) -> str:
 
 
 def split_sql(rows: str, share: tuple[int, int] = (80, 10)) -> str:
-    """rows with split: train, validation or test by the hash order of id."""
-    return (
-        f"select *, case when pr * 100 < {share[0]} then 'train' when pr * 100 < {sum(share)} then 'validation' else 'test' end as split "
-        f"from (select *, (row_number() over (order by id, error_type) - 1) * 1.0 / count(*) over () as pr from {rows}) as p"
-    )
+    """rows with split: train, validation or test by a threshold on the hash of source_text, so
+    the variants of a sentence are in one split and a row's split needs no other row."""
+    digit = lambda i: f"(instr('0123456789abcdef', substring(md5(source_text), {i}, 1)) - 1)"
+    at = f"({digit(1)} * 16 + {digit(2)}) * 100"
+    return f"select *, case when {at} < {share[0]} * 256 then 'train' when {at} < {sum(share)} * 256 then 'validation' else 'test' end as split from {rows} as p"
 
 
 def mail_pieces_sql(corpus: str, most: int = 3) -> str:

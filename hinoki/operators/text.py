@@ -26,6 +26,7 @@ PHRASE = f"([^{BREAKS}]*?)(" + "|".join(sorted(T.PARTICLES, key=len, reverse=Tru
 BOUNDARY = f"^(?:[{klass(T.BOUNDARIES)}]|" + "|".join(map(re.escape, T.CONTINUATIONS)) + ")"
 VETO = "[一-鿿々゠-ヿA-Za-z0-9０-９]"
 BLANK = "^[\\s　]*$"
+SCRIPT = "[ぁ-んァ-ヶ一-龥]"  # every entry of the lexicon and every particle has such a character
 
 
 def let(value: Column, make) -> Column:
@@ -97,17 +98,19 @@ def greedy(items: Column, start: str, end: str) -> Column:
     return F.aggregate(items, empty, keep)
 
 
-def scan(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "sentence", boundary: str | None = BOUNDARY, veto: str | None = VETO, longest: int = 22) -> DataFrame:
+def scan(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "sentence", boundary: str | None = BOUNDARY, veto: str | None = VETO, longest: int = 22, script: str | None = SCRIPT) -> DataFrame:
     """Leftmost-longest, non-overlapping dictionary match.
 
     lexicon: surface and any columns; with cls = 'plain' an entry is vetoed behind a
     kanji, katakana or alphanumeric character.  Boundary and veto come before the
-    longest match is picked.  Returns keys, p_start, p_end, surface and the lexicon's
+    longest match is picked.  script: a pattern that every entry has a match of.  Returns keys, p_start, p_end, surface and the lexicon's
     columns.  Substrings meet the lexicon by an equi-join (its size is fixed by the
     rule tables, hence the broadcast), after their first two characters have met an index of
     its beginnings; one regrouping by keys picks the matches.
     """
     c = F.col(text)
+    if script:  # a text without such a character holds no entry
+        df = df.where(c.rlike(script))
     # Only places whose first two characters begin an entry are looked at further, and only
     # at the lengths that entries of this beginning have.
     heads = lexicon.groupBy(F.substring("surface", 1, 2).alias("_head")).agg(F.collect_set(F.length("surface")).alias("_sizes"))
@@ -168,12 +171,12 @@ def position(line: Column, column: Column, starts: Column, lengths: Column) -> C
 def ranges(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, start, end, surface) of rows with from_line, from_column, to_line, to_column
     (from 1, the last one excluded).  Without an end a range is one character, an empty
-    range too; ranges with an unknown line or an end before their start go."""
+    range four (as far as the text goes); ranges with an unknown line or an end before their start go."""
     parts = F.split(F.col(text), "\n", -1)
     rows = df.withColumn("_n", F.transform(parts, F.length)).withColumn("_o", offsets(F.transform("_n", lambda n: n + 1)))
     start = position(F.col("from_line"), F.col("from_column"), F.col("_o"), F.col("_n"))
     end = F.coalesce(position(F.col("to_line"), F.col("to_column"), F.col("_o"), F.col("_n")), start + 1)
-    rows = rows.withColumn("start", start).withColumn("end", F.when(end == start, F.least(start + 1, F.length(text))).otherwise(end)).where("start is not null and end >= start")
+    rows = rows.withColumn("start", start).withColumn("end", F.when(end == start, F.least(start + F.when(F.col("to_line").isNull(), 1).otherwise(4), F.length(text))).otherwise(end)).where("start is not null and end >= start")
     return rows.select(key, "start", "end", F.substr(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"))
 
 

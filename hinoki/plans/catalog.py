@@ -181,7 +181,7 @@ def sentence_split_documents(spark, sf_dir):
 
 @query(f"with {oracle_cte()}, " + DUCK_SENTENCES.format(source="messages", key="doc_id") + ", z as (select doc_id, sent_idx, regexp_extract_all(sentence, " + M.quote(X.PHRASE) + ", 1) as b, regexp_extract_all(sentence, " + M.quote(X.PHRASE) + ", 2) as q from sents) select doc_id, sent_idx, b[i] as body, q[i] as particle, count(*) as n from z, unnest(range(1, len(b) + 1)) as u(i) where b[i] <> '' group by all")
 def phrase_chunks(spark, sf_dir):
-    s = X.sentences(messages(spark, sf_dir)).select("doc_id", "sent_idx", F.explode(X.phrases(F.col("sentence"))).alias("p"))
+    s = X.sentences(messages(spark, sf_dir)).where(F.col("sentence").rlike(X.SCRIPT)).select("doc_id", "sent_idx", F.explode(X.phrases(F.col("sentence"))).alias("p"))
     return s.groupBy("doc_id", "sent_idx", F.col("p.body").alias("body"), F.col("p.particle").alias("particle")).agg(F.count("*").alias("n"))
 
 
@@ -197,7 +197,7 @@ def variation_scan(spark, sf_dir):
 DUCK_SCAN = (
     f"{L.oracle_ctes()}, {oracle_cte()}, texts as (select min(doc_id) as tid, text from messages group by text), "
     + DUCK_SENTENCES.format(source="texts", key="tid")
-    + f", cand as (select tid, sent_idx, sent_start, s as p_start, n, substring(sentence, s + 1, n) as surface, sentence from sents, unnest(range(0, length(sentence) - 1)) as a(s), unnest(range(2, 23)) as b(n) where s + n <= length(sentence)), "
+    + f", cand as (select tid, sent_idx, sent_start, s as p_start, n, substring(sentence, s + 1, n) as surface, sentence from sents, unnest(range(0, length(sentence) - 1)) as a(s), unnest(range(2, 23)) as b(n) where s + n <= length(sentence) and regexp_matches(sentence, '[ぁ-んァ-ヶ一-龥]')), "
     + f"hit as (select c.*, l.form, l.kind, l.cls, l.origin, l.base, l.hint from cand as c join lexicon as l on c.surface = l.surface where (s_rest(c) = '' or regexp_matches(s_rest(c), {M.quote(X.BOUNDARY)})) and not (l.cls = 'plain' and p_start > 0 and regexp_matches(substring(sentence, p_start, 1), {M.quote(X.VETO)}))), ".replace("s_rest(c)", "substring(sentence, p_start + n + 1)")
     + "best as (select *, p_start + n as p_end from hit qualify row_number() over (partition by tid, sent_idx, p_start order by n desc) = 1), "
     + "firsts as (select tid, sent_idx, min(p_start) as p_start from best group by all), "
@@ -568,7 +568,7 @@ DUCK_MATCH = f"{DUCK_SPANS}, m as (select a.id, a.type, b.type2, b.start2, {IOU}
 def span_matches(spark, sf_dir) -> DataFrame:
     a, b = span_pair(spark, sf_dir)
     found = b.select(F.col("k"), F.col("start2").alias("start"), F.col("end2").alias("end"), F.col("type2").alias("error_type"), F.lit("norm_divergence").alias("verdict"), F.lit(1.0).alias("confidence"))
-    return E.matched(a.select("k", "start", "end", "type", "id"), found, "k")
+    return E.matched(a.select("k", "start", "end", "type", "id"), found, "k", LONGEST)
 
 
 @query(f"with {DUCK_SPANS}, m as (select a.k, a.start, a.end_, a.type, max(b.type2 is not null) as located, coalesce(max(b.type2 = a.type), false) as typed from a left join b on a.k = b.k and a.start < b.end2 and b.start2 < a.end_ group by all) select coalesce(type, '__all__') as type, count(*) as n, avg(located::int) as location_recall, avg(typed::int) as type_recall from m group by grouping sets ((type), ())")
@@ -588,7 +588,7 @@ TH = M.values([(t,) for t in E.THRESHOLDS], "threshold", "t")
 def threshold_sweep(spark, sf_dir):
     a, b = span_pair(spark, sf_dir)
     found = b.select("k", F.col("start2").alias("start"), F.col("end2").alias("end"), F.col("type2").alias("error_type"), F.lit("norm_divergence").alias("verdict"), (F.col("conf") / 1000).alias("confidence"))
-    return E.sweep(a, found, "k")
+    return E.sweep(a, found, "k", LONGEST)
 
 
 @query("with r as (select event_type, value, count(*) over (partition by event_type) as n, row_number() over (partition by event_type order by value) - 1 as r from events) select event_type, max(n) as n, median(value) as median, round(avg(value), 6) as mean, max(value) filter (r = floor(n * 0.95)) as p95 from r group by event_type")
@@ -772,7 +772,7 @@ def corrector_majority(spark, sf_dir):
     return messages(spark, sf_dir).select("doc_id", CO.majority_is_polite(F.col("text")).alias("polite"))
 
 
-@query("select doc_id, s.start::int as start, (s.start + s.n)::int as end_, substring(text, s.start + 1, s.n) as surface from (select doc_id, text, length(l[1]) + 1 as start, case when length(l[2]) = 0 then least(1, length(text) - length(l[1]) - 1) else least(length(l[2]), 4) end as n from (select doc_id, text, string_split(text, chr(10)) as l from documents) as q where len(l) >= 2) as s")
+@query("select doc_id, s.start::int as start, (s.start + s.n)::int as end_, substring(text, s.start + 1, s.n) as surface from (select doc_id, text, length(l[1]) + 1 as start, case when length(l[2]) = 0 then least(4, length(text) - length(l[1]) - 1) else least(length(l[2]), 4) end as n from (select doc_id, text, string_split(text, chr(10)) as l from documents) as q where len(l) >= 2) as s")
 def position_ranges(spark, sf_dir):
     """The first four characters of each document's second line, by line and column."""
     at = {"from_line": 2, "from_column": 1, "to_line": 2, "to_column": 5}
@@ -823,6 +823,48 @@ def default_contexts(spark, sf_dir):
     return spark.createDataFrame(G.CONTEXTS, "audience string, writer string, writer_org string, recipient string, recipient_title string, recipient_org string")
 
 
+# --- lookups of the rule tables, one a document ------------------------------------
+
+#: Queries over the rule tables and the generated corpus, and what a document looks up there.
+LOOKUPS = {
+    "verb_forms_sonkeigo": "plain", "verb_forms_kenjougo1": "plain", "verb_forms_kenjougo2": "plain", "verb_inflections": "plain", "potential_forms": "plain",
+    "special_form_lookup": "base", "special_surface_index": "form", "lexicon_by_origin": "origin", "predicate_lexicon": "surface", "citation_for_error": "error_type",
+    "citation_by_audience": "error_type", "variation_by_acceptability": "acceptability", "variation_self_check": "probe", "party_resolution": "phrase",
+    "forms_for_standpoint": "base", "candidate_forms_by_origin": "origin", "corpus_cross_product": "id", "inject_errors": "id", "dataset_splits": "error_type",
+    "bio_labels": "id", "apply_suggestion": "id", "suggestion_validity": "type", "dataset_record_roundtrip": "id", "corpus_recall": "type",
+    "corpus_false_positives": "n_docs", "evaluation_set": "id", "gold_types": "error_type", "mail_offsets": "mail_id", "mail_edits": "mail_id", "default_contexts": "audience",
+}
+
+
+def looked_up(make, column: str):
+    """make's rows by document: each takes those of one key, by its doc_id.  The numbered keys are
+    as many as the rule tables give, whatever the documents; a null doc_id takes none."""
+
+    def run(spark, sf_dir):
+        rows, key = make(spark, sf_dir), F.coalesce(F.col(column).cast("string"), F.lit(""))
+        slots = rows.select(key.alias("_key")).distinct().withColumn("_slot", F.row_number().over(W.orderBy("_key")) - 1)
+        rows = rows.withColumn("_key", key).join(F.broadcast(slots), "_key").withColumnRenamed("_slot", "_at")
+        docs = table(spark, sf_dir, "documents").select("doc_id").where("doc_id is not null")
+        n = F.broadcast(slots.agg(F.count("*").alias("_of")))
+        docs = docs.join(n).withColumn("_at", F.pmod(F.col("doc_id"), F.col("_of")).cast("int"))
+        return docs.join(F.broadcast(rows), "_at").select("doc_id", *[c for c in rows.columns if not c.startswith("_")])
+
+    return run
+
+
+def looked_up_sql(sql: str, column: str) -> str:
+    return (
+        f"with looked as ({sql}), keyed as (select *, dense_rank() over (order by coalesce(cast({column} as varchar), '')) - 1 as slot_ from looked) "
+        "select d.doc_id, k.* exclude (slot_) from documents d join keyed k on k.slot_ = d.doc_id % (select max(slot_) + 1 from keyed)"
+    )
+
+
+for _name, _column in LOOKUPS.items():
+    QUERIES[_name] = looked_up(QUERIES[_name], _column)
+    if _name in ORACLES:
+        ORACLES[_name] = looked_up_sql(ORACLES[_name], _column)
+
+
 from . import mail_catalog  # noqa: E402
 
 QUERIES |= mail_catalog.QUERIES

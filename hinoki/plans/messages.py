@@ -39,9 +39,12 @@ PERSONS = [("田中", "self_group"), ("鈴木", "addressee_group")]
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text, audience, writer, recipient, persons for every document."""
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    text = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("doc_id") % len(MESSAGES) + 1).cast("int"))
+    """doc_id, text, audience, writer, recipient, persons for every document: its own whole text,
+    with a message on lines of its own in the middle (a null text is empty)."""
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("doc_id") % len(MESSAGES) + 1).cast("int"))
+    half = F.floor(F.length("t") / 2).cast("int")
+    text = F.concat(F.substr("t", F.lit(1), half), F.lit("\n"), message, F.lit("\n"), F.substr("t", half + 1))
     audience = F.element_at(F.array(*map(F.lit, AUDIENCES)), (F.col("doc_id") % 3 + 1).cast("int"))
     persons = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("side")) for n, s in PERSONS))
     return ids.select("doc_id", text.alias("text"), audience.alias("audience"), F.lit(WRITER).alias("writer"), F.lit(RECIPIENT).alias("recipient"), persons.alias("persons"))
@@ -50,4 +53,5 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_cte() -> str:
     """The same view, without the context, as a CTE of other engines."""
     pick = lambda rows: f"list_extract([{', '.join(map(quote, rows))}], (doc_id % {len(rows)})::int + 1)"
-    return f"messages as (select doc_id, {pick(MESSAGES)} as text, {pick(AUDIENCES)} as audience from documents)"
+    text = f"substring(t, 1, (length(t) // 2)::int) || chr(10) || {pick(MESSAGES)} || chr(10) || substring(t, (length(t) // 2)::int + 1)"
+    return f"messages as (select doc_id, {text} as text, {pick(AUDIENCES)} as audience from (select doc_id, coalesce(text, '') as t from documents) as own)"

@@ -34,7 +34,7 @@ def scan() -> str:
     rest = "substring(sentence, p_start + n + 1)"
     return (
         f"{L.oracle_ctes()}, texts as (select min(doc_id) as tid, text from src group by text), {sentences('texts', 'tid')}, "
-        "pieces_ as (select tid, sent_idx, sent_start, s as p_start, n, substring(sentence, s + 1, n) as surface, sentence from sents, unnest(range(0, length(sentence) - 1)) as a(s), unnest(range(2, 23)) as b(n) where s + n <= length(sentence)), "
+        "pieces_ as (select tid, sent_idx, sent_start, s as p_start, n, substring(sentence, s + 1, n) as surface, sentence from sents, unnest(range(0, length(sentence) - 1)) as a(s), unnest(range(2, 23)) as b(n) where s + n <= length(sentence) and regexp_matches(sentence, '[ぁ-んァ-ヶ一-龥]')), "
         f"hit as (select c.*, l.form, l.kind, l.cls, l.origin, l.base, l.hint from pieces_ as c join lexicon as l on c.surface = l.surface where ({rest} = '' or regexp_matches({rest}, {quote(X.BOUNDARY)})) and not (l.cls = 'plain' and p_start > 0 and regexp_matches(substring(sentence, p_start, 1), {quote(X.VETO)}))), "
         "best as (select *, p_start + n as p_end from hit qualify row_number() over (partition by tid, sent_idx, p_start order by n desc) = 1), "
         "firsts as (select tid, sent_idx, min(p_start) as p_start from best group by all), "

@@ -72,7 +72,7 @@ def double_hits(messages: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sa_hits(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     """The literals never overlap, so one alternation finds what one pattern each would."""
-    return shape(X.finditer(messages, "|".join(sa_literals())), key, "sa_insertion", 0.9, "sa_insertion", 2 + F.col("start") * 1e-6)
+    return shape(X.finditer(messages, X.any_of(sa_literals())), key, "sa_insertion", 0.9, "sa_insertion", 2 + F.col("start") * 1e-6)
 
 
 def go_sareru_hits(messages: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -159,7 +159,7 @@ def variation_scan(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Leftmost-longest registered surfaces: key, start2, end2, v_surface, v_key, ...
     Entries bound to an audience take their text but are not applied here."""
     words = sorted((s for v in T.VARIATIONS for s in v[1].split(" ")), key=lambda s: -len(s))
-    hit = X.finditer(messages, "|".join(words)).select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("surface").alias("v_surface"))
+    hit = X.finditer(messages, X.any_of(words)).select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("surface").alias("v_surface"))
     return hit.join(F.broadcast(variation_table(messages.sparkSession)), "v_surface").where("only_for = ''")
 
 
@@ -194,7 +194,7 @@ def pattern_hits(messages: DataFrame, key: str) -> DataFrame:
     """The regex families in one pass over the texts: (key, hit)."""
     text = F.col("text")
     families = [(p, "double_keigo", 0.9, "double_keigo", 1 + i * 0.01) for i, p in enumerate(T.DOUBLE_PATTERNS)]
-    families += [("|".join(sa_literals()), "sa_insertion", 0.9, "sa_insertion", 2), (T.GO_SARERU, "go_sareru", 0.8, "go_sareru.q7", 3), (T.OGO_DEKIRU, "ogo_dekiru", 0.7, "ogo_dekiru.q8", 4)]
+    families += [(X.any_of(sa_literals()), "sa_insertion", 0.9, "sa_insertion", 2), (T.GO_SARERU, "go_sareru", 0.8, "go_sareru.q7", 3), (T.OGO_DEKIRU, "ogo_dekiru", 0.7, "ogo_dekiru.q8", 4)]
     families += [(T.BAD_LINK, "bad_keigo_link", 0.75, "keigo_link.bad", 5), (T.SASETE, "sasete_itadaku_overuse", 0.6, "sasete_itadaku", 6)]
 
     any_ = "|".join(f[0] for f in families)

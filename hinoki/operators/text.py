@@ -19,6 +19,12 @@ def klass(chars: str) -> str:
     return "".join("\\" + c if c in "\\]^-[&" else {"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c, c) for c in chars)
 
 
+def any_of(words: list[str]) -> str:
+    """A regex of literal words, in order: one look at a character rules out most places before
+    the words are tried one by one."""
+    return f"(?=[{klass(''.join(sorted({w[0] for w in words})))}])(?:{'|'.join(words)})"
+
+
 ENDS = klass(T.SENTENCE_ENDS)
 SENTENCE = f"[^{ENDS}]*[{ENDS}]+|[^{ENDS}]+"
 BREAKS = klass(T.PHRASE_BREAKS)

@@ -60,19 +60,23 @@ def inflections() -> list[tuple[int, str, str, str]]:
     verb, copula = "kind <> 'copula'", "kind = 'copula'"
     past = f"concat({M.cut('te', 1)}, case when te like '%て' then 'た' else 'だ' end)"
     out = [(0, "form", "true")]
-    out += [(i, f"concat({M.cut('form', 1)}, '{e}')", copula) for i, e in enumerate(["", "です", "でした", "でして", "でしょう", "ではない"], 1)]
-    out += [(i, f"concat(s, '{e}')", verb) for i, e in enumerate(["ます", "ました", "ません", "ませんでした", "まして", "ましたら", "ましょう"], 11)]
+    out += [(i, f"concat({M.cut('form', 1)}, '{e}')", copula) for i, e in enumerate(T.COPULA_ENDINGS, 1)]
+    out += [(i, f"concat(s, '{e}')", verb) for i, e in enumerate(T.MASU_ENDINGS, 11)]
     out += [(20, "s", f"{verb} and cls <> 'plain'"), (21, "te", verb), (22, past, verb), (23, "concat(a, 'ない')", verb), (24, "p", verb)]
-    out += [(i, f"concat({M.cut('p', 1)}, '{e}')", verb) for i, e in enumerate(["ます", "ました", "ません", "ませんでした", "ない"], 25)]
+    out += [(i, f"concat({M.cut('p', 1)}, '{e}')", verb) for i, e in enumerate(T.POTENTIAL_ENDINGS, 25)]
     return out
 
 
+def rank_sql() -> str:
+    """Of the entries of a surface the largest counts; over origin and nth."""
+    rank = "case origin " + " ".join(f"when '{o}' then {p}" for o, p in T.PRIORITY) + " end"
+    return f"cast({rank} as bigint) * 100000000 - nth"
+
+
 def lexicon_sql(stems: str) -> str:
     """One row a surface out of a table of stems_sql."""
-    rank = "case origin " + " ".join(f"when '{o}' then {p}" for o, p in T.PRIORITY) + " end"
     rows = " union all ".join(f"select {s} as surface, cast(seq as bigint) * 100 + {n} as nth, form, kind, cls, origin, base, hint from {stems} where {c}" for n, s, c in inflections())
-    key = f"cast({rank} as bigint) * 100000000 - nth"
-    pick = ", ".join(f"max_by({c}, {key}) as {c}" for c in ("form", "kind", "cls", "origin", "base", "hint"))
+    pick = ", ".join(f"max_by({c}, {rank_sql()}) as {c}" for c in ("form", "kind", "cls", "origin", "base", "hint"))
     return f"select surface, {pick} from ({rows}) as r where surface is not null and length(surface) >= 2 group by surface"
 
 

@@ -120,6 +120,26 @@ def style_majority(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     return counts.where("n_sentences >= 3 and n_polite + n_plain >= 3").withColumn("majority", major).drop("first")
 
 
+def style_minority(messages: DataFrame, key: str = "doc_id", polite: str = T.POLITE_END, plain: str = T.BASELINE_PLAIN_END) -> DataFrame:
+    """(key, start, end, surface): the last eight characters of each sentence in the rarer style
+    (plain ones on a tie), where both styles and three classified sentences are there.  All of it
+    in the row: no shuffle.  Null and empty texts have none."""
+    style = lambda b: F.when(b.rlike(polite), "polite").when(b.rlike(plain), "plain")
+    body = lambda s, n: F.struct(n.alias("start"), F.regexp_replace(s, "[。！？\\n 　]+$", "").alias("body"))
+    told = lambda x: F.struct(x["start"].alias("start"), x["body"].alias("body"), style(x["body"]).alias("style"))
+    parts = F.regexp_extract_all("text", F.lit(X.SENTENCE), F.lit(0))
+    all_ = X.let(parts, lambda p: F.transform(F.zip_with(p, X.offsets(F.transform(p, F.length)), body), told))
+
+    def rarer(a):
+        n = {s: F.size(F.filter(a, lambda x: x["style"] == s)) for s in ("polite", "plain")}
+        odd = F.filter(a, lambda x: x["style"] == F.when(n["plain"] <= n["polite"], "plain").otherwise("polite"))
+        return F.when((n["polite"] > 0) & (n["plain"] > 0) & (n["polite"] + n["plain"] >= 3), odd)
+
+    found = messages.select(key, F.explode(X.let(all_, rarer)).alias("x"))
+    end = F.col("x.start") + F.length("x.body")
+    return found.select(key, (end - F.least(F.length("x.body"), F.lit(8))).alias("start"), end.alias("end"), F.expr("right(x.body, 8)").alias("surface"))
+
+
 def style_hits(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     mixed = style_majority(messages, key).where("n_polite > 0 and n_plain > 0").select(key, "majority")
     odd = styles(messages, key).join(mixed, key).where("style <> majority and body <> ''")

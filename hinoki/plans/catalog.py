@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import morph as M
 from ..functions import tables as T
+from ..operators import analyse as AN
 from ..operators import correct as CO
 from ..operators import detect as D
 from ..operators import evaluate as E
@@ -213,6 +214,22 @@ def dictionary_scan(spark, sf_dir):
     return hit.select("doc_id", "sent_idx", (F.col("sent_start") + F.col("p_start")).alias("start"), (F.col("sent_start") + F.col("p_end")).alias("end_"), "surface", "cls", "origin", "base")
 
 
+TAIL_AT = "list_filter(list_transform([" + ", ".join(map(M.quote, T.POLITE_TAILS)) + "], lambda t: instr(w.surface, t)), lambda p: p > 1)[1]"
+
+
+@query(
+    f"with recursive {DUCK_SCAN}, told as (select w.*, {TAIL_AT} as tail_at from walk w) select m.doc_id, (w.sent_start + w.p_start)::int as start, (w.sent_start + w.p_end)::int as end_, w.surface, w.form, w.kind, w.cls, w.origin, w.base, "
+    "case when tail_at is null then w.surface else substring(w.surface, 1, (tail_at - 1)::int) end as stem, case when tail_at is null then '' else substring(w.surface, tail_at::int) end as tail from told w join texts t on t.tid = w.tid join messages m on m.text = t.text"
+)
+def predicate_analysis(spark, sf_dir):
+    """The predicates of the documents taken apart by their endings, without the lexicon's
+    entries; the SQL keeps the entries that it met, so each side goes the other way."""
+    hit = dictionary_scan(spark, sf_dir).select("doc_id", "start", "end_", "surface")
+    known = AN.analyse(hit).where("known").select(F.col("surface").alias("s"), "form", "kind", "cls", "origin", "base")
+    tail = AN.polite_tail(F.col("surface"))
+    return hit.join(known, F.col("surface") == F.col("s")).select("doc_id", "start", "end_", "surface", "form", "kind", "cls", "origin", "base", tail["stem"].alias("stem"), tail["tail"].alias("tail"))
+
+
 LATIN = [("the", "article"), ("and", "conjunction"), ("of", "preposition"), ("that", "determiner"), ("is", "verb")]
 
 
@@ -285,10 +302,17 @@ def surface_rule_hits(spark, sf_dir):
     return hit.select("doc_id", "r.rule_id", "r.error_type", F.explode(X.placed(F.col("r.found"))).alias("m")).select("doc_id", "rule_id", "error_type", F.col("m.start").alias("start"), F.col("m.end").alias("end_"), F.col("m.text").alias("surface"))
 
 
+DUCK_MINORITY = (
+    "with " + DUCK_SENTENCES.format(source="src", key="doc_id") + ", bodies as (select doc_id, sent_start as s, regexp_replace(sentence, '[。！？\\n 　]+$', '') as body from sents), "
+    + f"styled as (select *, case when regexp_matches(body, {M.quote(T.POLITE_END)}) then 'polite' when regexp_matches(body, {M.quote(T.BASELINE_PLAIN_END)}) then 'plain' end as style from bodies), "
+    + "sums as (select *, count(*) filter (style = 'polite') over (partition by doc_id) as np, count(*) filter (style = 'plain') over (partition by doc_id) as nq from styled) "
+    + "select doc_id, 'style.mix' as rule_id, 'style_mixing' as error_type, (s + length(body) - least(length(body), 8))::int as start, (s + length(body))::int as end_, right(body, 8) as surface from sums "
+    + "where np > 0 and nq > 0 and np + nq >= 3 and style = case when nq <= np then 'plain' else 'polite' end"
+)
 DUCK_BASE = (
     "raw as (select doc_id, rule_id, error_type, start, end_, surface from (" + RULES_ORACLE.replace("from messages)", "from src)") + ") as q union all "
-    + "select doc_id, 'sasete.density', 'sasete_itadaku_overuse', start, end_, surface from (" + Q.regex_rows("させていただ", "(select * from src where len(regexp_extract_all(text, 'させていただ')) >= 2)") + ") as q), "
-    + "b_ranked as (select *, row_number() over (partition by doc_id order by start, start - end_, rule_id, error_type) as r from raw), "
+    + "select doc_id, 'sasete.density', 'sasete_itadaku_overuse', start, end_, surface from (" + Q.regex_rows("させていただ", "(select * from src where len(regexp_extract_all(text, 'させていただ')) >= 2)") + f") as q union all select * from ({DUCK_MINORITY}) as q), "
+    + "b_ranked as (select *, row_number() over (partition by doc_id order by start, start - end_, rule_id = 'style.mix', rule_id, error_type) as r from raw), "
     + "b_kept as (select doc_id, r, [{'r': r, 's': start, 't': end_}] as kept from b_ranked where r = 1 union all select e.doc_id, e.r, case when len(list_filter(g.kept, lambda o: o.s < e.end_ and e.start < o.t)) > 0 then g.kept else list_append(g.kept, {'r': e.r, 's': e.start, 't': e.end_}) end from b_kept g join b_ranked e on e.doc_id = g.doc_id and e.r = g.r + 1), "
     + "base_hits as (select k.* from b_ranked k join (select doc_id, x.r as r from (select doc_id, arg_max(kept, r) as kept from b_kept group by doc_id), unnest(kept) as u(x)) as y on y.doc_id = k.doc_id and y.r = k.r)"
 )
@@ -296,11 +320,13 @@ DUCK_BASE = (
 
 @query(f"with recursive {Q.messages_src(oracle_cte())}, {DUCK_BASE} select a.doc_id, f.rule_id, f.error_type, f.start, f.end_, f.surface from base_hits f join all_ a on a.sid = f.doc_id")
 def surface_baseline(spark, sf_dir):
-    """The rules alone: matches of a message kept greedily by start, the longest first."""
+    """The rules alone, with the density of sasete and the rarer style: matches of a message kept
+    greedily by start, the longest first, those of style after others of the same place."""
     m = messages(spark, sf_dir)
     hits = surface_rule_hits(spark, sf_dir).withColumnRenamed("end_", "end")
     dense = X.finditer(m.where(F.size(F.regexp_extract_all("text", F.lit("させていただ"), F.lit(0))) >= 2), "させていただ").select("doc_id", F.lit("sasete.density").alias("rule_id"), F.lit("sasete_itadaku_overuse").alias("error_type"), "start", "end", "surface")
-    kept = S.nms(hits.unionByName(dense), ["doc_id"], [F.col("start"), F.col("start") - F.col("end"), F.col("rule_id")], ["rule_id", "error_type", "start", "end", "surface"])
+    style = D.style_minority(m).select("doc_id", F.lit("style.mix").alias("rule_id"), F.lit("style_mixing").alias("error_type"), "start", "end", "surface")
+    kept = S.nms(hits.unionByName(dense).unionByName(style), ["doc_id"], [F.col("start"), F.col("start") - F.col("end"), F.col("rule_id") == "style.mix", F.col("rule_id")], ["rule_id", "error_type", "start", "end", "surface"])
     return kept.withColumnRenamed("end", "end_")
 
 

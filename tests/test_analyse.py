@@ -1,11 +1,14 @@
 """Surfaces taken apart: every surface of the lexicon gives back its own entry."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from hinoki.functions import lexicon as L
 from hinoki.functions import morph as M
 from hinoki.functions import tables as T
 from hinoki.operators import analyse as A
+from hinoki.operators import detect as D
 
 FIELDS = ["surface", "form", "kind", "cls", "origin", "base", "hint"]
 
@@ -57,3 +60,29 @@ def test_general_forms_give_back_their_rule(spark):
     assert made.where(A.sonkeigo_origin("form") != F.col("origin")).count() == 0
     odd = spark.sql("select '死ぬ' as plain, 'godan' as kind, 'お' as ogo, '死なれる' as form").select(A.sonkeigo_origin("form")).first()[0]
     assert odd == "sonkeigo_rareru"
+
+
+def plain_minority(text):
+    """The rarer style by a walk over the sentences, in plain Python."""
+    polite, plain = re.compile(T.POLITE_END), re.compile(T.BASELINE_PLAIN_END)
+    out, pos = [], 0
+    for part in re.findall(r"[^。！？\n]*[。！？\n]|[^。！？\n]+", text):
+        body = part.rstrip("。！？\n 　")
+        kind = "polite" if polite.search(body) else "plain" if plain.search(body) else None
+        if body and kind:
+            out.append((pos, pos + len(body), kind))
+        pos += len(part)
+    n = [k for *_, k in out]
+    if len(n) < 3 or len(set(n)) < 2:
+        return []
+    rare = "plain" if n.count("plain") <= n.count("polite") else "polite"
+    return [(max(s, e - 8), e, text[max(s, e - 8) : e]) for s, e, k in out if k == rare]
+
+
+def test_the_rarer_style(spark):
+    ends = ["参ります。", "来た。", "行くことにした。", "です！？\n", "なる", "確認する。\n\n", "ません。 ", "abc\n", "　", "本日は晴天である。"]
+    texts = ["".join(ends[(i * 7 + j * (i % 5 + 1)) % len(ends)] for j in range(i % 9)) for i in range(60)] + [None, "", "行きます。" * 3000 + "行くことにした。"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, D.style_minority(rows).collect()))
+    assert got == sorted((i, *x) for i, t in enumerate(texts) for x in plain_minority(t or "")) and len(got) > 30
+    assert D.style_minority(rows.limit(0)).count() == 0

@@ -48,11 +48,27 @@ def false_positives(docs: DataFrame, findings: DataFrame, key: str) -> DataFrame
     return docs.select(key).join(per, key, "left").agg(F.count("*").alias("n_docs"), F.count("c").alias("docs_with_fp"), F.coalesce(F.sum("c"), F.lit(0)).alias("fp_count"))
 
 
+def tops(spans: DataFrame, findings: DataFrame, key: str, longest: int | None = None) -> DataFrame:
+    """(key, start, end, type, top): the best confidence of a reportable finding that meets the span."""
+    f = reportable(findings).select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), "confidence")
+    return S.overlap_join(spans, f, key, "left", longest).groupBy(key, "start", "end", "type").agg(F.max("confidence").alias("top"))
+
+
+def overflag(focus: DataFrame, findings: DataFrame, key: str, longest: int | None = None) -> DataFrame:
+    """(type, threshold, n, flagged, no_overflag_rate) over stretches of divided usage (key, start,
+    end, type), '__all__' for all types: flagged where a finding of that confidence or more meets
+    the stretch; at threshold 0 whatever is reported.  Equal spans count once."""
+    top = tops(focus, findings, key, longest)
+    types, steps = F.explode(F.array(F.col("type"), F.lit("__all__"))).alias("type"), F.array(*map(F.lit, [0.0, *THRESHOLDS]))
+    rows = top.select(types, "top").select("type", "top", F.explode(steps).alias("threshold"))
+    out = rows.groupBy("type", "threshold").agg(F.count("*").alias("n"), F.count_if(F.col("top") >= F.col("threshold")).alias("flagged"))
+    return out.withColumn("no_overflag_rate", 1 - F.col("flagged") / F.col("n"))
+
+
 def sweep(gold: DataFrame, findings: DataFrame, key: str, longest: int | None = None) -> DataFrame:
     """threshold, n, detected: gold spans met at each confidence threshold.  A span's
     best confidence is found once; the thresholds then only compare."""
-    f = findings.where("verdict = 'norm_divergence'").select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), "confidence")
-    top = S.overlap_join(gold, f, key, "left", longest).groupBy(key, "start", "end", "type").agg(F.max("confidence").alias("top"))
+    top = tops(gold, findings, key, longest)
     at = F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold")
     return top.select(at, "top").groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(F.col("top") >= F.col("threshold")).alias("detected"))
 
@@ -117,10 +133,13 @@ def bio_labels(text: str, errors: str):
     return F.transform(F.sequence(F.lit(0), F.greatest(F.length(text), F.lit(1)) - 1), label)
 
 
-def bio_decode(tokens: DataFrame, key: str = "id") -> DataFrame:
+def bio_decode(tokens: DataFrame, key: str = "id", threshold: float | None = None) -> DataFrame:
     """tokens (key, pos, label, confidence) to spans: key, type, start, end, confidence
     (the mean).  A span goes on at I- of its own type; any other label ends it, and I-
-    of another type begins one."""
+    of another type begins one.  A token below the threshold, or of unknown confidence where
+    there is a threshold, counts as outside and ends the span before it."""
+    if threshold is not None:
+        tokens = tokens.withColumn("label", F.when(F.col("confidence") >= threshold, F.col("label")).otherwise("O"))
     by = W.partitionBy(key).orderBy("pos")
     t = tokens.withColumn("type", F.when(F.col("label") != "O", F.regexp_replace("label", "^[BI]-", "")))
     goes_on = F.col("label").startswith("I-") & (F.lag("type").over(by) == F.col("type")) & (F.lag("pos").over(by) == F.col("pos") - 1)

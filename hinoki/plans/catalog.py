@@ -637,12 +637,21 @@ def token_f1(spark, sf_dir):
 DUCK_BIO = "x as (select user_id as id, row_number() over (partition by user_id order by event_id) as pos, case when event_id % 5 = 0 then 'O' when event_id % 3 = 0 then 'B-' || event_type else 'I-' || event_type end as label, value as confidence from events)"
 
 
-@query(f"with {DUCK_BIO}, y as (select *, case when label <> 'O' then regexp_replace(label, '^[BI]-', '') end as type from x), z as (select *, case when label like 'I-%' and lag(type) over w = type then 0 else 1 end as new from y window w as (partition by id order by pos)), r as (select *, sum(new) over (partition by id order by pos) as run from z) select id, type, min(pos)::int as start, (max(pos) + 1)::int as end_, round(avg(confidence), 6) as confidence from r where type is not null group by id, run, type")
-def bio_decode(spark, sf_dir):
+def event_tokens(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     label = F.when(F.col("event_id") % 5 == 0, "O").when(F.col("event_id") % 3 == 0, F.concat(F.lit("B-"), F.col("event_type"))).otherwise(F.concat(F.lit("I-"), F.col("event_type")))
-    t = e.select(F.col("user_id").alias("id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("pos"), label.alias("label"), F.col("value").alias("confidence"))
-    return E.bio_decode(t).select("id", "type", "start", F.col("end").alias("end_"), F.round("confidence", 6).alias("confidence"))
+    return e.select(F.col("user_id").alias("id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("pos"), label.alias("label"), F.col("value").alias("confidence"))
+
+
+@query(f"with {DUCK_BIO}, y as (select *, case when label <> 'O' then regexp_replace(label, '^[BI]-', '') end as type from x), z as (select *, case when label like 'I-%' and lag(type) over w = type then 0 else 1 end as new from y window w as (partition by id order by pos)), r as (select *, sum(new) over (partition by id order by pos) as run from z) select id, type, min(pos)::int as start, (max(pos) + 1)::int as end_, round(avg(confidence), 6) as confidence from r where type is not null group by id, run, type")
+def bio_decode(spark, sf_dir):
+    return E.bio_decode(event_tokens(spark, sf_dir)).select("id", "type", "start", F.col("end").alias("end_"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"with {DUCK_BIO}, u as (select id, pos, confidence, case when confidence >= 50 then label else 'O' end as label from x), y as (select *, case when label <> 'O' then regexp_replace(label, '^[BI]-', '') end as type from u), z as (select *, case when label like 'I-%' and lag(type) over w = type then 0 else 1 end as new from y window w as (partition by id order by pos)), r as (select *, sum(new) over (partition by id order by pos) as run from z) select id, type, min(pos)::int as start, (max(pos) + 1)::int as end_, round(avg(confidence), 6) as confidence from r where type is not null group by id, run, type")
+def bio_decode_threshold(spark, sf_dir):
+    """The same where tokens below a confidence of 50 end a span."""
+    return E.bio_decode(event_tokens(spark, sf_dir), threshold=50.0).select("id", "type", "start", F.col("end").alias("end_"), F.round("confidence", 6).alias("confidence"))
 
 
 CORPUS_PERSONS = [*Q.PERSONS, ("木村", "third_party")]
@@ -735,6 +744,20 @@ def tool_overlap(spark, sf_dir):
     return reduce(DataFrame.unionByName, [d.select("doc_id", "start", F.col("end").alias("end_"), F.lit(n).alias("found_by")) for d, n in rows])
 
 
+@query(
+    FOUND + f", stretches as (select h.doc_id, h.start, h.end_, v.acceptability as type from ({duck_matches('src', '|'.join(WORDS), 'doc_id')}) as h join {VARIED} on h.surface = v.v_surface where v.only_for = ''), "
+    "best_met as (select f.doc_id, f.start, f.end_, f.type, max(x.confidence) as top from stretches f left join (select * from found where verdict = 'norm_divergence') x on x.doc_id = f.doc_id and f.start < x.end_ and x.start < f.end_ group by all), "
+    f"told_ as (select t.type, t.top from best_met t join all_ a on a.sid = t.doc_id), both_ as (select * from told_ union all select '__all__', top from told_), levels_ as (select threshold from {TH} union all select 0.0) "
+    "select type, threshold::double as threshold, count(*) as n, count(*) filter (top >= threshold) as flagged, 1 - count(*) filter (top >= threshold) / count(*) as no_overflag_rate from both_ cross join levels_ group by type, threshold"
+)
+def overflag_curve(spark, sf_dir):
+    """How often a stretch of divided usage is reported all the same, by its acceptability and the
+    confidence asked for."""
+    m = messages(spark, sf_dir)
+    focus = D.variation_scan(m).select("doc_id", F.col("start2").alias("start"), F.col("end2").alias("end"), F.col("acceptability").alias("type"))
+    return E.overflag(focus, D.detect(m), "doc_id")
+
+
 ROLE_ORACLE = f"with recursive {SRC}, {Q.roles()} "
 
 

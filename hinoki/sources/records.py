@@ -53,10 +53,16 @@ def decode_context(records: DataFrame, writer: str = "山田", recipient: str =
     return records.select(F.col("id").alias("doc_id"), "text", F.coalesce("audience", F.lit("external")).alias("audience"), F.lit(writer).alias("writer"), F.lit(recipient).alias("recipient"), persons.alias("persons"))
 
 
-def results_json(findings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One JSON text a message: findings by position, with both counts."""
+def results_json(findings: DataFrame, key: str = "doc_id", roles: DataFrame | None = None) -> DataFrame:
+    """One JSON text a message: findings by position, with both counts; with roles (a row a
+    predicate with its key) also their count, and messages that have roles alone."""
     item = F.struct(*(c for c in findings.columns if c != key))
     first = ["start", "end"]
     item = F.struct(*first, *(c for c in findings.columns if c not in (key, *first)))
     g = findings.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("findings"), F.count_if(F.col("verdict") == "norm_divergence").alias("reportable_count"), F.count_if(F.col("verdict") == "variation").alias("variation_count"))
-    return g.select(key, F.to_json(F.struct("findings", "reportable_count", "variation_count")).alias("result"))
+    if roles is None:
+        return g.select(key, F.to_json(F.struct("findings", "reportable_count", "variation_count")).alias("result"))
+    g = g.join(roles.groupBy(key).agg(F.count("*").alias("n_roles")), key, "full")
+    none = F.coalesce("findings", F.array().cast(g.schema["findings"].dataType))
+    counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("reportable_count", "variation_count", "n_roles"))
+    return g.select(key, F.to_json(F.struct(none.alias("findings"), *counts)).alias("result"))

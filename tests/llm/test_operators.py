@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from hinoki.llm import ann, bpe, decontaminate, lm_score, packing, quality, toxicity, url_filter
@@ -164,6 +165,38 @@ def test_pack_is_best_fit_decreasing():
 # --- 9
 
 
+ALL64 = (1 << 64) - 1
+
+
+def plain_mix(x, seed):
+    x ^= seed * 0x9E3779B97F4A7C15 & ALL64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & ALL64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & ALL64
+    return x ^ (x >> 31)
+
+
+def pair_key(h, y):
+    a, b = (int.from_bytes(xxhash.xxh3_128_digest(w)[:8], "little") for w in (h, y))
+    return plain_mix((a * 0x9E3779B97F4A7C15 + b) & ALL64, 7) >> 16
+
+
+def pair_slice(h, y, slices):
+    return plain_mix(pair_key(h, y), 99) % slices
+
+
+def plain_filter(counts):
+    """A Bloom filter of (key, level) for all levels up to a count's, and the probe of a key."""
+    levels = {k: int(math.log2(c)) + 1 for k, c in counts.items()}
+    bits = 1 << max(6, math.ceil(math.log2(max(1, 8 * sum(levels.values())))))
+
+    def places(k, j):
+        a = plain_mix(k, j)
+        return {(a + i * (a >> 32 | 1)) % bits for i in range(4)}
+
+    on = {p for k, n in levels.items() for j in range(1, n + 1) for p in places(k, j)}
+    return lambda k: next(j for j in range(48) if not places(k, j + 1) <= on) if on else 0
+
+
 def test_lm_score(spark, monkeypatch):
     r = random.Random(2)
     vocab = [f"w{i}" for i in range(40)]
@@ -186,19 +219,27 @@ def test_lm_score(spark, monkeypatch):
         out = lm_score.lm_scores(df, tokens).collect()
         got = {x.doc_id: x for x in out}
         near = []
+        size = sum(len((t or "").encode()) for _, t in rows)
+        slices = 1 << max(4, math.ceil(math.log2(max(1, size / 6 / tokens))))
+        parts = [Counter() for _ in range(slices)]
+        for (h, y), c in big.items():
+            parts[pair_slice(h, y, slices)][pair_key(h, y)] += c
+        held_in = [plain_filter(c) for c in parts]
         assert len(out) == len(got) == len(rows)
         for i, t in rows:
             w = words(t)
             x = got[i]
             assert (not x.train, x.n_tokens, x.n_known, x.train_tokens) == (held(i), len(w), sum(uni[y] > 0 for y in w), n)
             assert x.base_score == pytest.approx(sum(math.log10(p1(y)) for y in w))
-            s = 0.0
+            exact, s = 0.0, 0.0
             for h, y in zip([b"\n", *w], w):
-                q = 2.0 ** int(math.log2(big[h, y])) if big[h, y] else 0.0
-                s += math.log10((q + weight * p1(y)) / (uni[h] + weight)) if uni[h] else math.log10(p1(y))
-            # A false positive of the filter can only lift a probability.
-            assert x.score >= s - 1e-6 * abs(s)
-            near.append(x.score <= s + 1e-6 * abs(s) if not held(i) else x.score <= s + 0.15 * abs(s))
+                for q, into in ((big[h, y] and int(math.log2(big[h, y])) + 1, 0), (held_in[pair_slice(h, y, slices)](pair_key(h, y)), 1)):
+                    count = min(2.0 ** (q - 1) if q else 0.0, uni[h], uni[y])
+                    step = math.log10((count + weight * p1(y)) / (uni[h] + weight)) if uni[h] else math.log10(p1(y))
+                    exact, s = (exact + step, s) if not into else (exact, s + step)
+            assert x.score == pytest.approx(s, rel=1e-9)  # the filter written plainly, false positives and all
+            assert x.score >= exact - 1e-6 * abs(exact)  # a false positive can only lift a probability
+            near.append(x.score <= exact + 0.02 * abs(exact))
         assert np.mean(near) > 0.7
     assert lm_score.lm_scores(df.limit(0)).count() == 0
     empty = lm_score.lm_scores(df.withColumn("train", F.lit(False))).collect()

@@ -21,6 +21,7 @@ from ..operators import spans as S
 from ..operators import text as X
 from ..sources import records as RC
 from . import sql_findings as Q
+from . import sql_suggestions as QS
 from .messages import messages, oracle_cte
 
 QUERIES: dict = {}
@@ -406,6 +407,7 @@ def sentence_functions(spark, sf_dir):
 
 
 SRC = Q.messages_src(oracle_cte())
+CORPUS_PERSONS = [*Q.PERSONS, ("木村", "third_party")]
 HITS = "a.doc_id, f.start, f.end_, f.surface, f.error_type, round(f.confidence, 6) as confidence, f.citation_key"
 FOUND = f"with recursive {SRC}, {Q.findings()}"
 
@@ -563,14 +565,20 @@ def apply_suggestion(spark, sf_dir):
     return injected(spark).select("id", "error_type", fixed.alias("fixed"), (fixed == F.col("source_text")).alias("restored"))
 
 
-@query()
+@query(f"{FOUND}, {QS.offered()} " + on_all("offered", "a.doc_id, f.start, f.end_, f.error_type, f.nth, f.suggestion, f.cls"))
 def suggestions(spark, sf_dir):
     """Up to four rule-generated replacements for every reportable finding."""
     m = messages(spark, sf_dir)
     return CO.suggest(spark, D.detect(m), R.tag(m), m).drop("reason")
 
 
-@query()
+@query(
+    f"with recursive {INJ}, src as (select id || '|' || error_type as doc_id, text, audience from inj), {Q.findings(CORPUS_PERSONS)}, {QS.offered()}, "
+    "gold_ as (select id || '|' || error_type as gid, text, start as s, end_ as e, error_type as type, source_text, gold from inj), "
+    "tried as (select g.*, f.start, f.end_, o.suggestion, substring(g.text, 1, f.start) || o.suggestion || substring(g.text, f.end_ + 1) as fixed from gold_ g join asked f on f.doc_id = g.gid and f.start < g.e and g.s < f.end_ left join offered o on o.doc_id = f.doc_id and o.start = f.start and o.end_ = f.end_ and o.error_type = f.error_type), "
+    "good as (select gid, s, e, type, coalesce(max(suggestion = gold or fixed = source_text or contains(fixed, gold)), false) as valid from tried group by all) "
+    "select type as error_type, count(*) as n, count(*) filter (valid) as valid from good group by type"
+)
 def suggestion_validity(spark, sf_dir):
     """How many injected errors that are found get a suggestion that mends them."""
     rows = injected(spark).withColumn("doc_id", F.concat_ws("|", "id", "error_type"))
@@ -654,7 +662,6 @@ def bio_decode_threshold(spark, sf_dir):
     return E.bio_decode(event_tokens(spark, sf_dir), threshold=50.0).select("id", "type", "start", F.col("end").alias("end_"), F.round("confidence", 6).alias("confidence"))
 
 
-CORPUS_PERSONS = [*Q.PERSONS, ("木村", "third_party")]
 DIRECTED = ", ".join(f"'{t[0]}'" for t in T.ERROR_TYPES if t[2])
 
 
@@ -880,7 +887,7 @@ LOOKUPS = {
     "special_form_lookup": "base", "special_surface_index": "form", "lexicon_by_origin": "origin", "predicate_lexicon": "surface", "citation_for_error": "error_type",
     "citation_by_audience": "error_type", "variation_by_acceptability": "acceptability", "variation_self_check": "probe", "party_resolution": "phrase",
     "forms_for_standpoint": "base", "candidate_forms_by_origin": "origin", "corpus_cross_product": "id", "inject_errors": "id", "dataset_splits": "error_type",
-    "bio_labels": "id", "apply_suggestion": "id", "suggestion_validity": "type", "dataset_record_roundtrip": "id", "corpus_recall": "type",
+    "bio_labels": "id", "apply_suggestion": "id", "suggestion_validity": "error_type", "dataset_record_roundtrip": "id", "corpus_recall": "type",
     "corpus_false_positives": "n_docs", "evaluation_set": "id", "gold_types": "error_type", "mail_offsets": "mail_id", "mail_edits": "mail_id", "default_contexts": "audience",
 }
 

@@ -54,6 +54,13 @@ def test_url_filter_on_a_long_host(spark):
     assert got == {0: (len(host), "example.com/en/7", "allow"), 1: (3, "com/en/", "block")}
 
 
+def test_url_filter_has_the_verdicts_of_the_contract(spark):
+    said = {"http://a.com/en/1": "block", "http://example.com/en/7": "allow", "http://a.net/de/1": "allow", "http://example.net/de/8": "block", "http://a.org/es/1": "block"}
+    pages = spark.createDataFrame(list(enumerate(said)), "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "rule_host string, rule_path string, rule_verdict string")
+    assert {r.page_id: r.verdict for r in url_filter.url_filter(pages, rules).collect()} == dict(enumerate(said.values()))
+
+
 # --- 4
 
 

@@ -102,19 +102,20 @@ def sasete_hits(messages: DataFrame, key: str = "doc_id", least: int = 3) -> Dat
     return shape(hit, key, "sasete_itadaku_overuse", 0.6, "sasete_itadaku", 6 + F.col("start") * 1e-6)
 
 
-def styles(messages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sent_idx, sent_start, body, style, n_sentences): polite or plain sentences."""
-    s = X.sentences(messages).select(key, "sent_idx", "sent_start", F.regexp_replace("sentence", "[。！？\\n 　]+$", "").alias("body"))
+def styles(messages: DataFrame, key: str = "doc_id", split=X.sentences) -> DataFrame:
+    """(key, sent_start, body, style): polite or plain sentences; split: X.script_sentences for
+    those alone that can have a style."""
+    s = split(messages).select(key, "sent_start", F.regexp_replace("sentence", "[。！？\\n 　]+$", "").alias("body"))
     style = F.when(F.col("body").rlike(T.POLITE_END), "polite").when(F.col("body").rlike(T.PLAIN_END), "plain")
     return s.withColumn("style", style)
 
 
-def style_majority(messages: DataFrame, key: str = "doc_id") -> DataFrame:
+def style_majority(messages: DataFrame, key: str = "doc_id", split=X.sentences) -> DataFrame:
     """(key, n_sentences, n_polite, n_plain, majority): of messages with three sentences
     and three classified ones; a tie goes to the style seen first."""
-    counts = styles(messages, key).groupBy(key).agg(
+    counts = styles(messages, key, split).groupBy(key).agg(
         F.count("*").alias("n_sentences"), F.count_if(F.col("style") == "polite").alias("n_polite"), F.count_if(F.col("style") == "plain").alias("n_plain"),
-        F.min_by("style", F.when(F.col("style").isNotNull(), F.col("sent_idx"))).alias("first"),
+        F.min_by("style", F.when(F.col("style").isNotNull(), F.col("sent_start"))).alias("first"),
     )
     major = F.when(F.col("n_polite") > F.col("n_plain"), "polite").when(F.col("n_polite") < F.col("n_plain"), "plain").otherwise(F.col("first"))
     return counts.where("n_sentences >= 3 and n_polite + n_plain >= 3").withColumn("majority", major).drop("first")
@@ -135,14 +136,14 @@ def style_minority(messages: DataFrame, key: str = "doc_id", polite: str = T.POL
         odd = F.filter(a, lambda x: x["style"] == F.when(n["plain"] <= n["polite"], "plain").otherwise("polite"))
         return F.when((n["polite"] > 0) & (n["plain"] > 0) & (n["polite"] + n["plain"] >= 3), odd)
 
-    found = messages.select(key, F.explode(X.let(all_, rarer)).alias("x"))
-    end = F.col("x.start") + F.length("x.body")
+    found = X.exploded(X.core(messages.select(key, "text")), X.let(all_, rarer), "x")
+    end = F.col("_at") + F.col("x.start") + F.length("x.body")
     return found.select(key, (end - F.least(F.length("x.body"), F.lit(8))).alias("start"), end.alias("end"), F.expr("right(x.body, 8)").alias("surface"))
 
 
 def style_hits(messages: DataFrame, key: str = "doc_id") -> DataFrame:
-    mixed = style_majority(messages, key).where("n_polite > 0 and n_plain > 0").select(key, "majority")
-    odd = styles(messages, key).join(mixed, key).where("style <> majority and body <> ''")
+    mixed = style_majority(messages, key, X.script_sentences).where("n_polite > 0 and n_plain > 0").select(key, "majority")
+    odd = styles(messages, key, X.script_sentences).join(mixed, key).where("style <> majority and body <> ''")
     n = F.length("body")
     odd = odd.withColumn("end", F.col("sent_start") + n).withColumn("start", F.col("end") - F.least(n, F.lit(8))).withColumn("surface", F.expr("right(body, 8)"))
     return shape(odd, key, "style_mixing", 0.6, "style_mixing", 7 + F.col("start") * 1e-6)
@@ -179,7 +180,7 @@ def variation_scan(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Leftmost-longest registered surfaces: key, start2, end2, v_surface, v_key, ...
     Entries bound to an audience take their text but are not applied here."""
     words = sorted((s for v in T.VARIATIONS for s in v[1].split(" ")), key=lambda s: -len(s))
-    hit = X.finditer(messages, X.any_of(words)).select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("surface").alias("v_surface"))
+    hit = X.finditer(X.core(messages.select(key, "text")), X.any_of(words)).select(key, (F.col("_at") + F.col("start")).alias("start2"), (F.col("_at") + F.col("end")).alias("end2"), F.col("surface").alias("v_surface"))
     return hit.join(F.broadcast(variation_table(messages.sparkSession)), "v_surface").where("only_for = ''")
 
 
@@ -217,11 +218,10 @@ def pattern_hits(messages: DataFrame, key: str) -> DataFrame:
     families += [(X.any_of(sa_literals()), "sa_insertion", 0.9, "sa_insertion", 2), (T.GO_SARERU, "go_sareru", 0.8, "go_sareru.q7", 3), (T.OGO_DEKIRU, "ogo_dekiru", 0.7, "ogo_dekiru.q8", 4)]
     families += [(T.BAD_LINK, "bad_keigo_link", 0.75, "keigo_link.bad", 5), (T.SASETE, "sasete_itadaku_overuse", 0.6, "sasete_itadaku", 6)]
 
-    any_ = "|".join(f[0] for f in families)
     found = F.array(*(F.when(text.rlike(p), F.struct(*(F.lit(v).alias(n) for v, n in zip((kind, conf, cite, float(seq)), ("kind", "conf", "cite", "seq"))), X.gaps(text, p).alias("found"))) for p, kind, conf, cite, seq in families))
-    rows = messages.where(text.rlike(any_)).select(key, "text", F.explode(F.array_compact(found)).alias("f"))
+    rows = X.exploded(X.core(messages.select(key, "text")), F.array_compact(found), "f")
     rows = rows.where((F.col("f.kind") != "sasete_itadaku_overuse") | (F.size("f.found") >= 3))
-    rows = rows.select(key, "text", "f.*", F.explode(X.placed(F.col("f.found"))).alias("m")).withColumn("start", F.col("m.start")).withColumn("end", F.col("m.end"))
+    rows = X.exploded(rows.select(key, "text", "_at", "f.*"), X.placed(F.col("found")), "m").withColumn("start", F.col("m.start")).withColumn("end", F.col("m.end"))
     first = F.greatest(F.col("start") - 2, F.lit(0))
     near = F.substr(text, first + 1, F.col("end") + 4 - first)
     fine = reduce(lambda a, b: a | b, [near.contains(e[0]) for e in T.ESTABLISHED])
@@ -233,6 +233,7 @@ def pattern_hits(messages: DataFrame, key: str) -> DataFrame:
         .otherwise(F.col("end"))
     )
     rows = rows.withColumn("end", end).withColumn("surface", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    rows = rows.withColumns({c: F.col("_at") + F.col(c) for c in ("start", "end")})
     return rows.select(key, hit_struct(*(F.col(c) for c in ("start", "end", "surface", "kind", "conf", "cite")), False, F.col("seq") + F.col("start") * 1e-6, False).alias("hit"))
 
 

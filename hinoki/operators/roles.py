@@ -68,9 +68,9 @@ def tag(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     the last strong predicate of an earlier sentence, else the sentence function's
     default.  All regrouping is by key, so the steps share one partitioning.
     """
-    sents = X.sentences(messages).select(key, "audience", "writer", "recipient", "persons", "sent_idx", "sent_start", "sentence")
-    found = X.scan(sents, lexicon(messages.sparkSession), [key, "sent_idx"])
-    rows = found.join(sents, [key, "sent_idx"])
+    sents = X.script_sentences(messages).select(key, "audience", "writer", "recipient", "persons", "_nth", "sent_idx", "sent_start", "sentence")
+    found = X.scan(sents, lexicon(messages.sparkSession), [key, "_nth"])
+    rows = found.join(sents, [key, "_nth"])
     heard = F.transform(X.phrases(F.substr("sentence", F.lit(1), F.col("p_start"))), lambda p: F.struct(p["particle"].alias("particle"), resolve(p["body"]).alias("who")))
     rows = rows.withColumn("heard", heard)
     last = lambda particles: F.try_element_at(F.filter("heard", lambda p: p["particle"].isin(particles) & (p["who"]["party"] != "unknown")), F.lit(-1))["who"]
@@ -79,10 +79,10 @@ def tag(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("open", F.coalesce(last(T.ACTOR_PARTICLES), given)).withColumn("source", last(T.SOURCE_PARTICLES)["party"]).withColumn("goal", last(T.TARGET_PARTICLES))
     rows = rows.withColumn("function", sentence_function(F.col("sentence")))
     strong = F.when(F.col("open.conf") >= STRONG, F.col("open.party"))
-    per = rows.groupBy(key, "sent_idx").agg(F.max_by(strong, F.when(strong.isNotNull(), F.col("p_start"))).alias("strong"))
-    before = W.partitionBy(key).orderBy("sent_idx").rowsBetween(W.unboundedPreceding, -1)
-    carried = per.select(key, "sent_idx", F.last("strong", ignorenulls=True).over(before).alias("carried"))
-    rows = rows.join(carried, [key, "sent_idx"])
+    per = rows.groupBy(key, "_nth").agg(F.max_by(strong, F.when(strong.isNotNull(), F.col("p_start"))).alias("strong"))
+    before = W.partitionBy(key).orderBy("_nth").rowsBetween(W.unboundedPreceding, -1)
+    carried = per.select(key, "_nth", F.last("strong", ignorenulls=True).over(before).alias("carried"))
+    rows = rows.join(carried, [key, "_nth"])
     default = F.when(F.col("function").isin("request", "question"), F.lit("addressee")).otherwise("self")
     actor = F.coalesce(F.col("open.party"), F.col("source"), F.col("carried"), default)
     conf = F.coalesce(F.col("open.conf"), F.when(F.col("source").isNotNull(), 0.6), F.when(F.col("carried").isNotNull(), 0.55), F.lit(0.5))

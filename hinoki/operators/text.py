@@ -80,23 +80,66 @@ def matches(text: Column, pattern: str) -> Column:
     return placed(gaps(text, pattern))
 
 
+def exploded(df: DataFrame, items: Column, name: str) -> DataFrame:
+    """A row an item; rows without one go.  Outer, since a filter is inferred for the inner one
+    that makes the whole array once more."""
+    return df.withColumn(name, F.explode_outer(items)).where(F.col(name).isNotNull())
+
+
 def finditer(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """A row a match with start, end, surface; rows without a match go."""
-    hit = df.where(F.col(text).rlike(pattern)).withColumn("_m", F.explode(matches(F.col(text), pattern)))
+    found = F.when(F.col(text).rlike(pattern), matches(F.col(text), pattern))
+    hit = exploded(df, found, "_m")
     return hit.withColumns({"start": F.col("_m.start"), "end": F.col("_m.end"), "surface": F.col("_m.text")}).drop("_m")
 
 
+def kept_sentences(text: Column) -> Column:
+    """array<struct<start, s>> of a text's sentences but the blank ones."""
+    parts = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    pair = lambda s, n: F.struct(n.alias("start"), s.alias("s"))
+    spans = let(parts, lambda parts: F.zip_with(parts, offsets(F.transform(parts, F.length)), pair))
+    return F.filter(spans, lambda x: ~x["s"].rlike(BLANK))
+
+
 def sentences(df: DataFrame, text: str = "text") -> DataFrame:
     """A row a sentence with sent_idx (from 0 among those kept), sent_start, sentence.
     A run of end characters stays with its sentence; blank ones go; null texts have none."""
-    parts = F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))
-    pair = lambda s, n: F.struct(n.alias("start"), s.alias("s"))
-    spans = let(parts, lambda parts: F.zip_with(parts, offsets(F.transform(parts, F.length)), pair))
-    kept = F.filter(spans, lambda x: ~x["s"].rlike(BLANK))
-    out = df.withColumn("_k", kept).select("*", F.posexplode("_k").alias("sent_idx", "_s")).drop("_k")
+    out = df.select("*", F.posexplode_outer(kept_sentences(F.col(text))).alias("sent_idx", "_s")).where("_s is not null")
     return out.withColumns({"sent_start": F.col("_s.start"), "sentence": F.col("_s.s")}).drop("_s")
 
 
+def core(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose text holds the script, with the text cut to the lines from the first to the last
+    that do; _at: its offset.  Patterns that match within such lines alone find there all that
+    they find in the whole text.  It starts behind the ends of the sentence before and keeps those
+    of its last one, so its sentences are the whole text's, too.  Plain string functions, far
+    cheaper than the patterns and folds that they spare the rest of the text."""
+    t, ends = F.col(text), lambda rest: F.length(F.regexp_extract(rest, f"^[{ENDS}]*", 0))
+    lines = lambda c: F.length(c) - F.length(F.substring_index(c, "\n", -1))
+    df = df.where(t.rlike(SCRIPT)).withColumns({"_b": lines(F.split(t, SCRIPT, 2)[0]), "_e": F.length(t) - lines(F.split(F.reverse(t), SCRIPT, 2)[0])})
+    df = df.withColumns({"_at": F.col("_b") + ends(F.substr(t, F.col("_b") + 1)), "_e": F.col("_e") + ends(F.substr(t, F.col("_e") + 1))})
+    return df.withColumn("_whole", t).withColumn(text, F.substr("_whole", F.col("_at") + 1, F.col("_e") - F.col("_at"))).drop("_b", "_e")
+
+
+def count_sentences(text: Column) -> Column:
+    """How many sentences sentences() keeps of a text that is empty or ends with an end character.
+    Lines without another end are one or, blank, none; only others are cut by the pattern."""
+    other = klass("".join(c for c in T.SENTENCE_ENDS if c != "\n"))
+    inked = lambda s: s.rlike("[^\\s　]")
+    cut = lambda s: F.size(F.filter(F.regexp_extract_all(s, F.lit(SENTENCE), F.lit(0)), inked))
+    one = lambda s: F.when(s.rlike(f"[{other}]"), cut(F.concat(s, F.lit("\n")))).otherwise(inked(s).cast("int"))
+    lines = F.aggregate(F.split(text, "\n", -1), F.lit(0), lambda n, s: n + one(s))
+    return F.when(text.rlike(f"\n[{other}]"), cut(text)).otherwise(lines)  # ends at a line's start belong to the sentence before
+
+
+def script_sentences(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of sentences() whose sentence holds the script, found within core(); _nth numbers a
+    text's sentences, too, without a count of those before (made only where sent_idx is asked for)."""
+    c = core(df, text).withColumn("_before", count_sentences(F.substr("_whole", F.lit(1), F.col("_at")))).withColumn("_k", kept_sentences(F.col(text)))
+    c = c.withColumn(text, F.col("_whole")).drop("_whole").select("*", F.posexplode_outer("_k").alias("_nth", "_s")).where(F.col("_s.s").rlike(SCRIPT))
+    return c.withColumns({"sent_idx": F.col("_before") + F.col("_nth"), "sent_start": F.col("_at") + F.col("_s.start"), "sentence": F.col("_s.s")}).drop("_k", "_s", "_at", "_before")
+
+
 def greedy(items: Column, start: str, end: str) -> Column:
     """Leftmost non-overlapping ones of an array of structs sorted by start."""
     empty = F.slice(items, 1, 0)

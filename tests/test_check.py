@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,28 @@ def test_bio_decode(spark):
     rows = [("a", i, l, 1.0) for i, l in enumerate(["O", "B-x", "I-x", "I-y", "O", "I-y", "B-y"])]
     got = E.bio_decode(spark.createDataFrame(rows, "id string, pos int, label string, confidence double")).orderBy("start").collect()
     assert [(r.type, r.start, r.end) for r in got] == [("x", 1, 3), ("y", 3, 4), ("y", 5, 6), ("y", 6, 7)]
+
+
+def test_core_keeps_sentences_and_matches(spark):
+    """Within the lines that hold the script all sentences, their numbers and all matches of the
+    whole text are found, whatever stands at its lines' ends."""
+    r = random.Random(5)
+    odd = [None, "", "\n", "です", "plain\ntext? yes!\n", "a? ?\n\n \nb\nです\n？\n\nc", "?\nです", "a\n?です。\u2028", "\u2028\nです\u2028", "🙂a。\r\nお読みになられ🙂\nご利用されます\nz"]
+    rows = odd + ["".join(r.choice("ab 　\n\n\r?。！\u2028\u0085🙂です行くだ") for _ in range(r.randrange(40))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    cols = ["doc_id", "sent_idx", "sent_start", "sentence"]
+    whole = X.sentences(df).where(F.col("sentence").rlike(X.SCRIPT)).select(*cols)
+    got = X.script_sentences(df)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, whole.collect()))
+    assert "text" in got.columns and not [c for c in got.columns if c.startswith("_") and c != "_nth"]
+    for p in ("[いで][^\n]{0,3}[すだ]", "です|行く"):
+        hits = X.finditer(X.core(df), p).select("doc_id", F.col("_at") + F.col("start"), "surface")
+        assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, X.finditer(df, p).select("doc_id", "start", "surface").collect()))
+
+
+def test_text_outside_the_script_is_not_searched(spark):
+    """The families, scans and folds see a few lines of a long text; nothing is made twice."""
+    df = spark.createDataFrame([(1, "x? y\n" * 1000 + "ご利用されます。\n" + "z!\n" * 1000)], "doc_id int, text string")
+    assert X.core(df).select("text", "_at").collect() == [("ご利用されます。\n", 5000)]
+    plan = X.script_sentences(df).select("sent_start")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and X.script_sentences(df).first()["sent_idx"] == 2000

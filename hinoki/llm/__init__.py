@@ -1,4 +1,4 @@
-"""Training-data operators.  Nothing outside this package imports it.
+"""Training-data operators.  Outside this package only the catalog uses it, for `common.materialize`.
 
 The functions that run on executors are pickled by value, so a cluster needs
 no copy of this package on its workers.

@@ -136,7 +136,7 @@ def style_minority(messages: DataFrame, key: str = "doc_id", polite: str = T.POL
         odd = F.filter(a, lambda x: x["style"] == F.when(n["plain"] <= n["polite"], "plain").otherwise("polite"))
         return F.when((n["polite"] > 0) & (n["plain"] > 0) & (n["polite"] + n["plain"] >= 3), odd)
 
-    found = X.exploded(X.core(messages.select(key, "text")), X.let(all_, rarer), "x")
+    found = X.exploded(X.core(messages), X.let(all_, rarer), "x")
     end = F.col("_at") + F.col("x.start") + F.length("x.body")
     return found.select(key, (end - F.least(F.length("x.body"), F.lit(8))).alias("start"), end.alias("end"), F.expr("right(x.body, 8)").alias("surface"))
 
@@ -180,7 +180,7 @@ def variation_scan(messages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Leftmost-longest registered surfaces: key, start2, end2, v_surface, v_key, ...
     Entries bound to an audience take their text but are not applied here."""
     words = sorted((s for v in T.VARIATIONS for s in v[1].split(" ")), key=lambda s: -len(s))
-    hit = X.finditer(X.core(messages.select(key, "text")), X.any_of(words)).select(key, (F.col("_at") + F.col("start")).alias("start2"), (F.col("_at") + F.col("end")).alias("end2"), F.col("surface").alias("v_surface"))
+    hit = X.finditer(X.core(messages), X.any_of(words)).select(key, (F.col("_at") + F.col("start")).alias("start2"), (F.col("_at") + F.col("end")).alias("end2"), F.col("surface").alias("v_surface"))
     return hit.join(F.broadcast(variation_table(messages.sparkSession)), "v_surface").where("only_for = ''")
 
 
@@ -219,7 +219,7 @@ def pattern_hits(messages: DataFrame, key: str) -> DataFrame:
     families += [(T.BAD_LINK, "bad_keigo_link", 0.75, "keigo_link.bad", 5), (T.SASETE, "sasete_itadaku_overuse", 0.6, "sasete_itadaku", 6)]
 
     found = F.array(*(F.when(text.rlike(p), F.struct(*(F.lit(v).alias(n) for v, n in zip((kind, conf, cite, float(seq)), ("kind", "conf", "cite", "seq"))), X.gaps(text, p).alias("found"))) for p, kind, conf, cite, seq in families))
-    rows = X.exploded(X.core(messages.select(key, "text")), F.array_compact(found), "f")
+    rows = X.exploded(X.core(messages), F.array_compact(found), "f")
     rows = rows.where((F.col("f.kind") != "sasete_itadaku_overuse") | (F.size("f.found") >= 3))
     rows = X.exploded(rows.select(key, "text", "_at", "f.*"), X.placed(F.col("found")), "m").withColumn("start", F.col("m.start")).withColumn("end", F.col("m.end"))
     first = F.greatest(F.col("start") - 2, F.lit(0))

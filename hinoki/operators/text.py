@@ -113,7 +113,10 @@ def core(df: DataFrame, text: str = "text") -> DataFrame:
     that do; _at: its offset.  Patterns that match within such lines alone find there all that
     they find in the whole text.  It starts behind the ends of the sentence before and keeps those
     of its last one, so its sentences are the whole text's, too.  Plain string functions, far
-    cheaper than the patterns and folds that they spare the rest of the text."""
+    cheaper than the patterns and folds that they spare the rest of the text.  Texts that cut()
+    made are left as they are."""
+    if "_at" in df.columns:
+        return df
     t, ends = F.col(text), lambda rest: F.length(F.regexp_extract(rest, f"^[{ENDS}]*", 0))
     lines = lambda c: F.length(c) - F.length(F.substring_index(c, "\n", -1))
     df = df.where(t.rlike(SCRIPT)).withColumns({"_b": lines(F.split(t, SCRIPT, 2)[0]), "_e": F.length(t) - lines(F.split(F.reverse(t), SCRIPT, 2)[0])})
@@ -132,11 +135,22 @@ def count_sentences(text: Column) -> Column:
     return F.when(text.rlike(f"\n[{other}]"), cut(text)).otherwise(lines)  # ends at a line's start belong to the sentence before
 
 
+def cut(df: DataFrame, text: str = "text", numbered: bool = False) -> DataFrame:
+    """core() to be kept for several steps: without the whole texts, and with the number of
+    sentences before (null unless numbered; sent_idx is null then)."""
+    before = count_sentences(F.substr("_whole", F.lit(1), F.col("_at"))) if numbered else F.lit(None).cast("int")
+    return core(df, text).withColumn("_before", before).drop("_whole")
+
+
 def script_sentences(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of sentences() whose sentence holds the script, found within core(); _nth numbers a
     text's sentences, too, without a count of those before (made only where sent_idx is asked for)."""
-    c = core(df, text).withColumn("_before", count_sentences(F.substr("_whole", F.lit(1), F.col("_at")))).withColumn("_k", kept_sentences(F.col(text)))
-    c = c.withColumn(text, F.col("_whole")).drop("_whole").select("*", F.posexplode_outer("_k").alias("_nth", "_s")).where(F.col("_s.s").rlike(SCRIPT))
+    c = core(df, text)
+    if "_before" not in c.columns:
+        c = c.withColumn("_before", count_sentences(F.substr("_whole", F.lit(1), F.col("_at"))))
+    c = c.withColumn("_k", kept_sentences(F.col(text)))
+    c = c.withColumn(text, F.col("_whole")).drop("_whole") if "_whole" in c.columns else c
+    c = c.select("*", F.posexplode_outer("_k").alias("_nth", "_s")).where(F.col("_s.s").rlike(SCRIPT))
     return c.withColumns({"sent_idx": F.col("_before") + F.col("_nth"), "sent_start": F.col("_at") + F.col("_s.start"), "sentence": F.col("_s.s")}).drop("_k", "_s", "_at", "_before")
 
 

@@ -326,16 +326,42 @@ def signatures(sets: DataFrame, plan: Plan, levels: np.ndarray, frequent: int) -
     return sets.select("node", "set", "own").mapInArrow(C.frugal(run), "node long, size long, own long, key long")
 
 
-def prefixes(sets: DataFrame, plan: Plan, levels: np.ndarray, frequent: int) -> DataFrame:
-    """(node, prefix): the tokens of each set's prefix."""
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bits of tokens by their last bits, as longs: four to eight times as many as tokens, 1,024 at least."""
+    size = 1 << max(10, 2 + max(len(tokens) - 1, 0).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens % U(size)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def sketches(sets: DataFrame, plan: Plan, levels: np.ndarray, frequent: int) -> DataFrame:
+    """(node, n, spare, bits): how many tokens each set's prefix has, how many of them have no bit
+    to themselves, and the sketch of its bits."""
     held = sets.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for b in batches:
-            rows = [plan.keys(np.frombuffer(x, np.uint64), held.value, frequent)[2].astype(np.int64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "prefix"])
-
-    return sets.select("node", "set").mapInArrow(C.frugal(run), "node long, prefix array<long>")
+            rows = [plan.keys(np.frombuffer(x, np.uint64), held.value, frequent)[2] for x in b.column(1).to_pylist()]
+            bits = [sketch(r) for r in rows]
+            spare = [len(r) - int(np.unpackbits(x.view(np.uint8)).sum()) for r, x in zip(rows, bits)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(spare, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["node", "n", "spare", "bits"])
+
+    return sets.select("node", "set").mapInArrow(C.frugal(run), "node long, n long, spare long, bits array<long>")
+
+
+def may_share(short, x: str = "x", y: str = "y"):
+    """By the sketches of x and y: their prefixes can have as many tokens in common as short.  A
+    bit that the other hasn't stands for a token at least that the other hasn't; the smaller
+    sketch is repeated, as a token's place in it is that in the larger one, cut off."""
+    a, b = F.col(f"{x}.bits"), F.col(f"{y}.bits")
+    both = lambda a, b: F.aggregate(F.zip_with(a, b, lambda m, n: F.bit_count(m.bitwiseAND(n))), F.lit(0), lambda acc, n: acc + n)
+    wide = lambda c, other: F.flatten(F.array_repeat(c, (F.size(other) / F.size(c)).cast("int")))
+    most = (
+        F.when(F.size(a) == F.size(b), both(a, b) + F.least(f"{x}.spare", f"{y}.spare"))
+        .when(F.size(a) > F.size(b), both(a, wide(b, a)) + F.col(f"{x}.spare"))
+        .otherwise(both(wide(a, b), b) + F.col(f"{y}.spare"))
+    )
+    return most >= short
 
 
 def verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -396,10 +422,10 @@ def star_links(shared: DataFrame, size_of: DataFrame, sets: DataFrame, plan: Pla
     return C.materialize(verify(star.where(may_link(plan)).select("a", "b"), sets, plan), "jaccard-links")
 
 
-def may_link(plan: Plan):
+def may_link(plan: Plan, size: str = "size", own: str = "own", size_: str = "size_", own_: str = "own_"):
     """By sizes and own tokens: the overlap can be as large as a link needs."""
-    most = F.least(F.col("size") - F.col("own"), F.col("size_") - F.col("own_"))
-    return most * (plan.num + plan.den) >= (F.col("size") + F.col("size_")) * plan.num
+    most = F.least(F.col(size) - F.col(own), F.col(size_) - F.col(own_))
+    return most * (plan.num + plan.den) >= (F.col(size) + F.col(size_)) * plan.num
 
 
 def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -457,12 +483,13 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     named = C.materialize(named.join(mixed, "key", "left_semi"), "jaccard-mixed")
     some = sets.join(C.maybe_broadcast(named.select("node").distinct()), "node", "left_semi")
-    named = named.join(C.materialize(prefixes(some, plan, *order), "jaccard-prefixes"), "node")
-    x, y = named.alias("x"), named.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "size", "own", "label", "prefix")))
-    least = F.expr(f"cast(ceil(cast({num} * (size + size_) as decimal(20,0)) / {num + den}) as long)")
-    short = F.least(F.size("prefix") - F.col("size"), F.size("prefix_") - F.col("size_")) + least
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("label") != F.col("label_")) & (F.col("node") < F.col("node_")) & may_link(plan) & (F.size(F.array_intersect("prefix", "prefix_")) >= short))
-    late = C.materialize(met.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct(), "jaccard-late")
+    # Each key's row has only the sketch of its set's prefix, and both sides share one exchange.
+    named = named.join(C.materialize(sketches(some, plan, *order), "jaccard-sketches"), "node")
+    least = F.expr(f"cast(ceil(cast({num} * (x.size + y.size) as decimal(20,0)) / {num + den}) as long)")
+    short = F.least(F.col("x.n") - F.col("x.size"), F.col("y.n") - F.col("y.size")) + least
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
+    met = named.alias("x").join(named.alias("y"), apart & may_link(plan, "x.size", "x.own", "y.size", "y.own") & may_share(short))
+    late = C.materialize(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "jaccard-late")
     more = C.materialize(verify(late, sets, plan), "jaccard-links")
     if more.limit(1).count():
         labels = components(linked.union(more))

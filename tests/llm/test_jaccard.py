@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from hinoki.llm import common as C
 from hinoki.llm import jaccard
 
 SCHEMA = "doc_id long, text string, node string"
@@ -64,3 +67,30 @@ def test_empty_repeated_and_null_rows(spark):
     assert jaccard.classes_of(spark.createDataFrame([], SCHEMA), 4, 85, 100).collect() == []
     got = jaccard.classes_of(spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "x"), (None, "a b c d e", "x"), (3, None, None)], SCHEMA), 4, 85, 100).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == [(-1, 2, 1), (1, 2, 1), (1, 2, 1), (3, 0, 3)]
+
+
+def test_sketches_bound_what_prefixes_share(spark):
+    """Never under the true number, and far under the set's size where nothing is shared; a sketch
+    is an eighth of its tokens at most (a prefix of its own stood in every row before)."""
+    rng, rows = np.random.default_rng(7), []
+    for i, (n, m, common) in enumerate([(1, 1, 1), (100, 130, 90), (250, 260, 200), (1000, 1030, 600), (1030, 1000, 0), (600, 2100, 500), (5000, 5000, 0)]):
+        x, y = (rng.integers(0, 1 << 63, k, np.uint64) for k in (n, m))
+        y[:common] = x[:common]
+        for s in (x, y):
+            if len(s) >= 512:
+                assert jaccard.sketch(s).nbytes <= s.nbytes / 8
+        side = lambda s: (len(s), len(s) - int(np.unpackbits(jaccard.sketch(s).view(np.uint8)).sum()), jaccard.sketch(s).tolist())
+        rows.append((i, common, side(x), side(y)))
+    kind = "struct<n long, spare long, bits array<long>>"
+    pairs = spark.createDataFrame(rows, f"i int, common int, x {kind}, y {kind}")
+    told = pairs.select("i", jaccard.may_share(F.col("common")).alias("all"), jaccard.may_share(F.lit(0.45) * F.least("x.n", "y.n") + 1).alias("half")).collect()
+    assert all(r["all"] for r in told)
+    assert [r["half"] for r in told if r["i"] in (4, 6)] == [False, False]
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, held = files(), spark.conf.get(C.CLEANUP, None)
+    out = C.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert out.count() == 7 and spark.conf.get(C.CLEANUP, None) == held
+    assert files() <= before + 2  # the count's own

@@ -46,7 +46,8 @@ def pieces(df: DataFrame, key: str, text: str = "text", prefix: str | None = Non
     rows = df.where(F.length(text) > 0).select(key, F.length(head).alias("_n"), of(head).alias("_p"), of(F.col(text)).alias("_t"))
     room = F.greatest(F.lit(window) - F.size("_p"), F.lit(1))
     wins = F.transform(F.sequence(F.lit(0), F.floor((F.size("_t") - 1) / room).cast("int")), lambda i: F.slice("_t", i * room + 1, room))
-    rows = rows.where(F.size("_t") > 0).select(key, "_n", "_p", F.posexplode(wins).alias("win", "_w"))
+    wins = F.when(F.size("_t") > 0, wins)  # outer, since a filter is inferred for the inner one that matches all once more
+    rows = rows.select(key, "_n", "_p", F.posexplode_outer(wins).alias("win", "_w")).where("_w is not null")
     shifted = F.transform("_p", lambda p: F.struct((p["start"] - F.col("_n")).alias("start"), (p["end"] - F.col("_n")).alias("end"), p["text"].alias("text")))
     rows = rows.select(key, "win", F.size("_p").alias("_k"), F.posexplode(F.concat(shifted, "_w")).alias("pos", "_x"))
     return rows.select(key, "win", "pos", "_x.start", "_x.end", normal(F.col("_x.text")).alias("piece"), (F.col("pos") < F.col("_k")).alias("masked"))

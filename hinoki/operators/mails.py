@@ -8,11 +8,14 @@ makes the same.  The work grows with the table; no step sees more than one mail
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import morph as M
+from ..llm import common as C
 from . import generate as G
 from . import spans as S
 
@@ -170,18 +173,27 @@ def choices_table(spark: SparkSession) -> DataFrame:
 
 
 class Mails:
-    """The steps above on a table of threads, each a DataFrame."""
+    """The steps above on a table of threads, each a DataFrame.  Sentences, proposals, errors and the
+    damaged mails are written once: every other step reads some of them several times."""
 
     def __init__(self, spark: SparkSession, threads: DataFrame, key: str = "conv_id"):
         self.spark, self.key = spark, key
-        view = G.candidates_view(spark)
-        run = lambda sql, **views: spark.sql(sql, **views)
         choices = F.broadcast(choices_table(spark))
-        planned = run(planned_sql("{t}", key), t=threads.select(key, "turn", "role", "text"))
-        self.sentences = run(sentences_sql("{p}", "{c}", key), p=planned, c=choices)
-        self.pieces = run(pieces_sql("{s}", key), s=self.sentences)
-        self.proposals = run(proposals_sql("{s}", view, key), s=self.sentences)
-        self.errors = run(chosen_sql("{p}", "{s}", key), p=self.proposals, s=self.sentences)
+        planned = spark.sql(planned_sql("{t}", key), t=threads.select(key, "turn", "role", "text"))
+        self.sentences = C.materialize(spark.sql(sentences_sql("{p}", "{c}", key), p=planned, c=choices), "mail-sentences")
+
+    @cached_property
+    def pieces(self) -> DataFrame:
+        return self.spark.sql(pieces_sql("{s}", self.key), s=self.sentences)
+
+    @cached_property
+    def proposals(self) -> DataFrame:
+        view = G.candidates_view(self.spark)
+        return C.materialize(self.spark.sql(proposals_sql("{s}", view, self.key), s=self.sentences), "mail-proposals")
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return C.materialize(self.spark.sql(chosen_sql("{p}", "{s}", self.key), p=self.proposals, s=self.sentences), "mail-errors")
 
     def placed(self) -> DataFrame:
         """Pieces with start and end in the mail."""
@@ -201,11 +213,15 @@ class Mails:
 
     def damaged(self) -> DataFrame:
         """(key, text): the mails that have errors, with all of them in."""
+        return self._damaged
+
+    @cached_property
+    def _damaged(self) -> DataFrame:
         log = self.errors.select(F.col(self.key).alias("_k"), F.col("nth").alias("_n"), F.col("start").alias("s"), F.col("end_").alias("e"), "new")
         p = self.pieces.join(log, F.col(self.key).eqNullSafe(F.col("_k")) & (F.col("nth") == F.col("_n")), "left")
         cut = F.concat(F.substr("piece", F.lit(1), F.col("s")), F.col("new"), F.substr("piece", F.col("e") + 1))
         p = p.select(self.key, "nth", F.coalesce(cut, F.col("piece")).alias("piece"), F.col("_n").isNotNull().alias("hit"))
-        return whole(p, self.key, F.max("hit")).where("extra").drop("extra")
+        return C.materialize(whole(p, self.key, F.max("hit")).where("extra").drop("extra"), "mail-damaged")
 
     def persons(self) -> DataFrame:
         """(key, audience, writer, recipient, persons): the context of each mail."""

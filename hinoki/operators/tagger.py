@@ -57,11 +57,16 @@ def viterbi(scores: np.ndarray, steps: np.ndarray, first: np.ndarray) -> np.ndar
 def walk(weights: np.ndarray, rows: list[tuple[list[str], list[int]]], n_labels: int) -> np.ndarray:
     """The average of the weights over one pass; the last n_labels rows are steps."""
     bits, illegal = (len(weights) - n_labels).bit_length() - 1, allowed(LABELS)
-    w, late, t = weights.copy(), np.zeros_like(weights), 1.0
+    w, late, t, right = weights.copy(), np.zeros_like(weights), 1.0, None
     for pieces, gold in rows:
+        if right == (pieces, gold):  # the weights are as they were when it was found right
+            t += 1
+            continue
+        right = (pieces, gold)
         f, gold = features(pieces, bits), np.array(gold)
         found = viterbi(w[f].sum(1), w[-n_labels:] + illegal, illegal[0])
         if (wrong := found != gold).any():
+            right = None
             for y, by in ((gold, 1.0), (found, -1.0)):
                 np.add.at(w, (f[wrong], y[wrong][:, None]), by)
                 np.add.at(late, (f[wrong], y[wrong][:, None]), by * t)
@@ -120,7 +125,9 @@ def tag(rows: DataFrame, weights: np.ndarray, key: str) -> DataFrame:
         w, n = held.value, len(LABELS)
         bits = (len(w) - n).bit_length() - 1
         for b in batches:
-            found = [[LABELS[i] for i in viterbi(w[features(p, bits)].sum(1), w[-n:] + illegal, illegal[0])] for p in b.column("pieces").to_pylist()]
+            rows = [tuple(p) for p in b.column("pieces").to_pylist()]
+            told = {p: [LABELS[i] for i in viterbi(w[features(list(p), bits)].sum(1), w[-n:] + illegal, illegal[0])] for p in set(rows)}
+            found = [told[p] for p in rows]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("win"), b.column("starts"), b.column("ends"), pa.array(found, pa.list_(pa.string()))], [key, "win", "starts", "ends", "labels"])
 
     got = out.mapInArrow(run, f"{key} {kind}, win int, starts array<int>, ends array<int>, labels array<string>")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import morph as M
+from ..llm import common as C
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import generate as G
@@ -17,6 +18,7 @@ from ..operators import labels as LB
 from ..operators import mails as MA
 from ..operators import report as RP
 from ..operators import tagger as TG
+from ..operators import text as X
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -128,7 +130,8 @@ def tokens(spark, sf_dir) -> tuple[MA.Mails, DataFrame]:
     who = m.persons().select(F.col("conv_id").alias("k"), LB.context(F.col("audience"), F.col("persons")).alias("prefix"))
     texts = m.damaged().join(who, F.col("conv_id").eqNullSafe(F.col("k"))).select("conv_id", "text", "prefix")
     errors = m.edit_log().select("conv_id", "start", "end", F.col("error_type").alias("type"))
-    return m, LB.labelled(LB.pieces(texts, "conv_id", prefix="prefix", window=64), errors, "conv_id")
+    pieces = C.materialize(LB.pieces(texts, "conv_id", prefix="prefix", window=64), "mail-pieces")
+    return m, LB.labelled(pieces, errors, "conv_id")
 
 
 DUCK_PIECE = M.quote(LB.PIECE)
@@ -160,9 +163,9 @@ def tagger_scores(spark, sf_dir):
     """A tagger trained on the sentences of four mails in five, scored on the others."""
     m = mails(spark, sf_dir)
     rows, gold = sentence_examples(m)
-    marked = LB.labelled(LB.pieces(rows, "sid"), gold, "sid")
+    marked = LB.labelled(C.materialize(LB.pieces(rows, "sid"), "mail-pieces"), gold, "sid")
     held = F.pmod(F.xxhash64(F.substring_index("sid", "|", 1)), F.lit(5)) == 0
-    seqs = TG.sequences(marked, "sid")
+    seqs = C.materialize(TG.sequences(marked, "sid"), "mail-sequences")  # read once a round
     weights = TG.train(seqs.where(~held))
     found = LB.spans(TG.tag(seqs.where(held), weights, "sid"), "sid")
     return TG.scores(gold.where(held), found, "sid")
@@ -195,7 +198,7 @@ def judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     every = docs.unionByName(inv.select(docs.columns).dropDuplicates(["doc_id"]))
     gold = m.edit_log().select(F.concat_ws("|", "conv_id", F.lit("e")).alias("doc_id"), "start", "end", F.col("error_type").alias("type"))
     gold = gold.unionByName(inv.select("doc_id", "start", "end", F.lit("rank_inversion").alias("type")))
-    return D.detect(every), gold
+    return D.detect(C.materialize(X.cut(every), "mail-lines")), gold
 
 
 @query(f"with {MADE}, " + RP.pivot_sql("(select error_type as type, mode as source from moved)", "type", "source", ["one", "sasete", "style"]))

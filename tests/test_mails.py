@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,25 @@ def test_report_lines(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x"), ("b", None)], "type string, source string")
     lines = [r.line for r in RP.pivot(rows, "type", "source", ["x", "y"]).orderBy("part", "at").collect()]
     assert lines == ["| type | x | y | all |", "| - | - | - | - |", "| a | 1 | 1 | 2 |", "| b | 1 | 0 | 2 |", "| all | 2 | 1 | 4 |"]
+
+
+def test_steps_of_mails_are_written_once(spark):
+    threads = spark.createDataFrame([(i, j, "user", f"t{i}{j}") for i in range(3) for j in range(4)], "conv_id long, turn long, role string, text string")
+    m = MA.Mails(spark, threads)
+    for df, name in ((m.sentences, "mail-sentences"), (m.proposals, "mail-proposals"), (m.errors, "mail-errors"), (m.damaged(), "mail-damaged")):
+        assert all(name in f for f in df.inputFiles()) and df.inputFiles()
+
+
+def test_repeated_sequences_are_walked_once(monkeypatch):
+    class Never(list):
+        __eq__ = lambda self, other: False
+        __hash__ = None
+
+    kinds = [(["a", "b", "c"], [0, 1, 2]), (["d", "e"], [0, 0]), (["a", "e", "f", "b"], [3, 0, 1, 2])]
+    rows = [(list(p), list(y)) for p, y in kinds for _ in range(40)]
+    n = len(TG.LABELS)
+    weights = np.zeros(((1 << 8) + n, n))
+    plain = TG.walk(weights, [(Never(p), Never(y)) for p, y in rows], n)
+    calls, real = [], TG.features
+    monkeypatch.setattr(TG, "features", lambda *a: calls.append(1) or real(*a))
+    assert np.array_equal(TG.walk(weights, rows, n), plain) and len(calls) < 40

@@ -33,6 +33,9 @@ BOUNDARY = f"^(?:[{klass(T.BOUNDARIES)}]|" + "|".join(map(re.escape, T.CONTINUAT
 VETO = "[一-鿿々゠-ヿA-Za-z0-9０-９]"
 BLANK = "^[\\s　]*$"
 SCRIPT = "[ぁ-んァ-ヶ一-龥]"  # every entry of the lexicon and every particle has such a character
+#: Group 1: from the first line that holds the script, behind the ends that it begins with, to the
+#: last such line and the ends behind it.  Classes aren't negated: those are slow here.
+CORE = f"(?dm)^[{ENDS}]*+(.*{SCRIPT}(?s:.*{SCRIPT})?.*[{ENDS}]*+)"
 
 
 def let(value: Column, make) -> Column:
@@ -112,16 +115,14 @@ def core(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose text holds the script, with the text cut to the lines from the first to the last
     that do; _at: its offset.  Patterns that match within such lines alone find there all that
     they find in the whole text.  It starts behind the ends of the sentence before and keeps those
-    of its last one, so its sentences are the whole text's, too.  Plain string functions, far
-    cheaper than the patterns and folds that they spare the rest of the text.  Texts that cut()
-    made are left as they are."""
+    of its last one, so its sentences are the whole text's, too.  One pattern takes it out, far
+    cheaper than the patterns and folds that it spares the rest of the text; the text holds no
+    script before it, so the first place where it stands is its own.  Texts that cut() made are left as they are."""
     if "_at" in df.columns:
         return df
-    t, ends = F.col(text), lambda rest: F.length(F.regexp_extract(rest, f"^[{ENDS}]*", 0))
-    lines = lambda c: F.length(c) - F.length(F.substring_index(c, "\n", -1))
-    df = df.where(t.rlike(SCRIPT)).withColumns({"_b": lines(F.split(t, SCRIPT, 2)[0]), "_e": F.length(t) - lines(F.split(F.reverse(t), SCRIPT, 2)[0])})
-    df = df.withColumns({"_at": F.col("_b") + ends(F.substr(t, F.col("_b") + 1)), "_e": F.col("_e") + ends(F.substr(t, F.col("_e") + 1))})
-    return df.withColumn("_whole", t).withColumn(text, F.substr("_whole", F.col("_at") + 1, F.col("_e") - F.col("_at"))).drop("_b", "_e")
+    found = F.filter(F.array(F.regexp_extract(text, CORE, 1)), lambda c: c != "")
+    df = exploded(df, found, "_core").withColumnsRenamed({text: "_whole", "_core": text})
+    return df.withColumn("_at", F.instr("_whole", F.col(text)) - 1)
 
 
 def count_sentences(text: Column) -> Column:
@@ -197,7 +198,8 @@ def scan(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "senten
 
 def phrases(text: Column) -> Column:
     """array<struct<body, particle>> of the noun phrases that a particle closes."""
-    body, particle = (F.regexp_extract_all(text, F.lit(PHRASE), F.lit(i)) for i in (1, 2))
+    pattern = f"([^{BREAKS}]*?)({any_of(sorted(T.PARTICLES, key=len, reverse=True))})"  # PHRASE, which any engine reads
+    body, particle = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
     return F.filter(F.arrays_zip(body.alias("body"), particle.alias("particle")), lambda p: p["body"] != "")
 
 

@@ -1,9 +1,11 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from hinoki.functions import tables as T
 from hinoki.operators import detect as D
 from hinoki.operators import evaluate as E
 from hinoki.operators import spans as S
@@ -155,3 +157,33 @@ def test_text_outside_the_script_is_not_searched(spark):
     assert X.core(df).select("text", "_at").collect() == [("ご利用されます。\n", 5000)]
     plan = X.script_sentences(df).select("sent_start")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and X.script_sentences(df).first()["sent_idx"] == 2000
+
+
+def test_cut_reads_a_text_once(spark):
+    """One pattern over the whole text, and the same lines as by splitting it (it took seven functions of the text before)."""
+    texts = [None, "", "x\ny", "a\n。。あい。\n！b\nう\n\nz", "あ", "\r\n？ああb\r\n！\nc", "😀\n 😀かき。😀\n" * 2 + "z" * 5000, "x\n" * 5000 + "さ\u2028\u0085y\nz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    script, ends = re.compile(X.SCRIPT), set(T.SENTENCE_ENDS)
+    want = []
+    for i, t in enumerate(texts):
+        held = [m.start() for m in script.finditer(t or "")]
+        if held:
+            a, z = t.rfind("\n", 0, held[0]) + 1, (t.find("\n", held[-1]) + 1 or len(t) + 1) - 1
+            while t[a] in ends:
+                a += 1
+            while z < len(t) and t[z] in ends:
+                z += 1
+            want.append((i, t[a:z], a))
+    cut = X.cut(df)
+    assert sorted(tuple(r) for r in cut.select("doc_id", "text", "_at").collect()) == want
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and not any(f in plan for f in ("split(", "reverse(", "RLIKE"))
+
+
+def test_roles_are_made_once_for_findings_and_their_roles(spark):
+    m = frame(spark, ["弊社の佐藤がおっしゃいました。"])
+    found, roles = catalog.found_and_roles(m)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("_head")
+    assert scans(found) == scans(roles) == 0 and scans(D.detect(m)) > 0
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert key(found) == key(D.detect(m)) and found.count() > 0

@@ -9,6 +9,7 @@ one line of a matrix, the cumulative segment lengths and where positions restart
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from . import common as C
 CAPACITY = 4096
 #: Tokens and texts packed together; a bound on a worker's memory, not on the input.
 WINDOW_TOKENS, WINDOW_ROWS = 4_000_000, 20_000
-CACHE = 200_000
+#: Words whose ids a worker keeps, and their greatest length; a task of 26 MB has some 550,000 different ones.
+CACHE, CACHED_CHARS = 500_000, 48
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -93,13 +95,13 @@ class Encoder:
         self.inner = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         # A space before a word belongs to it, other white space stands alone.
         self.pieces = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.adjacent = regex.compile(f"[{SPACE}]{{2}}")
+        self.adjacent = re.compile(f"[{SPACE}]{{2}}")
         self.cache: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
     def after_space(self, s: str) -> bytes:
         got = np.array(self.inner.encode_ordinary(" " + s), "<u4").tobytes()
-        if len(s) <= 128:
+        if len(s) <= CACHED_CHARS:
             if len(self.spaced) >= CACHE:
                 self.spaced.clear()
             self.spaced[s] = got
@@ -107,7 +109,7 @@ class Encoder:
 
     def piece(self, s: str) -> bytes:
         got = np.array(self.inner.encode_ordinary(s), "<u4").tobytes()
-        if len(s) <= 128:
+        if len(s) <= CACHED_CHARS:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[s] = got

@@ -129,6 +129,17 @@ def test_fragments_are_independent():
 # --- 2
 
 
+def test_packing_keeps_the_words_of_a_task(monkeypatch):
+    """300,000 different words are encoded once each, not again after the cache was emptied."""
+    enc = packing.Encoder(*packing.rank_file())
+    text, made, after = " ".join(f"w{i}" for i in range(300_000)), [], enc.after_space
+    monkeypatch.setattr(enc, "after_space", lambda s: made.append(s) or after(s))
+    first = enc.encode(text)
+    assert enc.encode(text) == first and len(made) == 299_999
+    for s in ("a  b", "a\u3000\u2028b", " \x85x", "a\x1c\x1cb", "w1 \nw2", "x" * 500 + " " + "y" * 500):
+        assert np.frombuffer(enc.encode(s), "<u4").tolist() == enc.inner.encode_ordinary(s)
+
+
 def test_packing_round_trip(spark, tmp_path):
     rows = list(enumerate([*ODD, *("tok " * n for n in range(1, 60))])) + [(3, "a"), (None, "null id")]
     out = packing.packed(docs(spark, rows).coalesce(1), *packing.rank_file(), capacity=64).collect()

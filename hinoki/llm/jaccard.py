@@ -428,6 +428,37 @@ def may_link(plan: Plan, size: str = "size", own: str = "own", size_: str = "siz
     return most * (plan.num + plan.den) >= (F.col(size) + F.col(size_)) * plan.num
 
 
+def unlike(rows: DataFrame) -> DataFrame:
+    """rows (key, node) of one key for each list of nodes: keys of equal lists pair the same nodes.
+    A list is known by its length and 128 bits."""
+    lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q"))
+    return rows.join(lists.where("n > 1").groupBy("n", "p", "q").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def meetings(named: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): all pairs of different components that share a key of named (key, node) and may link
+    by sizes, own tokens and sketches.  nodes: each node's size, own, label, crowd (how many
+    of nodes are in its component) and sketch.
+
+    A node of a component meets the larger component of a node that it shares a key with once, whatever
+    the number of such keys and nodes, and then all of that component's nodes.  So a pair is
+    made once; only two that are alone in their components meet by the keys themselves."""
+    least = F.expr(f"cast(ceil(cast({plan.num} * (x.size + y.size) as decimal(20,0)) / {plan.num + plan.den}) as long)")
+    short = F.least(F.col("x.n") - F.col("x.size"), F.col("y.n") - F.col("y.size")) + least
+    may = may_link(plan, "x.size", "x.own", "y.size", "y.own") & may_share(short)
+    held = named.select("key", "node").join(nodes.select("node", "label", "crowd"), "node")
+    alone = unlike(held.where("crowd = 1").select("key", "node")).join(nodes, "node")
+    met = alone.alias("x").join(alone.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may)
+    groups = held.where("crowd > 1").select("key", "label", "crowd").distinct()
+    larger = F.struct("x.crowd", "x.label") < F.struct("y.crowd", "y.label")
+    far = held.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & larger).select("x.node", F.col("y.label").alias("group"))
+    far = salted(C.materialize(far.distinct(), "jaccard-far").join(nodes, "node"))
+    members = nodes.where("crowd > 1").withColumn("part", salt("node"))
+    more = far.alias("x").join(members.alias("y"), (F.col("x.group") == F.col("y.label")) & (F.col("x.part") == F.col("y.part")) & may)
+    pair = lambda m: m.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return pair(met).unionByName(pair(more))
+
+
 def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, copy, node, n_shingles, label) for every row of docs (doc_id, text).
 
@@ -483,13 +514,10 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     named = C.materialize(named.join(mixed, "key", "left_semi"), "jaccard-mixed")
     some = sets.join(C.maybe_broadcast(named.select("node").distinct()), "node", "left_semi")
-    # Each key's row has only the sketch of its set's prefix, and both sides share one exchange.
-    named = named.join(C.materialize(sketches(some, plan, *order), "jaccard-sketches"), "node")
-    least = F.expr(f"cast(ceil(cast({num} * (x.size + y.size) as decimal(20,0)) / {num + den}) as long)")
-    short = F.least(F.col("x.n") - F.col("x.size"), F.col("y.n") - F.col("y.size")) + least
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
-    met = named.alias("x").join(named.alias("y"), apart & may_link(plan, "x.size", "x.own", "y.size", "y.own") & may_share(short))
-    late = C.materialize(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "jaccard-late")
+    crowd = named.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("crowd"))
+    nodes = named.select("node", "size", "own", "label").distinct().join(crowd, "label")
+    nodes = C.materialize(nodes.join(C.materialize(sketches(some, plan, *order), "jaccard-sketches"), "node"), "jaccard-nodes")
+    late = C.materialize(meetings(named, nodes, plan).distinct(), "jaccard-late")
     more = C.materialize(verify(late, sets, plan), "jaccard-links")
     if more.limit(1).count():
         labels = components(linked.union(more))

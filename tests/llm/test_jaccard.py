@@ -94,3 +94,16 @@ def test_shuffle_files_go_with_the_write(spark):
     out = C.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
     assert out.count() == 7 and spark.conf.get(C.CLEANUP, None) == held
     assert files() <= before + 2  # the count's own
+
+
+def test_an_outsider_meets_a_component_once(spark):
+    """Forty keys shared by a component of fifty sets and two outsiders: a row a pair (there were
+    forty), and two that are alone meet once where their keys list the same nodes."""
+    plan = jaccard.Plan(4, 85, 100)
+    nodes = [(i, 0 if i < 50 else i, 50 if i < 50 else 1) for i in range(52)]
+    tokens = np.arange(200, dtype=np.uint64)
+    side = (len(tokens), len(tokens) - int(np.unpackbits(jaccard.sketch(tokens).view(np.uint8)).sum()), jaccard.sketch(tokens).tolist())
+    nodes = spark.createDataFrame([(i, 200, 0, label, crowd, *side) for i, label, crowd in nodes], "node long, size long, own long, label long, crowd long, n long, spare long, bits array<long>")
+    named = spark.range(40).withColumnRenamed("id", "key").crossJoin(nodes.select("node"))
+    got = [tuple(sorted(r)) for r in jaccard.meetings(named, nodes, plan).collect()]
+    assert sorted(got) == sorted([(i, o) for i in range(50) for o in (50, 51)] + [(50, 51)])

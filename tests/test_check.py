@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hinoki.functions import tables as T
 from hinoki.operators import detect as D
 from hinoki.operators import evaluate as E
+from hinoki.operators import roles as R
 from hinoki.operators import spans as S
 from hinoki.operators import text as X
 from hinoki.plans import catalog
@@ -187,3 +188,17 @@ def test_roles_are_made_once_for_findings_and_their_roles(spark):
     assert scans(found) == scans(roles) == 0 and scans(D.detect(m)) > 0
     key = lambda rows: sorted(map(str, rows.collect()))
     assert key(found) == key(D.detect(m)) and found.count() > 0
+
+
+def test_equal_lines_are_tagged_once(spark):
+    """Messages with the same lines and context share one text, whatever stands around them; what is
+    found there has each message's own places and sentence numbers."""
+    line = "弊社の田中がお越しになります。鈴木様は十時に参ります。"
+    rows = [(0, f"abc\n{line}\nxyz", "external"), (1, f"One. Two.\n\nthree\n{line}\n", "external"), (2, f"\n{line}\n", "internal"), (3, f"a\n{line}ご持参ください。", "external"), (4, "none", "external"), (5, None, "external"), (6, line, "external")]
+    m = spark.createDataFrame(rows, "doc_id long, text string, audience string").selectExpr("*", "'山田' as writer", "'佐藤' as recipient", "array(struct('田中' as name, 'self_group' as side)) as persons")
+    texts, places = catalog.texts_of(X.cut(m, numbered=True))
+    assert sorted(r.doc_id for r in places.collect()) == [0, 1, 2, 3, 6] and texts.count() < 5
+    columns = ["doc_id", "sent_idx", "start", "end", "surface", "actor", "target"]
+    got = catalog.everywhere(R.tag(texts), places).withColumn("sent_idx", F.col("_before") + F.col("sent_idx"))
+    want = R.tag(m).select(columns).collect()
+    assert len(want) >= 6 and sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want))

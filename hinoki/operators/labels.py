@@ -35,24 +35,50 @@ def context(audience: Column, persons: Column) -> Column:
     return F.concat(F.lit("["), F.coalesce(audience, F.lit("unknown")), F.lit("]"), part("own", own), part("other", other), F.lit(" "))
 
 
+def windows(df: DataFrame, key: str, text: str, prefix: str | None, window: int, *more: str) -> DataFrame:
+    """(key, _n, _p, win, _w, more): a row a window, with the pieces _w of the text there, those of the
+    prefix in _p and the prefix's length in _n."""
+    of = lambda c: X.matches(c, PIECE)
+    head = F.coalesce(F.col(prefix), F.lit("")) if prefix else F.lit("")
+    rows = df.where(F.length(text) > 0).select(key, F.length(head).alias("_n"), of(head).alias("_p"), of(F.col(text)).alias("_t"), *more)
+    room = F.greatest(F.lit(window) - F.size("_p"), F.lit(1))
+    wins = F.transform(F.sequence(F.lit(0), F.floor((F.size("_t") - 1) / room).cast("int")), lambda i: F.slice("_t", i * room + 1, room))
+    wins = F.when(F.size("_t") > 0, wins)  # outer, since a filter is inferred for the inner one that matches all once more
+    return rows.select(key, "_n", "_p", *more, F.posexplode_outer(wins).alias("win", "_w")).where("_w is not null")
+
+
 def pieces(df: DataFrame, key: str, text: str = "text", prefix: str | None = None, window: int = WINDOW) -> DataFrame:
     """(key, win, pos, start, end, piece, masked): pieces of prefix and text, in windows.
 
     Offsets are those of text; the prefix's pieces stand masked before those of every window,
     at offsets below 0.  A long text is cut into windows, nothing of it is left out; null and
     empty texts have no pieces.  Rows of one key are told apart by their key alone."""
-    of = lambda c: X.matches(c, PIECE)
-    head = F.coalesce(F.col(prefix), F.lit("")) if prefix else F.lit("")
-    rows = df.where(F.length(text) > 0).select(key, F.length(head).alias("_n"), of(head).alias("_p"), of(F.col(text)).alias("_t"))
-    room = F.greatest(F.lit(window) - F.size("_p"), F.lit(1))
-    wins = F.transform(F.sequence(F.lit(0), F.floor((F.size("_t") - 1) / room).cast("int")), lambda i: F.slice("_t", i * room + 1, room))
-    wins = F.when(F.size("_t") > 0, wins)  # outer, since a filter is inferred for the inner one that matches all once more
-    rows = rows.select(key, "_n", "_p", F.posexplode_outer(wins).alias("win", "_w")).where("_w is not null")
+    rows = windows(df, key, text, prefix, window)
     shifted = F.transform("_p", lambda p: F.struct((p["start"] - F.col("_n")).alias("start"), (p["end"] - F.col("_n")).alias("end"), p["text"].alias("text")))
     rows = rows.select(key, "win", F.size("_p").alias("_k"), F.posexplode(F.concat(shifted, "_w")).alias("pos", "_x"))
     return rows.select(key, "win", "pos", "_x.start", "_x.end", normal(F.col("_x.text")).alias("piece"), (F.col("pos") < F.col("_k")).alias("masked"))
 
 
+def labelled_texts(df: DataFrame, key: str, spans: str, text: str = "text", prefix: str | None = None, window: int = WINDOW) -> DataFrame:
+    """(key, win, pos, start, end, surface, label): the pieces of pieces() that aren't masked, as they
+    stand in the text, with the labels of labelled().
+
+    spans: array<struct<start, end, type>> of a text, in any order.  All is done in the row, so no
+    piece passes a shuffle or a join; each piece is held against all spans of its text, hence for
+    few spans a text (labelled() spreads many)."""
+    mine = F.array_sort(F.filter(F.coalesce(F.col(spans), F.array()), lambda e: (e["end"] > e["start"]) & (e["type"] != "none")))
+    rows = windows(df.withColumn("_s", mine), key, text, prefix, window, "_s")
+    first = lambda x: F.get(F.filter("_s", lambda e: (x["start"] < e["end"]) & (e["start"] < x["end"])), F.lit(0))
+    here = lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("surface"), i.alias("at"), first(x).alias("e"))
+    # The pieces that have a span as their first stand side by side.
+    old = lambda met, x: F.get(met, x["at"] - 1)["e"] == x["e"]
+    name = lambda met, x: F.when(x["e"].isNull(), "O").otherwise(F.concat(F.when(old(met, x), "I-").otherwise("B-"), x["e"]["type"]))
+    out = X.let(F.transform("_w", here), lambda met: F.transform(met, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["surface"].alias("surface"), name(met, x).alias("label"))))
+    # Outer, since a filter is inferred for the inner one that labels all once more; no window is empty.
+    rows = rows.select(key, "win", F.size("_p").alias("_k"), F.posexplode_outer(out).alias("pos", "_x"))
+    return rows.select(key, "win", (F.col("_k") + F.col("pos")).alias("pos"), "_x.*")
+
+
 def labelled(tokens: DataFrame, errors: DataFrame, key: str) -> DataFrame:
     """tokens with label: null where masked, else B-, I- of the first span (by order of start)
     that a piece meets, or O.  errors: key, start, end, type; empty spans and the type 'none' are

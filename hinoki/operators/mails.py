@@ -134,10 +134,10 @@ def pieces_sql(sentences: str, key: str = "conv_id") -> str:
     )
 
 
-def proposals_sql(sentences: str, candidates: str, key: str = "conv_id") -> str:
+def proposals_sql(sentences: str, candidates: str, key: str = "conv_id", hint: str = "") -> str:
     """(key, nth, mode, error_type, start, end_, new, gold): every error that a sentence may get,
     in its own offsets.  mode 'one' replaces a predicate, 'sasete' and 'style' damage a mail as a
-    whole: a density of させていただく, a sentence of the minority style."""
+    whole: a density of させていただく, a sentence of the minority style.  hint: how the sentences s are joined."""
     verbs = f"(select base as v_base, kind, ogo, is_verb from {G.bases_sql()}) as v"
     ones = f"select i.id, i.error_type, i.surface as new, 'one' as mode from ({G.injected_sql(sentences, candidates)}) as i"
     own = f"{G.side_sql('s.actor')} = 'self'"
@@ -147,7 +147,7 @@ def proposals_sql(sentences: str, candidates: str, key: str = "conv_id") -> str:
         f"union all select s.id, 'style_mixing' as error_type, s.base as new, 'style' as mode from {sentences} as s where {own} and s.function in ('report', 'notice', 'scheduling', 'giving')"
     )
     return (
-        f"select s.{key}, s.nth, e.mode, e.error_type, s.start, s.end_, e.new, s.predicate as gold, md5(concat(s.id, e.error_type)) as m "
+        f"select {hint}s.{key}, s.nth, e.mode, e.error_type, s.start, s.end_, e.new, s.predicate as gold, md5(concat(s.id, e.error_type)) as m "
         f"from ({ones} union all {whole}) as e join {sentences} as s on s.id = e.id where e.new <> s.predicate"
     )
 
@@ -174,7 +174,10 @@ def choices_table(spark: SparkSession) -> DataFrame:
 
 class Mails:
     """The steps above on a table of threads, each a DataFrame.  Sentences, proposals, errors and the
-    damaged mails are written once: every other step reads some of them several times."""
+    damaged mails are written once: every other step reads some of them several times.
+
+    Their files are a small part of what the rows take in memory, so Spark would broadcast them by
+    the files' sizes, and the driver would hold a whole table: those that grow are merged."""
 
     def __init__(self, spark: SparkSession, threads: DataFrame, key: str = "conv_id"):
         self.spark, self.key = spark, key
@@ -189,11 +192,11 @@ class Mails:
     @cached_property
     def proposals(self) -> DataFrame:
         view = G.candidates_view(self.spark)
-        return C.materialize(self.spark.sql(proposals_sql("{s}", view, self.key), s=self.sentences), "mail-proposals")
+        return C.materialize(self.spark.sql(proposals_sql("{s}", view, self.key, "/*+ merge(s) */ "), s=self.sentences), "mail-proposals").hint("merge")
 
     @cached_property
     def errors(self) -> DataFrame:
-        return C.materialize(self.spark.sql(chosen_sql("{p}", "{s}", self.key), p=self.proposals, s=self.sentences), "mail-errors")
+        return C.materialize(self.spark.sql(chosen_sql("{p}", "{s}", self.key), p=self.proposals, s=self.sentences), "mail-errors").hint("merge")
 
     def placed(self) -> DataFrame:
         """Pieces with start and end in the mail."""
@@ -221,7 +224,7 @@ class Mails:
         p = self.pieces.join(log, F.col(self.key).eqNullSafe(F.col("_k")) & (F.col("nth") == F.col("_n")), "left")
         cut = F.concat(F.substr("piece", F.lit(1), F.col("s")), F.col("new"), F.substr("piece", F.col("e") + 1))
         p = p.select(self.key, "nth", F.coalesce(cut, F.col("piece")).alias("piece"), F.col("_n").isNotNull().alias("hit"))
-        return C.materialize(whole(p, self.key, F.max("hit")).where("extra").drop("extra"), "mail-damaged")
+        return C.materialize(whole(p, self.key, F.max("hit")).where("extra").drop("extra"), "mail-damaged").hint("merge")
 
     def persons(self) -> DataFrame:
         """(key, audience, writer, recipient, persons): the context of each mail."""

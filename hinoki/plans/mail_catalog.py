@@ -124,16 +124,6 @@ def mail_dataset_card(spark, sf_dir):
     return MA.card(dataset(spark, sf_dir))
 
 
-def tokens(spark, sf_dir) -> tuple[MA.Mails, DataFrame]:
-    """Labelled pieces of the damaged mails, the mail's context masked before them."""
-    m = mails(spark, sf_dir)
-    who = m.persons().select(F.col("conv_id").alias("k"), LB.context(F.col("audience"), F.col("persons")).alias("prefix"))
-    texts = m.damaged().join(who, F.col("conv_id").eqNullSafe(F.col("k"))).select("conv_id", "text", "prefix")
-    errors = m.edit_log().select("conv_id", "start", "end", F.col("error_type").alias("type"))
-    pieces = C.materialize(LB.pieces(texts, "conv_id", prefix="prefix", window=64), "mail-pieces")
-    return m, LB.labelled(pieces, errors, "conv_id")
-
-
 DUCK_PIECE = M.quote(LB.PIECE)
 
 
@@ -151,11 +141,13 @@ DUCK_PIECE = M.quote(LB.PIECE)
     "from placed_ t left join named n on n.conv_id is not distinct from t.conv_id and n.win = t.win and n.pos = t.pos".replace("{0}", DUCK_PIECE)
 )
 def subword_labels(spark, sf_dir):
-    """Pieces of the damaged mails with BIO labels; those of the context are masked."""
-    m, t = tokens(spark, sf_dir)
-    texts = m.damaged().withColumnRenamed("conv_id", "k")
-    t = t.where("not masked").join(texts, F.col("conv_id").eqNullSafe(F.col("k")))
-    return t.select("conv_id", "win", "pos", "start", F.col("end").alias("end_"), F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"), "label")
+    """Pieces of the damaged mails with BIO labels; those of the context, masked before them, go."""
+    m = mails(spark, sf_dir)
+    who = m.persons().select(F.col("conv_id").alias("k"), LB.context(F.col("audience"), F.col("persons")).alias("prefix"))
+    span = F.struct("start", "end", F.col("error_type").alias("type"))
+    log = m.edit_log().groupBy(F.col("conv_id").alias("c")).agg(F.collect_list(span).alias("spans"))
+    texts = m.damaged().join(who, F.col("conv_id").eqNullSafe(F.col("k"))).join(log.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    return LB.labelled_texts(texts, "conv_id", "spans", prefix="prefix", window=64).withColumnRenamed("end", "end_")
 
 
 @query()

@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hinoki.llm import common as C
 from hinoki.operators import detect as D
 from hinoki.operators import evaluate as E
 from hinoki.operators import labels as LB
 from hinoki.operators import mails as MA
 from hinoki.operators import report as RP
 from hinoki.operators import tagger as TG
+from hinoki.plans import mail_catalog as MC
 
 THREADS = [(i, t, "user" if t % 2 == 0 else "assistant", f"text {i} {t}") for i in range(40) for t in range(2 + i % 8)] + [(None, 0, "user", None), (None, None, None, "x")]
 
@@ -159,3 +161,44 @@ def test_repeated_sequences_are_walked_once(monkeypatch):
     calls, real = [], TG.features
     monkeypatch.setattr(TG, "features", lambda *a: calls.append(1) or real(*a))
     assert np.array_equal(TG.walk(weights, rows, n), plain) and len(calls) < 40
+
+
+def test_labels_in_the_row_are_those_of_the_joins(spark):
+    texts = ["弊社のＡＢＣがおっしゃいました。サーーバーを\n見ます。" * 9, "見ます。", "", None]
+    spans = [[(28 * i + 3, 28 * i + 9, "y"), (28 * i + 3, 28 * i + 15, "x"), (28 * i + 12, 28 * i + 22, "x"), (28 * i + 22, 28 * i + 23, "x")] for i in range(9)]
+    spans = [sum(spans, []) + [(5, 5, "x"), (0, 2, "none"), (3, 200, "z")], None, [(0, 1, "x")], []]
+    docs = spark.createDataFrame([(i, t, "[external] ", s) for i, (t, s) in enumerate(zip(texts, spans))], "id long, text string, prefix string, spans array<struct<start: int, end: int, type: string>>")
+    errors = docs.select("id", F.explode("spans").alias("s")).select("id", "s.*")
+    for window in (3, 8, 4096):
+        joined = LB.labelled(LB.pieces(docs, "id", prefix="prefix", window=window), errors, "id").where("not masked")
+        want = sorted((r.id, r.win, r.pos, r.start, r.end, texts[r.id][r.start : r.end], r.label) for r in joined.collect())
+        got = sorted(map(tuple, LB.labelled_texts(docs, "id", "spans", prefix="prefix", window=window).collect()))
+        assert got == want and {x[0] for x in got} == {0, 1}
+    assert {x[-1] for x in got} == {"O", "B-y", "I-y", "B-x", "I-x", "B-z", "I-z"}
+
+
+def broadcast_files(plan) -> list[str]:
+    """What a plan's joins broadcast of what stands in files."""
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    found = [x for p in below for x in broadcast_files(p)]
+    if plan.nodeName().startswith("Broadcast") and "Join" in plan.nodeName():
+        built = below[0 if "Left" in plan.buildSide().toString() else 1].toString()
+        found += [built] * ("parquet" in built.lower())
+    return found
+
+
+def test_subword_labels_broadcast_no_table_that_grows(spark, tmp_path, monkeypatch):
+    # Enough of them that the rule tables are the smaller ones.
+    rows = [(i or None, t, "user", f"text {i} {t}") for i in range(500) for t in range(1 + i % 9)]
+    rows += [(None, t, "user", f"text {t}") for t in range(1, 9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plans, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, tag: plans.append(df) or write(df, tag))
+    out = MC.subword_labels(spark, str(tmp_path))
+    for df in [*plans, out]:  # by the sizes of files, a small part of what their rows take in the driver
+        assert broadcast_files(df._jdf.queryExecution().sparkPlan()) == []
+    labels = [(r.conv_id, r.label) for r in out.collect()]
+    m = MC.mails(spark, str(tmp_path))
+    begun = [(k, x) for k, x in labels if x.startswith("B-")]
+    assert None in {k for k, _ in begun}  # the mail without a key has its labels, too
+    assert len(begun) >= m.errors.count() and {k for k, _ in labels} == {r.conv_id for r in m.damaged().collect()}

@@ -168,7 +168,8 @@ def choices_table(spark: SparkSession) -> DataFrame:
     """choices_sql() as a local relation, made once a session: its size is fixed by the rule
     tables (templates x actors x verbs)."""
     if not spark.catalog.tableExists("hinoki_choices"):
-        spark.createDataFrame(spark.sql(choices_sql(G.candidates_view(spark))).collect()).createOrReplaceTempView("hinoki_choices")
+        with C.plain_stages(spark):
+            spark.createDataFrame(spark.sql(choices_sql(G.candidates_view(spark))).collect()).createOrReplaceTempView("hinoki_choices")
     return spark.table("hinoki_choices")
 
 
@@ -192,7 +193,8 @@ class Mails:
     @cached_property
     def proposals(self) -> DataFrame:
         view = G.candidates_view(self.spark)
-        return C.materialize(self.spark.sql(proposals_sql("{s}", view, self.key, "/*+ merge(s) */ "), s=self.sentences), "mail-proposals").hint("merge")
+        with C.plain_stages(self.spark):
+            return C.materialize(self.spark.sql(proposals_sql("{s}", view, self.key, "/*+ merge(s) */ "), s=self.sentences), "mail-proposals").hint("merge")
 
     @cached_property
     def errors(self) -> DataFrame:

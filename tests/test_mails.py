@@ -202,3 +202,13 @@ def test_subword_labels_broadcast_no_table_that_grows(spark, tmp_path, monkeypat
     begun = [(k, x) for k, x in labels if x.startswith("B-")]
     assert None in {k for k, _ in begun}  # the mail without a key has its labels, too
     assert len(begun) >= m.errors.count() and {k for k, _ in labels} == {r.conv_id for r in m.damaged().collect()}
+
+
+def test_plain_stages_hold_for_the_step_alone(spark):
+    key = "spark.sql.codegen.wholeStage"
+    before, stages = spark.conf.get(key), lambda: "*(" in spark.range(9).where("id > 3")._jdf.queryExecution().executedPlan().treeString()
+    with pytest.raises(ValueError):
+        with C.plain_stages(spark):
+            assert not stages()
+            raise ValueError
+    assert spark.conf.get(key) == before and stages() == (before == "true")
